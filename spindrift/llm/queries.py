@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from . import warc
+from .media import op3_media_columns
+from .packing import op4_bin_completion
 from .token_store import op1_token_store
+from .warc import op10_warc_transactions
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op3_media_columns": op3_media_columns,
+    "op4_bin_completion": op4_bin_completion,
+    "op10_warc_transactions": op10_warc_transactions,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc_transactions": warc.ORACLE,
+}
