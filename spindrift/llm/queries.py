@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import cap_filters, jaccard_join, warc
+from .cap_filters import op7_cap_filters
+from .jaccard_join import op9_jaccard_groups
 from .media import op3_media_columns
 from .packing import op4_bin_completion
 from .token_store import op1_token_store
@@ -12,9 +14,13 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_media_columns": op3_media_columns,
     "op4_bin_completion": op4_bin_completion,
+    "op7_cap_filters": op7_cap_filters,
+    "op9_jaccard_groups": op9_jaccard_groups,
     "op10_warc_transactions": op10_warc_transactions,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_cap_filters": cap_filters.ORACLE,
+    "op9_jaccard_groups": jaccard_join.ORACLE,
     "op10_warc_transactions": warc.ORACLE,
 }
