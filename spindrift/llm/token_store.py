@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +37,32 @@ from .tokens import encoder
 WINDOW = 16
 LEAST, MOST, MASK = 64, 1024, 0xFF
 #: Odd multiplier of the polynomial rolling hash.
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 STAGE = "kind string, key binary, doc_id long, n long, body binary, sizes binary, root binary"
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64."""
+    found = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            found.append(np.multiply.accumulate(out))
+    return found[0], found[1]
+
+
 def rolling(ids: np.ndarray) -> np.ndarray:
     """Hash of the window that ends at each id; windows at the start are shorter."""
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    out, power = np.zeros(len(ids), np.uint64), np.uint64(1)
+    n = len(ids)
+    power, inverse = _powers(max(1 << 14, 1 << max(0, n - 1).bit_length()))
     with np.errstate(over="ignore"):
-        for back in range(min(WINDOW, len(ids))):
-            out[back:] += mixed[: len(ids) - back] * power
-            power = power * BASE
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        sums = np.cumsum(mixed * power[:n])
+        sums[WINDOW:] -= sums[:-WINDOW].copy()
+        out = sums * inverse[:n]
     return out ^ (out >> np.uint64(29))
 
 

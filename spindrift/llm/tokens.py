@@ -3,12 +3,15 @@
 When a tokenizer drops white space before it looks at words, a text's ids are
 the ids of its words in a row. Words then come from a bounded cache and only
 new ones go through the library; the ids are the library's own either way.
+Latin-1 text needs no Unicode normalization, so its words are found by the
+same pattern here and only the library's BPE model is asked for their ids.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -36,14 +39,19 @@ def drops_white_space(spec: dict) -> bool:
     return " " not in pattern and pattern.endswith("[^\\s\\p{L}\\p{N}]+") and spec.get("post_processor") is None
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """Pieces of a word that the tokenizer handles apart: lower-cased letters, then closing marks."""
-    core = word.rstrip(".,;:!?")
-    if not core.isalpha() or max(core) >= "\u0530":
-        return (word,)
-    if core.isascii():
-        core = core.lower()
-    return (core, word[len(core) :]) if len(core) < len(word) else (core,)
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte, as a table for str.translate."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+# The word pattern of the tokenizer file, and the same pattern for lower-cased Latin-1 text.
+CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _DIGITS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
 
 
 class Encoder:
@@ -55,11 +63,15 @@ class Encoder:
 
         self._tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self._by_word = drops_white_space(json.load(f))
+            spec = json.load(f)
+        self._by_word = drops_white_space(spec)
+        self._latin = self._by_word and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == CLIP_PATTERN
         self.width = 2 if self._tok.get_vocab_size() <= 1 << 16 else 4
         self._code = "H" if self.width == 2 else "I"
         self._cache: dict[str, bytes] = {"": b""}
         self._cache_words = cache_words
+        self._bpe = self._tok.model.tokenize
+        self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         mark = self._tok.encode(MARK, add_special_tokens=False).ids if self._by_word else []
         self._mark = mark[0] if len(mark) == 1 else None
 
@@ -81,19 +93,39 @@ class Encoder:
                 at = end + 1
         return out
 
-    def _words(self, words: list[str]) -> bytes:
-        new = set(words).difference(self._cache)
+    def _pieces(self, pieces: list[str]) -> bytes:
+        """Ids of lower-cased pieces that the word pattern found, straight from the BPE model if they are new."""
+        cache = self._cache
+        new = set(pieces).difference(cache)
         if not new:
-            return b"".join(map(self._cache.__getitem__, words))
-        parts = {w: _parts(w) for w in new}
-        wanted = list({x for p in parts.values() for x in p}.difference(self._cache))
-        known = dict(zip(wanted, self._many(wanted)))
-        look = lambda x: self._cache[x] if x in self._cache else known[x]
-        ids = {w: b"".join(map(look, p)) for w, p in parts.items()}
-        if len(self._cache) < self._cache_words:
-            self._cache.update(known)
-            self._cache.update(ids)
-        return b"".join([self._cache[w] if w in self._cache else ids[w] for w in words])
+            return b"".join(map(cache.__getitem__, pieces))
+        code, bpe = self._code, self._bpe
+        known = {}
+        for p in new:
+            shown = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(BYTE_LETTERS)
+            known[p] = array(code, [t.id for t in bpe(shown)]).tobytes()
+        if len(cache) < self._cache_words:
+            cache.update(known)
+            return b"".join(map(cache.__getitem__, pieces))
+        return b"".join([cache[p] if p in cache else known[p] for p in pieces])
+
+    def _words(self, words: list[str]) -> bytes:
+        """Ids of words between blanks, by the whole tokenizer if they are new."""
+        cache = self._cache
+        new = list(set(words).difference(cache))
+        known = dict(zip(new, self._many(new)))
+        if len(cache) < self._cache_words:
+            cache.update(known)
+        return b"".join([cache[w] if w in cache else known[w] for w in words])
+
+    def _part(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._words(text.replace("\n", " ").split(" "))
+        if not self._latin or any(t in text for t in self._special):
+            return self._words(text.replace("\n", " ").split(" "))
+        return self._pieces(LATIN_PIECES(text.lower()))
 
     def encode(self, text: str | None) -> bytes:
         """The packed ids of one whole text; nothing for null."""
@@ -102,12 +134,12 @@ class Encoder:
         if not self._by_word:
             return self._library([text])[0]
         if len(text) <= SLICE_CHARS:
-            return self._words(text.replace("\n", " ").split(" "))
+            return self._part(text)
         parts, at = [], 0
         while at < len(text):
             cut = text.find(" ", at + SLICE_CHARS)
             cut = len(text) if cut < 0 else cut
-            parts.append(self._words(text[at:cut].replace("\n", " ").split(" ")))
+            parts.append(self._part(text[at:cut]))
             at = cut
         return b"".join(parts)
 
