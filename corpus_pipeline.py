@@ -1,19 +1,66 @@
-"""The corpus pipeline: quality, language, near duplicates, packing."""
+"""The corpus pipeline: quality, language, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before it
+kept, and returns a DataFrame; all but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm import jaccard_join, language_id, packing, quality
+from spindrift.llm.common import Scratch
+from spindrift.llm.tokens import default_path
+
+#: A language is rejected below this share of its score; four equal ones have 0.25.
+LEAST_LANGUAGE = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, spark.read.parquet(os.path.join(sf_dir, "labels.parquet")), 5, 0)
+    return quality.score(docs, model).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; all of them if no document names its language."""
+    model = language_id.train(docs, 3, 1)
+    if model is None:
+        return docs
+    found = language_id.predict(docs, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
 
-STAGES: list = []
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id; documents without an id stay."""
+    groups = jaccard_join.near_duplicates(docs, Scratch(spark, "groups"))
+    kept = groups.filter("doc_id = component_id").select("doc_id")
+    single = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    return single.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document's pieces in sequences of at most 4096 tokens."""
+    return packing.pack(docs, default_path("word_bpe_49k.json"), 1, 4096, Scratch(spark, "packing"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifiers and the packing can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
-    from spindrift.llm.common import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     for name, stage in STAGES:
