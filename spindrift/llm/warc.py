@@ -208,10 +208,13 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ``pages`` as WARC archives, read them back, and report each capture."""
-    folder = Scratch(spark, "warc").folder("archives")
+    scratch = Scratch(spark, "warc")
+    folder = scratch.folder("archives")
     write(spark.read.parquet(os.path.join(sf_dir, "pages.parquet")), folder)
-    captures = assemble(read(spark, folder)).withColumn("page_id", F.expr("cast(nullif(map_from_entries(metadata.fields)['page-id'], '') as long)"))
+    records = scratch.table(read(spark, folder), "records")  # the archives are parsed once
+    captures = assemble(records).withColumn("page_id", F.expr("cast(nullif(map_from_entries(metadata.fields)['page-id'], '') as long)"))
     flat = captures.select("page_id", "record_id", F.col("response.record_type").alias("record_type"), F.col("response.payload_bytes").alias("own"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.refers_to").alias("to"))
+    flat = scratch.table(flat, "captures")
     targets = flat.filter("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"), F.col("own").alias("there"))
     joined = flat.join(targets, "to", "left")
     size = F.when(F.col("record_type") == "revisit", F.col("there")).otherwise(F.col("own"))
