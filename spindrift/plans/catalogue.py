@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from . import registry
+
+MODULES = ("search_queries", "tracing_queries")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(registry.ORACLES)
