@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("search_queries", "tracing_queries")
+MODULES = ("search_queries", "tracing_queries", "corpus_queries")
 
 
 def _load() -> None:

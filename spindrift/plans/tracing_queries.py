@@ -96,22 +96,22 @@ def _effective(spark, sf_dir):
     return tracing.effective(rows, F.lit(AS_OF).cast("timestamp")).withColumn("category", _category(F.col("kp")))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, user_id, kp, event_type, round(difficulty, 6) AS difficulty, round(outcome, 6) AS outcome, round(delta, 6) AS delta FROM dl")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, user_id, kp, event_type, round(difficulty, 9) AS difficulty, round(outcome, 9) AS outcome, round(delta, 9) AS delta FROM dl")
 def tracking_deltas(spark, sf_dir):
     r = _events(spark, sf_dir)
-    return r.select("event_id", "user_id", "kp", "event_type", *(F.round(c, 6).alias(c) for c in ("difficulty", "outcome", "delta")))
+    return r.select("event_id", "user_id", "kp", "event_type", *(F.round(c, 9).alias(c) for c in ("difficulty", "outcome", "delta")))
 
 
-@query(_expanded(f"WITH RECURSIVE {HISTORY_SQL} SELECT user_id, kp, seq, event_id, event_type, round(mastery, 6) AS mastery, round(confidence, 6) AS confidence, CAST(p AS BIGINT) AS positive, CAST(n AS BIGINT) AS negative, round(change, 6) AS delta, round(mastery * confidence, 6) AS effective_score FROM h"))
+@query(_expanded(f"WITH RECURSIVE {HISTORY_SQL} SELECT user_id, kp, seq, event_id, event_type, round(mastery, 9) AS mastery, round(confidence, 6) AS confidence, CAST(p AS BIGINT) AS positive, CAST(n AS BIGINT) AS negative, round(change, 9) AS delta, round(mastery * confidence, 9) AS effective_score FROM h"))
 def mastery_history(spark, sf_dir):
     r = tracing.history(_events(spark, sf_dir))
-    return r.select("user_id", "kp", "seq", "event_id", "event_type", F.round("mastery", 6).alias("mastery"), F.round("confidence", 6).alias("confidence"), "positive", "negative", F.round("delta", 6).alias("delta"), F.round("effective_score", 6).alias("effective_score"))
+    return r.select("user_id", "kp", "seq", "event_id", "event_type", F.round("mastery", 9).alias("mastery"), F.round("confidence", 6).alias("confidence"), "positive", "negative", F.round("delta", 9).alias("delta"), F.round("effective_score", 9).alias("effective_score"))
 
 
-@query(_expanded(f"WITH RECURSIVE {STATES_SQL} SELECT user_id, kp, round(mastery, 6) AS mastery, round(confidence, 6) AS confidence, interactions, round(em, 6) AS effective_mastery, round(score, 6) AS effective_score FROM es"))
+@query(_expanded(f"WITH RECURSIVE {STATES_SQL} SELECT user_id, kp, round(mastery, 9) AS mastery, round(confidence, 6) AS confidence, interactions, round(em, 9) AS effective_mastery, round(score, 9) AS effective_score FROM es"))
 def mastery_fold(spark, sf_dir):
     r = _effective(spark, sf_dir)
-    return r.select("user_id", "kp", F.round("mastery", 6).alias("mastery"), F.round("confidence", 6).alias("confidence"), "interactions", F.round("effective_mastery", 6).alias("effective_mastery"), F.round("effective_score", 6).alias("effective_score"))
+    return r.select("user_id", "kp", F.round("mastery", 9).alias("mastery"), F.round("confidence", 6).alias("confidence"), "interactions", F.round("effective_mastery", 9).alias("effective_mastery"), F.round("effective_score", 9).alias("effective_score"))
 
 
 @query(_expanded(f"""
