@@ -10,11 +10,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, list[str]] = {}
+#: Once a scratch table is whole, the shuffle files behind it are of no use; small batches keep long texts in bounds.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a block; what they were before is put back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,7 +59,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: the lineage ends here and survives lost executors."""
         path = self.folder(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with settings(self.spark, WHILE_WRITING):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, path: str) -> None:
@@ -118,3 +136,16 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
         raise RuntimeError(f"components did not settle in {limit} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index that each of ``n`` rows reaches over the links (i, j)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return root

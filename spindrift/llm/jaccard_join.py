@@ -10,12 +10,13 @@ distinct shingles. The join is exact up to collisions of 64-bit hashes:
    bounded by counts over all documents.
 3. Two linked sets share a shingle among their first n - ceil(percent * n /
    100) + 1. Classes with the same prefix and size form one group; groups that
-   share a prefix shingle are candidates if size and position leave room for
-   the overlap.
-4. A shingle with many groups pairs each only with the first; once those
-   pairs are verified, only groups that still lie in different components are
-   paired. Links within a component can't change it, so none is lost.
-5. Members of candidate groups are verified on their whole sets.
+   share a prefix shingle are candidates if their sizes allow a link and the
+   shingles they share in their prefixes leave room for the overlap.
+4. Groups at a shingle that more than SMALL groups share aren't paired. They
+   form a cluster, whose members meet block by block; products of presence
+   matrices compare two blocks, and only a spanning forest of their links
+   leaves the task.
+5. Members of other candidate groups are verified pair by pair, on whole sets.
 6. Components of the verified links give each document its class id.
 
 Defined results: null, empty and blank texts have no shingles and link with
@@ -34,58 +35,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions
+from .common import Scratch, components, forest, partitions
 from .shingles import shingle_sets
 
 #: The list of common shingles holds at most so many (8 bytes each).
 COMMON_MOST = 1 << 21
-#: A shingle is never common below so many documents.
-COMMON_LEAST = 64
 #: Up to so many groups at a shingle are paired with each other at once.
 SMALL = 48
 FLUSH = 1 << 18
+#: Members of a cluster that a task compares with each other at once.
+BLOCK = 256
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles of many documents, sorted; counts cover all documents.
+def _common(docs: DataFrame, percent: int, scratch: Scratch) -> np.ndarray:
+    """Shingles that many documents have near the front of the hash order, sorted; counts cover all documents.
 
-    Each task counts within blocks of texts and passes on what occurs three
-    times or more in a block; a shingle of a fixed share of all documents does.
+    Only that front can reach a prefix, so only it is counted: within blocks
+    of texts first, then over all.
     """
 
     def run(batches):
-        held, size, total = [], 0, 0
+        held, size = [], 0
 
         def counted():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= 3
-            return pa.RecordBatch.from_arrays([_signed(values[keep]), pa.array(counts[keep].astype(np.int64)), pa.array(np.zeros(int(keep.sum()), np.int64))], names=["h", "n", "total"])
+            return pa.RecordBatch.from_arrays([_signed(values), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
         for batch in batches:
             for one in shingle_sets(batch.column(0).to_pylist()):
-                held.append(one)
-                size += len(one)
-                total += len(one)
+                n = len(one)
+                front = one[: n - _least_overlap(n, percent) + n // 10 + 4]
+                held.append(front)
+                size += len(front)
                 if size > 1 << 21:
                     yield counted()
                     held, size = [], 0
         if held:
             yield counted()
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([total])], names=["h", "n", "total"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, n long, total long")
-    sums = rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    sums = sums.filter("n > 0 or total > 0").filter(f"n >= {COMMON_LEAST} or total > 0").persist()
-    try:
-        total = sums.agg(F.sum("total")).first()[0] or 0
-        least = max(COMMON_LEAST, -(-total // COMMON_MOST))
-        found = sums.filter(F.col("n") >= least).select("h").toArrow().column(0)
-    finally:
-        sums.unpersist()
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, n long")
+    sums = rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > SMALL)
+    sums = scratch.table(sums, "common")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    least = -(-total // COMMON_MOST)
+    found = sums.filter(F.col("n") >= least).select("h").toArrow().column(0)  # at most COMMON_MOST rows
     return np.sort(np.asarray(found.combine_chunks()).view(np.uint64)) if len(found) else np.zeros(0, np.uint64)
 
 
@@ -129,7 +126,7 @@ def sets(docs: DataFrame, percent: int, common) -> DataFrame:
 
 
 def _tokens(groups: DataFrame) -> DataFrame:
-    """One row for each prefix shingle of each group: token, g, n, pos."""
+    """One row for each prefix shingle of each group: token, g, n."""
 
     def run(batches):
         for batch in batches:
@@ -138,108 +135,167 @@ def _tokens(groups: DataFrame) -> DataFrame:
                 prefixes = [np.frombuffer(p.as_py(), np.uint64) for p in part.column("prefix")]
                 lengths = np.array([len(p) for p in prefixes], np.int64)
                 tokens = np.concatenate(prefixes)
-                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 g, n = (np.repeat(np.asarray(part.column(c)), lengths) for c in ("g", "n"))
-                yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(g), pa.array(n), pa.array(pos.astype(np.int32))], names=["token", "g", "n", "pos"])
-
-    return groups.select("g", "n", "prefix").mapInArrow(run, "token long, g long, n long, pos int")
-
+                yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(g), pa.array(n)], names=["token", "g", "n"])
 
-def _room(na, nb, pa_, pb, percent):
-    """Whether two sets whose first common shingle stands at these positions can still link."""
-    need = -(-percent * (na + nb) // (100 + percent))
-    fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return fits & (1 + np.minimum(na - pa_, nb - pb) - 1 >= need)
+    return groups.select("g", "n", "prefix").mapInArrow(run, "token long, g long, n long")
 
 
-def _pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of groups (a < b; big 0), and the shingles that have many groups (a = the shingle; big 1).
+def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups that share shingles with few groups, and links between groups that share one with many.
 
-    Rows arrive sorted by token; a task holds one run of up to SMALL rows, or
-    only the first row of a longer run.
+    Rows (a, b, na, nb, c): for c > 0 the groups share c such shingles, a < b;
+    for c = 0, b is a group at a shingle with more than SMALL groups and a the
+    first of them. Rows arrive sorted by token; a task holds runs of up to
+    SMALL rows, and of a longer run only its first row.
     """
 
     def run(batches):
-        out_a, out_b, big = [], [], []
+        pairs, links = [], []
         held = 0
-        carry = None
+        carry = first = None
 
         def flush():
-            a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-            b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            tokens = np.array(big, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([pairs[:, 0], tokens])), pa.array(np.concatenate([pairs[:, 1], tokens])), pa.array(np.repeat([0, 1], [len(pairs), len(tokens)]).astype(np.int32))],
-                names=["a", "b", "big"],
-            )
-
-        first: dict = {"token": None}
-
-        def emit(token, g, n, pos, i, j):
-            ok = _room(n[i], n[j], pos[i], pos[j], percent) & (g[i] != g[j])
-            out_a.append(g[i][ok])
-            out_b.append(g[j][ok])
-            return int(ok.sum())
-
-        def runs(token, g, n, pos, last):
-            """Pairs of all whole runs; the rows of the last, unfinished run are returned."""
+            nonlocal pairs, links, held
+            rows = np.concatenate(pairs) if pairs else np.zeros((0, 4), np.int64)
+            rows, count = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.zeros(0, np.int64))
+            far = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
+            columns = [np.concatenate([rows[:, i], far[:, i]]) for i in (0, 1)]
+            columns += [np.concatenate([rows[:, i], np.zeros(len(far), np.int64)]) for i in (2, 3)]
+            columns.append(np.concatenate([count.astype(np.int64), np.zeros(len(far), np.int64)]))
+            pairs, links, held = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "na", "nb", "c"])
+
+        def meet(g, n, i, j):
+            nonlocal held
+            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            swap = g[i] > g[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            pairs.append(np.stack([g[i], g[j], n[i], n[j]], axis=1))
+            held += len(i)
+
+        def chain(start, others):
             nonlocal held
+            links.append(np.stack([np.full(len(others), start), others], axis=1))
+            held += len(others)
+
+        def runs(token, g, n, last):
+            """Handle all whole runs; returns where the last, unfinished run begins."""
             edges = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
             sizes = np.diff(edges)
             end = len(sizes) if last else len(sizes) - 1
             for size in np.unique(sizes[:end]).tolist():
                 at = edges[:-1][:end][sizes[:end] == size]
-                if size == 1:
-                    continue
-                if size <= SMALL:
+                if 1 < size <= SMALL:
                     i, j = np.triu_indices(size, 1)
                     step = max(1, FLUSH // len(i))
                     for k in range(0, len(at), step):
-                        some = at[k : k + step]
-                        held += emit(token, g, n, pos, (some[:, None] + i).ravel(), (some[:, None] + j).ravel())
-                else:
-                    big.extend(token[at].tolist())
+                        some = at[k : k + step, None]
+                        meet(g, n, (some + i).ravel(), (some + j).ravel())
+                elif size > SMALL:
                     for s in at.tolist():
-                        i = np.full(size - 1, s)
-                        held += emit(token, g, n, pos, i, np.arange(s + 1, s + size))
+                        chain(g[s], g[s + 1 : s + size])
             return edges[end]
 
         for batch in batches:
-            part = [np.asarray(batch.column(c)) for c in ("token", "g", "n", "pos")]
+            part = [np.asarray(batch.column(c)) for c in ("token", "g", "n")]
             if carry is not None:
                 part = [np.concatenate([x, y]) for x, y in zip(carry, part)]
-            if not len(part[0]):
-                continue
-            if first["token"] is not None:  # rows of a long run whose first row is known
-                same = int(np.searchsorted(part[0] != first["token"], True))
-                if same:
-                    row = first["row"]
-                    i = np.zeros(same, np.int64)
-                    cols = [np.concatenate([[r], p[:same]]) for r, p in zip(row, part)]
-                    held += emit(*cols, i, np.arange(1, same + 1))
-                part = [p[same:] for p in part]
-                if not len(part[0]):
-                    carry = None
-                    continue
-                first["token"] = None
-            at = runs(*part, False)
-            rest = [p[at:] for p in part]
-            if len(rest[0]) > SMALL:  # a long run goes on: pair what is here, keep its first row
-                runs(*rest, True)
-                first = {"token": rest[0][0], "row": [p[0] for p in rest]}
                 carry = None
-            else:
-                carry = rest
+            if first is not None and len(part[0]):  # more rows of a long run whose first row is known
+                same = int((part[0] == first[0]).sum())  # tokens are sorted, so these stand in front
+                chain(first[1], part[1][:same])
+                part = [x[same:] for x in part]
+                first = first if not len(part[0]) else None
+            if len(part[0]):
+                at = runs(*part, False)
+                rest = [x[at:] for x in part]
+                if len(rest[0]) > SMALL:
+                    chain(rest[1][0], rest[1][1:])
+                    first = (rest[0][0], rest[1][0])
+                else:
+                    carry = rest
             if held > FLUSH:
                 yield flush()
-                out_a, out_b, big, held = [], [], [], 0
         if carry is not None and len(carry[0]):
             runs(*carry, True)
         yield flush()
 
-    sorted_rows = tokens.repartition(partitions(tokens.sparkSession), "token").sortWithinPartitions("token", "g")
-    return sorted_rows.mapInArrow(run, "a long, b long, big int")
+    ordered = tokens.repartition(partitions(tokens.sparkSession), "token").sortWithinPartitions("token")
+    return ordered.mapInArrow(run, "a long, b long, na long, nb long, c long")
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the linked pairs of two lists of sets, by products of presence matrices over shared shingles."""
+    every = left + right
+    values = np.concatenate(every)
+    owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    shingles, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[at]
+    keep = column >= 0
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)))
+    wide = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, wide, 4096):
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        matrix = np.zeros((len(every), min(4096, wide - a)), np.float32)
+        matrix[owner[lo:hi], column[lo:hi] - a] = 1
+        both += matrix[: len(left)] @ matrix[len(left) :].T
+    sizes = np.add.outer([len(x) for x in left], [len(x) for x in right])
+    return np.nonzero(100 * both >= percent * (sizes - both))
+
+
+def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within each cluster; ``members``: cluster, key, text.
+
+    A cluster is dealt into blocks of about BLOCK members that meet two by
+    two, so a task holds two blocks at a time, however large the cluster is.
+    """
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "cluster").withColumn("block", F.expr("pmod(key, blocks)")).withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("cluster", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "key", "text")
+    names = ["cluster", "bi", "bj"]
+
+    def group(table):
+        keys, block = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "block"))
+        sets = list(shingle_sets(table.column("text").to_pylist()))
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+        i, j = _links([sets[x] for x in left], [sets[x] for x in right], percent)
+        i, j = left[i], right[j]
+        root = forest(len(keys), i, j)
+        hit = root != np.arange(len(keys))
+        return keys[hit], keys[root[hit]]
+
+    def run(batches):
+        carry = None
+
+        def done(table, last):
+            cols = [np.asarray(table.column(c).combine_chunks()) for c in names]
+            change = np.zeros(max(0, table.num_rows - 1), bool)
+            for c in cols:
+                change |= c[1:] != c[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+            if not last:
+                edges = edges[:-1]
+            found = [group(table.slice(x, y - x)) for x, y in zip(edges, edges[1:]) if y - x > 1]
+            out = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b"]), table.slice(edges[-1])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                table = pa.Table.from_batches([batch.slice(a, 1000)])
+                table = pa.concat_tables([carry, table]) if carry is not None else table
+                out, carry = done(table, False)
+                yield out
+        if carry is not None and carry.num_rows:
+            yield done(carry, True)[0]
+
+    ordered = dealt.repartition(partitions(members.sparkSession), *names).sortWithinPartitions(*names)
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -307,43 +363,36 @@ def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(_common(docs))  # at most COMMON_MOST hashes
+    common = spark.sparkContext.broadcast(_common(docs, percent, scratch))  # at most COMMON_MOST hashes
     every = scratch.table(sets(docs, percent, common), "sets")
     known = every.filter("n > 0 and doc_id is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix_key").alias("g"))
     classes = scratch.table(classes, "classes")
     groups = known.groupBy("prefix_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumnRenamed("prefix_key", "g")
-    tokens = scratch.table(_tokens(groups), "tokens")
-    found = scratch.table(_pairs(tokens, percent), "candidates")
+    found = scratch.table(_candidates(_tokens(groups), percent), "candidates")
 
+    # Clusters: classes of one group, and of groups that share a shingle with many others.
     members = classes.select("g", "key")
     first = members.groupBy("g").agg(F.min("key").alias("first"), F.count("*").alias("size"))
-    of = lambda g, k: members.select(F.col("g").alias(g), F.col("key").alias(k))
-    across = found.filter("big = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
-    across = across.join(of("ga", "a"), "ga").join(of("gb", "b"), "gb").select("a", "b")
+    of = lambda g, k: first.select(F.col("g").alias(g), F.col("first").alias(k))
+    chains = found.filter("c = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
+    chains = chains.join(of("ga", "a"), "ga").join(of("gb", "b"), "gb").select("a", "b")
     within = members.join(first.filter("size > 1"), "g").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    pairs = scratch.table(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    texts = _texts_of(docs, pairs, classes, scratch)
-    links = scratch.table(_verify(pairs, texts, percent), "links")
-    parts = components(links, scratch)
-
-    # Groups of more than two members and shingles of many groups, where members still lie apart.
-    big = found.filter("big = 1").select(F.col("a").alias("token")).distinct()
-    at_token = tokens.join(big, "token").join(members, "g").select(F.col("token").alias("at"), "key", "n", F.col("pos").cast("long").alias("pos"))
-    at_group = classes.join(first.filter("size > 2").select("g"), "g").select(F.col("g").alias("at"), "key", "n", F.lit(0).cast("long").alias("pos"))
-    spots = at_token.withColumn("kind", F.lit(0)).unionByName(at_group.withColumn("kind", F.lit(1)))
-    spots = spots.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-    apart = spots.groupBy("kind", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("kind", "at")
-    spots = scratch.table(spots.join(apart, ["kind", "at"]).select("kind", "at", "key", "n", "pos", "c"), "apart")
-    need = F.expr(f"ceil({percent} * (n + m) / {100 + percent}.0D - 1e-9)")
-    other = spots.select("kind", "at", F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("c").alias("d"))
-    more = spots.withColumnRenamed("key", "a").join(other, ["kind", "at"]).filter("c < d").filter(F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
-    more = more.filter((F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("qos")) >= need))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = _verify(more, _texts_of(docs, more, classes, scratch), percent)
-        parts = components(scratch.table(links.unionByName(extra), "links"), scratch)
+    clusters = scratch.table(components(chains.unionByName(within), scratch).withColumnRenamed("node", "key").withColumnRenamed("component", "cluster"), "clusters")
+
+    # Other pairs: groups outside a common cluster share no shingle but the counted ones.
+    pairs = found.filter("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    rest = f"floor(({percent} * greatest(na, nb) + 99) / 100) - 1"
+    need = f"floor(({percent} * (na + nb) + {99 + percent}) / {100 + percent})"
+    pairs = pairs.filter(f"c + {rest} >= {need}").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    side = lambda g, k, c: members.join(clusters, "key", "left").select(F.col("g").alias(g), F.col("key").alias(k), F.col("cluster").alias(c))
+    pairs = pairs.join(side("ga", "a", "ca"), "ga").join(side("gb", "b", "cb"), "gb")
+    pairs = scratch.table(pairs.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(clusters.select("key")).distinct()
+    texts = _texts(docs, classes.select("key", "rep").join(wanted, "key"), scratch)
+    links = _verify(pairs, texts, percent).unionByName(_compare_blocks(clusters.join(texts, "key"), percent))
+    parts = components(scratch.table(links, "links"), scratch)
 
     classes = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
     ids = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -364,11 +413,6 @@ def _one_id(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return out.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_c"), "doc_id", "left").withColumn("component_id", F.coalesce("_c", "component_id")).drop("_c")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    return _texts(docs, classes.select("key", "rep").join(keys, "key"), scratch)
-
-
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all ``documents``."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
