@@ -11,10 +11,12 @@ double precision. The height gives a vector ``LISTED`` directions on average,
 so that a pair at the threshold shares about half of them; the number of
 directions grows with the number of vectors, so that buckets keep their size.
 
-Equal vectors of a label are one class and are compared once. A bucket of
-more than ``BLOCK`` classes is split into blocks that meet two by two, so no
-task gets an unbounded group. A pair counts only in the first bucket it
-shares, and a bucket returns counts and a spanning forest, never its pairs.
+Equal vectors of a label are one class and are compared once. Classes that
+share a bucket of more than ``CROWD`` of them form a cluster instead, which is
+dealt into blocks that meet two by two, so no task gets an unbounded group and
+a crowd is compared once, not in each of its buckets. Other pairs count only
+in the first bucket they share. Tasks return counts and spanning forests,
+never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, as do rows without a label and
@@ -36,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions
+from .common import Scratch, components, forest, partitions
 
 LISTED = 24
-BLOCK = 1024
+CROWD = 200
+BLOCK = 512
 PER_FILTER = 8
 SEED = 20260102
 
@@ -159,19 +162,6 @@ def _listed(k: int, float_type: str):
     return run
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index that each of ``n`` rows reaches over the links (i, j)."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _first_shared(own: np.ndarray, i: np.ndarray, j: np.ndarray, f: int) -> np.ndarray:
     """Whether the pairs (i, j) share no filter below ``f``; ``own`` is padded with -1."""
     small = np.where(own < f, own, -1)
@@ -184,66 +174,85 @@ def _first_shared(own: np.ndarray, i: np.ndarray, j: np.ndarray, f: int) -> np.n
     return ok
 
 
-def _compare(threshold: float, float_type: str):
-    """Sums of links and a spanning forest of each bucket (or pair of its blocks)."""
+def _pairs_above(unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs between two lists of rows whose inner product reaches the threshold in double precision."""
+    pairs_i, pairs_j = [], []
+    for a in range(0, len(left), 512):
+        some = left[a : a + 512]
+        i, j = np.nonzero(unit[some] @ unit[right].T >= threshold - 1e-9)
+        pairs_i.append(some[i])
+        pairs_j.append(right[j])
+    i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
+    exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", unit[i[a : a + 4096]], unit[j[a : a + 4096]]) for a in range(0, len(i), 4096))])
+    return i[exact >= threshold], j[exact >= threshold]
 
-    def group(cid, vec, n, own, block, f, bi, bj):
-        unit = _units(vec, float_type)
-        left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        pairs_i, pairs_j = [], []
-        for a in range(0, len(left), 512):
-            some = left[a : a + 512]
-            i, j = np.nonzero(unit[some] @ unit[right].T >= threshold - 1e-9)
-            pairs_i.append(some[i])
-            pairs_j.append(right[j])
-        i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-        keep = i < j if bi == bj else np.ones(len(i), bool)
+
+def _sums(cid: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple:
+    """cid, root and number of links of the rows that the pairs (i, j) touch."""
+    links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
+    hit = links > 0
+    return cid[hit], cid[forest(len(cid), i, j)][hit], links[hit].astype(np.int64)
+
+
+def _in_bucket(threshold: float, float_type: str):
+    """Links of a bucket's classes that share no earlier bucket and no cluster."""
+
+    def group(t, f):
+        cid, n, cluster = (np.asarray(t.column(c).combine_chunks()) for c in ("cid", "n", "cluster"))
+        unit = _units(t.column("vec").to_pylist(), float_type)
+        rows = np.arange(len(cid))
+        i, j = _pairs_above(unit, rows, rows, threshold)
+        keep = (i < j) & ((cluster[i] != cluster[j]) | (cluster[i] == 0))
         i, j = i[keep], j[keep]
         if not len(i):
             return None
-        exact = np.concatenate([np.einsum("ij,ij->i", unit[i[a : a + 4096]], unit[j[a : a + 4096]]) for a in range(0, len(i), 4096)])
-        i, j = i[exact >= threshold], j[exact >= threshold]
-        lists = [np.frombuffer(x, "<i8") for x in own]
+        lists = [np.frombuffer(x, "<i8") for x in t.column("own").to_pylist()]
         padded = np.full((len(lists), max(map(len, lists))), -1, np.int64)
         for r, x in enumerate(lists):
             padded[r, : len(x)] = x
         keep = _first_shared(padded, i, j, f)
-        i, j = i[keep], j[keep]
-        links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
-        hit = links > 0
-        return cid[hit], cid[forest(len(cid), i, j)][hit], links[hit].astype(np.int64)
+        return _sums(cid, n, i[keep], j[keep])
 
-    def run(batches):
-        keys = ["label", "f", "bi", "bj"]
-        carry = None
+    return _by_run(["label", "f"], lambda t: group(t, t.column("f")[0].as_py()))
 
-        def groups(table, last):
-            k = [np.asarray(table.column(c).combine_chunks()) for c in keys]
-            change = np.zeros(max(0, table.num_rows - 1), bool)
-            for c in k:
-                change |= c[1:] != c[:-1]
-            edges = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
-            outs = []
-            for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1]):
-                if b - a < 2:
-                    continue
-                part = table.slice(a, b - a)
-                cols = [part.column(c) for c in ("cid", "vec", "n", "own", "block")]
-                cid, n, block = (np.asarray(cols[x].combine_chunks()) for x in (0, 2, 4))
-                got = group(cid, cols[1].to_pylist(), n, cols[3].to_pylist(), block, int(k[1][a]), int(k[2][a]), int(k[3][a]))
-                if got is not None:
-                    outs.append(got)
-            columns = [np.concatenate(c) for c in zip(*outs)] if outs else [np.zeros(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "links"]), table.slice(edges[-2] if not last else table.num_rows)
 
+def _in_cluster(threshold: float, float_type: str):
+    """Links between two blocks of a cluster."""
+
+    def group(t):
+        cid, n, block = (np.asarray(t.column(c).combine_chunks()) for c in ("cid", "n", "block"))
+        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        i, j = _pairs_above(_units(t.column("vec").to_pylist(), float_type), np.flatnonzero(block == bi), np.flatnonzero(block == bj), threshold)
+        keep = i < j if bi == bj else np.ones(len(i), bool)
+        return _sums(cid, n, i[keep], j[keep])
+
+    return _by_run(["cluster", "bi", "bj"], group)
+
+
+def _by_run(names: list[str], group):
+    """Apply ``group`` to each run of rows that are equal in ``names``; rows arrive sorted by them."""
+
+    def done(table, last):
+        cols = [np.asarray(table.column(c).combine_chunks()) for c in names]
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+        edges = edges if last else edges[:-1]
+        found = [group(table.slice(a, b - a)) for a, b in zip(edges, edges[1:]) if b - a > 1]
+        out = [np.concatenate(c) for c in zip(*[x for x in found if x is not None])] or [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "links"]), table.slice(edges[-1])
+
+    def run(batches):
+        carry = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([carry, table]) if carry is not None else table
-            if table.num_rows:
-                out, carry = groups(table, False)
+            for a in range(0, batch.num_rows, 2000):
+                table = pa.Table.from_batches([batch.slice(a, 2000)])
+                table = pa.concat_tables([carry, table]) if carry is not None else table
+                out, carry = done(table, False)
                 yield out
         if carry is not None and carry.num_rows:
-            yield groups(carry, True)[0]
+            yield done(carry, True)[0]
 
     return run
 
@@ -259,13 +268,25 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     classes = scratch.table(classes, "classes")
     k = k or max(8, math.ceil((classes.count() / PER_FILTER) ** (1 / 3)))
     listed = scratch.table(classes.mapInArrow(_listed(k, float_type), "cid long, label long, f long, n long, vec binary, own binary"), "listed")
-    sizes = listed.groupBy("label", "f").count().filter("count > 1")
-    sizes = sizes.select("label", "f", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    met = listed.join(sizes, ["label", "f"]).withColumn("block", F.expr("pmod(cid, blocks)"))
-    met = met.withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    met = met.select("label", "f", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "cid", "n", "vec", "own")
-    dealt = met.repartition(partitions(spark), "label", "f", "bi", "bj").sortWithinPartitions("label", "f", "bi", "bj", "cid")
-    found = scratch.table(dealt.mapInArrow(_compare(threshold, float_type), "a long, b long, links long"), "found")
+    sizes = listed.groupBy("label", "f").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1")
+    sizes = scratch.table(sizes, "sizes")
+    crowd = sizes.filter(F.col("size") > CROWD)
+    chains = listed.select("cid", "label", "f").join(crowd, ["label", "f"]).select(F.col("first").alias("a"), F.col("cid").alias("b"))
+    clusters = components(chains, scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    clusters = scratch.table(clusters, "clusters")
+
+    met = listed.join(sizes.filter(F.col("size") <= CROWD).select("label", "f"), ["label", "f"]).join(clusters, "cid", "left")
+    met = met.select("label", "f", "cid", "n", F.coalesce("cluster", F.lit(0)).alias("cluster"), "vec", "own")
+    met = met.repartition(partitions(spark), "label", "f").sortWithinPartitions("label", "f")
+    apart = met.mapInArrow(_in_bucket(threshold, float_type), "a long, b long, links long")
+
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = clusters.join(blocks, "cluster").join(classes.select("cid", "n", "vec"), "cid")
+    dealt = dealt.withColumn("block", F.expr("pmod(cid, blocks)")).withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("cluster", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "cid", "n", "vec")
+    dealt = dealt.repartition(partitions(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    together = dealt.mapInArrow(_in_cluster(threshold, float_type), "a long, b long, links long")
+    found = scratch.table(apart.unionByName(together), "found")
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     parts = components(found.filter("a <> b").select("a", "b"), scratch)
     joined = classes.select("cid", "rep", "n").join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
