@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +22,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None)
 
     Documents match a term as a substring, lengths are in characters, and the
     terms of a query are summed (OR). Scores are divided by the query's best.
-    All terms of all queries travel as one array in a single row, so each
-    document is scanned once and emits only the terms that it holds; there is
-    no join of documents with terms. ``df_cap`` bounds a term's document
-    frequency, as a store does that returns at most so many matches.
+    Each document is scanned once for all terms of all queries and emits only
+    those that it holds; there is no join of documents with terms. ``df_cap``
+    bounds a term's document frequency, as a store does that returns at most
+    so many matches.
     """
     used = queries.select("query_id", F.explode("terms").alias("term")).filter("term <> ''").distinct()
-    vocabulary = used.agg(F.collect_set("term").alias("vocabulary"))  # bounded by the batch of queries
-    held = docs.crossJoin(F.broadcast(vocabulary)).select(
-        "doc_id",
-        "text",
-        F.explode(F.filter("vocabulary", lambda t: F.contains(F.col("text"), t))).alias("term"),
-    )
-    hits = held.select("doc_id", "term", F.length("text").alias("dl"), F.expr("(length(text) - length(replace(text, term, ''))) div length(term)").alias("tf"))
+    hits = term_counts(docs, used)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if df_cap:
         df = df.withColumn("df", F.least("df", F.lit(df_cap)))
@@ -47,6 +42,44 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None)
     return ranked.select("query_id", "doc_id", F.round(F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw")), 6).alias("score"), "rank")
 
 
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, dl (characters), tf (occurrences without overlap) of the terms that each of ``docs`` holds.
+
+    One automaton finds all terms in one pass over a text, so the cost doesn't
+    grow with the number of queries, whose terms are sent to the tasks.
+    """
+    words = sorted(r[0] for r in terms.select("term").distinct().collect())  # bounded by the batch of queries
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            machine.add_word(w, (i, len(w)))
+        machine.make_automaton()
+        for batch in batches:
+            at, found, length, times = [], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                if not text or not words:
+                    continue
+                counts: dict[int, int] = {}
+                after: dict[int, int] = {}
+                for end, (i, size) in machine.iter(text):
+                    if end - size + 1 >= after.get(i, 0):
+                        counts[i] = counts.get(i, 0) + 1
+                        after[i] = end + 1
+                at += [row] * len(counts)
+                length += [len(text)] * len(counts)
+                found += [words[i] for i in counts]
+                times += counts.values()
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string()), pa.array(length, pa.int32()), pa.array(times, pa.int32())], names=["doc_id", "term", "dl", "tf"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, term string, dl int, tf int")
+
+
 def top_k(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each group, with ``rank`` from 1; a partial limit runs before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
