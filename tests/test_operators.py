@@ -175,3 +175,47 @@ def test_nfkc(spark):
 def test_summary_due(spark):
     got = spark.createDataFrame([(15,), (16,), (32,)], "n long").select(dialog.summary_due(F.col("n"))).collect()
     assert [r[0] for r in got] == [False, True, True]
+
+
+def test_term_counts_match_str_count(spark):
+    texts = ["aaa aa b", "", None, "ab abab", "été été"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = ["a", "aa", "ab", "é", "zz"]
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in search.term_counts(docs, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(i, t): x.count(t) for i, x in enumerate(texts) if x for t in terms if t in x}
+
+
+def test_segments_cover_the_text():
+    from spindrift.operators.repair import segment_one
+
+    text = " ".join(["alpha beta gamma"] * 120) + " " + " ".join(["one two three"] * 120)
+    found = segment_one(text, 50, 25, 0.55, 500, 700)
+    assert len(found) > 2 and found[0][0] == 0
+    assert all(p + n == q for (p, n), (q, _) in zip(found, found[1:])) and sum(n for _, n in found) == len(text)
+    assert segment_one("short", 50, 25, 0.55, 500, 2000) == []
+
+
+def test_truncated_context_keeps_order(spark):
+    from spindrift.operators import learning
+
+    text = "first key\n\n" + "x" * 50 + "\n\nsecond key key\n\nthird"
+    df = spark.createDataFrame([(text, ["key"])], "c string, t array<string>")
+    got = df.select(learning.truncate_context(F.col("c"), F.col("t"), 40)).first()[0]
+    assert got.startswith("first key\n\nsecond key key") and "x" not in got.split("[")[0]
+
+
+def test_synonyms_replace_longest_first(spark):
+    from spindrift.operators import repair
+
+    text, n = repair.normalize_synonyms(F.lit("BST树 BST"), {"BST": "tree", "BST树": "TREE"})
+    assert spark.range(1).select(text, n).first()[:] == ("TREE tree", 2)
+
+
+def test_retry_takes_only_failed_queries(spark):
+    from spindrift.plans.retrieval_queries import retrieve_with_retry
+
+    rows = retrieve_with_retry(spark, "/root/testdata/sf0.001").collect()
+    attempts = {}
+    for r in rows:
+        attempts.setdefault(r["query_id"], set()).add(r["attempt"])
+    assert all(len(a) == 1 for a in attempts.values())
