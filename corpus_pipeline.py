@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import jaccard_join, language_id, packing, quality
-from spindrift.llm.common import Scratch
+from spindrift.llm.common import Scratch, small_batches
 from spindrift.llm.tokens import default_path
 
 #: A language is rejected below this share of its score; four equal ones have 0.25.
@@ -22,12 +22,14 @@ LEAST_LANGUAGE = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(os.path.join(sf_dir, "labels.parquet")), 5, 0)
     return quality.score(docs, model).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; all of them if no document names its language."""
+    small_batches(spark)
     model = language_id.train(docs, 3, 1)
     if model is None:
         return docs

@@ -13,12 +13,18 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Freed batches go back to the system at once; an idle Python worker then holds little.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _ROOTS: dict[str, list[str]] = {}
+#: Rows of an Arrow batch while whole texts pass through Python.
+BATCH_ROWS = "1000"
 #: Once a scratch table is whole, the shuffle files behind it are of no use; small batches keep long texts in bounds.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
 
 
 @contextmanager
@@ -34,6 +40,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to small Arrow batches, since a returned DataFrame runs later; a smaller setting of the caller stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session; one of our own only if none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,6 +62,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_root(spark)}/spindrift-{name}-{uuid.uuid4().hex[:12]}"
         _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.path)
         self._n = 0

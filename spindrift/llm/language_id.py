@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .samples import balanced, remainder
 
 GRAMS = 3
@@ -158,6 +159,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all ``documents``, learnt from those with remainder 0 or 2."""
+    small_batches(spark)
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     model = train(docs, 3, 1)
     wanted = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 CACHE_WORDS = 500_000
 PART = 1 << 20
@@ -271,6 +273,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all ``documents`` with a SentencePiece model and decode them again."""
+    small_batches(spark)
     from .tokens import default_path
 
     return round_trip(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), default_path("piece_bpe_32k.model"))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .samples import remainder
 
 DIM = 96
@@ -255,6 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op8_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all ``documents``, learnt from labels with remainders 1 to 4."""
+    small_batches(spark)
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     model = train(docs, spark.read.parquet(os.path.join(sf_dir, "labels.parquet")), 5, 0)
     wanted = docs.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
