@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,6 +241,14 @@ def minhash_candidates(docs: DataFrame, perms: int = 128, bands: int = 16) -> Da
     return pairs.select("a", "b", F.round(same / perms, 6).alias("estimate"))
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage, in the folder that the session names; one of our own only if none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
+    return df.checkpoint()
+
+
 def greedy_keep(pairs: DataFrame) -> DataFrame:
     """Documents that greedy dedup removes: removed, kept.
 
@@ -252,7 +262,7 @@ def greedy_keep(pairs: DataFrame) -> DataFrame:
     while True:
         near = edges.join(state.withColumnRenamed("d", "a"), "a").groupBy(F.col("b").alias("d")).agg(F.bool_or(F.coalesce("keep", F.lit(False))).alias("hit"), F.bool_or(F.col("keep").isNull()).alias("open"))
         state = state.join(near, "d", "left").select("d", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("keep"))
-        state = state.checkpoint()
+        state = _checkpointed(state)
         if state.filter("keep is null").isEmpty():
             break
     gone = edges.join(state.filter("keep").withColumnRenamed("d", "a"), "a").groupBy(F.col("b").alias("removed")).agg(F.min("a").alias("kept"))

@@ -74,7 +74,6 @@ def test_exact_dedup_is_idempotent(spark):
 
 
 def test_greedy_keep_follows_order(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert {r["removed"]: r["kept"] for r in corpus.greedy_keep(pairs).collect()} == {2: 1, 4: 3}
 
