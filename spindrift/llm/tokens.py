@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that the cache of a Python worker holds; later ones are encoded each time.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 #: Characters of a text that are split into words at a time.
 SLICE_CHARS = 1 << 20
 
@@ -54,6 +54,35 @@ _LETTERS, _DIGITS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\x
 LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
 
 
+class _Pieces(dict):
+    """Ids of lower-cased pieces that the word pattern found; new ones come straight from the BPE model.
+
+    Once half full, only pieces that were met before are kept, so that words
+    that occur once don't fill the bound.
+    """
+
+    def __init__(self, bpe, code: str, bound: int):
+        super().__init__()
+        self._bpe, self._code, self._bound = bpe, code, bound
+        self._met: set[int] = set()
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = array(self._code, [t.id for t in self._bpe(shown)]).tobytes()
+        n = len(self)
+        if n < self._bound // 2:
+            self[piece] = ids
+        elif n < self._bound:
+            h = hash(piece) & 0xFFFFFF
+            if h in self._met:
+                self[piece] = ids
+            else:
+                if len(self._met) > 200_000:
+                    self._met.clear()
+                self._met.add(h)
+        return ids
+
+
 class Encoder:
     """Encodes texts to ids packed as little-endian unsigned integers of ``width`` bytes."""
 
@@ -70,7 +99,7 @@ class Encoder:
         self._code = "H" if self.width == 2 else "I"
         self._cache: dict[str, bytes] = {"": b""}
         self._cache_words = cache_words
-        self._bpe = self._tok.model.tokenize
+        self._pieces = _Pieces(self._tok.model.tokenize, self._code, cache_words)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         mark = self._tok.encode(MARK, add_special_tokens=False).ids if self._by_word else []
         self._mark = mark[0] if len(mark) == 1 else None
@@ -93,22 +122,6 @@ class Encoder:
                 at = end + 1
         return out
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        """Ids of lower-cased pieces that the word pattern found, straight from the BPE model if they are new."""
-        cache = self._cache
-        new = set(pieces).difference(cache)
-        if not new:
-            return b"".join(map(cache.__getitem__, pieces))
-        code, bpe = self._code, self._bpe
-        known = {}
-        for p in new:
-            shown = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(BYTE_LETTERS)
-            known[p] = array(code, [t.id for t in bpe(shown)]).tobytes()
-        if len(cache) < self._cache_words:
-            cache.update(known)
-            return b"".join(map(cache.__getitem__, pieces))
-        return b"".join([cache[p] if p in cache else known[p] for p in pieces])
-
     def _words(self, words: list[str]) -> bytes:
         """Ids of words between blanks, by the whole tokenizer if they are new."""
         cache = self._cache
@@ -125,7 +138,7 @@ class Encoder:
             return self._words(text.replace("\n", " ").split(" "))
         if not self._latin or any(t in text for t in self._special):
             return self._words(text.replace("\n", " ").split(" "))
-        return self._pieces(LATIN_PIECES(text.lower()))
+        return b"".join(map(self._pieces.__getitem__, LATIN_PIECES(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """The packed ids of one whole text; nothing for null."""
