@@ -241,6 +241,151 @@ def minhash_candidates(docs: DataFrame, perms: int = 128, bands: int = 16) -> Da
     return pairs.select("a", "b", F.round(same / perms, 6).alias("estimate"))
 
 
+def _gram_codes(text: str):
+    """The distinct three-character grams of a squeezed text as sorted 64-bit codes; no two grams share a code."""
+    import numpy as np
+
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    if not len(c):
+        return c
+    if len(c) < 3:  # a shorter text is its own; the top bit and its length keep it apart
+        g = np.array([1 << 63 | len(c) << 48 | int(c[0]) << 21 * (len(c) - 1) | (int(c[1]) if len(c) > 1 else 0)], np.uint64)
+    else:
+        g = c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+    return np.unique(_mix(g))
+
+
+def _mix(x):
+    """Spread 64-bit codes evenly; one to one."""
+    import numpy as np
+
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(30))
+
+
+def _per_text(docs: DataFrame, fields: str, types: list, row) -> DataFrame:
+    """doc_id and ``row`` of each squeezed text that isn't empty; null and empty texts give no row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):  # keeps what is sent back at once small
+                part = batch.slice(a, 500)
+                found = [row(t) for t in part.column(1).to_pylist()]
+                columns = list(zip(*found)) if found else [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *(f.split()[0] for f in fields.split(", "))])
+
+    squeezed = docs.select("doc_id", F.regexp_replace(F.trim("text"), "\\s+", " ").alias("t")).filter("t <> ''")
+    return squeezed.mapInArrow(run, f"doc_id {kind}, {fields}")
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n: distinct three-character grams of every document in time linear in its length; 0 for an empty text, -1 for a null, as ``size`` gives."""
+    import pyarrow as pa
+
+    counted = _per_text(docs, "n long", [pa.int64()], lambda t: (len(_gram_codes(t)),))
+    rest = docs.select("doc_id", F.regexp_replace(F.trim("text"), "\\s+", " ").alias("t")).filter("t is null or t = ''")
+    return counted.unionByName(rest.select("doc_id", F.when(F.col("t").isNull(), -1).otherwise(0).cast("long").alias("n")))
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The pairs of ``ngram_pairs`` with three-character grams, for whole tables: a < b, similarity (6 digits).
+
+    There are too few different trigrams for a prefix filter on large tables,
+    so sets are dealt into buckets by gram: two sets that reach the threshold
+    differ in at most d grams, and of d + 1 buckets one holds the same grams in
+    both. d follows from the size class; sizes of a pair lie in one class or
+    in neighbouring ones, so each set is signed for its class and the next.
+    No pair is missed. Documents with equal sets are one class until the end.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    share = (1 - threshold) / (1 + threshold)
+    bounds = [1]
+    while bounds[-1] < 1 << 31:
+        bounds.append(max(bounds[-1] + 1, int(np.ceil(bounds[-1] / threshold - 1e-9))))
+
+    def signed(g, level):
+        if level + 1 >= len(bounds):
+            return []
+        n = int(share * 2 * (bounds[level + 1] - 1) + 1e-6) + 1
+        bucket = (g >> np.uint64(20)) % np.uint64(n)
+        sums = np.zeros(n, np.uint64)
+        np.add.at(sums, bucket.astype(np.int64), g)
+        return _mix(sums ^ _mix(np.arange(n, dtype=np.uint64) << np.uint64(16) | np.uint64(level + 1))).view(np.int64)
+
+    def sign(t):
+        import hashlib
+
+        g = _gram_codes(t)
+        level = int(np.searchsorted(bounds, len(g), "right")) - 1
+        return hashlib.blake2b(g.tobytes(), digest_size=16).digest(), signed(g, level), signed(g, level + 1)
+
+    longs = pa.list_(pa.int64())
+    rows = _checkpointed(_per_text(docs, "digest binary, own array<bigint>, up array<bigint>", [pa.binary(), longs, longs], sign))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("d"), F.min_by(F.struct("own", "up"), "doc_id").alias("s"))
+    own = first.select("d", F.explode("s.own").alias("sig"), F.lit(False).alias("up"))
+    every = own.unionByName(first.select("d", F.explode("s.up").alias("sig"), F.lit(True).alias("up")))
+    met = every.withColumnRenamed("d", "a").join(own.select(F.col("d").alias("b"), "sig"), "sig").filter("up or a < b")
+    pairs = _checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = docs.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
+    sets = _per_text(wanted, "g binary", [pa.binary()], lambda t: (_gram_codes(t).tobytes(),))
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "g": "ga"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "g": "gb"}), "b")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def verify(batches):
+        for batch in batches:
+            similar = []
+            for x, y in zip(batch.column("ga"), batch.column("gb")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                similar.append(same / (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "s"])
+
+    near = both.mapInArrow(verify, f"a {kind}, b {kind}, s double").filter(F.col("s") >= threshold)
+    members = rows.select("digest", "doc_id").join(first.select("digest", "d"), "digest").select("d", "doc_id")
+    left, right = members.withColumnsRenamed({"d": "a", "doc_id": "x"}), members.withColumnsRenamed({"d": "b", "doc_id": "y"})
+    across = near.join(left, "a").join(right, "b").select("x", "y", "s")
+    within = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y", F.lit(1.0).alias("s"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("s", 6).alias("similarity"))
+
+
+def minhash_pairs(docs: DataFrame, perms: int = 128, bands: int = 8) -> DataFrame:
+    """``minhash_candidates`` for whole tables: a < b, estimate. A pair is made only in the first band in which it agrees."""
+    import numpy as np
+    import pyarrow as pa
+
+    seeds = _mix(np.arange(1, perms + 1, dtype=np.uint64)) | np.uint64(1)
+    rows = perms // bands
+
+    def sign(t):
+        g = _gram_codes(t)
+        s = np.full(perms, np.iinfo(np.uint64).max, np.uint64)
+        for a in range(0, len(g), 4096):
+            s = np.minimum(s, _mix(g[a : a + 4096, None] * seeds).min(axis=0))
+        s = (s >> np.uint64(32)).astype(np.uint32)
+        return s.view(np.int32), [int.from_bytes(_band(s[b * rows : (b + 1) * rows]), "little", signed=True) for b in range(bands)]
+
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    signed = _checkpointed(_per_text(docs, "s array<int>, h array<bigint>", [ints, longs], sign))
+    banded = signed.select("doc_id", "s", "h", F.posexplode("h").alias("band", "v"))
+    a, b = (banded.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.col("h").alias(f"h{x}"), "band", "v") for x in "ab")
+    agree = F.array_position(F.zip_with("ha", "hb", lambda x, y: x == y), True) == F.col("band") + 1
+    pairs = a.join(b, ["band", "v"]).filter("a < b").filter(agree)
+    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
+    return pairs.select("a", "b", F.round(same / perms, 6).alias("estimate"))
+
+
+def _band(values) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(values.tobytes(), digest_size=8).digest()
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage, in the folder that the session names; one of our own only if none is set."""
     sc = df.sparkSession.sparkContext

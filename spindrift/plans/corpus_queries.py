@@ -166,6 +166,23 @@ def shingle_counts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.size(T.char_ngrams(F.col("text"), 3)).cast("long").alias("n"))
 
 
+@query()
+def near_dup_jaccard_documents(spark, sf_dir):
+    """All near copies among ``documents``, with the reference's threshold of 0.9."""
+    return corpus.near_pairs(_docs(spark, sf_dir), 0.9)
+
+
+@query()
+def minhash_candidates_documents(spark, sf_dir):
+    """128 permutations as in the reference, in 8 bands for its threshold of 0.9."""
+    return corpus.minhash_pairs(_docs(spark, sf_dir), 128, 8)
+
+
+@query()
+def shingle_counts_documents(spark, sf_dir):
+    return corpus.gram_counts(_docs(spark, sf_dir))
+
+
 KINDS = "(1, '```\\ncode\\n```', '', '', ''), (2, '|a|b|\\n|-|-|\\n|1|2|', '', '', ''), (3, '## head\\nx', '', '', ''), (4, '- item', '', '', ''), (5, 'plain', '习题', '', '.md'), (6, 'plain', '答案', '', '.md'), (7, 'import os', '', '', ''), (8, 'plain words', '', '', ''), (9, 'q', '', 'merged_qa', ''), (10, ' ', '', '', ''), (11, '$$x$$', '', '', '')"
 
 
