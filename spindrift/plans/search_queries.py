@@ -92,6 +92,44 @@ def semantic_cache_lookup(spark, sf_dir):
     return search.semantic_cache_lookup(entries, probes)
 
 
+@query("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q, v WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def vector_topk_all(spark, sf_dir):
+    """Every hundredth vector as a query, so the batch grows with the table."""
+    v = table(spark, sf_dir, "embeddings")
+    return search.vector_top_k(v.select("vec_id", "embedding"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", "similarity", "rank")
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v USING (label) WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+""")
+def vector_topk_filtered_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return search.vector_top_k(v.select("vec_id", "label", "embedding"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding"), 3, same="label").select("query_id", "vec_id", "similarity", "rank")
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, vec_id * 7 % 3600 AS stored_at, 1800 + vec_id // 100 * 11 % 1800 AS asked_at FROM embeddings), s AS (
+  SELECT p.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(p.e, v.e), 6) AS similarity
+  FROM v p JOIN v ON p.label = v.label AND v.stored_at <= p.asked_at AND p.asked_at - v.stored_at <= 1800 WHERE p.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, similarity, similarity >= 0.88 AS hit FROM r WHERE rank = 1
+""")
+def semantic_cache_lookup_all(spark, sf_dir):
+    """All vectors as entries; times repeat over the ids, so live entries come from the whole table."""
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "collection")
+    entries = v.select("vec_id", "collection", "embedding", (F.col("vec_id") * 7 % 3600).alias("stored_at"))
+    probes = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "collection", "embedding", (F.expr("vec_id div 100") * 11 % 1800 + 1800).alias("asked_at"))
+    return search.semantic_cache_lookup(entries, probes)
+
+
 #: Four routes over the documents as ranked lists: query = lang, key = first doc_id of equal texts.
 ROUTES_SQL = """
 routes AS (

@@ -47,3 +47,22 @@ def test_near_copies_of_documents_are_found(spark):
     assert len(found) == len(set(found)) and {p for p, s in expected.items() if s == 1} <= set(found)
     counts = {r["doc_id"]: r["n"] for r in catalogue.queries()["shingle_counts_documents"](spark, SF).collect()}
     assert counts == {i: len(grams(t)) for i, t in docs}
+
+
+def test_searches_grow_with_the_table(spark, tmp_path):
+    found = catalogue.queries()
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    ids = [r[0] for r in v.filter("vec_id % 100 = 0").select("vec_id").collect()]
+    assert len(ids) == 5
+    for name in ("vector_topk_all", "vector_topk_filtered_all", "semantic_cache_lookup_all"):
+        assert {r["query_id"] for r in found[name](spark, SF).collect()} == set(ids)
+    # a late copy of query 0 is found by all three; the cache needs a time at which it is live
+    late = 360_007
+    v.unionByName(v.filter("vec_id = 0").withColumn("vec_id", F.lit(late).cast("long"))).filter(f"vec_id in (0, 1, 2, {late})").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("vector_topk_all", "vector_topk_filtered_all"):
+        assert (late, 1.0) in {(r["vec_id"], r["similarity"]) for r in found[name](spark, str(tmp_path)).collect()}
+    entries = spark.read.parquet(str(tmp_path / "embeddings.parquet")).filter("vec_id > 0").unionByName(v.filter("vec_id = 0").withColumn("label", F.lit(-1)))
+    entries = entries.unionByName(v.filter("vec_id = 0").withColumn("vec_id", F.lit(100).cast("long")))
+    entries.write.parquet(str(tmp_path / "cache" / "embeddings.parquet"))
+    hits = {r["query_id"]: (r["vec_id"], r["hit"]) for r in found["semantic_cache_lookup_all"](spark, str(tmp_path / "cache")).collect()}
+    assert hits[100] in {(100, True), (late, True)}
