@@ -68,6 +68,39 @@ def kg_subgraph_edges(spark, sf_dir):
     return graph.subgraph(_edges(spark, sf_dir), _starts(spark), depth=1)[1]
 
 
+def _all_edges(spark, sf_dir):
+    """Edges of every order between the real part keys."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).filter("a is not null and b is not null")
+    return l.select(F.concat(F.lit("p"), "a").alias("source"), F.concat(F.lit("p"), "b").alias("target")).distinct()
+
+
+@query()
+def kg_successors_all(spark, sf_dir):
+    return graph.neighbours(_all_edges(spark, sf_dir), _starts(spark), 2)
+
+
+@query()
+def kg_prerequisites_all(spark, sf_dir):
+    return graph.neighbours(_all_edges(spark, sf_dir), _starts(spark), 3, reverse=True)
+
+
+@query()
+def kg_paths_all(spark, sf_dir):
+    found = graph.paths(_all_edges(spark, sf_dir), _starts(spark).withColumnRenamed("start", "target"), 3)
+    return found.select("target", F.array_join("path", " ").alias("path"), "length", "rank")
+
+
+@query()
+def kg_subgraph_nodes_all(spark, sf_dir):
+    return graph.subgraph(_all_edges(spark, sf_dir), _starts(spark))[0]
+
+
+@query()
+def kg_subgraph_edges_all(spark, sf_dir):
+    return graph.subgraph(_all_edges(spark, sf_dir), _starts(spark), depth=1)[1]
+
+
 @query("SELECT * FROM (VALUES ('死锁', '死锁', 0, 1.0::DOUBLE), ('BST', '二叉搜索树', 1, 0.9::DOUBLE), ('链表', '双链表', 2, 0.666667::DOUBLE), ('链表', '循环链表', 2, 0.5::DOUBLE)) t(topic, name, tier, score)")
 def kg_resolve(spark, sf_dir):
     nodes = inline(spark, "('死锁'), ('死锁预防'), ('二叉搜索树'), ('双链表'), ('循环链表'), ('一种特别长的链表结构名称')", "name")

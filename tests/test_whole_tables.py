@@ -66,3 +66,44 @@ def test_searches_grow_with_the_table(spark, tmp_path):
     entries.write.parquet(str(tmp_path / "cache" / "embeddings.parquet"))
     hits = {r["query_id"]: (r["vec_id"], r["hit"]) for r in found["semantic_cache_lookup_all"](spark, str(tmp_path / "cache")).collect()}
     assert hits[100] in {(100, True), (late, True)}
+
+
+def test_graph_holds_every_order(spark):
+    from itertools import groupby
+
+    edges = set()
+    rows = sorted((r["l_orderkey"], r["l_linenumber"], r["l_partkey"]) for r in rows_of("lineitem"))
+    for _, order in groupby(rows, lambda r: r[0]):
+        keys = [f"p{r[2]}" for r in order]
+        edges |= set(zip(keys, keys[1:]))
+    down, up = {}, {}
+    for s, t in edges:
+        down.setdefault(s, set()).add(t)
+        up.setdefault(t, set()).add(s)
+
+    def reach(start, step, depth):
+        hops, front = {}, {start}
+        for n in range(1, depth + 1):
+            front = {t for s in front for t in step.get(s, ())} - set(hops)
+            hops |= dict.fromkeys(front, n)
+        return hops
+
+    starts, found = ["p1", "p7", "p30"], catalogue.queries()
+    collect = lambda name, *c: sorted(tuple(r[x] for x in c) for r in found[name](spark, SF).collect())
+    both = {x: down.get(x, set()) | up.get(x, set()) for x in {*down, *up}}
+    assert collect("kg_successors_all", "start", "name", "hops") == sorted((s, t, n) for s in starts for t, n in reach(s, down, 2).items())
+    assert collect("kg_prerequisites_all", "start", "name", "hops") == sorted((s, t, n) for s in starts for t, n in reach(s, up, 3).items())
+    nodes, inner, paths = [], [], []
+    for s in starts:
+        near = sorted(({*reach(s, down, 2), *reach(s, up, 2)}) - {s})[:30]
+        nodes += [(s, x, i) for i, x in enumerate(near, 1)]
+        around = {s, *reach(s, both, 1)}
+        inner += [(s, *e, i) for i, e in enumerate(sorted(e for e in edges if around >= set(e))[:40], 1)]
+        every, front = [], [((s,), frozenset())]
+        for n in range(1, 4):
+            front = [((x, *p), u | {(x, p[0])}) for p, u in front for x in up.get(p[0], ()) if (x, p[0]) not in u]
+            every += [(n, "\u0001".join(p)) for p, _ in front]
+        paths += [(s, p.replace("\u0001", " "), n, i) for i, (n, p) in enumerate(sorted(every)[:3], 1)]
+    assert collect("kg_subgraph_nodes_all", "start", "name", "rank") == sorted(nodes)
+    assert collect("kg_subgraph_edges_all", "start", "source", "target", "rank") == sorted(inner)
+    assert collect("kg_paths_all", "target", "path", "length", "rank") == sorted(paths)
