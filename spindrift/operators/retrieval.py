@@ -64,12 +64,13 @@ def route_hits(queries: DataFrame, chunks: DataFrame, options: Options) -> DataF
     """Ranked hits of every route: query_id, route, key, rank, score.
 
     ``queries`` (query_id, terms, embedding), ``chunks`` (chunk_id, text,
-    embedding, section, content_type).
+    embedding, section, content_type). Queries and chunks without an embedding
+    take part in the lexical routes only.
     """
     parts = []
     k = options.coarse_k
     if "semantic" in options.routes:
-        hits = search.vector_top_k(chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), queries.select("query_id", "embedding"), k)
+        hits = search.vector_top_k(chunks.filter("embedding is not null").select(F.col("chunk_id").alias("vec_id"), "embedding"), queries.select("query_id", "embedding"), k)
         parts.append(hits.select("query_id", F.lit("semantic").alias("route"), F.col("vec_id").alias("key"), "rank", F.col("similarity").alias("score")))
     docs = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
     for route in ("keyword_bm25", "section_meta"):

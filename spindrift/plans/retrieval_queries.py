@@ -10,17 +10,17 @@ from .routing_queries import _questions
 
 
 def _corpus(spark, sf_dir):
-    """Documents as chunks: section = source, places in the section, embedding by id."""
+    """All documents as chunks: section = source, places in the section, embedding by id; null without a vector."""
     from .search_queries import _chunks
 
     v = table(spark, sf_dir, "embeddings")
     c = _chunks(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").withColumn("content_type", F.when(F.col("chunk_id") % 4 == 0, "section").otherwise("text"))
-    return c.join(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    return c.join(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
 
 
 def _batch(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), search.query_terms(F.col("text")).alias("terms"))
-    return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 
 @query()

@@ -107,3 +107,31 @@ def test_graph_holds_every_order(spark):
     assert collect("kg_subgraph_nodes_all", "start", "name", "rank") == sorted(nodes)
     assert collect("kg_subgraph_edges_all", "start", "source", "target", "rank") == sorted(inner)
     assert collect("kg_paths_all", "target", "path", "length", "rank") == sorted(paths)
+
+
+def test_documents_without_vector_are_retrieved(spark, tmp_path):
+    from spindrift.operators import search
+    from spindrift.plans import retrieval_queries as r
+
+    word = "Zyxwvutsrq"
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    lone = 900_000
+    extra = d.filter("doc_id = 0").withColumns({"doc_id": F.lit(lone + 4).cast("long"), "text": F.lit(f"{word} {word}"), "source": F.lit("lone")})
+    before = extra.withColumns({"doc_id": F.lit(lone).cast("long"), "text": F.lit("A neighbour.")})
+    d.unionByName(extra).unionByName(before).write.parquet(str(tmp_path / "documents.parquet"))
+    b = spark.read.parquet(f"{SF}/benchmark.parquet")
+    b.filter("item_id <> 1").unionByName(b.filter("item_id = 1").withColumn("text", F.lit(word))).write.parquet(str(tmp_path / "benchmark.parquet"))
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 100")
+    v.write.parquet(str(tmp_path / "embeddings.parquet"))
+    sf, found = str(tmp_path), catalogue.queries()
+    rows = found["retrieve_documents"](spark, sf).collect()
+    assert lone + 4 in {x["chunk_id"] for x in rows if x["query_id"] == 1}
+    near = {x["chunk_id"]: x["expanded"] for x in found["retrieve_expanded"](spark, sf).collect() if x["query_id"] == 1}
+    assert near[lone + 4] is False and near[lone] is True
+    assert r._corpus(spark, sf).count() == d.count() + 2
+    hits = r.retrieval.route_hits(r._batch(spark, sf), r._corpus(spark, sf), r.retrieval.Options())
+    got = {(x["query_id"], x["key"], x["rank"]) for x in hits.filter("route = 'keyword_bm25'").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = search.bm25(docs, r._batch(spark, sf), r.retrieval.Options().coarse_k)
+    assert got == {(x["query_id"], x["doc_id"], x["rank"]) for x in whole.collect()}
+    assert hits.filter("route = 'semantic' and key >= 100").isEmpty()
