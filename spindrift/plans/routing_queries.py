@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fusion, routing, verify
+from . import registry
 from .registry import inline, query, table
 
 QUESTIONS = "(1, '栈和队列的区别', 'a'), (2, '什么是死锁', ''), (3, '用代码实现快速排序 quicksort 的步骤和流程总结以及注意事项清单要点', 'quicksort'), (4, '怎么学操作系统', ''), (5, '给我出几道选择题', ''), (6, '批改我的答案', ''), (7, 'TCP', 'TCP'), (8, '进程与线程、协程的关系', '')"
@@ -109,8 +110,8 @@ o AS (SELECT *, (c1 * 0.2 + c2 * 0.2 + c3 * 0.1 + c4 * 0.15 + c5 * 0.05 + 0.5 *
 v AS (SELECT *, CASE WHEN NOT (ok2 AND ok7) THEN 'hard_fail' WHEN overall >= 0.6 THEN 'pass' WHEN overall >= 0.35 THEN 'soft_fail' ELSE 'hard_fail' END AS verdict FROM o)"""
 
 
-def _summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 9 < 3")
+def _summary(spark, sf_dir, only="doc_id % 9 < 3"):
+    d = table(spark, sf_dir, "documents").filter(only)
     e = d.select(F.col("source").alias("query_id"), F.col("lang").alias("source"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, (F.col("n_chars") % 100) / 100.0).otherwise(0.0).alias("rerank_score"), ((F.col("n_chars") % 50) / 500.0).alias("recall_score"), F.lit(0.0).alias("score"))
     return verify.summarize(e).withColumns({"n_kg": F.lit(0), "kg_confidence": F.lit(0.0), "context_length": F.col("total_length")})
 
@@ -127,3 +128,17 @@ WITH {SUMMARY_SQL} SELECT query_id, concat_ws(',', CASE WHEN NOT ok2 THEN 'score
 """)
 def retry_hints(spark, sf_dir):
     return verify.verify(_summary(spark, sf_dir)).drop("overall", "verdict")
+
+
+#: The same over all documents.
+SUMMARY_ALL_SQL = SUMMARY_SQL.replace(" WHERE doc_id % 9 < 3", "")
+
+
+@query(f"WITH {SUMMARY_ALL_SQL} SELECT query_id, round(overall, 6) AS overall, verdict FROM v")
+def evidence_verdict_all(spark, sf_dir):
+    return verify.verify(_summary(spark, sf_dir, "true")).select("query_id", "overall", "verdict")
+
+
+@query(registry.ORACLES["retry_hints"].replace(SUMMARY_SQL, SUMMARY_ALL_SQL))
+def retry_hints_all(spark, sf_dir):
+    return verify.verify(_summary(spark, sf_dir, "true")).drop("overall", "verdict")

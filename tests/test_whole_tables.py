@@ -135,3 +135,20 @@ def test_documents_without_vector_are_retrieved(spark, tmp_path):
     whole = search.bm25(docs, r._batch(spark, sf), r.retrieval.Options().coarse_k)
     assert got == {(x["query_id"], x["doc_id"], x["rank"]) for x in whole.collect()}
     assert hits.filter("route = 'semantic' and key >= 100").isEmpty()
+
+
+def test_no_row_subset_is_left(spark):
+    found = catalogue.queries()
+    sources = {r["source"] for r in rows_of("documents")}
+    assert {r["query_id"] for r in found["evidence_verdict_all"](spark, SF).collect()} == sources
+    from spindrift.plans import routing_queries, tracing_queries
+
+    assert routing_queries._summary(spark, SF, "true").agg(F.sum("n")).first()[0] == len(rows_of("documents"))
+    users = {r["user_id"] for r in tracing_queries._effective(spark, SF).select("user_id").distinct().collect()}
+    assert {r["user_id"] for r in found["category_detail_all"](spark, SF).collect()} == users
+    own = {}
+    for r in rows_of("documents"):
+        key = f"r{r['doc_id'] % 5}", r["source"]
+        own[key] = own.get(key, 0) + 1 / (20 + r["n_chars"] % 30)
+    got = {r["route"]: r["mean_delta"] for r in found["route_ablation_all"](spark, SF).collect()}
+    assert got == {f"r{k}": pytest.approx(-sum(own.get((f"r{k}", s), 0) for s in sources) / len(sources), abs=2e-6) for k in range(5)}
