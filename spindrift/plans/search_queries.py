@@ -248,6 +248,27 @@ def parent_window(spark, sf_dir):
     return fusion.parent_window(hits.select("query_id", "rank", F.col("section").alias("parent_id"), "n_chars"), parents)
 
 
+#: Parents are this many consecutive chunks of a source.
+PARENT_CHUNKS = 3
+
+
+@query(f"""
+WITH {CHUNKS_SQL}, p AS (SELECT section || ':' || (chunk_index // {PARENT_CHUNKS}) AS parent_id, string_agg(text, '' ORDER BY chunk_index) AS text FROM chunks GROUP BY 1),
+h AS (SELECT query_id, h.section || ':' || (h.chunk_index // {PARENT_CHUNKS}) AS parent_id, h.chunk_index, rank, length(c.text) AS n_chars FROM hits h JOIN chunks c ON h.section = c.section AND h.chunk_index = c.chunk_index WHERE rank <= 10),
+f AS (SELECT query_id, parent_id, rank, n_chars, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM h),
+l AS (SELECT query_id, f.parent_id, rank, CAST(floor(length(p.text) * 0.25) AS BIGINT) AS tokens FROM f JOIN p USING (parent_id) WHERE n = 1 AND length(p.text) > n_chars + 40),
+u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l)
+SELECT query_id, parent_id, CAST(rank AS INTEGER) AS rank, tokens, used FROM u WHERE used <= 12000
+""")
+def parent_window_all(spark, sf_dir):
+    """Every source is cut into consecutive parents, and a hit takes the one that holds it."""
+    chunks = _chunks(spark, sf_dir).withColumn("parent_id", F.concat_ws(":", "section", F.expr(f"chunk_index div {PARENT_CHUNKS}")))
+    hits = _hits(chunks).join(chunks.select("section", "chunk_index", "parent_id", F.length("text").alias("n_chars")), ["section", "chunk_index"]).select("query_id", "rank", "parent_id", "n_chars")
+    wanted = chunks.join(hits.select("parent_id").distinct(), "parent_id", "left_semi")
+    parents = wanted.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c")).select("parent_id", F.expr("array_join(transform(c, x -> x.text), '')").alias("text"))
+    return fusion.parent_window(hits, parents)
+
+
 @query(f"""
 WITH {TERMS_SQL}, w AS (
   SELECT t.query_id, d.doc_id, list_distinct(list_transform(list_filter(t.terms, lambda x: length(x) >= 2), lambda x: lower(x))) AS l, lower(d.text) AS text, d.doc_id % 2 = 0 AS expanded, t.query_id % 5 = 0 AS is_comparison

@@ -152,3 +152,31 @@ def test_no_row_subset_is_left(spark):
         own[key] = own.get(key, 0) + 1 / (20 + r["n_chars"] % 30)
     got = {r["route"]: r["mean_delta"] for r in found["route_ablation_all"](spark, SF).collect()}
     assert got == {f"r{k}": pytest.approx(-sum(own.get((f"r{k}", s), 0) for s in sources) / len(sources), abs=2e-6) for k in range(5)}
+
+
+def test_parents_hold_their_hits(spark):
+    from spindrift.plans import search_queries as s
+
+    chunks = sorted((((x["section"], x["chunk_index"]), x.asDict()) for x in s._chunks(spark, SF).collect()), key=lambda c: c[0])
+    parents, texts = {}, {}
+    for (section, i), r in chunks:
+        parents.setdefault(f"{section}:{i // 3}", []).append(r["text"])
+        texts[section, i] = r["text"]
+    expected = set()
+    by_query = {}
+    for h in s._hits(s._chunks(spark, SF)).collect():
+        by_query.setdefault(h["query_id"], []).append((h["rank"], h["section"], h["chunk_index"]))
+    assert any(i >= 3 for hits in by_query.values() for _, _, i in hits)
+    for query, hits in by_query.items():
+        seen, used = set(), 0
+        for rank, section, i in sorted(hits):
+            parent = f"{section}:{i // 3}"
+            text = "".join(parents[parent])
+            assert texts[section, i] in text
+            if parent not in seen and len(text) > len(texts[section, i]) + 40:
+                used += len(text) // 4
+                if used <= 12000:
+                    expected.add((query, parent, rank, len(text) // 4, used))
+            seen.add(parent)
+    got = {(r["query_id"], r["parent_id"], r["rank"], r["tokens"], r["used"]) for r in catalogue.queries()["parent_window_all"](spark, SF).collect()}
+    assert expected and got == expected
