@@ -6,9 +6,10 @@ the corpus. A filling of a sequence (a pattern) is chosen once and applied as
 often as the counts allow. Documents then find their place on the executors:
 the n-th piece of a length goes to the n-th slot of that length.
 
-The solver is bin completion: around the largest remaining piece it
-enumerates fillings that no other filling dominates, least waste first, and
-backs out of a branch once its waste exceeds what a better packing may waste.
+The solver is bin completion: around the largest remaining piece it tries
+fillings with up to three more pieces, at most 24, and the tightest with any
+number, least waste first, and backs out of a branch once its waste exceeds
+what a better packing may waste.
 Best-fit decreasing gives the first incumbent, and a packing that meets the
 bound of total length / capacity ends the search. ``NODES`` bounds the search,
 not the documents: every piece is placed in any case.
@@ -62,10 +63,31 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(n, items) for groups in rooms.values() for n, items in groups]
 
 
+def tightest(counts: np.ndarray, present: np.ndarray, room: int) -> tuple[int, list[int]]:
+    """The least waste of ``room`` with any number of pieces, and their sizes: subset sums as the bits of an integer."""
+    items, reach, mask = [], [1], (2 << room) - 1
+    for size in present[::-1].tolist():
+        left, step = min(int(counts[size]), room // size), 1
+        while left and not reach[-1] >> room:
+            n = min(step, left)
+            left, step = left - n, 2 * step
+            items.append((size, n))
+            reach.append((reach[-1] | reach[-1] << size * n) & mask)
+    at, sizes = reach[-1].bit_length() - 1, []
+    waste = room - at
+    for (size, n), before in zip(reversed(items), reversed(reach[:-1])):
+        if not before >> at & 1:
+            sizes = [size] * n + sizes
+            at -= size * n
+    return waste, sizes
+
+
 def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of ``room`` with up to three pieces: (waste, sizes), least waste first.
+    """Fillings of ``room``: (waste, sizes), least waste first.
 
-    A filling is dominated if one with fewer, larger pieces wastes no more.
+    Up to ``width`` with up to three pieces, undominated among them (a filling
+    is dominated if one with fewer, larger pieces wastes no more), and one with
+    any number of pieces that wastes least if these leave more.
     """
     limit = min(room, len(counts) - 1)
     present = np.flatnonzero(counts[: limit + 1])
@@ -99,6 +121,8 @@ def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int,
     if least:
         for one in present[::-1][:width].tolist():
             found += [(w, [one, *two]) for w, two in pairs(room - one, one, one)[:2] if w < least] if room > one else []
+    if min(w for w, _ in found):
+        found.append(tightest(counts, present, room))
     best: dict[int, list[int]] = {}
     for waste, sizes in found:
         if waste not in best or len(sizes) < len(best[waste]):

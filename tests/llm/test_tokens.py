@@ -172,3 +172,25 @@ def test_sequences_join_their_pieces(spark):
     placed = packing.place(packing.cut(documents(spark), PATH, 1, 64, keep_ids=True), 64, Scratch(spark, "t"))
     total = sum(len(bytes(r["ids"])) // 4 for r in packing.sequences(placed).collect())
     assert total == sum(r["length"] for r in placed.select("length").collect())
+
+
+def test_fillings_take_any_number_of_pieces():
+    import numpy as np
+
+    from spindrift.llm import packing
+
+    counts = np.zeros(101, np.int64)
+    counts[[20, 11, 3]] = 3, 1, 3
+    waste, sizes = packing.fillings(counts, 80)[0]
+    assert (waste, sorted(sizes)) == (0, [3, 3, 3, 11, 20, 20, 20])
+    rng = np.random.default_rng(1)
+    rng.integers(5, 25, 60)
+    sizes = rng.integers(300, 1024, 400)  # too short for three more pieces to fill a sequence
+    counts = np.bincount(sizes, minlength=4097)
+    patterns, used = packing.solve(counts, 4096), np.zeros(4097, np.int64)
+    for n, items in patterns:
+        assert sum(s * c for s, c in items) <= 4096
+        for s, c in items:
+            used[s] += n * c
+    assert (used == counts).all()
+    assert sum(n for n, _ in patterns) == -(-sizes.sum() // 4096) < sum(n for n, _ in packing.best_fit(counts, 4096))
