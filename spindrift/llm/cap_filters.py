@@ -4,19 +4,21 @@ Filter directions are the products of a random code: a vector is rotated and
 split into three parts, each part has ``k`` random unit codewords, and the
 ``k**3`` combinations are the directions. List decoding finds all directions
 whose inner product with a vector exceeds a height, without trying them all:
-pairs of codewords that can't reach it with the best third are dropped first.
-A vector that exceeds fewer than ``LISTED`` gets the ``LISTED`` nearest.
-Vectors meet in the buckets of their directions and are compared there in
-double precision. The height gives a vector ``LISTED`` directions on average,
-so that a pair at the threshold shares about half of them; the number of
-directions grows with the number of vectors, so that buckets keep their size.
+codewords are taken part by part, best first, and only while the best of the
+parts still to come can reach the height. A vector that exceeds fewer than it
+should gets its nearest directions instead. The number of directions grows
+with the number of vectors, so that buckets keep their size, and the height is
+such that a pair at the threshold shares ``SHARED`` directions on average.
 
-Equal vectors of a label are one class and are compared once. Classes that
-share a bucket of more than ``CROWD`` of them form a cluster instead, which is
-dealt into blocks that meet two by two, so no task gets an unbounded group and
-a crowd is compared once, not in each of its buckets. Other pairs count only
-in the first bucket they share. Tasks return counts and spanning forests,
-never pairs.
+Vectors meet in the buckets of their directions and are compared there in
+double precision; a pair counts only in the first bucket that it shares, so a
+row carries the directions before its bucket's. Buckets come in ``ROUNDS``
+passes, which bounds the shuffle files that exist at one time. Equal vectors
+of a label are one class and are compared once. A bucket of more than
+``CROWD`` classes is dealt into blocks that meet two by two, so no task gets
+an unbounded group. Tasks return counts and spanning forests, never pairs.
+All classes of a bucket are compared, so vectors of one label that all lie in
+a narrow cone share their buckets and cost the square of their number.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, as do rows without a label and
@@ -37,13 +39,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Scratch, components, forest, partitions
 
-LISTED = 24
-CROWD = 200
-BLOCK = 512
-PER_FILTER = 8
+#: Directions that a pair at the threshold shares on average.
+SHARED = 4.5
+#: Vectors for each direction.
+PER_FILTER = 100
+CROWD = 512
+BLOCK = 256
+ROUNDS = 4
 SEED = 20260102
 
 
@@ -61,24 +67,47 @@ def code(dim: int, k: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
     return rotation, words, parts
 
 
+@lru_cache(maxsize=8)
+def directions(k: int, threshold: float) -> int:
+    """How many of the ``k**3`` directions a vector should exceed, so that a pair at the threshold shares SHARED of them."""
+    normal, rest = NormalDist(), math.sqrt(1 - threshold**2)
+    for listed in range(4, k**3):
+        height = normal.inv_cdf(1 - listed / k**3)
+        x = np.linspace(height, height + 6, 200)
+        density = np.exp(-x * x / 2)
+        both = np.array([1 - normal.cdf((height - threshold * y) / rest) for y in x])
+        if listed * float((density * both).sum() / density.sum()) >= SHARED:
+            return listed
+    return k**3
+
+
+def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place within it) for ``counts`` entries of each row."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _exceeding(parts: list[np.ndarray], height: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, filter, product) of the directions above ``height``; ``parts`` has the products with each part's codewords."""
-    one, two, three = parts
-    k = one.shape[1]
+    k = parts[0].shape[1]
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, (1 << 21) // (k * k))
-    for a in range(0, len(one), step):
-        s = slice(a, a + step)
-        both = one[s, :, None] + two[s, None, :]
-        r, i, j = np.nonzero(both + three[s].max(axis=1)[:, None, None] >= height)
-        products = both[r, i, j][:, None] + three[s][r]
-        q, m = np.nonzero(products >= height)
-        found.append((r[q] + a, (i[q] * k + j[q]) * k + m, products[q, m]))
+    for a in range(0, len(parts[0]), 256):
+        some = [p[a : a + 256] for p in parts]
+        order = [np.argsort(-p, axis=1, kind="stable") for p in some]
+        best = [np.take_along_axis(p, o, axis=1) for p, o in zip(some, order)]
+        row, place, product = np.arange(len(some[0])), np.zeros(len(some[0]), np.int64), np.zeros(len(some[0]))
+        for at in range(3):
+            later = sum((b[:, 0] for b in best[at + 1 :]), np.zeros(len(some[0])))
+            counts = (best[at][row] + (product + later[row])[:, None] >= height).sum(axis=1)  # sorted, so these stand in front
+            parent, i = _ragged(counts)
+            row, place = row[parent], place[parent] * k + order[at][row[parent], i]
+            product = product[parent] + best[at][row, i]
+        found.append((row + a, place, product))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def decode(unit: np.ndarray, k: int, listed: int = LISTED) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every direction that a unit vector exceeds, sorted.
+def decode(unit: np.ndarray, k: int, listed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of every direction that a unit vector exceeds, sorted; the height gives ``listed`` on average.
 
     A vector far from all directions has its height lowered until it exceeds
     ``listed`` of them, so that its neighbours, which are as far, still meet it.
@@ -108,125 +137,106 @@ def decode(unit: np.ndarray, k: int, listed: int = LISTED) -> tuple[np.ndarray,
     return r[order], f[order]
 
 
-def _prepare(float_type: str):
+def _prepare(float_type: str, with_vectors: bool):
+    """vec_id, label, name (digest of a usable vector with its label, else null), and the vector's bytes if asked for."""
+
     def run(batches):
         for batch in batches:
             labels = batch.column("label").to_pylist()
             lists = batch.column("embedding")
-            flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan"))) if len(lists) else np.zeros(0)
+            flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(float("nan"))) + 0.0 if len(lists) else np.zeros(0)
             sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(int)
             ends = np.cumsum(sizes)
-            ids, vectors = [], []
-            for label, a, b in zip(labels, (ends - sizes).tolist(), ends.tolist()):
-                v = flat[a:b]
-                if label is None or a == b or not np.isfinite(v).all() or not v.any():
-                    ids.append(None)
-                    vectors.append(None)
-                else:
-                    data = (v + 0.0).astype(float_type).tobytes()
-                    name = f"{label} {b - a} ".encode()
-                    ids.append(int.from_bytes(hashlib.blake2b(name + data, digest_size=8).digest(), "little", signed=True))
-                    vectors.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "cid", "vec"])
+            bad = np.cumsum(np.concatenate([[0], ~np.isfinite(flat)]))
+            some = np.cumsum(np.concatenate([[0], flat != 0]))
+            usable = (bad[ends] == bad[ends - sizes]) & (some[ends] > some[ends - sizes])
+            data = flat.astype(float_type).tobytes()
+            width = np.dtype(float_type).itemsize
+            names, vectors = [], []
+            for label, ok, a, b in zip(labels, usable.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                v = data[a * width : b * width] if ok and label is not None else None
+                vectors.append(v)
+                names.append(None if v is None else hashlib.blake2b(f"{label} {b - a} ".encode() + v, digest_size=16).digest())
+            columns = [batch.column("vec_id"), batch.column("label"), pa.array(names, pa.binary())] + ([pa.array(vectors, pa.binary())] if with_vectors else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "name", "vec"][: len(columns)])
 
     return run
 
 
 def _units(vectors: list[bytes], float_type: str) -> np.ndarray:
-    v = np.stack([np.frombuffer(x, float_type) for x in vectors]).astype(np.float64)
+    """Vectors of one length, scaled to length one."""
+    v = np.frombuffer(b"".join(vectors), float_type).reshape(len(vectors), -1).astype(np.float64)
     v /= np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _listed(k: int, float_type: str):
-    """cid, f (length and filter), own (all filters of the vector, packed)."""
+def _listed(k: int, listed: int, float_type: str):
+    """The classes and ``own``, the directions that each exceeds."""
 
     def run(batches):
         for batch in batches:
-            cids, vectors = np.asarray(batch.column("cid")), batch.column("vec").to_pylist()
+            vectors = batch.column("vec").to_pylist()
+            own: list = [None] * len(vectors)
             by_size: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by_size.setdefault(len(v), []).append(i)
-            for size, at in by_size.items():
+            for at in by_size.values():
                 for a in range(0, len(at), 1000):
                     some = at[a : a + 1000]
-                    rows, filters = decode(_units([vectors[i] for i in some], float_type), k)
-                    filters = filters + size * k**3
+                    rows, filters = decode(_units([vectors[i] for i in some], float_type), k, listed)
                     ends = np.searchsorted(rows, np.arange(len(some) + 1))
-                    own = [filters[x:y].astype("<i8").tobytes() for x, y in zip(ends[:-1], ends[1:])]
-                    index = np.array(some)[rows]
-                    columns = [pa.array(cids[index]), batch.column("label").take(pa.array(index)), pa.array(filters)]
-                    columns += [batch.column("n").take(pa.array(index)), batch.column("vec").take(pa.array(index)), pa.array([own[r] for r in rows], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["cid", "label", "f", "n", "vec", "own"])
+                    for i, x, y in zip(some, ends[:-1], ends[1:]):
+                        own[i] = filters[x:y]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], names=[*batch.schema.names, "own"])
 
     return run
 
 
-def _first_shared(own: np.ndarray, i: np.ndarray, j: np.ndarray, f: int) -> np.ndarray:
-    """Whether the pairs (i, j) share no filter below ``f``; ``own`` is padded with -1."""
-    small = np.where(own < f, own, -1)
-    ok = np.ones(len(i), bool)
-    step = max(1, (1 << 22) // max(1, own.shape[1] ** 2))
-    for a in range(0, len(i), step):
-        x, y = small[i[a : a + step]], small[j[a : a + step]]
-        same = (x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]
-        ok[a : a + step] = ~same.any(axis=(1, 2))
-    return ok
-
-
-def _pairs_above(unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs between two lists of rows whose inner product reaches the threshold in double precision."""
-    pairs_i, pairs_j = [], []
-    for a in range(0, len(left), 512):
-        some = left[a : a + 512]
-        i, j = np.nonzero(unit[some] @ unit[right].T >= threshold - 1e-9)
-        pairs_i.append(some[i])
-        pairs_j.append(right[j])
-    i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-    exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", unit[i[a : a + 4096]], unit[j[a : a + 4096]]) for a in range(0, len(i), 4096))])
-    return i[exact >= threshold], j[exact >= threshold]
-
+def _presence(lists: pa.ListArray) -> np.ndarray:
+    """A row for each list and a column for each value that several lists hold."""
+    values, column, count = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]
+    out = np.zeros((len(lists), int((count > 1).sum())), np.float32)
+    rows, _ = _ragged(np.asarray(lists.value_lengths()))
+    out[rows[column >= 0], column[column >= 0]] = 1
+    return out
 
-def _sums(cid: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple:
-    """cid, root and number of links of the rows that the pairs (i, j) touch."""
-    links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
-    hit = links > 0
-    return cid[hit], cid[forest(len(cid), i, j)][hit], links[hit].astype(np.int64)
 
-
-def _in_bucket(threshold: float, float_type: str):
-    """Links of a bucket's classes that share no earlier bucket and no cluster."""
-
-    def group(t, f):
-        cid, n, cluster = (np.asarray(t.column(c).combine_chunks()) for c in ("cid", "n", "cluster"))
-        unit = _units(t.column("vec").to_pylist(), float_type)
-        rows = np.arange(len(cid))
-        i, j = _pairs_above(unit, rows, rows, threshold)
-        keep = (i < j) & ((cluster[i] != cluster[j]) | (cluster[i] == 0))
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return None
-        lists = [np.frombuffer(x, "<i8") for x in t.column("own").to_pylist()]
-        padded = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-        for r, x in enumerate(lists):
-            padded[r, : len(x)] = x
-        keep = _first_shared(padded, i, j, f)
-        return _sums(cid, n, i[keep], j[keep])
-
-    return _by_run(["label", "f"], lambda t: group(t, t.column("f")[0].as_py()))
-
-
-def _in_cluster(threshold: float, float_type: str):
-    """Links between two blocks of a cluster."""
+def _compare(threshold: float, float_type: str):
+    """a, b, links of the classes of one bucket, or of two of its blocks: the number of vectors newly linked with ``a``, and the smallest class that it reaches."""
 
     def group(t):
         cid, n, block = (np.asarray(t.column(c).combine_chunks()) for c in ("cid", "n", "block"))
-        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-        i, j = _pairs_above(_units(t.column("vec").to_pylist(), float_type), np.flatnonzero(block == bi), np.flatnonzero(block == bj), threshold)
-        keep = i < j if bi == bj else np.ones(len(i), bool)
-        return _sums(cid, n, i[keep], j[keep])
-
-    return _by_run(["cluster", "bi", "bj"], group)
+        unit = _units(t.column("vec").to_pylist(), float_type)
+        before = None
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        one = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
+        if not one and block.min() == block.max():
+            return None
+        links, ends = np.zeros(len(cid)), []
+        for a in range(0, len(left), 512):
+            some = left[a : a + 512]
+            products = unit[some] @ unit[right].T
+            i, j = np.nonzero(products >= threshold - 1e-9)
+            close = np.abs(products[i, j] - threshold) < 1e-9
+            i, j = some[i], right[j]
+            keep = i < j if one else np.ones(len(i), bool)
+            at = np.flatnonzero(close & keep)
+            keep[at] = np.einsum("ij,ij->i", unit[i[at]], unit[j[at]]) >= threshold
+            i, j = i[keep], j[keep]
+            if len(i):  # pairs that meet in an earlier bucket count there
+                before = _presence(t.column("before").combine_chunks()) if before is None else before
+                keep = (before[some] @ before.T)[np.searchsorted(some, i), j] == 0
+                i, j = i[keep], j[keep]
+            links += np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
+            root = forest(len(cid), i, j)
+            hit = np.flatnonzero(root != np.arange(len(cid)))
+            ends.append((hit, root[hit]))
+        hit = links > 0
+        root = forest(len(cid), *(np.concatenate(x) for x in zip(*ends)))
+        return cid[hit], cid[root[hit]], links[hit].astype(np.int64)
+
+    return _by_run(["label", "dim", "f", "bi", "bj"], group)
 
 
 def _by_run(names: list[str], group):
@@ -250,7 +260,8 @@ def _by_run(names: list[str], group):
                 table = pa.Table.from_batches([batch.slice(a, 2000)])
                 table = pa.concat_tables([carry, table]) if carry is not None else table
                 out, carry = done(table, False)
-                yield out
+                if out.num_rows:
+                    yield out
         if carry is not None and carry.num_rows:
             yield done(carry, True)[0]
 
@@ -262,38 +273,48 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     spark = vectors.sparkSession
     element = vectors.schema["embedding"].dataType.elementType.simpleString()
     float_type = "<f4" if element == "float" else "<f8"
-    wanted = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = scratch.table(wanted.mapInArrow(_prepare(float_type), "vec_id long, label long, cid long, vec binary"), "rows")
-    classes = rows.filter("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    classes = scratch.table(classes, "classes")
-    k = k or max(8, math.ceil((classes.count() / PER_FILTER) ** (1 / 3)))
-    listed = scratch.table(classes.mapInArrow(_listed(k, float_type), "cid long, label long, f long, n long, vec binary, own binary"), "listed")
-    sizes = listed.groupBy("label", "f").agg(F.count("*").alias("size"), F.min("cid").alias("first")).filter("size > 1")
-    sizes = scratch.table(sizes, "sizes")
-    crowd = sizes.filter(F.col("size") > CROWD)
-    chains = listed.select("cid", "label", "f").join(crowd, ["label", "f"]).select(F.col("first").alias("a"), F.col("cid").alias("b"))
-    clusters = components(chains, scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    clusters = scratch.table(clusters, "clusters")
-
-    met = listed.join(sizes.filter(F.col("size") <= CROWD).select("label", "f"), ["label", "f"]).join(clusters, "cid", "left")
-    met = met.select("label", "f", "cid", "n", F.coalesce("cluster", F.lit(0)).alias("cluster"), "vec", "own")
-    met = met.repartition(partitions(spark), "label", "f").sortWithinPartitions("label", "f")
-    apart = met.mapInArrow(_in_bucket(threshold, float_type), "a long, b long, links long")
-
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = clusters.join(blocks, "cluster").join(classes.select("cid", "n", "vec"), "cid")
-    dealt = dealt.withColumn("block", F.expr("pmod(cid, blocks)")).withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("cluster", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "cid", "n", "vec")
-    dealt = dealt.repartition(partitions(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    together = dealt.mapInArrow(_in_cluster(threshold, float_type), "a long, b long, links long")
-    found = scratch.table(apart.unionByName(together), "found")
-    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    label = "long" if isinstance(vectors.schema["label"].dataType, IntegralType) else "string"
+    wanted = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast(label).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    named = wanted.mapInArrow(_prepare(float_type, True), f"vec_id long, label {label}, name binary, vec binary").filter("name is not null")
+    classes = named.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
+    # written before it is used, so that a class keeps its number
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    k = k or max(3, math.ceil((classes.count() / PER_FILTER) ** (1 / 3)))
+    shape = f"label {label}, cid long, n long, vec binary"
+    listed = classes.select("label", "cid", "n", "vec").mapInArrow(_listed(k, directions(k, threshold), float_type), shape + ", own array<long>")
+    listed = scratch.table(listed.withColumn("dim", F.octet_length("vec")), "listed")
+
+    key = ["label", "dim", "f"]
+    sizes = listed.select("label", "dim", F.explode("own").alias("f")).groupBy(*key).agg(F.count("*").alias("size"))
+    crowds = scratch.table(sizes.filter(F.col("size") > CROWD).withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "crowds")
+    crowded = not crowds.isEmpty()
+    links = "a long, b long, links long"
+    payload = ["cid", "n", "vec", "before"]
+
+    def compared(rows: DataFrame) -> DataFrame:
+        place = [*key, "bi", "bj"]
+        return rows.repartition(partitions(spark), *place).sortWithinPartitions(*place).mapInArrow(_compare(threshold, float_type), links)
+
+    found = None
+    for r in range(ROUNDS):
+        spread = listed.select("label", "dim", "cid", "n", "vec", "own", F.posexplode("own").alias("pos", "f")).filter(F.col("f") % ROUNDS == r)
+        spread = spread.select(*key, "cid", "n", "vec", F.expr("slice(own, 1, pos)").alias("before"))
+        none = F.lit(0).cast("long")
+        small = spread.join(crowds, key, "left_anti") if crowded else spread
+        part = compared(small.select(*key, none.alias("bi"), none.alias("bj"), none.alias("block"), *payload))
+        if crowded:
+            dealt = spread.join(crowds, key).withColumn("block", F.expr("pmod(xxhash64(cid), blocks)")).withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            part = part.unionByName(compared(dealt.select(*key, F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", *payload)))
+        part = scratch.table(part, "links")
+        found = part if found is None else found.unionByName(part)
+    counts = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     parts = components(found.filter("a <> b").select("a", "b"), scratch)
-    joined = classes.select("cid", "rep", "n").join(links, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-    joined = joined.withColumn("c", F.coalesce("component", "cid"))
-    names = joined.groupBy("c").agg(F.min("rep").alias("component_id"))
-    of_class = joined.join(names, "c").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = rows.select("vec_id", "cid").join(of_class, "cid", "left")
+    joined = classes.select("name", "cid", "rep", "n").join(counts, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    joined = scratch.table(joined.withColumn("c", F.coalesce("component", "cid")).drop("component"), "joined")
+    # a class without links is a component of its own and needs no lookup
+    ids = joined.filter("links is not null").groupBy("c").agg(F.min("rep").alias("component_id"))
+    of_class = joined.join(ids, "c", "left").select("name", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    out = wanted.mapInArrow(_prepare(float_type, False), f"vec_id long, label {label}, name binary").select("vec_id", "name").join(of_class, "name", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

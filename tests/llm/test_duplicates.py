@@ -163,8 +163,9 @@ def test_threshold_is_in_double_precision(spark):
 def test_every_vector_is_listed():
     unit = vectors(500)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    rows, filters = cap_filters.decode(unit.astype(float), 9)
-    assert np.bincount(rows, minlength=500).min() >= cap_filters.LISTED
+    listed = cap_filters.directions(9, 0.93)
+    rows, filters = cap_filters.decode(unit.astype(float), 9, listed)
+    assert np.bincount(rows, minlength=500).min() >= listed
     rotation, parts, slices = cap_filters.code(32, 9)
     turned = unit @ rotation
     scores = sum((turned[:, s] @ w.T)[:, np.arange(729) // 9**k % 9] for k, (s, w) in enumerate(zip(slices[::-1], parts[::-1])))
