@@ -8,17 +8,19 @@ what this session wrote.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Freed batches go back to the system at once; an idle Python worker then holds little.
-pa.set_memory_pool(pa.system_memory_pool())
+if TaskContext.get() is not None:  # in a Python worker: freed batches go back to the system at once, so an idle worker holds little
+    pa.set_memory_pool(pa.system_memory_pool())
 
 _ROOTS: dict[str, list[str]] = {}
 #: Rows of an Arrow batch while whole texts pass through Python.
@@ -49,9 +51,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session; one of our own only if none is set."""
+    """The shared folder of this session; one of our own only if none is set and Spark runs in this process alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spindrift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") if "://" in root else "file://" + root.rstrip("/")
@@ -78,16 +82,12 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def remove(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
 
 def clean(spark: SparkSession) -> None:
     """Remove everything that operators of this session left in the shared folder."""
     for path in _ROOTS.pop(spark.sparkContext.applicationId, []):
-        Scratch.remove(type("_", (), {"spark": spark})(), path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -119,34 +119,46 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, scratch
 def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, component).
 
-    Large-star and small-star steps alternate until the edges are stars around
-    the smallest id of each component. Every step is a min-aggregate and a
-    join on one key, so a hub splits as a skewed join and is never gathered.
+    Each round is a large-star step and a small-star step, until the edges are
+    stars around the smallest id of each component. A step finds the smallest
+    neighbour of every node and moves the node's edges there. Nodes with more
+    than their share of the edges (at most two a partition) are sent to all
+    tasks, so the edges of a hub stay where they are and are never gathered.
     Nodes without an edge to another node don't appear.
     """
+    n_parts = partitions(scratch.spark)
+
     def canonical(df: DataFrame) -> DataFrame:
         return df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def print_of(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        return row["n"], row["h"]
+    def moved(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """The edges of ``df`` to a smaller v moved to the smallest neighbour m of u, and u, m of every u; ``n`` edges bound the hubs."""
+        least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        most = max(100, n // n_parts)
+        hubs = least.filter(F.col("n") > most).select("u", F.least("u", "m").alias("m")).collect()  # at most as many as partitions
+        hubs = F.broadcast(scratch.spark.createDataFrame([tuple(r) for r in hubs], "u long, m long"))
+        least = least.select("u", F.least("u", "m").alias("m"))
+        near = df.join(hubs, "u", "left_anti").join(least, "u")
+        return df.join(hubs, "u").unionByName(near), least
+
+    def state(df: DataFrame) -> tuple[int, bool]:
+        """The number of edges, and whether they are stars around smaller ids."""
+        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(df.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        row = ends.agg(F.sum("up").alias("n"), F.max(((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).cast("int")).alias("bad")).first()
+        return row["n"] or 0, not row["bad"]
 
     e = scratch.table(canonical(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
-    seen = print_of(e)
     for _ in range(limit):
-        if not seen[0]:
+        n, settled = state(e)
+        if settled:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(canonical(large), "large")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.table(canonical(moved.unionByName(small.withColumnRenamed("m", "v"))), "small")
-        now = print_of(e)
-        if now == seen:
-            break
-        seen = now
+        large, _ = moved(both, 2 * n)
+        large = scratch.table(canonical(large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        small, least = moved(large, n)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
+        e = scratch.table(canonical(small), "small")
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
