@@ -6,13 +6,15 @@ the corpus. A filling of a sequence (a pattern) is chosen once and applied as
 often as the counts allow. Documents then find their place on the executors:
 the n-th piece of a length goes to the n-th slot of that length.
 
-The solver is bin completion: around the largest remaining piece it tries
-fillings with up to three more pieces, at most 24, and the tightest with any
-number, least waste first, and backs out of a branch once its waste exceeds
-what a better packing may waste.
-Best-fit decreasing gives the first incumbent, and a packing that meets the
-bound of total length / capacity ends the search. ``NODES`` bounds the search,
-not the documents: every piece is placed in any case.
+The solver is bin completion: around the largest remaining piece it
+enumerates the fillings of a sequence, of any number of pieces, least waste
+first, and passes over dominated ones (a filling in which one piece left out
+fits as well, or could stand for some that are in). It backs out of a
+branch once its waste exceeds what a better packing may waste. Best-fit
+decreasing gives the first incumbent, and a packing that meets the bound of
+total length / capacity ends the search. ``NODES`` bounds the fillings that
+are looked at, not the documents: every piece is placed in any case, and the
+best packing so far is the result when the search ends there.
 
 Defined results: a null text is empty and holds the end id alone; equal rows
 are separate documents; rows with a null doc_id are packed too; extra columns
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left, bisect_right
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, running_total
 from .tokens import encoder
 
-NODES = 5_000
+NODES = 50_000
+#: So many open branches keep their enumeration; earlier ones start it again when the search comes back to them.
+OPEN = 64
 PIECE = "doc_id long, name binary, piece int, start long, length int, ids_crc32 long"
 
 #: A pattern: how often it is used, and its (size, copies), largest first.
@@ -63,111 +69,141 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(n, items) for groups in rooms.values() for n, items in groups]
 
 
-def tightest(counts: np.ndarray, present: np.ndarray, room: int) -> tuple[int, list[int]]:
-    """The least waste of ``room`` with any number of pieces, and their sizes: subset sums as the bits of an integer."""
-    items, reach, mask = [], [1], (2 << room) - 1
-    for size in present[::-1].tolist():
-        left, step = min(int(counts[size]), room // size), 1
-        while left and not reach[-1] >> room:
-            n = min(step, left)
-            left, step = left - n, 2 * step
-            items.append((size, n))
-            reach.append((reach[-1] | reach[-1] << size * n) & mask)
-    at, sizes = reach[-1].bit_length() - 1, []
-    waste = room - at
-    for (size, n), before in zip(reversed(items), reversed(reach[:-1])):
-        if not before >> at & 1:
-            sizes = [size] * n + sizes
-            at -= size * n
-    return waste, sizes
-
-
-def fillings(counts: np.ndarray, room: int, width: int = 24) -> list[tuple[int, list[int]]]:
-    """Fillings of ``room``: (waste, sizes), least waste first.
-
-    Up to ``width`` with up to three pieces, undominated among them (a filling
-    is dominated if one with fewer, larger pieces wastes no more), and one with
-    any number of pieces that wastes least if these leave more.
+def smeared(bits: int, width: int) -> int:
+    """``bits`` and all places up to ``width`` above them."""
+    step = 1
+    while width > 0:
+        step = min(step, width)
+        bits |= bits << step
+        width, step = width - step, 2 * step
+    return bits
+
+
+class Fillings:
+    """The fillings of a sequence around its largest piece, least waste first: (waste, {size: copies}).
+
+    ``left`` are the pieces that remain, by size. Sums that the smaller sizes
+    reach are the bits of integers, so the enumeration never enters a branch
+    that doesn't end in a filling. A dominated filling comes as (waste, None).
     """
-    limit = min(room, len(counts) - 1)
-    present = np.flatnonzero(counts[: limit + 1])
-    present = present[present > 0]
-    if not len(present):
-        return [(room, [])]
-    below = np.zeros(room + 1, np.int64)  # the largest available size up to each room
-    below[present] = present
-    below = np.maximum.accumulate(below)
-    found = [(room - int(present[-1]), [int(present[-1])])]
-    if found[0][0] == 0:
-        return found
-
-    def pairs(space: int, top: int, taken: int) -> list[tuple[int, list[int]]]:
-        first = present[present <= min(space, top)][::-1]
-        second = np.minimum(below[space - first], first)
-        second = below[second]
-        same = (second == first) & (counts[first] < 2)
-        second = np.where(same, below[np.maximum(first - 1, 0)], second)
-        if taken:
-            short = (second == taken) & (counts[taken] < 2 + (first == taken))
-            second = np.where(short, below[taken - 1], second)
-            keep = (first != taken) | (counts[taken] > 1)
-            first, second = first[keep], second[keep]
-        waste = space - first - second
-        order = np.argsort(waste, kind="stable")[:width]
-        return [(int(waste[i]), [int(first[i]), int(second[i])]) for i in order if second[i]]
-
-    found += [p for p in pairs(room, room, 0) if p[0] < found[0][0]]
-    least = min(w for w, _ in found)
-    if least:
-        for one in present[::-1][:width].tolist():
-            found += [(w, [one, *two]) for w, two in pairs(room - one, one, one)[:2] if w < least] if room > one else []
-    if min(w for w, _ in found):
-        found.append(tightest(counts, present, room))
-    best: dict[int, list[int]] = {}
-    for waste, sizes in found:
-        if waste not in best or len(sizes) < len(best[waste]):
-            best[waste] = sizes
-    return sorted(best.items())[:width]
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.sizes = np.flatnonzero(left).tolist()
+        self.counts = left[self.sizes].tolist()
+        self.largest = self.sizes[-1]
+        self.counts[-1] -= 1
+        self.room = capacity - self.largest
+        self.present = sum(1 << s for s, n in zip(self.sizes, self.counts) if n)
+        self.reach = self._reach()
+
+    def _reach(self) -> list[int]:
+        """For each i, the sums up to ``room`` of the i smallest sizes; the list ends early once all sums are reached."""
+        mask, reach = (2 << self.room) - 1, [1]
+        for size, n in zip(self.sizes, self.counts):
+            if size > self.room or reach[-1] == mask:
+                break
+            sums, n, step = reach[-1], min(n, self.room // size), 1
+            while n:
+                step = min(step, n)
+                sums |= sums << size * step & mask
+                n, step = n - step, 2 * step
+            reach.append(sums)
+        return reach
+
+    def __iter__(self):
+        for waste in range(self.room + 1):
+            if self.reach[-1] >> self.room - waste & 1:
+                for chosen in self._sums(len(self.sizes), self.room - waste):
+                    need = dict(chosen)
+                    need[self.largest] = need.get(self.largest, 0) + 1
+                    yield waste, None if self.dominated(chosen, waste) else need
+
+    def _sums(self, below: int, total: int):
+        """All choices of the ``below`` smallest sizes with this sum, larger pieces first: [(size, copies)]."""
+        if not total:
+            yield []
+            return
+        at, last = min(below, bisect_right(self.sizes, total)), len(self.reach) - 1
+        while at and self.reach[min(at, last)] >> total & 1:  # else smaller sizes alone don't reach the sum
+            at -= 1
+            size = self.sizes[at]
+            for n in range(min(self.counts[at], total // size), 0, -1):
+                if self.reach[min(at, last)] >> total - n * size & 1:
+                    for rest in self._sums(at, total - n * size):
+                        yield [(size, n), *rest]
+
+    def dominated(self, chosen: list[tuple[int, int]], waste: int) -> bool:
+        """Whether a piece that is left out fits as well, or may stand for one smaller piece, or for several."""
+        mask = (2 << self.room) - 1
+        out, single = self.present, 0
+        one = several = 0  # sums of at least one piece, and of at least two
+        for size, n in chosen:
+            if self.counts[bisect_left(self.sizes, size)] == n:
+                out &= ~(1 << size)
+            single |= 1 << size
+            for _ in range(n):
+                several = (several | (several | one) << size) & mask
+                one = (one | one << size | 1 << size) & mask
+        larger = smeared((single | 1) << 1, waste - 1) if waste else 0
+        return bool((smeared(several, waste) | larger) & out)
 
 
 def solve(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """Patterns that use up ``counts`` (by size, up to ``capacity``)."""
-    counts = counts.astype(np.int64)
-    total = int((np.arange(len(counts)) * counts).sum())
+    """Patterns that use up ``counts`` (by size, up to ``capacity``).
+
+    A filling is first applied as often as the counts allow, then once.
+    """
+    left = counts.astype(np.int64)
+    total = int((np.arange(len(left)) * left).sum())
     bound = -(-total // capacity)
-    incumbent = best_fit(counts, capacity)
+    incumbent = best_fit(left, capacity)
     fewest = sum(n for n, _ in incumbent)
-    stack = [(counts, [], 0, None)]
-    while stack and nodes and fewest > bound:
-        left, used, waste, options = stack.pop()
-        slack = (fewest - 1) * capacity - total
-        sizes = np.flatnonzero(left)
-        if not len(sizes):
-            if waste <= slack:
-                incumbent, fewest = used, sum(n for n, _ in used)
-            continue
-        size = int(sizes[-1])
-        if options is None:
+
+    def apply(taken: tuple[int, dict[int, int]], sign: int) -> None:
+        for size, n in taken[1].items():
+            left[size] += sign * taken[0] * n
+
+    # a frame: its fillings, how many of them came, the waste before it, a filling to try once more, and what it has taken
+    frames: list[list] = []
+
+    def enter(waste: int) -> None:
+        frames.append([iter(Fillings(left, capacity)), 0, waste, None, None])
+        if len(frames) > OPEN:
+            frames[-OPEN - 1][0] = None
+
+    if fewest > bound:
+        enter(0)
+    while frames and nodes > 0 and fewest > bound:
+        frame = frames[-1]
+        if frame[4]:
+            apply(frame[4], 1)
+            frame[4] = None
+        fillings, came, before, once, _ = frame
+        slack = (fewest - 1) * capacity - total - before
+        if not once:
             nodes -= 1
-            rest = left.copy()
-            rest[size] -= 1
-            options = fillings(rest, capacity - size)
-        if not options:
+            if fillings is None:
+                fillings = frame[0] = islice(iter(Fillings(left, capacity)), came, None)
+            frame[1] += 1
+        waste, need = once or next(fillings, (slack + 1, None))
+        frame[3] = None
+        if waste > slack:  # later fillings waste more
+            frames.pop()
+            continue
+        if need is None:
             continue
-        (lost, chosen), later = options[0], options[1:]
-        if waste + lost > slack:
-            continue  # later options waste more
-        stack.append((left, used, waste, later))
-        need: dict[int, int] = {}
-        for s in (size, *chosen):
-            need[s] = need.get(s, 0) + 1
-        times = min(int(left[s]) // c for s, c in need.items())
-        if lost:
-            times = min(times, max(1, (slack - waste) // lost))
-        rest = left.copy()
-        for s, c in need.items():
-            rest[s] -= times * c
-        stack.append((rest, [*used, (times, sorted(need.items(), reverse=True))], waste + times * lost, None))
+        times = 1
+        if not once:
+            times = min(int(left[s]) // n for s, n in need.items())
+            times = max(1, min(times, slack // waste)) if waste else times
+            frame[3] = (waste, need) if times > 1 else None
+        frame[4] = times, need
+        apply(frame[4], -1)
+        if left.any():
+            enter(before + times * waste)
+        else:
+            incumbent = [(f[4][0], sorted(f[4][1].items(), reverse=True)) for f in frames]
+            fewest = sum(n for n, _ in incumbent)
     return incumbent
 
 

@@ -174,23 +174,61 @@ def test_sequences_join_their_pieces(spark):
     assert total == sum(r["length"] for r in placed.select("length").collect())
 
 
-def test_fillings_take_any_number_of_pieces():
-    import numpy as np
-
-    from spindrift.llm import packing
-
-    counts = np.zeros(101, np.int64)
-    counts[[20, 11, 3]] = 3, 1, 3
-    waste, sizes = packing.fillings(counts, 80)[0]
-    assert (waste, sorted(sizes)) == (0, [3, 3, 3, 11, 20, 20, 20])
+def planted(rng, bins, pieces, low, high, capacity):
+    """Counts by size of pieces that fill ``bins`` sequences without waste."""
+    sizes = []
+    while len(sizes) < bins * pieces:
+        some = rng.integers(low, high + 1, pieces - 1).tolist()
+        if low <= capacity - sum(some) <= high:
+            sizes += [*some, capacity - sum(some)]
+    return np.bincount(sizes, minlength=capacity + 1)
+
+
+@pytest.mark.parametrize(("bins", "pieces", "low", "high", "capacity"), [(8, 6, 140, 200, 1000), (10, 5, 20, 60, 200), (20, 6, 140, 200, 1000)])
+def test_perfect_packings_are_found(bins, pieces, low, high, capacity):
     rng = np.random.default_rng(1)
-    rng.integers(5, 25, 60)
-    sizes = rng.integers(300, 1024, 400)  # too short for three more pieces to fill a sequence
+    for _ in range(30):
+        counts = planted(rng, bins, pieces, low, high, capacity)
+        found = packing.solve(counts, capacity)
+        check_patterns(found, counts, capacity)
+        assert sum(n for n, _ in found) == bins
+
+
+def brute_fillings(sizes, room):
+    """By waste, all choices from ``sizes`` that fit, and whether no piece left out could stand for some of them."""
+    out = {}
+    for mask in range(1 << len(sizes)):
+        inside = [s for i, s in enumerate(sizes) if mask >> i & 1]
+        outside = [s for i, s in enumerate(sizes) if not mask >> i & 1]
+        waste = room - sum(inside)
+        if waste < 0:
+            continue
+        sums = {(sum(s for i, s in enumerate(inside) if m >> i & 1), m.bit_count()) for m in range(1, 1 << len(inside))}
+        worse = any(x <= waste for x in outside) or any(total <= x <= total + waste and (n > 1 or total < x) for x in outside for total, n in sums)
+        out.setdefault(waste, {})[tuple(sorted(inside))] = not worse
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(2, 25), min_size=1, max_size=8), st.integers(25, 40))
+def test_fillings_are_all_that_are_undominated(sizes, capacity):
+    left = np.bincount(sizes, minlength=capacity + 1)
+    top = max(sizes)
+    rest = sorted(sizes)[:-1]
+    expected = brute_fillings(rest, capacity - top)
+    got = {}
+    for waste, need in packing.Fillings(left, capacity):
+        if need:
+            need[top] -= 1
+            got.setdefault(waste, set()).add(tuple(sorted(s for s, n in need.items() for _ in range(n))))
+    assert got == {w: kept for w, found in expected.items() if (kept := {x for x, good in found.items() if good})}
+    assert list(got) == sorted(got)
+
+
+def test_short_pieces_fill_sequences():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(300, 1024, 400)
     counts = np.bincount(sizes, minlength=4097)
-    patterns, used = packing.solve(counts, 4096), np.zeros(4097, np.int64)
-    for n, items in patterns:
-        assert sum(s * c for s, c in items) <= 4096
-        for s, c in items:
-            used[s] += n * c
-    assert (used == counts).all()
-    assert sum(n for n, _ in patterns) == -(-sizes.sum() // 4096) < sum(n for n, _ in packing.best_fit(counts, 4096))
+    found = packing.solve(counts, 4096)
+    check_patterns(found, counts, 4096)
+    assert sum(n for n, _ in found) == -(-sizes.sum() // 4096) < sum(n for n, _ in packing.best_fit(counts, 4096))
