@@ -8,7 +8,8 @@ alone; a task opens its archive, takes the members whose headers start in its
 range, and streams them as Arrow batches of bounded bytes. Each member is read
 on its own at its offset and tried again on its own; one that can't be read in
 ``tries`` attempts gives a row with ``error`` set and no data, or fails the
-query with ``strict``.
+query with ``strict``. Only archives in the folder's manifest are read, so
+those of lost task attempts don't count.
 
 Defined results: a null text is an empty payload, which becomes 192 blanks;
 equal texts give equal images; equal rows and null ids are kept as members of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import Scratch
-from .files import listing, open_fs, whole_file
+from .files import MANIFEST, listing, new_file, open_fs, publish
 
 ROW = 192
 #: An archive is closed beyond this many bytes, so a lost task repeats little.
@@ -96,23 +97,25 @@ def write_archives(docs: DataFrame, folder: str) -> None:
     def run(batches):
         from pyspark import TaskContext
 
-        task, part, done = TaskContext.get().partitionId(), 0, 0
+        task, part = TaskContext.get().partitionId(), 0
         rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1)))
         row = next(rows, None)
         while row:
-            with whole_file(f"{folder}/{task:06d}-{part:04d}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-                held = 0
-                while row and held < ARCHIVE_BYTES:
-                    doc_id, data = row[0], (row[1].as_py() or "").encode("utf-8", "surrogatepass")
-                    image = to_png(pad(data), len(data))
-                    archive.writestr(zipfile.ZipInfo(f"{done:09d}/{'' if doc_id is None else doc_id}.png"), image)
-                    held, done = held + len(image), done + 1
-                    row = next(rows, None)
+            with new_file(folder, f"{task:06d}-{part:04d}", ".zip") as (out, published):
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    held = 0
+                    while row and held < ARCHIVE_BYTES:
+                        doc_id, data = row[0], (row[1].as_py() or "").encode("utf-8", "surrogatepass")
+                        image = to_png(pad(data), len(data))
+                        archive.writestr(zipfile.ZipInfo(f"{published['n']:09d}/{'' if doc_id is None else doc_id}.png"), image)
+                        held += len(image)
+                        published["n"] += 1
+                        row = next(rows, None)
             part += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_pylist([published])
 
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wanted.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    publish(wanted.mapInArrow(run, MANIFEST), folder)
 
 
 @dataclass
@@ -126,11 +129,14 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangeBytes", 4 << 20))
+        self.most_ranges = int(options.get("mostRanges", 100_000))
         self.tries = int(options.get("tries", 3))
         self.strict = str(options.get("strict", "true")).lower() == "true"
 
     def partitions(self):
-        ranges = [ByteRange(p, a, min(a + self.range_bytes, size)) for p, size in listing(self.folder, ".zip") for a in range(0, size, self.range_bytes)]
+        files = listing(self.folder, ".zip")
+        step = max(self.range_bytes, sum(size for _, size in files) // self.most_ranges)  # the plan stays small
+        ranges = [ByteRange(p, a, min(a + step, size)) for p, size in files for a in range(0, size, step)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition):

@@ -25,17 +25,22 @@ import os
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .files import listing, open_fs, whole_file
+from .common import Scratch, partitions
+from .files import MANIFEST, new_file, open_fs, publish, published
 
 LEAST = 100
 ARCHIVE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 SOFTWARE = "spindrift"
+#: Repeated digests are marked by one of 2**BITS bits.
+BITS = 24
+#: Tasks that read archives; each takes its share of them.
+READERS = 20_000
 
 
 def record_id(row: int, kind: str) -> str:
@@ -75,7 +80,44 @@ def transaction(row: int, page_id: int | None, url: str | None, payload: bytes,
     ]
 
 
-def write(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") -> None:
+def _bits(hashes: DataFrame) -> bytes:
+    """A bit for each value modulo 2**BITS of ``hashes`` (h long): 2 MB, however many there are."""
+    words = hashes.select(F.pmod("h", F.lit(1 << BITS)).alias("h")).withColumn("w", F.expr("cast(h div 8 as int)")).groupBy("w")
+    words = words.agg(F.expr("bit_or(shiftleft(1, cast(h % 8 as int)))").alias("v"))
+    table = np.zeros(1 << BITS - 3, np.uint8)
+    for part in words.toArrow().to_batches():  # at most 2**(BITS - 3) rows
+        table[np.asarray(part.column("w"))] = np.asarray(part.column("v"))
+    return table.tobytes()
+
+
+def decide(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` (row, page_id, url, payload, digest, large) and ``first``, the row that a revisit refers to.
+
+    Digests are grouped without their payloads. A bit for each repeated digest
+    goes to the scan, so payloads that occur once aren't shuffled, and the
+    digests of very many rows (at most one for each partition) are sent to it
+    whole, so a payload that a third of the rows share isn't shuffled either.
+    """
+    spark = rows.sparkSession
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    groups = rows.filter("large").select("digest", order.alias("o")).groupBy("digest").agg(F.min("o")["row"].alias("first"), F.count("*").alias("n"))
+    groups = scratch.table(groups.filter("n > 1"), "repeated")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = groups.filter(F.col("n") > max(100, total // partitions(spark))).select("digest", F.col("first").alias("hot")).collect()  # at most as many as partitions
+    hot = spark.createDataFrame([(r["digest"], r["hot"]) for r in hot], "digest string, hot long")
+    bits = F.lit(_bits(groups.select(F.xxhash64("digest").alias("h"))))
+    h = F.pmod(F.xxhash64("digest"), F.lit(1 << BITS))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(h / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.col("large") & (F.getbit(byte, (h % 8).cast("int")) == 1)
+    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("maybe", maybe & F.col("hot").isNull())
+    columns = ["row", "page_id", "url", "payload", "digest"]
+    # a small payload is a response even if a large one, or a hot one, has its digest
+    known = marked.filter("not maybe").select(*columns, F.when(F.col("large"), F.expr("nullif(hot, row)")).alias("first"))
+    met = marked.filter("maybe").select(*columns).join(groups.select("digest", "first"), "digest", "left")
+    return known.unionByName(met.select(*columns, F.expr("nullif(first, row)").alias("first")))
+
+
+def write(pages: DataFrame, folder: str, scratch: Scratch, date: str = "2000-01-01T00:00:00Z") -> None:
     """Write ``pages`` (page_id, url, html) as archives in ``folder``."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -83,18 +125,15 @@ def write(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") ->
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
         F.monotonically_increasing_id().alias("row"),
     ).withColumns({"digest": F.sha2("payload", 256), "large": F.octet_length("payload") >= LEAST})
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    first = rows.filter("large").groupBy("digest").agg(F.min(order)["row"].alias("first")).withColumn("large", F.lit(True))
-    decided = rows.join(first, ["digest", "large"], "left").select("row", "page_id", "url", "payload", "digest", F.expr("nullif(first, row)").alias("first"))
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, part, done = TaskContext.get().partitionId(), 0, 0
+        task, part = TaskContext.get().partitionId(), 0
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() if i != 3 else b.column(i) for i in range(6))))
         row = next(rows, None)
         while row:
-            with whole_file(f"{folder}/{task:06d}-{part:04d}.warc.gz") as out:
+            with new_file(folder, f"{task:06d}-{part:04d}", ".warc.gz") as (out, published):
                 out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(-1 - part, f"info {task}")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], f"software: {SOFTWARE}\r\n".encode()))
                 held = 0
                 while row and held < ARCHIVE_BYTES:
@@ -102,12 +141,13 @@ def write(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z") ->
                     for data in transaction(n, page_id, url, payload.as_py(), digest, first, date):
                         out.write(data)
                         held += len(data)
-                    done += 1
+                    published["n"] += 1
                     row = next(rows, None)
             part += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_pylist([published])
 
-    decided.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    decided = decide(rows, scratch).select("row", "page_id", "url", "payload", "digest", "first")
+    publish(decided.mapInArrow(run, MANIFEST), folder)
 
 
 def members(stream, block: int = 1 << 20):
@@ -161,13 +201,13 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names[:width])
 
     def run(batches):
-        system, _ = open_fs(folder)
-        for paths in batches:
-            for path in paths.column(0).to_pylist():
+        system, path = open_fs(folder)
+        for names in batches:
+            for name in names.column(0).to_pylist():
                 rows, held = [], 0
-                with system.open_input_stream(path, compression=None) as stream:
+                with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for raw in members(stream):
-                        rows.append(parse(raw, path.rpartition("/")[2], with_payload))
+                        rows.append(parse(raw, name, with_payload))
                         held += 500 + (len(rows[-1][-1]) if with_payload else 0)
                         if held > BATCH_BYTES:
                             yield batch(rows)
@@ -175,8 +215,8 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                 if rows:
                     yield batch(rows)
 
-    paths = [(p,) for p, _ in listing(folder, ".warc.gz")]
-    files = spark.createDataFrame(paths, "path string").repartition(max(1, len(paths)))
+    files = published(spark, folder, ".warc.gz")
+    files = files.repartition(min(max(1, files.count()), READERS))
     return files.mapInArrow(run, RECORD + (", payload binary" if with_payload else ""))
 
 
@@ -210,7 +250,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ``pages`` as WARC archives, read them back, and report each capture."""
     scratch = Scratch(spark, "warc")
     folder = scratch.folder("archives")
-    write(spark.read.parquet(os.path.join(sf_dir, "pages.parquet")), folder)
+    write(spark.read.parquet(os.path.join(sf_dir, "pages.parquet")), folder, scratch)
     records = scratch.table(read(spark, folder), "records")  # the archives are parsed once
     captures = assemble(records).withColumn("page_id", F.expr("cast(nullif(map_from_entries(metadata.fields)['page-id'], '') as long)"))
     flat = captures.select("page_id", "record_id", F.col("response.record_type").alias("record_type"), F.col("response.payload_bytes").alias("own"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.refers_to").alias("to"))

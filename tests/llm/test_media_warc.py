@@ -3,11 +3,12 @@ import zlib
 
 import pandas as pd
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from spindrift.llm import media, warc
 from spindrift.llm.common import Scratch
-from spindrift.llm.files import listing
+from spindrift.llm.files import listing, open_fs
 
 from ..oracle import by_spark, by_sql
 from .fixtures import documents, empty
@@ -45,7 +46,7 @@ def test_archives_give_back_every_row(spark, monkeypatch):
 def test_a_bad_member_is_told_and_others_are_read(spark):
     folder = Scratch(spark, "t").folder("a")
     media.write_archives(documents(spark, [(1, "one"), (2, "two" * 999), (3, "three")]).coalesce(1), folder)
-    path, _ = next(listing(folder, ".zip"))
+    path, _ = listing(folder, ".zip")[0]
     with open(path, "r+b") as f:
         data = f.read()
         at = data.index(media.SIGNATURE, data.index(media.SIGNATURE) + 10) + 70
@@ -102,8 +103,48 @@ def test_assembly_by_either_side(spark):
 
 
 def test_payloads_are_read_back(spark):
-    folder = Scratch(spark, "t").folder("w")
-    warc.write(pages(spark), folder)
+    scratch = Scratch(spark, "t")
+    folder = scratch.folder("w")
+    warc.write(pages(spark), folder, scratch)
     rows = warc.read(spark, folder, with_payload=True).filter("record_type = 'response'").collect()
     assert {bytes(r["payload"]).decode() for r in rows} == {"p" * 200, "small", "", "é" * 60}
     assert not any("Evil" in (r["target_uri"] or "") and "\n" in r["target_uri"] for r in rows)
+
+
+def test_a_task_writes_several_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    monkeypatch.setattr(media, "ARCHIVE_BYTES", 1)
+    scratch = Scratch(spark, "t")
+    folder, docs = scratch.folder("w"), documents(spark).coalesce(2)
+    warc.write(pages(spark).coalesce(1), folder, scratch)
+    assert len(listing(folder, ".warc.gz")) == len(PAGES)
+    assert warc.read(spark, folder).filter("record_type in ('response', 'revisit')").count() == len(PAGES)
+    media.write_archives(docs, scratch.folder("m"))
+    folder = f"{scratch.path}/{scratch._n:02d}-m"
+    assert len(listing(folder, ".zip")) == docs.count() == media.read_archives(spark, folder).count()
+
+
+def test_files_of_lost_attempts_are_not_read(spark):
+    """A second attempt that deals its rows otherwise leaves files, but only what the manifest names is read, each row once."""
+    scratch = Scratch(spark, "t")
+    folder, other = scratch.folder("w"), scratch.folder("other")
+    warc.write(pages(spark), folder, scratch)
+    warc.write(pages(spark, PAGES[::-1]).coalesce(1), other, scratch)
+    system, path = open_fs(folder)
+    for lost, _ in listing(other, ".warc.gz"):
+        fs.copy_files(lost, f"{path}/{lost.rpartition('/')[2]}", system, system)
+    ids = [r["fields"]["page-id"] for r in warc.read(spark, folder).filter("record_type = 'metadata'").collect()]
+    assert sorted(map(int, ids)) == sorted(r[0] for r in PAGES)
+    docs = documents(spark)
+    folder = scratch.folder("m")
+    media.write_archives(docs, folder)
+    with open(f"{open_fs(folder)[1]}/000000-0000-lost.zip", "wb") as f:
+        f.write(b"part of an arch")
+    assert media.read_archives(spark, folder).count() == docs.count()
+
+
+def test_hot_payloads_and_marks_of_digests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BITS", 4)  # most marks are shared by several digests
+    rows = [(i, "u", "h" * 200) for i in range(400, 0, -1)] + [(1000 + i, "u", f"{i % 40:0100d}") for i in range(80)] + [(2000 + i, "u", f"{i} alone" * 30) for i in range(40)]
+    expected = by_sql(warc.ORACLE, {"pages": pd.DataFrame(rows, columns=["page_id", "url", "html"])})
+    assert by_spark(captured(spark, rows, tmp_path)) == expected
