@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 MARK = "▁"
+_WORD_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 CACHE_WORDS = 500_000
-PART = 1 << 20
+#: Characters that a stream is given, and that it searches, at a time.
+PART, STEP = 1 << 20, 256
 
 
 class Pieces:
@@ -71,10 +73,10 @@ class Pieces:
         self.rank = rank
         self.longest = max(map(len, self.ids))
         self.ids = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}  # others never come out of merging
-        self._find = re.compile(self._cuts()).findall
+        self.stretches = re.compile(self._cuts()).findall
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._cache: dict[str, bytes] = {}
-        self._cache_words = cache_words
+        self.committed: dict[str, bytes] = {}  # what a stream committed for a stretch
+        self.cache_words = cache_words
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best neighbours, leftmost first."""
@@ -131,49 +133,12 @@ class Pieces:
                 out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
         return out.tobytes()
 
-    def word(self, text: str) -> bytes:
-        last = [0]
-        for i in range(1, len(text) + 1):
-            last.append(self.step(text, last, i))
-        pieces, i = [], len(text)
-        while i:
-            pieces.append(text[last[i] : i])
-            i = last[i]
-        return self.pack(pieces[::-1])
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 16-bit integers."""
         if not text:
             return b""
-        marked = MARK + text.replace(" ", MARK)
-        if len(marked) <= PART:
-            return self._words(self._find(marked))
-        out, at = [], 0
-        while at < len(marked):
-            end = marked.find(MARK, at + PART)
-            while 0 < end < len(marked) and marked[end - 1] == MARK:  # a run of marks stays whole
-                end = end + 1 if end + 1 < len(marked) else -1
-                while 0 < end < len(marked) and marked[end] != MARK:
-                    end = marked.find(MARK, end)
-            end = len(marked) if end < 0 else end
-            out.append(self._words(self._find(marked[at:end])))
-            at = end
-        return b"".join(out)
-
-    def _words(self, words: list[str]) -> bytes:
-        cache = self._cache
-        new = set(words).difference(cache)
-        if not new:
-            return b"".join(map(cache.__getitem__, words))
-        known = {w: self.word(w) if len(w) <= 4096 else self.stream(w) for w in new}
-        if len(cache) < self._cache_words:
-            cache.update((w, ids) for w, ids in known.items() if len(w) <= 64)
-        return b"".join([known[w] if w in known else cache[w] for w in words])
-
-    def stream(self, text: str) -> bytes:
-        """Ids of a text of any length (with marks) in a window of bounded length."""
-        s = Stream(self)
-        return b"".join([s.feed(text[a : a + 1024]) for a in range(0, len(text), 1024)] + [s.close()])
+        marked, stream = MARK + text.replace(" ", MARK), Stream(self)
+        return b"".join([stream.feed(marked[a : a + PART]) for a in range(0, len(marked), PART)] + [stream.close()])
 
     def decode(self, packed: bytes) -> str:
         data = b"".join(map(self.text.__getitem__, np.frombuffer(packed, "<u2").tolist()))
@@ -184,39 +149,78 @@ class Stream:
     """A search that gets its text in parts and commits ids as soon as they are settled."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.text, self.last = pieces, "", [0]
-        self.before = ""  # the committed piece that ends where the window begins
+        self.pieces = pieces
+        self.tail = ""  # the end of a part, whose stretch may go on
+        self.open = False  # whether the window is within a stretch
+        self._begin()
+
+    def _begin(self) -> None:
+        # the window begins with the committed piece before it, which ends at ``done``; -1 for places that no path may use
+        self.text, self.last, self.done = "", [0], 0
 
     def feed(self, text: str) -> bytes:
-        """Take a part of the text; returns the ids that are settled now."""
-        p = self.pieces
-        for c in text:
-            self.text += c
-            self.last.append(p.step(self.before + self.text, self._shifted(), len(self.before) + len(self.text)) - len(self.before))
-        live = set(range(max(0, len(self.text) - p.longest + 1), len(self.text) + 1))
-        while len(live) > 1:  # step the furthest path back until all meet
-            top = max(live)
-            live.remove(top)
-            live.add(max(0, self.last[top]))
-        return self._commit(live.pop())
-
-    def _shifted(self) -> list[int]:
-        """Backpointers of the window with the piece before it in front."""
-        n = len(self.before)
-        return ([0] + [-1] * (n - 1) if n else []) + [0 if n and i == 0 else x + n for i, x in enumerate(self.last)]
+        """Take a part of the text (with marks); returns the ids that are settled now."""
+        out = []
+        if self.open and text:
+            word = _WORD_START.search(self.text[-1] + text)
+            if not word:
+                return self._search(text)
+            out += [self._search(text[: word.start() - 1]), self._settle()]
+            text, self.open = text[word.start() - 1 :], False
+        stretches = self.pieces.stretches(self.tail + text)
+        self.tail = stretches.pop() if stretches else ""
+        out.append(self._commit_stretches(stretches))
+        if len(self.tail) > STEP:
+            out.append(self._search(self.tail))
+            self.tail, self.open = "", True
+        return b"".join(out)
+
+    def close(self) -> bytes:
+        return self._settle() + self._commit_stretches([self.tail] if self.tail else [])
+
+    def _commit_stretches(self, stretches: list[str]) -> bytes:
+        """The ids of whole stretches; new ones are searched, and all paths meet where they end."""
+        cache = self.pieces.committed
+        new = set(stretches).difference(cache)
+        if not new:
+            return b"".join(map(cache.__getitem__, stretches))
+        known = {w: self._search(w) + self._settle() for w in new}
+        if len(cache) < self.pieces.cache_words:
+            cache.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        return b"".join([known[w] if w in known else cache[w] for w in stretches])
+
+    def _search(self, text: str) -> bytes:
+        """Extend the window by ``text``; returns the ids before the boundary where all paths meet."""
+        p, out = self.pieces, []
+        for a in range(0, len(text), STEP):
+            self.text += text[a : a + STEP]
+            for i in range(len(self.last), len(self.text) + 1):
+                self.last.append(p.step(self.text, self.last, i))
+            if len(self.text) > 2 * p.longest:
+                live = set(range(len(self.text) - p.longest + 1, len(self.text) + 1))
+                while len(live) > 1:  # step the furthest path back until all meet
+                    top = max(live)
+                    live.remove(top)
+                    live.add(max(self.done, self.last[top]))
+                out.append(self._commit(live.pop()))
+        return b"".join(out)
 
     def _commit(self, end: int) -> bytes:
         found, i = [], end
-        while i > 0:
+        while i > self.done:
             found.append(self.text[self.last[i] : i])
             i = self.last[i]
         if found:
-            self.before = found[0]
-            self.text, self.last = self.text[end:], [0] + [x - end for x in self.last[end + 1 :]]
+            start = self.last[end]
+            self.text, self.done = self.text[start:], end - start
+            self.last = [-1] * self.done + [0] + [x - start if x >= end else -1 for x in self.last[end + 1 :]]
         return self.pieces.pack(found[::-1])
 
-    def close(self) -> bytes:
-        return self._commit(len(self.text))
+    def _settle(self) -> bytes:
+        """Commit to the end of the window, where all paths meet."""
+        out = self._commit(len(self.text))
+        self._begin()
+        return out
 
 
 @lru_cache(maxsize=2)

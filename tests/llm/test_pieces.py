@@ -1,3 +1,5 @@
+import random
+
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,15 +39,31 @@ def test_stream_in_parts(text, step):
     marked = "▁" + text.replace(" ", "▁")
     s = pieces.Stream(PIECES)
     out = b"".join([s.feed(marked[i : i + step]) for i in range(0, len(marked), step)] + [s.close()])
-    assert not text or out == PIECES.encode(text)
+    assert np.frombuffer(out, "<u2").tolist() == (LIBRARY.encode(text) if text else out and np.frombuffer(out, "<u2").tolist())
+
+
+def test_a_stretch_without_boundaries_is_committed_in_parts(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["internationalization", "日本語", "x", "ing", "é", ",", "😀", "the"]) for _ in range(2000))
+    s, widest, early = pieces.Stream(PIECES), 0, b""
+    for a in range(0, len(text) + 1, 100):
+        early += s.feed(("▁" + text)[a : a + 100])
+        widest = max(widest, len(s.text) + len(s.tail))
+    assert widest <= 2 * (pieces.STEP + PIECES.longest) + 100
+    assert np.frombuffer(early + s.close(), "<u2").tolist() == LIBRARY.encode(text)
+    assert len(early) > 0.9 * 2 * len(LIBRARY.encode(text))
+    monkeypatch.setattr(pieces, "PART", 700)
+    check(text + "  " + text[:3000].replace("x", " ") + "\n")
 
 
-def test_stream_keeps_a_bounded_window():
-    s, widest = pieces.Stream(PIECES), 0
-    for _ in range(400):
-        s.feed("▁internationalization")
-        widest = max(widest, len(s.text))
-    assert widest <= 3 * PIECES.longest
+def test_every_id_comes_from_the_stream(monkeypatch):
+    searched = []
+    search = pieces.Stream._search
+    monkeypatch.setattr(pieces.Stream, "_search", lambda self, text: searched.append(text) or search(self, text))
+    fresh = pieces.Pieces(PATH)
+    for text in ["Two words, twice: two words.", "x" * 3000 + " y", "a  b"]:
+        assert np.frombuffer(fresh.encode(text), "<u2").tolist() == LIBRARY.encode(text)
+    assert set("".join(searched)) >= set("Twowrds,twice:.xyab▁") and len(searched) == len(set(searched))
 
 
 def test_table(spark):
