@@ -1,7 +1,8 @@
 """Near-duplicate documents by a grouped prefix join on word shingles.
 
 Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of
-distinct shingles. The join is exact up to collisions of 64-bit hashes:
+distinct shingles. The join is exact up to collisions of shingle hashes (64 bits); sets and
+prefixes are told apart by 128 bits:
 
 1. Documents with equal sets are one class; only classes are joined.
 2. Shingles are ordered by hash, but very common ones come last, so passages
@@ -12,10 +13,13 @@ distinct shingles. The join is exact up to collisions of 64-bit hashes:
    100) + 1. Classes with the same prefix and size form one group; groups that
    share a prefix shingle are candidates if their sizes allow a link and the
    shingles they share in their prefixes leave room for the overlap.
-4. Groups at a shingle that more than SMALL groups share aren't paired. They
-   form a cluster, whose members meet block by block; products of presence
-   matrices compare two blocks, and only a spanning forest of their links
-   leaves the task.
+4. Groups at a shingle that more than SMALL groups share aren't paired. Those
+   whose sizes come close form a cluster. Its members meet block by block
+   where their sizes allow a link; products of presence matrices compare two
+   blocks, and only a spanning forest of their links leaves the task. This is
+   quadratic in the members of a cluster that have about the same size, so the
+   order of shingles has to keep clusters to near copies: it does as long as
+   the list of common shingles holds all that more than SMALL texts share.
 5. Members of other candidate groups are verified pair by pair, on whole sets.
 6. Components of the verified links give each document its class id.
 
@@ -98,11 +102,11 @@ def _ordered(values: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([values[~hit], values[hit]])
 
 
-def _key(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-SETS = "doc_id long, key long, n long, prefix binary, prefix_key long"
+SETS = "doc_id long, key binary, n long, prefix binary, prefix_key binary"
 
 
 def sets(docs: DataFrame, percent: int, common) -> DataFrame:
@@ -119,7 +123,7 @@ def sets(docs: DataFrame, percent: int, common) -> DataFrame:
                 sizes.append(n)
                 prefixes.append(prefix.tobytes() if n else None)
                 names.append(_key(np.append(prefix, np.uint64(n))) if n else None)
-            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(names, pa.int64())]
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(names, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "prefix", "prefix_key"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
@@ -146,8 +150,9 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
 
     Rows (a, b, na, nb, c): for c > 0 the groups share c such shingles, a < b;
     for c = 0, b is a group at a shingle with more than SMALL groups and a the
-    first of them. Rows arrive sorted by token; a task holds runs of up to
-    SMALL rows, and of a longer run only its first row.
+    first of those that lead to its size without a gap that no link can cross.
+    Rows arrive sorted by token and size; a task holds runs of up to SMALL
+    rows, and of a longer run only the first row and the last size.
     """
 
     def run(batches):
@@ -175,10 +180,15 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
             pairs.append(np.stack([g[i], g[j], n[i], n[j]], axis=1))
             held += len(i)
 
-        def chain(start, others):
+        def chain(start, last, others, sizes):
+            """Link a run's rows to the first of their sizes; returns the first of the last ones, and the last size."""
             nonlocal held
-            links.append(np.stack([np.full(len(others), start), others], axis=1))
+            before = np.concatenate([[last], sizes[:-1]])
+            place = np.maximum.accumulate(np.where(100 * before < percent * sizes, np.arange(1, len(others) + 1), 0))
+            begin = np.concatenate([[start], others])[place]
+            links.append(np.stack([begin, others], axis=1)[begin != others])
             held += len(others)
+            return (begin[-1], sizes[-1]) if len(others) else (start, last)
 
         def runs(token, g, n, last):
             """Handle all whole runs; returns where the last, unfinished run begins."""
@@ -195,7 +205,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
                         meet(g, n, (some + i).ravel(), (some + j).ravel())
                 elif size > SMALL:
                     for s in at.tolist():
-                        chain(g[s], g[s + 1 : s + size])
+                        chain(g[s], n[s], g[s + 1 : s + size], n[s + 1 : s + size])
             return edges[end]
 
         for batch in batches:
@@ -205,15 +215,14 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
                 carry = None
             if first is not None and len(part[0]):  # more rows of a long run whose first row is known
                 same = int((part[0] == first[0]).sum())  # tokens are sorted, so these stand in front
-                chain(first[1], part[1][:same])
+                first = (first[0], *chain(*first[1:], part[1][:same], part[2][:same]))
                 part = [x[same:] for x in part]
                 first = first if not len(part[0]) else None
             if len(part[0]):
                 at = runs(*part, False)
                 rest = [x[at:] for x in part]
                 if len(rest[0]) > SMALL:
-                    chain(rest[1][0], rest[1][1:])
-                    first = (rest[0][0], rest[1][0])
+                    first = (rest[0][0], *chain(rest[1][0], rest[2][0], rest[1][1:], rest[2][1:]))
                 else:
                     carry = rest
             if held > FLUSH:
@@ -222,7 +231,7 @@ def _candidates(tokens: DataFrame, percent: int) -> DataFrame:
             runs(*carry, True)
         yield flush()
 
-    ordered = tokens.repartition(partitions(tokens.sparkSession), "token").sortWithinPartitions("token")
+    ordered = tokens.repartition(partitions(tokens.sparkSession), "token").sortWithinPartitions("token", "n")
     return ordered.mapInArrow(run, "a long, b long, na long, nb long, c long")
 
 
@@ -249,14 +258,23 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tup
 
 
 def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links within each cluster; ``members``: cluster, key, text.
+    """A spanning forest (a, b) of the links within each cluster; ``members``: cluster, key, n, text.
 
-    A cluster is dealt into blocks of about BLOCK members that meet two by
-    two, so a task holds two blocks at a time, however large the cluster is.
+    Sizes are dealt into levels, so that linked sets are of one level or of
+    neighbouring ones. A level of a cluster is dealt into blocks of about
+    BLOCK members; blocks of such levels meet two by two, so a task holds two
+    blocks at a time, however large the cluster is.
     """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "cluster").withColumn("block", F.expr("pmod(key, blocks)")).withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("cluster", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "block", "key", "text")
+    level = F.floor(F.log("n") / float(np.log(100 / percent))).cast("long")
+    members = members.withColumn("level", level)
+    sizes = members.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    near = lambda step, name: sizes.select("cluster", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
+    around = sizes.join(near(1, "below"), ["cluster", "level"], "left").join(near(-1, "above"), ["cluster", "level"], "left")
+    number = lambda step, n: F.expr(f"if({n} is null, array(), transform(sequence(0L, {n} - 1), x -> struct(level + {step} as level, x as block)))")
+    dealt = members.join(around, ["cluster", "level"]).withColumn("own", F.struct("level", F.expr("pmod(xxhash64(key), blocks)").alias("block")))
+    dealt = dealt.withColumn("o", F.explode(F.concat(number(-1, "below"), number(0, "blocks"), number(1, "above"))))
+    place = lambda c: F.col(c)["level"] * (1 << 40) + F.col(c)["block"]
+    dealt = dealt.select("cluster", F.least(place("own"), place("o")).alias("bi"), F.greatest(place("own"), place("o")).alias("bj"), place("own").alias("block"), "key", "text")
     names = ["cluster", "bi", "bj"]
 
     def group(table):
@@ -299,7 +317,7 @@ def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes (a, b) that link; ``texts`` has key and text of every class in them."""
+    """The pairs of classes (a, b) that link; ``texts`` has cid and text of every class in them."""
 
     def run(batches):
         for batch in batches:
@@ -321,14 +339,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(mask)
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, text of the classes in ``wanted`` (key, rep: their smallest doc_id).
+    """cid, text of the classes in ``wanted`` (cid, key, rep: their smallest doc_id).
 
     A bit for each hash of a wanted id goes to the scan (2 MB at most), so
     only texts that may be needed are shuffled; keys are computed again, which
@@ -352,12 +370,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             keys = [_key(v) if len(v) else None for v in shingle_sets(batch.column("text").to_pylist())]
             same = pa.array([k == w for k, w in zip(keys, batch.column("key").to_pylist())], pa.bool_())
-            yield batch.select(["key", "text"]).filter(same)
+            yield batch.select(["cid", "text"]).filter(same)
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null")
     hashed = hashed.withColumn("h", F.xxhash64("rep").bitwiseAND(F.lit((1 << bits) - 1))).mapInArrow(maybe, "rep long, text string")
-    found = wanted.join(hashed, "rep").select("key", "text").mapInArrow(keyed, "key long, text string")
-    return scratch.table(found.dropDuplicates(["key"]), "texts")
+    found = wanted.join(hashed, "rep").select("cid", "key", "text").mapInArrow(keyed, "cid long, text string")
+    return scratch.table(found.dropDuplicates(["cid"]), "texts")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80) -> DataFrame:
@@ -366,35 +384,35 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80) -> Dat
     common = spark.sparkContext.broadcast(_common(docs, percent, scratch))  # at most COMMON_MOST hashes
     every = scratch.table(sets(docs, percent, common), "sets")
     known = every.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix_key").alias("g"))
-    classes = scratch.table(classes, "classes")
-    groups = known.groupBy("prefix_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumnRenamed("prefix_key", "g")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix_key").alias("prefix_key"), F.any_value("prefix").alias("prefix"))
+    # written before it is used, so that a class keeps its number
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    groups = classes.groupBy("prefix_key").agg(F.min("cid").alias("g"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     found = scratch.table(_candidates(_tokens(groups), percent), "candidates")
+    of_prefix = classes.groupBy("prefix_key").agg(F.min("cid").alias("g"))
+    members = scratch.table(classes.select("prefix_key", "cid", "n").join(of_prefix, "prefix_key").select("g", "cid", "n"), "members")
 
-    # Clusters: classes of one group, and of groups that share a shingle with many others.
-    members = classes.select("g", "key")
-    first = members.groupBy("g").agg(F.min("key").alias("first"), F.count("*").alias("size"))
-    of = lambda g, k: first.select(F.col("g").alias(g), F.col("first").alias(k))
-    chains = found.filter("c = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
-    chains = chains.join(of("ga", "a"), "ga").join(of("gb", "b"), "gb").select("a", "b")
-    within = members.join(first.filter("size > 1"), "g").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    clusters = scratch.table(components(chains.unionByName(within), scratch).withColumnRenamed("node", "key").withColumnRenamed("component", "cluster"), "clusters")
+    # Clusters: classes of one group, and of groups that share a shingle with many others; g is a group's first class.
+    chains = found.filter("c = 0").select("a", "b").unionByName(members.filter("cid <> g").select(F.col("g").alias("a"), F.col("cid").alias("b")))
+    clusters = components(chains, scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    clusters = scratch.table(clusters, "clusters")
 
     # Other pairs: groups outside a common cluster share no shingle but the counted ones.
     pairs = found.filter("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     rest = f"floor(({percent} * greatest(na, nb) + 99) / 100) - 1"
     need = f"floor(({percent} * (na + nb) + {99 + percent}) / {100 + percent})"
     pairs = pairs.filter(f"c + {rest} >= {need}").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
-    side = lambda g, k, c: members.join(clusters, "key", "left").select(F.col("g").alias(g), F.col("key").alias(k), F.col("cluster").alias(c))
+    side = lambda g, k, c: members.join(clusters, "cid", "left").select(F.col("g").alias(g), F.col("cid").alias(k), F.col("cluster").alias(c))
     pairs = pairs.join(side("ga", "a", "ca"), "ga").join(side("gb", "b", "cb"), "gb")
     pairs = scratch.table(pairs.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(clusters.select("key")).distinct()
-    texts = _texts(docs, classes.select("key", "rep").join(wanted, "key"), scratch)
-    links = _verify(pairs, texts, percent).unionByName(_compare_blocks(clusters.join(texts, "key"), percent))
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(clusters.select("cid")).distinct()
+    texts = _texts(docs, classes.select("cid", "key", "rep").join(wanted, "cid"), scratch)
+    within = clusters.join(members.select("cid", "n"), "cid").join(texts, "cid").withColumnRenamed("cid", "key")
+    links = _verify(pairs, texts, percent).unionByName(_compare_blocks(within, percent))
     parts = components(scratch.table(links, "links"), scratch)
 
-    classes = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+    classes = classes.select("key", "cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid"))
     ids = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(ids, "c").select("key", "component_id")
     # equal ids with different texts are one document: their components are one
@@ -404,13 +422,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80) -> Dat
 
 def _one_id(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Merge the components of an id that stands in several; most tables have none."""
-    rows = scratch.table(rows, "rows")
+    rows = scratch.table(rows.select("doc_id", "n_shingles", "component_id"), "rows")
     torn = rows.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a <> b").select("a", "b")
-    out = rows.select("doc_id", "n_shingles", "component_id")
     if torn.isEmpty():
-        return out
+        return rows
     joined = components(rows.filter("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), scratch)
-    return out.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_c"), "doc_id", "left").withColumn("component_id", F.coalesce("_c", "component_id")).drop("_c")
+    return rows.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_c"), "doc_id", "left").withColumn("component_id", F.coalesce("_c", "component_id")).drop("_c")
 
 
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
