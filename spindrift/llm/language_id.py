@@ -2,16 +2,20 @@
 
 The kernel of two texts compares the sets of their character n-grams of 1 to
 ``GRAMS`` letters (a blended spectrum, by presence): the size of the
-intersection over the geometric mean of both sizes. Texts are lower-cased,
-runs of other characters than letters become one blank, and letters outside
-the alphabet of the landmarks become one common symbol.
+intersection over the geometric mean of both sizes. Texts are lower-cased and
+runs of other characters than letters become one blank. All n-grams of a text
+count, of any script; an n-gram is one 64-bit number made of its code points,
+so different n-grams never meet.
 
-``fit`` draws at most ``each`` labelled texts of a language, takes
-``landmarks`` of them, maps all by the Nystrom method to the landmarks' space
-and solves one ridge regression for each language against the rest.
-``predict`` writes a batch of texts as a presence matrix over the n-grams of
-the landmarks and scores it by matrix products. Whole texts are read; a long
-one is read in parts that set the same row.
+``fit`` draws at most ``each`` labelled texts of a language and ``most`` in
+all, takes ``landmarks`` of them, maps all by the Nystrom method to the
+landmarks' space and solves one ridge regression for each language against the
+rest. ``predict`` writes a batch of texts as presence matrices over blocks of
+the landmarks' n-grams and scores it by matrix products. Whole texts are read;
+the n-grams of a long one are taken from overlapping parts.
+
+The score is the share of the best language in the sum of all: it compares
+languages and doesn't fall with the length of the text.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 ties go to the language that sorts first; equal texts get equal results; null
@@ -36,86 +40,94 @@ from .samples import balanced, remainder
 GRAMS = 3
 LANDMARKS = 160
 EACH = 400
+MOST = 20_000
 SAMPLE_BYTES = 20_000
-ALPHABET = 120
-FEATURES = 12_000
 RIDGE = 1e-2
 PART = 1 << 18
+#: Landmark n-grams of a presence matrix.
+BLOCK = 8192
 _OTHERS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of a whole text, sorted; a code point takes 21 bits."""
+    clean = " " + _OTHERS.sub(" ", text.lower()).strip() + " "
+    found = []
+    for a in range(0, len(clean), PART):
+        points = np.frombuffer(clean[a : a + PART + GRAMS - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        value = points
+        found.append(value)
+        for n in range(1, GRAMS):
+            value = (value[: len(points) - n] << 21) | points[n:]
+            found.append(value)
+    return np.unique(np.concatenate(found))
+
+
 @dataclass
 class Model:
     labels: list[str]
-    symbols: np.ndarray  # code points of the alphabet, sorted; code 1 is the blank, 0 any other letter
-    table: np.ndarray  # n-gram -> feature, -1 for none
-    landmarks: np.ndarray  # features x landmarks, unit columns
+    features: np.ndarray  # n-grams of the landmarks, sorted
+    bits: np.ndarray  # features x landmarks, packed
+    sizes: np.ndarray  # n-grams of each landmark
     weights: np.ndarray  # landmarks x labels
 
-    def codes(self, text: str) -> np.ndarray:
-        """Symbols of a text: letters of the alphabet, blanks between words, 0 for other letters."""
-        points = np.frombuffer((" " + _OTHERS.sub(" ", text.lower()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(self.symbols, points), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == points, at + 2, np.where(points == 32, 1, 0)).astype(np.int64)
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        width = len(self.symbols) + 2
-        out = np.zeros((len(texts), self.landmarks.shape[0]), np.float32)
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """The kernel of texts and landmarks."""
+        size, rows, columns = [], [], []
         for row, text in enumerate(texts):
-            for a in range(0, max(1, len(text)), PART):
-                codes = self.codes(text[max(0, a - GRAMS) : a + PART])
-                for gram in grams(codes, width):
-                    found = self.table[gram]
-                    out[row, found[found >= 0]] = 1
+            found = grams(text)
+            size.append(len(found))
+            at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
+            at = at[self.features[at] == found]
+            rows.append(np.full(len(at), row))
+            columns.append(at)
+        row, column = np.concatenate(rows), np.concatenate(columns)
+        both = np.zeros((len(texts), len(self.sizes)))
+        for a in range(0, len(self.features), BLOCK):
+            marks = self._marks(a)
+            some = slice(None) if len(self.features) <= BLOCK else (column >= a) & (column < a + BLOCK)
+            presence = np.zeros((len(texts), len(marks)), np.float32)
+            presence[row[some], column[some] - a] = 1
+            both += presence @ marks
+        return both / np.sqrt(np.outer(size, self.sizes))
+
+    def _marks(self, a: int) -> np.ndarray:
+        """The presence of a block of features in the landmarks; the first block is kept."""
+        if a == 0 and getattr(self, "_first", None) is not None:
+            return self._first
+        out = np.unpackbits(self.bits[a : a + BLOCK], axis=1, count=len(self.sizes)).astype(np.float32)
+        if a == 0:
+            self._first = out
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        rows = self.presence(texts)
-        norms = np.sqrt(np.maximum(rows.sum(axis=1), 1))
-        kernel = (rows @ self.landmarks).astype(np.float64) / norms[:, None]
-        return kernel @ self.weights
-
+        return self.kernel(texts) @ self.weights
 
-def grams(codes: np.ndarray, width: int):
-    """The n-grams of 1 to GRAMS symbols as numbers; those of different lengths differ."""
-    value = np.zeros(len(codes), np.int64)
-    base = 0
-    for n in range(1, GRAMS + 1):
-        value = (value[: len(codes) - n + 1] * width + codes[n - 1 :]) if n > 1 else codes
-        yield value + base
-        base += width**n
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_first"}
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Model | None:
-    """A model from labelled texts; the first texts of each label are the landmarks."""
+    """A model from labelled texts; the first texts of each label are the landmarks. None without labelled letters."""
+    known = [(t, k) for t, k in zip(texts, labels) if _LETTER.search(t)]
+    texts, labels = [t for t, _ in known], [k for _, k in known]
     kinds = sorted(set(labels))
     if not kinds:
         return None
-    clean = [_OTHERS.sub(" ", t.lower()) for t in texts]
-    points, counts = np.unique(np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-    keep = points != 32
-    symbols = np.sort(points[keep][np.argsort(-counts[keep], kind="stable")[:ALPHABET]])
-    if not len(symbols):
-        return None
-    width = len(symbols) + 2
-    model = Model(kinds, symbols, np.full(sum(width**n for n in range(1, GRAMS + 1)), -1, np.int32), np.zeros((0, 0)), np.zeros((0, 0)))
     each = max(1, landmarks // len(kinds))
     chosen = [i for k in kinds for i in [j for j, x in enumerate(labels) if x == k][:each]]
-    sets = [np.unique(np.concatenate(list(grams(model.codes(texts[i]), width)))) for i in chosen]
-    features, used = np.unique(np.concatenate(sets), return_counts=True)
-    features = np.sort(features[np.argsort(-used, kind="stable")[:FEATURES]])
-    model.table[features] = np.arange(len(features))
-    model.landmarks = np.zeros((len(features), len(chosen)), np.float32)
-    marks = model.presence([texts[i] for i in chosen])
-    model.landmarks = np.ascontiguousarray((marks / np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))).T)
-    size = marks.sum(axis=1)
-    inner = (marks @ marks.T).astype(np.float64) / np.sqrt(np.maximum(np.outer(size, size), 1))
-    values, vectors = np.linalg.eigh(inner)
+    sets = [grams(texts[i]) for i in chosen]
+    features = np.unique(np.concatenate(sets))
+    presence = np.zeros((len(features), len(chosen)), bool)
+    for column, found in enumerate(sets):
+        presence[np.searchsorted(features, found), column] = True
+    model = Model(kinds, features, np.packbits(presence, axis=1), np.array([len(x) for x in sets], float), np.eye(len(chosen)))
+    inner = model.kernel([texts[i] for i in chosen])
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
-    model.weights = nystrom
-    mapped = np.concatenate([model.scores(texts[a : a + 64]) for a in range(0, len(texts), 64)])
+    mapped = np.concatenate([model.kernel(texts[a : a + 64]) for a in range(0, len(texts), 64)]) @ nystrom
     targets = np.array([[1.0 if x == k else 0.0 for k in kinds] for x in labels])
     gram = mapped.T @ mapped + RIDGE * len(texts) / len(kinds) * np.eye(mapped.shape[1]) * 0.1
     model.weights = nystrom @ np.linalg.solve(gram, mapped.T @ targets)
@@ -123,16 +135,16 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
 
 
 def train(docs: DataFrame, divisor: int, held_out: int, each: int = EACH) -> Model | None:
-    """Fit on rows of ``docs`` (doc_id, text, lang) that aren't held out, at most ``each`` of a language."""
+    """Fit on rows of ``docs`` (doc_id, text, lang) that aren't held out, at most ``each`` of a language and MOST in all."""
     rows = docs.filter(remainder("doc_id", divisor) != held_out)
-    drawn = balanced(rows, "lang", "doc_id", each, SAMPLE_BYTES)
+    drawn = balanced(rows, "lang", "doc_id", each, MOST, SAMPLE_BYTES)
     return fit([r["text"] for r in drawn], [r["label"] for r in drawn])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` (with text) and lang_pred, score, which replace columns of these names; others are kept."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS, FEATURES and ALPHABET
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS texts of SAMPLE_BYTES
 
     def run(batches):
         model = shared.value
@@ -146,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if known:
                     raw = np.clip(model.scores([some[i] for i in known]), 0, 1)
                     best = raw.argmax(axis=1)
-                    top = np.round(raw.max(axis=1) / np.maximum(raw.sum(axis=1), 1), 6)
+                    top = np.round(raw.max(axis=1) / np.maximum(raw.sum(axis=1), 1e-300), 6)
                     for i, b, s in zip(known, best.tolist(), top.tolist()):
                         lang[i], score[i] = model.labels[b], s
                 names += lang

@@ -9,7 +9,8 @@ the text. Two dense layers in numpy give a logit; a temperature and a shift
 fitted on texts that the network hasn't seen turn it into a probability.
 
 ``fit`` uses at most ``each`` labelled texts of a class, weighted by the
-class's share of the labels. Scoring reads whole texts in parts.
+class's share of the labels; of rows with one id it takes the smallest text.
+Scoring reads whole texts in parts.
 
 Defined results: null and empty texts are scored as texts without words;
 equal texts get equal scores; null ids are scored and aren't held out; with
@@ -229,11 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int, held_out: int, each:
     drawn = [r for some in ids.values() for r in some[:each]]
     wanted = docs.sparkSession.createDataFrame(drawn, "doc_id long, quality int")
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter((F.octet_length("text") <= SAMPLE_BYTES))
-    rows = usable.join(F.broadcast(wanted), "doc_id").collect()  # at most 2 * each short rows
-    first: dict = {}
-    for row in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        first.setdefault(row["doc_id"], row)
-    order = sorted(first.values(), key=lambda r: hashlib.blake2b(str(r["doc_id"]).encode()).digest())
+    rows = usable.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # at most 2 * each short rows
+    order = sorted(rows, key=lambda r: hashlib.blake2b(str(r["doc_id"]).encode()).digest())
     return fit([r["text"] for r in order], [r["quality"] for r in order], {k: n / total for k, n in counts.items()})
 
 

@@ -1,10 +1,12 @@
 """URL filtering by listed rules and by mined association rules.
 
 A URL is a set of tokens: host labels, path segments with digits masked, and
-query keys. FP-growth mines token combinations of labelled URLs together with
-their label; combinations that imply ``block`` with enough confidence and
-support, and more surely than any part of them, are the rules. To match, each
-rule is filed under its rarest token (an inverted index): a URL meets only
+query keys. Tokens below the support are left out, and tokens that stand in
+exactly the same labelled URLs count as one, so a long URL that many pages
+share adds one item, not all combinations of its tokens. FP-growth mines
+combinations of these together with the label; combinations that imply
+``block`` with enough confidence and support, and more surely than any part of
+them, are the rules; a rule holds all tokens of its items. To match, each rule is filed under its rarest token (an inverted index): a URL meets only
 rules filed under one of its tokens, and holds a rule if it has all the rest.
 
 Everything runs on DataFrames. Tokens are matched for distinct URLs, so a URL
@@ -53,17 +55,35 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(labels, segments, keys))
 
 
-def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules from ``urls`` (u, bad boolean): tokens, n, anchor, confidence, support."""
-    marked = urls.filter(F.col("bad").isNotNull()).select(
-        F.when(F.col("bad"), F.concat(tokens(F.col("u")), F.array(F.lit(BLOCK)))).otherwise(tokens(F.col("u"))).alias("items")
-    )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions(urls.sparkSession)).fit(marked)
+def transactions(urls: DataFrame, support: float) -> tuple[DataFrame, DataFrame]:
+    """(items, classes) of ``urls`` (u, bad boolean): the items of each row, and token, item, freq of the frequent tokens.
+
+    Tokens with the same number of rows and the same sums of two 64-bit hashes
+    over them stand in the same rows; the smallest names the item.
+    """
+    marked = urls.filter(F.col("bad").isNotNull())
+    spread = marked.select("u", F.explode(tokens(F.col("u"))).alias("token"))
+    total = marked.agg(F.count("*").alias("total"))
+    sums = [F.sum(F.xxhash64("u", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    frequent = spread.groupBy("token").agg(F.count("*").alias("freq"), *sums).crossJoin(total).filter(F.col("freq") >= F.col("total") * support)
+    named = frequent.groupBy("freq", "s1", "s2").agg(F.min("token").alias("item"))
+    classes = frequent.join(named, ["freq", "s1", "s2"]).select("token", "item", "freq")
+    numbered = marked.withColumn("row", F.monotonically_increasing_id())  # before tokens are spread
+    held = numbered.select("bad", "row", F.explode_outer(tokens(F.col("u"))).alias("token")).join(classes.select("token", "item"), "token", "left")
+    held = held.groupBy("row", "bad").agg(F.collect_set("item").alias("items"))
+    return held.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), classes
+
+
+def mine(urls: DataFrame, scratch: Scratch, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules from ``urls`` (u, bad boolean): tokens, n, anchor, confidence, support, lift."""
+    items, classes = transactions(urls, support)
+    items, classes = scratch.table(items, "items"), scratch.table(classes, "classes")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions(urls.sparkSession)).fit(items)
     rules = model.associationRules.filter(F.col("consequent")[0] == BLOCK).filter("size(consequent) = 1 and lift > 1")
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.size("antecedent").alias("n"), "confidence", "support")
-    single = model.freqItemsets.filter("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    anchors = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return rules.join(anchors, "tokens")
+    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support", "lift")
+    whole = rules.select("items", F.explode("items").alias("item")).join(classes, "item").groupBy("items")
+    whole = whole.agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    return rules.join(whole, "items").select("tokens", F.size("tokens").alias("n"), "anchor", "confidence", "support", "lift")
 
 
 def prune(rules: DataFrame) -> DataFrame:
@@ -98,7 +118,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], scr
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("u"))
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    mined = scratch.table(prune(scratch.table(mine(rows.join(bad, "page_id")), "mined")), "rules")
+    mined = scratch.table(prune(scratch.table(mine(rows.join(bad, "page_id"), scratch), "mined")), "rules")
     held = match(rows.filter("u is not null").select("u").distinct(), mined)
     host, path = host_and_path(F.col("u"))
     parts = rows.join(held, "u", "left").select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "confidence")

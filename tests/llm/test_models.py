@@ -28,22 +28,58 @@ def test_held_out_is_the_remainder(spark):
     assert got == {(i, zlib.crc32(str(i).encode()) % 3 == 1) for (i,) in sql}
 
 
-def test_kernel_is_the_cosine_of_gram_sets():
-    texts = ["the cat sat", "der hund lief", "the cat ran", "ein hund sass"]
-    model = language_id.fit(texts, ["en", "de", "en", "de"], landmarks=4)
-    width = len(model.symbols) + 2
-    sets = [set(np.concatenate(list(language_id.grams(model.codes(t), width))).tolist()) for t in texts]
-    rows = model.presence(texts)
-    got = rows @ model.landmarks / np.sqrt(rows.sum(axis=1))[:, None]
-    order = [1, 3, 0, 2]  # landmarks by label
-    expected = [[len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5 for j in order] for i in range(4)]
-    assert np.allclose(got, expected, atol=1e-6)
-
-
-def test_long_texts_are_read_whole():
+def brute_grams(text):
+    clean = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    return {clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)}
+
+
+KERNEL = ["the cat sat", "der hund lief", "the cat ran", "ein hund sass", "日本語の文章", "日本の言葉です", "x1y2"]
+
+
+def brute_kernel(left, right):
+    a, b = [brute_grams(t) for t in left], [brute_grams(t) for t in right]
+    return np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+
+
+def test_kernel_is_the_cosine_of_whole_gram_sets(monkeypatch):
+    labels = ["en", "de", "en", "de", "ja", "ja", "en"]
+    for block in (8192, 7):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        model = language_id.fit(KERNEL, labels, landmarks=9)
+        order = [k for kind in ("de", "en", "ja") for k, x in enumerate(labels) if x == kind]
+        texts = [*KERNEL, "niemals gesehen", "кириллица", "完全に別の文字"]
+        assert np.allclose(model.kernel(texts), brute_kernel(texts, [KERNEL[i] for i in order]))
+
+
+def test_scores_are_those_of_kernel_ridge_regression():
+    """With every text as a landmark the Nystrom map is exact, so the scores are K (K + ridge)^-1 Y."""
+    labels = ["en", "de", "en", "de", "ja", "ja", "en"]
+    model = language_id.fit(KERNEL, labels, landmarks=9)
+    k = brute_kernel(KERNEL, KERNEL)
+    targets = np.array([[float(x == kind) for kind in ("de", "en", "ja")] for x in labels])
+    ridge = language_id.RIDGE * len(labels) / 3 * 0.1
+    texts = ["the dog", "das haus", "文章"]
+    assert np.allclose(model.scores(texts), brute_kernel(texts, KERNEL) @ np.linalg.solve(k + ridge * np.eye(len(labels)), targets), atol=1e-6)
+
+
+def test_long_texts_are_read_whole(monkeypatch):
     model = language_id.fit(["the cat sat on the mat", "der hund lief schnell weg"], ["en", "de"], landmarks=2)
-    text = "1 " * language_id.PART + "der hund lief schnell weg"
-    assert model.presence([text]).sum() > 20 and model.scores([text]).argmax() == 0
+    assert model.scores(["1 " * language_id.PART + "der hund lief schnell weg"]).argmax() == 0
+    text = "ein langer text ohne ende und zahl 123 donaudampfschifffahrt"
+    whole = language_id.grams(text)
+    for part in (1, 2, 5, 16):
+        monkeypatch.setattr(language_id, "PART", part)
+        assert (language_id.grams(text) == whole).all() and len(whole) == len(brute_grams(text))
+
+
+def test_samples_take_an_id_once(spark):
+    from spindrift.llm.samples import balanced
+
+    rows = spark.createDataFrame([(7, "b", "en")] * 500 + [(7, "a", "en")] + [(i, f"t{i}", "de") for i in range(50)] + [(i, "x", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    drawn = balanced(rows, "lang", "doc_id", 10, 30, 100)
+    assert len(drawn) <= 30 and [r["text"] for r in drawn if r["label"] == "en"] in ([], ["a"])
+    assert [r["text"] for r in balanced(rows, "lang", "doc_id", 10, 1000, 100) if r["label"] == "en"] == ["a"]
+    assert sum(r["label"] == "de" for r in balanced(rows, "lang", "doc_id", 10, 1000, 100)) == 10
 
 
 def test_language_of_odd_texts(spark):
@@ -143,6 +179,56 @@ def test_planted_combinations_are_mined(spark):
     assert judged(spark, pages, labels, [("allow", "net/track/7")])[1000]["verdict"] == "allow"
 
 
+def brute_mined(rows, support, confidence):
+    """Rules of (tokens, bad) by all subsets of tokens; of those with the same rows only the largest."""
+    from itertools import combinations
+
+    best = {}
+    for tokens in {t for t, _ in rows}:
+        for n in range(1, len(tokens) + 1):
+            for some in combinations(sorted(tokens), n):
+                at = tuple(i for i, (t, _) in enumerate(rows) if set(some) <= t)
+                if len(at) >= support * len(rows):
+                    best[at] = max(best.get(at, ()), some, key=lambda x: (len(x), x))
+    share = sum(b for _, b in rows) / len(rows)
+    out = {}
+    for at, some in best.items():
+        bad = sum(rows[i][1] for i in at)
+        if bad >= support * len(rows) and bad / len(at) >= confidence and bad / len(at) > share:
+            out[some] = round(bad / len(at), 9)
+    return out
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        host, words = rng.choice(["a.net", "b.net", "c.org"]), rng.sample(["x", "y", "z", "w"], rng.randint(0, 3))
+        rows.append((f"http://{host}/{'/'.join(words)}", bool(("x" in words and host == "a.net") or rng.random() < 0.2)))
+    rows += [("http://long.net/" + "/".join(f"s{chr(97 + k)}" for k in range(24)), True)] * 12 + [(None, True), ("plain", False), ("http://a.net/x", None)]
+    urls = spark.createDataFrame(rows, "u string, bad boolean")
+    scratch = Scratch(spark, "t")
+    got = {tuple(r["tokens"]): r for r in url_rules.mine(urls, scratch, 0.05, 0.6).collect()}
+    listed = [(r["t"], r["bad"]) for r in urls.select(url_rules.tokens(F.col("u")).alias("t"), "bad").collect()]
+    sets = [(frozenset(t or ()), bool(b)) for t, b in listed if b is not None]
+    short = [(frozenset(x for x in t if not x.startswith("p:s") and x != "h:long"), b) for t, b in sets]
+    expected = brute_mined(short, 0.05, 0.6)
+    long = tuple(sorted(next(t for t, _ in sets if "h:long" in t) - {"h:net"}))
+    assert len(long) == 25 and got[long]["confidence"] == 1.0 and got[tuple(sorted((*long, "h:net")))]["n"] == 26
+    mine = {t: round(r["confidence"], 9) for t, r in got.items() if "h:long" not in t}
+    closed = {t: c for t, c in expected.items() if t}
+    assert closed and {t: c for t, c in mine.items() if t in closed} == closed
+    for t, c in mine.items():  # others have the rows of a larger one
+        at = [b for s, b in short if set(t) <= s]
+        assert round(sum(at) / len(at), 9) == c and len(at) >= 0.05 * len(short)
+
+
+def test_very_long_urls_are_judged(spark):
+    url = "http://a.net/" + "/".join(f"part{i}x" for i in range(4000)) + "?" + "&".join(f"k{i}=1" for i in range(2000))
+    got = judged(spark, [(i, url) for i in range(40)] + [(100, "http://b.net/")], [(i, 0, 0) for i in range(40)] + [(100, 1, 0)], [])
+    assert {got[i]["verdict"] for i in range(40)} == {"block"} and got[100]["verdict"] == "allow"
+
+
 def test_rules_match_as_by_brute_force(spark):
     rules = spark.createDataFrame([(["h:a", "p:x"], 2, "p:x", 0.9, 0.1), (["h:b"], 1, "h:b", 0.8, 0.1), (["h:b", "p:x"], 2, "h:b", 0.8, 0.1)], "tokens array<string>, n int, anchor string, confidence double, support double")
     assert len(url_rules.prune(rules).collect()) == 2
