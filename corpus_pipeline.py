@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it
 kept, and returns a DataFrame; all but the last return the columns of
 ``documents``.
+
+Defined results: null and empty texts are scored as texts without words and
+have no language, so they go in the first or second stage; equal rows are
+judged alike, and near duplicates keep one of them. Rows that share an id are
+one document, of which the row with the smallest text stays; rows without an
+id can't be grouped and stay. Columns may be null. An empty table gives an
+empty result of each stage.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from spindrift.llm import jaccard_join, language_id, packing, quality
 from spindrift.llm.common import Scratch, small_batches
 from spindrift.llm.tokens import default_path
 
-#: A language is rejected below this share of its score; four equal ones have 0.25.
+#: A language is rejected below this share of the scores of all; four equal ones have 0.25.
 LEAST_LANGUAGE = 0.3
 
 
@@ -38,11 +45,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; documents without an id stay."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Only rows of repeated ids are shuffled with their texts, to find the
+    smallest; documents without an id stay.
+    """
     groups = jaccard_join.near_duplicates(docs, Scratch(spark, "groups"))
-    kept = groups.filter("doc_id = component_id").select("doc_id")
-    single = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return single.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    kept = groups.filter("doc_id = component_id").groupBy("doc_id").count()
+    once = docs.join(kept.filter("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    several = docs.join(kept.filter("count > 1").select("doc_id"), "doc_id", "left_semi")
+    order = F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    several = several.groupBy("doc_id").agg(F.min(order).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return once.unionByName(several).unionByName(docs.filter("doc_id is null"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
