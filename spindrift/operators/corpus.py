@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK_WIDE, char_ngrams, nfkc
+from ..sources.files import shared_folder
 
 # The patterns of the cleaning steps.
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
@@ -387,10 +386,10 @@ def _band(values) -> bytes:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage, in the folder that the session names; one of our own only if none is set."""
+    """``df`` cut off from its lineage, in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -49,16 +49,18 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool =
 def paths(edges: DataFrame, targets: DataFrame, depth: int = 5, most: int = 3) -> DataFrame:
     """Shortest paths that end at each target, up to ``most``: target, path, length, rank. An edge is used once in a path, a node may recur.
 
-    Only paths that can still matter are extended: a target that has ``most``
-    shorter paths already gets no longer ones.
+    A target that has ``most`` paths gets no longer ones, so fewer than
+    ``most`` paths of a target are ever extended.
     """
     step = edges.select("source", "target").distinct()
-    front = targets.select("target", F.col("target").alias("at"), F.array("target").alias("path"), F.array().cast("array<string>").alias("used"))
+    front = targets.select("target", F.col("target").alias("at"), F.array("target").alias("path"), F.array().cast("array<string>").alias("used"), F.lit(0).cast("long").alias("found"))
     out = None
     for n in range(1, depth + 1):
+        front = front.filter(F.col("found") < most)
         key = F.concat_ws("\u0001", F.col("e.source"), F.col("e.target"))
         front = front.alias("f").join(step.alias("e"), F.col("f.at") == F.col("e.target")).filter(~F.array_contains("f.used", key))
-        front = front.select("f.target", F.col("e.source").alias("at"), F.concat(F.array("e.source"), "f.path").alias("path"), F.array_append("f.used", key).alias("used"))
+        front = front.select("f.target", F.col("e.source").alias("at"), F.concat(F.array("e.source"), "f.path").alias("path"), F.array_append("f.used", key).alias("used"), "f.found")
+        front = front.withColumn("found", F.col("found") + F.count("*").over(Window.partitionBy("target")))
         one = front.select("target", "path", F.lit(n).alias("length"))
         out = one if out is None else out.unionByName(one)
     ranked = out.withColumn("_p", F.array_join("path", "\u0001"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import chunking
 from ..streaming import tracking
+from ..sources.files import shared_folder
 from .registry import query, table
-from .tracing_queries import _events
+from .tracing_queries import EVENTS_SQL, HISTORY_SQL, _events, _expanded
 
 
 @query()
@@ -25,26 +25,36 @@ def sentence_split(spark, sf_dir):
 
 def _stream(spark, sf_dir, build):
     """Run a stream over the events to its end and read its output."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-    _events(spark, sf_dir).select("user_id", "kp", "ts", "event_id", "delta").repartition(4).write.parquet(f"{folder}/events")
-    events = spark.readStream.schema("user_id long, kp long, ts timestamp, event_id long, delta double").option("maxFilesPerTrigger", "1000").parquet(f"{folder}/events")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    rows = _events(spark, sf_dir).select("user_id", "kp", "ts", "event_id", "delta")
+    rows.unionByName(tracking.closing_row(rows)).write.parquet(f"{folder}/events")
+    events = spark.readStream.schema("user_id long, kp long, ts timestamp, event_id long, delta double").parquet(f"{folder}/events")
     out = build(events)
     q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").filter("user_id >= 0")
 
 
-@query()
+@query(_expanded(f"""
+WITH RECURSIVE {HISTORY_SQL}
+SELECT user_id, kp, event_id, round(mastery, 9) AS mastery, round(confidence, 6) AS confidence, round(change, 9) AS delta, false AS late FROM h
+"""))
 def stream_mastery(spark, sf_dir):
-    return _stream(spark, sf_dir, lambda e: tracking.mastery_stream(e, "1 minute"))
+    out = _stream(spark, sf_dir, lambda e: tracking.mastery_stream(e, "1 minute"))
+    return out.select("user_id", "kp", "event_id", F.round("mastery", 9).alias("mastery"), F.round("confidence", 6).alias("confidence"), F.round("delta", 9).alias("delta"), "late")
 
 
-@query()
+@query(f"WITH {EVENTS_SQL} SELECT user_id, CAST(ts AS DATE) AS day, round(avg(delta), 6) AS avg_delta, count(*) AS event_count FROM dl GROUP BY ALL")
 def stream_daily_trend(spark, sf_dir):
     return _stream(spark, sf_dir, lambda e: tracking.daily_trend_stream(e, "1 minute"))
 
 
-@query()
+@query(f"""
+WITH {EVENTS_SQL}, g AS (
+  SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM dl
+), n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS event_count FROM n GROUP BY user_id, session
+""")
 def stream_sessions(spark, sf_dir):
-    return _stream(spark, sf_dir, lambda e: tracking.session_stream(e, delay="1 minute"))
+    out = _stream(spark, sf_dir, lambda e: tracking.session_stream(e, delay="1 minute"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "event_count")

@@ -144,42 +144,28 @@ def dedup_per_file(spark, sf_dir):
 
 
 GRAMS_SQL = """
-g AS (SELECT item_id AS doc_id, CASE WHEN length(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) END AS g
-  FROM (SELECT item_id, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM benchmark))"""
+g AS (SELECT doc_id, CASE WHEN length(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) END AS g
+  FROM (SELECT doc_id, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM documents))"""
 
 
 @query(f"""
-WITH {GRAMS_SQL}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.doc_id < b.doc_id)
-SELECT a, b, round(i / CAST(s - i AS DOUBLE), 6) AS similarity FROM p WHERE s > i AND i / CAST(s - i AS DOUBLE) >= 0.2
-""")
+WITH {GRAMS_SQL}, e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / CAST(a.n + b.n - count(*) AS DOUBLE) AS s FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.9
+""", also="near_dup_jaccard_documents")
 def near_dup_jaccard(spark, sf_dir):
-    return corpus.ngram_pairs(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 0.2)
-
-
-@query()
-def minhash_candidates(spark, sf_dir):
-    return corpus.minhash_candidates(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 64, 32)
-
-
-@query(f"WITH {GRAMS_SQL} SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM g")
-def shingle_counts(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.size(T.char_ngrams(F.col("text"), 3)).cast("long").alias("n"))
-
-
-@query()
-def near_dup_jaccard_documents(spark, sf_dir):
     """All near copies among ``documents``, with the reference's threshold of 0.9."""
     return corpus.near_pairs(_docs(spark, sf_dir), 0.9)
 
 
-@query()
-def minhash_candidates_documents(spark, sf_dir):
+@query(also="minhash_candidates_documents")
+def minhash_candidates(spark, sf_dir):
     """128 permutations as in the reference, in 8 bands for its threshold of 0.9."""
     return corpus.minhash_pairs(_docs(spark, sf_dir), 128, 8)
 
 
-@query()
-def shingle_counts_documents(spark, sf_dir):
+@query(f"WITH {GRAMS_SQL} SELECT doc_id, CAST(coalesce(len(g), -1) AS BIGINT) AS n FROM g", also="shingle_counts_documents")
+def shingle_counts(spark, sf_dir):
     return corpus.gram_counts(_docs(spark, sf_dir))
 
 

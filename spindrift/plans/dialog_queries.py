@@ -126,22 +126,12 @@ def stage_timing(spark, sf_dir):
     return evaluate.stage_timing(d, ["total_ms", "rrf_ms", "rerank_ms"])
 
 
-@query("""
-WITH p AS (SELECT source AS query_id, 'r' || (doc_id % 5) AS route, sum(1.0::DOUBLE / (20 + n_chars % 30)) AS own FROM documents WHERE (doc_id % 50) % 7 <> 0 GROUP BY ALL), q AS (SELECT DISTINCT query_id FROM p), r AS (SELECT DISTINCT route FROM p),
-d AS (SELECT route, round(-coalesce(own, 0), 6) AS delta FROM q CROSS JOIN r LEFT JOIN p USING (query_id, route))
-SELECT route, round(avg(delta), 6) AS mean_delta, count(*) AS queries, count(DISTINCT delta) AS n_distinct FROM d GROUP BY route
-""")
-def route_ablation(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("(doc_id % 50) % 7 <> 0")
-    return evaluate.route_ablation(d.select(F.col("source").alias("query_id"), F.concat(F.lit("r"), F.col("doc_id") % 5).alias("route"), F.col("doc_id").alias("key"), (1.0 / (20 + F.col("n_chars") % 30)).alias("part")))
-
-
 @query("""
 WITH p AS (SELECT source AS query_id, 'r' || (doc_id % 5) AS route, sum(1.0::DOUBLE / (20 + n_chars % 30)) AS own FROM documents GROUP BY ALL), q AS (SELECT DISTINCT query_id FROM p), r AS (SELECT DISTINCT route FROM p),
 d AS (SELECT route, round(-coalesce(own, 0), 6) AS delta FROM q CROSS JOIN r LEFT JOIN p USING (query_id, route))
 SELECT route, round(avg(delta), 6) AS mean_delta, count(*) AS queries, count(DISTINCT delta) AS n_distinct FROM d GROUP BY route
-""")
-def route_ablation_all(spark, sf_dir):
+""", also="route_ablation_all")
+def route_ablation(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return evaluate.route_ablation(d.select(F.col("source").alias("query_id"), F.concat(F.lit("r"), F.col("doc_id") % 5).alias("route"), F.col("doc_id").alias("key"), (1.0 / (20 + F.col("n_chars") % 30)).alias("part")))
 

@@ -11,16 +11,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query under its function's name, and its SQL if SQL can express it."""
+def query(sql: str | None = None, name: str | None = None, also: str | None = None):
+    """Register a query under its function's name, and under ``also``, an older name that stays valid; its SQL if SQL can express it."""
 
     def add(f):
-        key = name or f.__name__
-        if key in QUERIES:
-            raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = f
-        if sql:
-            ORACLES[key] = sql
+        for key in (name or f.__name__, also):
+            if key in QUERIES:
+                raise ValueError(f"query {key} is registered twice")
+            if key:
+                QUERIES[key] = f
+                if sql:
+                    ORACLES[key] = sql
         return f
 
     return add

@@ -99,7 +99,7 @@ def recall_routes(spark, sf_dir):
 
 
 SUMMARY_SQL = """
-e AS (SELECT source AS query_id, lang AS source, text AS content, CASE WHEN doc_id % 2 = 0 THEN (n_chars % 100) / 100.0::DOUBLE ELSE 0.0 END AS rerank_score, (n_chars % 50) / 500.0::DOUBLE AS recall_score, doc_id FROM documents WHERE doc_id % 9 < 3),
+e AS (SELECT source AS query_id, lang AS source, text AS content, CASE WHEN doc_id % 2 = 0 THEN (n_chars % 100) / 100.0::DOUBLE ELSE 0.0 END AS rerank_score, (n_chars % 50) / 500.0::DOUBLE AS recall_score, doc_id FROM documents),
 p AS (SELECT *, CASE WHEN rerank_score > 0 THEN rerank_score WHEN recall_score > 0 THEN recall_score ELSE 0.0 END AS ps FROM e),
 s AS (SELECT query_id, count(*) AS n, avg(ps) AS avg_score, count(*) FILTER (WHERE rerank_score > 0) AS n_rerank, count(DISTINCT source) AS n_sources, count(*) FILTER (WHERE length(trim(content)) < 50) AS n_thin, sum(length(content)) AS total_length,
   count(DISTINCT trim(substring(content, 1, 120))) AS n_heads, count(*) FILTER (WHERE ps < 0.1) AS low_a, count(*) FILTER (WHERE ps < 0.03) AS low_b FROM p GROUP BY query_id),
@@ -110,13 +110,13 @@ o AS (SELECT *, (c1 * 0.2 + c2 * 0.2 + c3 * 0.1 + c4 * 0.15 + c5 * 0.05 + 0.5 *
 v AS (SELECT *, CASE WHEN NOT (ok2 AND ok7) THEN 'hard_fail' WHEN overall >= 0.6 THEN 'pass' WHEN overall >= 0.35 THEN 'soft_fail' ELSE 'hard_fail' END AS verdict FROM o)"""
 
 
-def _summary(spark, sf_dir, only="doc_id % 9 < 3"):
-    d = table(spark, sf_dir, "documents").filter(only)
+def _summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
     e = d.select(F.col("source").alias("query_id"), F.col("lang").alias("source"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, (F.col("n_chars") % 100) / 100.0).otherwise(0.0).alias("rerank_score"), ((F.col("n_chars") % 50) / 500.0).alias("recall_score"), F.lit(0.0).alias("score"))
     return verify.summarize(e).withColumns({"n_kg": F.lit(0), "kg_confidence": F.lit(0.0), "context_length": F.col("total_length")})
 
 
-@query(f"WITH {SUMMARY_SQL} SELECT query_id, round(overall, 6) AS overall, verdict FROM v")
+@query(f"WITH {SUMMARY_SQL} SELECT query_id, round(overall, 6) AS overall, verdict FROM v", also="evidence_verdict_all")
 def evidence_verdict(spark, sf_dir):
     return verify.verify(_summary(spark, sf_dir)).select("query_id", "overall", "verdict")
 
@@ -125,20 +125,7 @@ def evidence_verdict(spark, sf_dir):
 WITH {SUMMARY_SQL} SELECT query_id, concat_ws(',', CASE WHEN NOT ok2 THEN 'score_quality' END, CASE WHEN NOT ok3 THEN 'source_diversity' END, CASE WHEN NOT ok4 THEN 'content_sufficiency' END, CASE WHEN NOT ok5 THEN 'duplication' END, CASE WHEN NOT ok7 THEN 'final_context' END) AS failed,
   CASE WHEN verdict <> 'pass' AND NOT ok7 THEN 8 WHEN verdict <> 'pass' AND NOT ok3 THEN 7 WHEN verdict <> 'pass' AND NOT ok5 THEN 4 END AS hint_k, CASE WHEN verdict <> 'pass' AND NOT ok2 THEN 0.03::DOUBLE END AS hint_threshold, CASE WHEN verdict <> 'pass' AND NOT ok2 THEN true END AS hint_rerank,
   CASE WHEN verdict <> 'pass' AND (NOT ok4 OR NOT ok7) THEN 6000 END AS hint_tokens FROM v
-""")
+""", also="retry_hints_all")
 def retry_hints(spark, sf_dir):
     return verify.verify(_summary(spark, sf_dir)).drop("overall", "verdict")
 
-
-#: The same over all documents.
-SUMMARY_ALL_SQL = SUMMARY_SQL.replace(" WHERE doc_id % 9 < 3", "")
-
-
-@query(f"WITH {SUMMARY_ALL_SQL} SELECT query_id, round(overall, 6) AS overall, verdict FROM v")
-def evidence_verdict_all(spark, sf_dir):
-    return verify.verify(_summary(spark, sf_dir, "true")).select("query_id", "overall", "verdict")
-
-
-@query(registry.ORACLES["retry_hints"].replace(SUMMARY_SQL, SUMMARY_ALL_SQL))
-def retry_hints_all(spark, sf_dir):
-    return verify.verify(_summary(spark, sf_dir, "true")).drop("overall", "verdict")

@@ -56,49 +56,13 @@ def query_terms(spark, sf_dir):
     return _queries(spark, sf_dir).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
-@query("""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q, v WHERE q.vec_id < 20
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
-""")
-def vector_topk(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    return search.vector_top_k(v.select("vec_id", "embedding"), v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", "similarity", "rank")
-
-
-@query("""
-WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v USING (label) WHERE q.vec_id < 20
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
-""")
-def vector_topk_filtered(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    return search.vector_top_k(v.select("vec_id", "label", "embedding"), v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label", "embedding"), 3, same="label").select("query_id", "vec_id", "similarity", "rank")
-
-
-@query("""
-WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
-  SELECT p.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(p.e, v.e), 6) AS similarity
-  FROM v p JOIN v ON p.label = v.label AND v.vec_id >= 50 AND v.vec_id * 10 <= p.vec_id * 10 + 3000 AND p.vec_id * 10 + 3000 - v.vec_id * 10 <= 1800 WHERE p.vec_id < 50
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, similarity, similarity >= 0.88 AS hit FROM r WHERE rank = 1
-""")
-def semantic_cache_lookup(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "collection")
-    entries = v.filter("vec_id >= 50").select("vec_id", "collection", "embedding", (F.col("vec_id") * 10).alias("stored_at"))
-    probes = v.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), "collection", "embedding", (F.col("vec_id") * 10 + 3000).alias("asked_at"))
-    return search.semantic_cache_lookup(entries, probes)
-
-
 @query("""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q, v WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
-""")
-def vector_topk_all(spark, sf_dir):
+""", also="vector_topk_all")
+def vector_topk(spark, sf_dir):
     """Every hundredth vector as a query, so the batch grows with the table."""
     v = table(spark, sf_dir, "embeddings")
     return search.vector_top_k(v.select("vec_id", "embedding"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", "similarity", "rank")
@@ -109,8 +73,8 @@ WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embedding
   SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v USING (label) WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
-""")
-def vector_topk_filtered_all(spark, sf_dir):
+""", also="vector_topk_filtered_all")
+def vector_topk_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return search.vector_top_k(v.select("vec_id", "label", "embedding"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding"), 3, same="label").select("query_id", "vec_id", "similarity", "rank")
 
@@ -121,8 +85,8 @@ WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, vec_id * 7 %
   FROM v p JOIN v ON p.label = v.label AND v.stored_at <= p.asked_at AND p.asked_at - v.stored_at <= 1800 WHERE p.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, similarity, similarity >= 0.88 AS hit FROM r WHERE rank = 1
-""")
-def semantic_cache_lookup_all(spark, sf_dir):
+""", also="semantic_cache_lookup_all")
+def semantic_cache_lookup(spark, sf_dir):
     """All vectors as entries; times repeat over the ids, so live entries come from the whole table."""
     v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "collection")
     entries = v.select("vec_id", "collection", "embedding", (F.col("vec_id") * 7 % 3600).alias("stored_at"))
@@ -233,21 +197,6 @@ def window_expand(spark, sf_dir):
     return fusion.window_expand(_hits(chunks), chunks.select("section", "chunk_index", "tokens"), 2, 3000)
 
 
-@query(f"""
-WITH {CHUNKS_SQL}, p AS (SELECT section AS parent_id, string_agg(text, '' ORDER BY chunk_index) AS text FROM chunks WHERE chunk_index < 3 GROUP BY section),
-h AS (SELECT query_id, h.section AS parent_id, h.chunk_index, rank, length(c.text) AS n_chars FROM hits h JOIN chunks c ON h.section = c.section AND h.chunk_index = c.chunk_index WHERE rank <= 10),
-f AS (SELECT query_id, parent_id, rank, n_chars, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM h),
-l AS (SELECT query_id, f.parent_id, rank, CAST(floor(length(p.text) * 0.25) AS BIGINT) AS tokens FROM f JOIN p USING (parent_id) WHERE n = 1 AND length(p.text) > n_chars + 40),
-u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l)
-SELECT query_id, parent_id, CAST(rank AS INTEGER) AS rank, tokens, used FROM u WHERE used <= 12000
-""")
-def parent_window(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    parents = chunks.filter("chunk_index < 3").groupBy(F.col("section").alias("parent_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c")).select("parent_id", F.expr("array_join(transform(c, x -> x.text), '')").alias("text"))
-    hits = _hits(chunks).join(chunks.select("section", "chunk_index", F.length("text").alias("n_chars")), ["section", "chunk_index"])
-    return fusion.parent_window(hits.select("query_id", "rank", F.col("section").alias("parent_id"), "n_chars"), parents)
-
-
 #: Parents are this many consecutive chunks of a source.
 PARENT_CHUNKS = 3
 
@@ -259,8 +208,8 @@ f AS (SELECT query_id, parent_id, rank, n_chars, row_number() OVER (PARTITION BY
 l AS (SELECT query_id, f.parent_id, rank, CAST(floor(length(p.text) * 0.25) AS BIGINT) AS tokens FROM f JOIN p USING (parent_id) WHERE n = 1 AND length(p.text) > n_chars + 40),
 u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l)
 SELECT query_id, parent_id, CAST(rank AS INTEGER) AS rank, tokens, used FROM u WHERE used <= 12000
-""")
-def parent_window_all(spark, sf_dir):
+""", also="parent_window_all")
+def parent_window(spark, sf_dir):
     """Every source is cut into consecutive parents, and a hit takes the one that holds it."""
     chunks = _chunks(spark, sf_dir).withColumn("parent_id", F.concat_ws(":", "section", F.expr(f"chunk_index div {PARENT_CHUNKS}")))
     hits = _hits(chunks).join(chunks.select("section", "chunk_index", "parent_id", F.length("text").alias("n_chars")), ["section", "chunk_index"]).select("query_id", "rank", "parent_id", "n_chars")

@@ -134,28 +134,15 @@ def weak_points(spark, sf_dir):
     return rows.select("user_id", "kp", "name", "category", F.round("effective_score", 3).alias("effective_score"), "interactions", "rank")
 
 
-@query(_expanded(f"""
-WITH RECURSIVE {STATES_SQL}, reg AS (SELECT DISTINCT kp, category, kp // 10 AS chapter FROM es WHERE kp % 4 = 1)
-SELECT u.user_id, reg.chapter, count(*) AS points, count(es.kp) AS tracked, round(avg(coalesce(round(em, 3), 0)), 3) AS avg_mastery
-FROM (SELECT DISTINCT user_id FROM es WHERE user_id < 20) u CROSS JOIN reg LEFT JOIN es ON es.user_id = u.user_id AND es.kp = reg.kp GROUP BY ALL
-"""))
-def category_detail(spark, sf_dir):
-    return _category_detail(spark, sf_dir, "user_id < 20")
-
-
 @query(_expanded(f"""
 WITH RECURSIVE {STATES_SQL}, reg AS (SELECT DISTINCT kp, category, kp // 10 AS chapter FROM es WHERE kp % 4 = 1)
 SELECT u.user_id, reg.chapter, count(*) AS points, count(es.kp) AS tracked, round(avg(coalesce(round(em, 3), 0)), 3) AS avg_mastery
 FROM (SELECT DISTINCT user_id FROM es) u CROSS JOIN reg LEFT JOIN es ON es.user_id = u.user_id AND es.kp = reg.kp GROUP BY ALL
-"""))
-def category_detail_all(spark, sf_dir):
-    return _category_detail(spark, sf_dir)
-
-
-def _category_detail(spark, sf_dir, only="true"):
+"""), also="category_detail_all")
+def category_detail(spark, sf_dir):
     e = _effective(spark, sf_dir).select("user_id", "kp", "effective_mastery")
     reg = _registry(spark, sf_dir).filter("category = 'computer_organization'")
-    users = e.filter(only).select("user_id").distinct()
+    users = e.select("user_id").distinct()
     rows = users.crossJoin(F.broadcast(reg.select("kp", "chapter"))).join(e, ["user_id", "kp"], "left")
     return rows.groupBy("user_id", "chapter").agg(F.count("*").alias("points"), F.count("effective_mastery").alias("tracked"), F.round(F.avg(F.coalesce(F.round("effective_mastery", 3), F.lit(0.0))), 3).alias("avg_mastery"))
 

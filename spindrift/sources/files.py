@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import re
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,17 @@ ENCODINGS = ("utf-8-sig", "gb18030", "gbk", "gb2312", "big5")
 READABLE = ("txt", "md")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one only if none is set and Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spindrift-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 @functools.cache
 def _decoder():
     @F.pandas_udf("string")

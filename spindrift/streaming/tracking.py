@@ -3,7 +3,9 @@
 The state of a (user, point) pair holds its last state and the events that
 the watermark hasn't passed; they are applied in the order of (ts, event_id)
 once it has, so the result equals the batch fold on the same events. Events
-older than what was applied go to the late output.
+older than what was applied go to the late output. A stream that ends closes
+with ``closing_row``, whose time moves the watermark past all events; without
+it the last events and windows would stay in the state.
 """
 
 from __future__ import annotations
@@ -55,6 +57,12 @@ def mastery_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return marked.groupBy("user_id", "kp").applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def closing_row(events: DataFrame, days: int = 3650) -> DataFrame:
+    """One row for the end of ``events`` (user_id, kp, ts, event_id, delta): user -1, long after the last event, never part of a result."""
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts")).filter("ts is not null")
+    return last.select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("kp"), "ts", F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("delta"))
+
+
 def daily_trend_stream(states: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Means and number of events of each user and day, as days close."""
     daily = states.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day")).agg(F.round(F.avg("delta"), 6).alias("avg_delta"), F.count("*").alias("event_count"))

@@ -143,7 +143,7 @@ def test_no_row_subset_is_left(spark):
     assert {r["query_id"] for r in found["evidence_verdict_all"](spark, SF).collect()} == sources
     from spindrift.plans import routing_queries, tracing_queries
 
-    assert routing_queries._summary(spark, SF, "true").agg(F.sum("n")).first()[0] == len(rows_of("documents"))
+    assert routing_queries._summary(spark, SF).agg(F.sum("n")).first()[0] == len(rows_of("documents"))
     users = {r["user_id"] for r in tracing_queries._effective(spark, SF).select("user_id").distinct().collect()}
     assert {r["user_id"] for r in found["category_detail_all"](spark, SF).collect()} == users
     own = {}
