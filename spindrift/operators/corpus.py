@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK_WIDE, char_ngrams, nfkc
-from ..sources.files import shared_folder
+from ..sources.files import settled, spread
 
 # The patterns of the cleaning steps.
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
@@ -325,12 +325,12 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
         return hashlib.blake2b(g.tobytes(), digest_size=16).digest(), signed(g, level), signed(g, level + 1)
 
     longs = pa.list_(pa.int64())
-    rows = _checkpointed(_per_text(docs, "digest binary, own array<bigint>, up array<bigint>", [pa.binary(), longs, longs], sign))
+    rows = settled(_per_text(docs, "digest binary, own array<bigint>, up array<bigint>", [pa.binary(), longs, longs], sign))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("d"), F.min_by(F.struct("own", "up"), "doc_id").alias("s"))
     own = first.select("d", F.explode("s.own").alias("sig"), F.lit(False).alias("up"))
     every = own.unionByName(first.select("d", F.explode("s.up").alias("sig"), F.lit(True).alias("up")))
     met = every.withColumnRenamed("d", "a").join(own.select(F.col("d").alias("b"), "sig"), "sig").filter("up or a < b")
-    pairs = _checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = settled(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = docs.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
     sets = _per_text(wanted, "g binary", [pa.binary()], lambda t: (_gram_codes(t).tobytes(),))
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "g": "ga"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "g": "gb"}), "b")
@@ -370,7 +370,7 @@ def minhash_pairs(docs: DataFrame, perms: int = 128, bands: int = 8) -> DataFram
         return s.view(np.int32), [int.from_bytes(_band(s[b * rows : (b + 1) * rows]), "little", signed=True) for b in range(bands)]
 
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    signed = _checkpointed(_per_text(docs, "s array<int>, h array<bigint>", [ints, longs], sign))
+    signed = settled(_per_text(docs, "s array<int>, h array<bigint>", [ints, longs], sign))
     banded = signed.select("doc_id", "s", "h", F.posexplode("h").alias("band", "v"))
     a, b = (banded.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), F.col("h").alias(f"h{x}"), "band", "v") for x in "ab")
     agree = F.array_position(F.zip_with("ha", "hb", lambda x, y: x == y), True) == F.col("band") + 1
@@ -385,14 +385,6 @@ def _band(values) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=8).digest()
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage, in the folder that driver and executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def greedy_keep(pairs: DataFrame) -> DataFrame:
     """Documents that greedy dedup removes: removed, kept.
 
@@ -406,7 +398,7 @@ def greedy_keep(pairs: DataFrame) -> DataFrame:
     while True:
         near = edges.join(state.withColumnRenamed("d", "a"), "a").groupBy(F.col("b").alias("d")).agg(F.bool_or(F.coalesce("keep", F.lit(False))).alias("hit"), F.bool_or(F.col("keep").isNull()).alias("open"))
         state = state.join(near, "d", "left").select("d", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("keep"))
-        state = _checkpointed(state)
+        state = settled(state)
         if state.filter("keep is null").isEmpty():
             break
     gone = edges.join(state.filter("keep").withColumnRenamed("d", "a"), "a").groupBy(F.col("b").alias("removed")).agg(F.min("a").alias("kept"))
@@ -435,12 +427,33 @@ def content_type(text: Column, heading: Column, role: Column, ext: Column) -> Co
 
 
 def keywords(docs: DataFrame, k: int = 8, stop: tuple[str, ...] = ()) -> DataFrame:
-    """Most frequent words of each document (CJK runs of 2 to 4, lower-cased Latin of 3 and more): doc_id, word, n, rank."""
-    words = F.concat(F.regexp_extract_all("text", F.lit("[\\u4e00-\\u9fff]{2,4}"), F.lit(0)), F.transform(F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0)), F.lower))
-    counts = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    counts = counts.filter(~F.col("word").isin(*stop)) if stop else counts
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.asc("word"))
-    return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    """Most frequent words of each document (CJK runs of 2 to 4, lower-cased Latin of 3 and more): doc_id, word, n, rank.
+
+    A document's words are counted where it is read; nothing is shuffled.
+    """
+    import pyarrow as pa
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import re
+        from collections import Counter
+
+        cjk, latin, left_out = re.compile("[\u4e00-\u9fff]{2,4}").findall, re.compile("[a-zA-Z]{3,}").findall, set(stop)
+        for batch in batches:
+            at, words, times, ranks = [], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                counts = Counter(cjk(t := text.as_py() or ""))
+                counts.update(map(str.lower, latin(t)))
+                found = sorted(((-n, w) for w, n in counts.items() if w not in left_out))[:k]
+                at += [row] * len(found)
+                words += [w for _, w in found]
+                times += [-n for n, _ in found]
+                ranks += range(1, len(found) + 1)
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.array(ranks, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "word", "n", "rank"])
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, word string, n long, rank long")
 
 
 def heading_parts(path: Column) -> Column:

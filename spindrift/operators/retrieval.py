@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import settled
 from . import fusion, routing, search, verify
 
 
@@ -132,11 +133,11 @@ def evidence(rows: DataFrame, options: Options = Options()) -> DataFrame:
 def retrieve_with_retry(queries: DataFrame, chunks: DataFrame, options: Options = Options(), retries: int = 1) -> DataFrame:
     """Documents of each query with ``attempt``; queries whose evidence fails are tried again with more and lower hits.
 
-    Only failed queries take part in a further pass.
+    Only failed queries take part in a further pass, and each pass is run once.
     """
     left, out = queries, None
     for attempt in range(retries + 1):
-        found = retrieve(left, chunks, options).withColumn("attempt", F.lit(attempt))
+        found = settled(retrieve(left, chunks, options)).withColumn("attempt", F.lit(attempt))
         rows = found.join(chunks.select("chunk_id", "text", F.col("section").alias("source")), "chunk_id")
         summary = verify.summarize(rows.select("query_id", "source", F.col("text").alias("content"), F.lit(0.0).alias("rerank_score"), F.col("score").alias("recall_score"), "score"))
         judged = verify.verify(summary.withColumns({"n_kg": F.lit(0), "kg_confidence": F.lit(0.0), "context_length": F.col("total_length")}), options.threshold)

@@ -3,15 +3,41 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import settled, spread
+
 K1, B = 1.5, 0.75
 
 
+# Words that carry no content in a question.
+STOP_WORDS = (
+    "什么", "怎么", "如何", "为什么", "请问", "一下", "一下子", "有关", "关于", "这个", "那个",
+    "哪些", "是否", "可以", "一下吧", "帮我", "讲解", "解释", "说明", "作用", "使用", "方法",
+    "解释一下", "说明一下", "介绍一下", "讲一下", "讲讲", "简述", "阐述",
+    "是", "的", "了", "在", "有", "和", "与", "及", "或", "等", "都", "也", "还", "又",
+    "那", "这", "被", "把", "从", "到", "对", "向", "给", "让", "用", "以",
+)
+#: Of the words of one character, those that separate terms; others are also parts of words.
+SEPARATORS = ("是", "的", "了", "与", "及", "或")
+#: Runs of CJK characters up to this length are terms; the pairs of neighbours of longer ones are.
+RUN = 4
+
+
 def query_terms(text: Column, most: int = 6) -> Column:
-    """The first distinct Latin terms of a query (case-insensitive; the first spelling stays)."""
-    found = F.regexp_extract_all(F.regexp_replace(F.trim(text), "\\s+", " "), F.lit("[A-Za-z_][A-Za-z0-9_.]+"), F.lit(0))
+    """The first distinct terms of a query (case-insensitive; the first spelling stays): Latin words and CJK runs.
+
+    There is no segmenter: stop words of several characters and a few of one
+    separate the runs, and a long run gives the pairs of its characters, which
+    a substring search finds wherever the words stand.
+    """
+    breaks = "|".join(sorted((w for w in STOP_WORDS if len(w) > 1 or w in SEPARATORS), key=lambda w: (-len(w), w)))
+    clean = F.regexp_replace(F.regexp_replace(F.trim(text), "\\s+", " "), breaks, " ")
+    parts = F.regexp_extract_all(clean, F.lit("[A-Za-z_][A-Za-z0-9_.]+|[\\u4e00-\\u9fff]{2,}"), F.lit(0))
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+    found = F.flatten(F.transform(parts, lambda x: F.when(x.rlike("^[\\u4e00-\\u9fff]") & (F.length(x) > RUN), pairs(x)).otherwise(F.array(x))))
     lowered = F.transform(found, F.lower)
     first = F.filter(F.transform(found, lambda x, i: F.when(F.array_position(lowered, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
     return F.slice(first, 1, most)
@@ -23,16 +49,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None)
     Documents match a term as a substring, lengths are in characters, and the
     terms of a query are summed (OR). Scores are divided by the query's best.
     Each document is scanned once for all terms of all queries and emits only
-    those that it holds; there is no join of documents with terms. ``df_cap``
-    bounds a term's document frequency, as a store does that returns at most
-    so many matches.
+    those that it holds, and the same pass counts the corpus; there is no join
+    of documents with terms. ``df_cap`` bounds a term's document frequency, as
+    a store does that returns at most so many matches.
     """
     used = queries.select("query_id", F.explode("terms").alias("term")).filter("term <> ''").distinct()
-    hits = term_counts(docs, used)
+    counted = settled(_term_pass(docs, used))
+    hits = counted.filter("term is not null")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if df_cap:
         df = df.withColumn("df", F.least("df", F.lit(df_cap)))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("avgdl"))
+    stats = counted.filter("term is null").agg(F.sum("rows").alias("n"), (F.sum("chars") / F.sum("texts")).alias("avgdl"))
     weighted = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(weighted, "term").select("term", "doc_id", part.alias("part"))
@@ -43,7 +70,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, dl (characters), tf (occurrences without overlap) of the terms that each of ``docs`` holds.
+    """doc_id, term, dl (characters), tf (occurrences without overlap) of the terms that each of ``docs`` holds."""
+    return _term_pass(docs, terms).filter("term is not null").select("doc_id", "term", "dl", "tf")
+
+
+def _term_pass(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``term_counts``, and for each batch a row without a term: its rows, texts and characters.
 
     One automaton finds all terms in one pass over a text, so the cost doesn't
     grow with the number of queries, whose terms are sent to the tasks.
@@ -60,8 +92,11 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         machine.make_automaton()
         for batch in batches:
             at, found, length, times = [], [], [], []
+            texts = chars = 0
             for row, text in enumerate(batch.column(1)):
                 text = text.as_py()
+                texts += text is not None
+                chars += len(text or "")
                 if not text or not words:
                     continue
                 counts: dict[int, int] = {}
@@ -74,10 +109,12 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 length += [len(text)] * len(counts)
                 found += [words[i] for i in counts]
                 times += counts.values()
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.string()), pa.array(length, pa.int32()), pa.array(times, pa.int32())], names=["doc_id", "term", "dl", "tf"])
+            none = [None] * len(at)
+            columns = [batch.column(0).take(pa.array([*at, None], pa.int64())), pa.array([*found, None], pa.string()), pa.array([*length, None], pa.int32()), pa.array([*times, None], pa.int32())]
+            columns += [pa.array([*none, n], pa.int64()) for n in (batch.num_rows, texts, chars)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "dl", "tf", "rows", "texts", "chars"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, term string, dl int, tf int")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, term string, dl int, tf int, rows long, texts long, chars long")
 
 
 def top_k(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
@@ -90,19 +127,74 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries of a vector search that are sent to the tasks at one time.
+QUERY_BLOCK = 16_384
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """Nearest ``vectors`` (vec_id, embedding) of ``queries`` (query_id, embedding) by cosine: query_id, vec_id, similarity, rank.
 
-    Zero vectors have no similarity and never match. ``same`` names a column
-    on both sides that must be equal, which makes the join an equi-join.
-    Without it the queries are a stated batch that meets all vectors.
+    Null and zero vectors have no similarity and never match. ``same`` names a
+    column on both sides that must be equal. The queries are a stated batch
+    that meets all vectors, in blocks of at most QUERY_BLOCK; a task scores its
+    vectors by matrix products and returns the ``k`` best of each query.
     """
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    v = vectors.withColumn("v", as_double(F.col("embedding"))).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v")))).filter("vn > 0").drop("embedding")
-    q = queries.withColumn("q", as_double(F.col("embedding"))).withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q")))).filter("qn > 0").drop("embedding")
-    pairs = v.join(q, same) if same else v.crossJoin(q)
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), 6).alias("similarity"))
-    return top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
+    fields = ["query_id", *([same] if same else []), "embedding"]
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    wanted = vectors.select("vec_id", *([same] if same else []), F.col("embedding").cast("array<double>").alias("embedding"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    parts = None
+    for block in range(blocks):
+        some = queries.select(*fields).filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK rows
+        part = wanted.mapInArrow(_nearest(some, k, same), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+        parts = part if parts is None else parts.unionByName(part)
+    return top_k(parts, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
+
+
+def _nearest(queries: list, k: int, same: str | None):
+    """The ``k`` best vectors of a task for each query."""
+    import numpy as np
+
+    def unit(rows):
+        """The rows by vector length: positions and unit vectors of those that have a direction."""
+        flat = rows.flatten()
+        start = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.fill_null(rows.value_lengths(), 0)))])
+        values, empty = np.asarray(flat.fill_null(0.0)), np.cumsum(np.concatenate([[0], np.asarray(flat.is_null())]))
+        sizes = np.diff(start)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero((sizes == size) & (empty[start[1:]] == empty[start[:-1]]))
+            v = values[start[at][:, None] + np.arange(size)]
+            norm = np.sqrt((v * v).sum(axis=1))
+            yield size, at[norm > 0], v[norm > 0] / norm[norm > 0, None]
+
+    asked = [(size, at, v, np.array([queries[i][same] for i in at]) if same else None) for size, at, v in unit(pa.array([q["embedding"] for q in queries], pa.list_(pa.float64())))]
+
+    def run(batches):
+        best: dict[int, list] = {}
+        for batch in batches:
+            ids, group = batch.column("vec_id").to_pylist(), np.array(batch.column(same).to_pylist()) if same else None
+            for size, rows, v in unit(batch.column("embedding")):
+                for other, at, q, own in asked:
+                    if other != size or not len(rows):
+                        continue
+                    for a in range(0, len(at), 512):
+                        score = np.round(q[a : a + 512] @ v.T, 6)
+                        if same:
+                            score[own[a : a + 512, None] != group[None, rows]] = -np.inf
+                        least = np.partition(score, max(0, len(rows) - k), axis=1)[:, max(0, len(rows) - k)]
+                        for i, j in zip(*np.nonzero((score >= least[:, None]) & (score > -np.inf))):
+                            best.setdefault(int(at[a + i]), []).append((-score[i, j], ids[rows[j]]))
+            for i, found in best.items():
+                if len(found) > k:
+                    found.sort()
+                    del found[k:]
+        rows = [(queries[i]["query_id"], vec, -score + 0.0) for i, found in best.items() for score, vec in sorted(found)[:k]]
+        if rows:
+            names = ["query_id", "vec_id", "similarity"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    return run
 
 
 def semantic_cache_lookup(entries: DataFrame, probes: DataFrame, threshold: float = 0.88, ttl_seconds: int = 1800) -> DataFrame:

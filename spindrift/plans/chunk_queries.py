@@ -44,7 +44,7 @@ def stream_mastery(spark, sf_dir):
     return out.select("user_id", "kp", "event_id", F.round("mastery", 9).alias("mastery"), F.round("confidence", 6).alias("confidence"), F.round("delta", 9).alias("delta"), "late")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT user_id, CAST(ts AS DATE) AS day, round(avg(delta), 6) AS avg_delta, count(*) AS event_count FROM dl GROUP BY ALL")
+@query(f"WITH {EVENTS_SQL} SELECT user_id, CAST(ts AS DATE) AS day, round(avg(delta), 9) AS avg_delta, count(*) AS event_count FROM dl GROUP BY ALL")
 def stream_daily_trend(spark, sf_dir):
     return _stream(spark, sf_dir, lambda e: tracking.daily_trend_stream(e, "1 minute"))
 

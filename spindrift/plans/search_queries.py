@@ -56,6 +56,20 @@ def query_terms(spark, sf_dir):
     return _queries(spark, sf_dir).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
+QUESTIONS = "(1, '请问什么是进程的死锁？'), (2, '二叉搜索树的插入操作与 AVL 旋转'), (3, 'TCP 三次握手 tcp 如何建立连接'), (4, '栈'), (5, '介绍一下操作系统内存管理方法'), (6, NULL), (7, '')"
+
+
+@query(f"""
+WITH q(query_id, text) AS (VALUES {QUESTIONS}),
+c AS (SELECT query_id, regexp_replace(regexp_replace(trim(text), '\\s+', ' ', 'g'), '{"|".join(sorted((w for w in search.STOP_WORDS if len(w) > 1 or w in search.SEPARATORS), key=lambda w: (-len(w), w)))}', ' ', 'g') AS text FROM q),
+p AS (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS parts FROM c),
+t AS (SELECT query_id, flatten(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^[\\x{{4e00}}-\\x{{9fff}}]') AND length(x) > 4 THEN list_transform(range(1, length(x)), lambda i: substring(x, i, 2)) ELSE [x] END)) AS t FROM p)
+SELECT query_id, array_to_string(list_filter(t, lambda x, i: list_position(list_transform(t, lambda y: lower(y)), lower(x)) = i)[1:6], ' ') AS terms FROM t
+""")
+def query_terms_cjk(spark, sf_dir):
+    return inline(spark, QUESTIONS, "query_id, text").select("query_id", F.array_join(search.query_terms(F.col("text")), " ").alias("terms"))
+
+
 @query("""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q, v WHERE q.vec_id % 100 = 0

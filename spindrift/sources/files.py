@@ -27,6 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut off from its lineage, in the folder that driver and executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores where its files give fewer partitions than there are cores; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @functools.cache
 def _decoder():
     @F.pandas_udf("string")

@@ -65,7 +65,7 @@ def closing_row(events: DataFrame, days: int = 3650) -> DataFrame:
 
 def daily_trend_stream(states: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Means and number of events of each user and day, as days close."""
-    daily = states.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day")).agg(F.round(F.avg("delta"), 6).alias("avg_delta"), F.count("*").alias("event_count"))
+    daily = states.withWatermark("ts", delay).groupBy("user_id", F.window("ts", "1 day")).agg(F.round(F.avg("delta"), 9).alias("avg_delta"), F.count("*").alias("event_count"))
     return daily.select("user_id", F.to_date("window.start").alias("day"), "avg_delta", "event_count")
 
 
