@@ -137,6 +137,63 @@ def health(nodes: DataFrame, edges: DataFrame, indexed: DataFrame) -> DataFrame:
     return out.withColumn("orphan_ratio", F.round(F.col("orphans") / F.greatest("nodes", F.lit(1)), 4))
 
 
+def indexed_files(chunks: DataFrame) -> DataFrame:
+    """source_file of every collection's chunks, once each."""
+    return chunks.filter("coalesce(source_file, '') <> ''").select("source_file").distinct()
+
+
+def drop_orphans(nodes: DataFrame, edges: DataFrame, indexed: DataFrame, category: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report) without orphans, of one category if it is given; the report counts them by category."""
+    lost = orphans(nodes, indexed)
+    lost = lost.filter(F.col("category") == category) if category else lost
+    marked = nodes.join(lost.select("name", F.lit(True).alias("_gone")), "name", "left")
+    kept, left = delete(marked, edges, F.col("_gone"))
+    return kept.drop("_gone"), left, lost.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("cleaned"))
+
+
+def full_text(topics: DataFrame, nodes: DataFrame, least: float = 0.3, most: int = 3) -> DataFrame:
+    """Nodes whose name or description shares terms with a topic: topic, name, score, rank, by BM25 relative to the best, at least ``least``."""
+    from .search import bm25, query_terms
+
+    docs = nodes.select(F.col("name").alias("doc_id"), F.concat_ws(" ", "name", "description").alias("text"))
+    found = bm25(docs, topics.select(F.col("topic").alias("query_id"), query_terms(F.col("topic")).alias("terms")), most)
+    return found.filter(F.col("score") >= least).select(F.col("query_id").alias("topic"), F.col("doc_id").alias("name"), "score", "rank")
+
+
+def evidence(edges: DataFrame, topics: DataFrame, depth: int = 2, most_nodes: int = 24, most_edges: int = 32, most_paths: int = 6) -> DataFrame:
+    """Graph evidence of each query: query_id, nodes, edges, paths, confidence.
+
+    ``topics`` (query_id, pos, name) are the resolved nodes of a query, in
+    order. Around them stand prerequisites and next topics within ``depth``,
+    an edge for each, and the paths that end there. Lists are cut in the order
+    of topic, distance and name.
+    """
+    starts = topics.select(F.col("name").alias("start")).distinct()
+    around = neighbours(edges, starts, depth, reverse=True).withColumn("way", F.lit(0)).unionByName(neighbours(edges, starts, depth).withColumn("way", F.lit(1)))
+    near = topics.withColumnRenamed("name", "start").join(around, "start")
+    place = F.struct("pos", "way", "hops", "name")
+    own = topics.select("query_id", F.struct("pos", F.lit(-1).alias("way"), F.lit(0).alias("hops"), "name").alias("p"))
+    ordered = own.unionByName(near.select("query_id", place.alias("p"))).groupBy("query_id", F.col("p.name").alias("name")).agg(F.min("p").alias("p"))
+    nodes = top_k(ordered, ["query_id"], [F.asc("p")], most_nodes).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("nodes"))
+    back = F.col("way") == 0
+    links = near.select("query_id", place.alias("p"), F.when(back, F.col("name")).otherwise(F.col("start")).alias("source"), F.when(back, F.col("start")).otherwise(F.col("name")).alias("target"))
+    links = links.groupBy("query_id", "source", "target").agg(F.min("p").alias("p"))
+    link_lists = top_k(links, ["query_id"], [F.asc("p")], most_edges).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" -> ", "source", "target").alias("e")))), lambda x: x["e"]).alias("edges"))
+    walks = paths(edges, starts.withColumnRenamed("start", "target"), depth).select("target", F.array_join("path", " -> ").alias("w"), F.col("rank").alias("r"))
+    walks = topics.withColumnRenamed("name", "target").join(walks, "target")
+    walk_lists = top_k(walks, ["query_id"], [F.asc("pos"), F.asc("r")], most_paths).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "w"))), lambda x: x["w"]).alias("paths"))
+    base = topics.groupBy("query_id").agg(F.round(F.least(F.lit(0.95), 0.65 + 0.08 * F.countDistinct("name")), 6).alias("confidence"))
+    none = F.array().cast("array<string>")
+    out = base.join(nodes, "query_id", "left").join(link_lists, "query_id", "left").join(walk_lists, "query_id", "left")
+    return out.select("query_id", "nodes", F.coalesce("edges", none).alias("edges"), F.coalesce("paths", none).alias("paths"), "confidence")
+
+
+def evidence_terms(found: DataFrame) -> DataFrame:
+    """query_id, terms: the names in nodes, edges and paths of graph evidence, sorted."""
+    parts = F.concat("nodes", F.flatten(F.transform(F.concat("edges", "paths"), lambda x: F.split(x, " -> "))))
+    return found.select("query_id", F.array_sort(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != ""))).alias("terms"))
+
+
 def coerce_payload(payload: Column) -> tuple[Column, Column]:
     """(nodes, edges) arrays of a loosely shaped JSON payload; unknown relations become RELATED_TO."""
     schema = "struct<nodes: array<struct<name: string, title: string, id: string, category: string, description: string>>, edges: array<struct<source: string, `from`: string, target: string, `to`: string, relation: string, `type`: string>>>"

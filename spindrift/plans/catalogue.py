@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("search_queries", "tracing_queries", "corpus_queries", "routing_queries", "graph_queries", "dialog_queries", "chunk_queries", "retrieval_queries")
+MODULES = ("search_queries", "tracing_queries", "corpus_queries", "routing_queries", "graph_queries", "dialog_queries", "chunk_queries", "retrieval_queries", "driver_queries")
 
 
 def _load() -> None:

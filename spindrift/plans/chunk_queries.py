@@ -15,6 +15,12 @@ from .tracing_queries import EVENTS_SQL, HISTORY_SQL, _events, _expanded
 
 @query()
 def chunk_greedy(spark, sf_dir):
+    return chunking.chunks(table(spark, sf_dir, "documents"), 400, 100)
+
+
+@query()
+def chunk_adaptive(spark, sf_dir):
+    """Each section with the size and overlap of its content type."""
     return chunking.chunks(table(spark, sf_dir, "documents"))
 
 
