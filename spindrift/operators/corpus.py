@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CJK_WIDE, char_ngrams, nfkc
-from ..sources.files import settled, spread
+from ..sources.files import numbered, settled, spread
 
 # The patterns of the cleaning steps.
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
@@ -390,14 +390,16 @@ def greedy_keep(pairs: DataFrame) -> DataFrame:
 
     In the order of (a, b), b goes if a still stands. A document stands once
     all smaller neighbours are decided and none that stands is linked to it;
-    rounds decide the rest, so chains are followed without gathering a group.
+    rounds of several hops decide the rest, so chains are followed without
+    gathering a group; the number of rounds grows with the longest chain.
     """
     edges = pairs.select("a", "b").distinct()
     nodes = edges.select(F.col("a").alias("d")).union(edges.select("b")).distinct()
     state = nodes.withColumn("keep", F.lit(None).cast("boolean"))
     while True:
-        near = edges.join(state.withColumnRenamed("d", "a"), "a").groupBy(F.col("b").alias("d")).agg(F.bool_or(F.coalesce("keep", F.lit(False))).alias("hit"), F.bool_or(F.col("keep").isNull()).alias("open"))
-        state = state.join(near, "d", "left").select("d", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("keep"))
+        for _ in range(4):  # hops of a round
+            near = edges.join(state.withColumnRenamed("d", "a"), "a").groupBy(F.col("b").alias("d")).agg(F.bool_or(F.coalesce("keep", F.lit(False))).alias("hit"), F.bool_or(F.col("keep").isNull()).alias("open"))
+            state = state.join(near, "d", "left").select("d", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("keep"))
         state = settled(state)
         if state.filter("keep is null").isEmpty():
             break
@@ -523,5 +525,5 @@ def upsert_registry(existing: DataFrame, found: DataFrame) -> DataFrame:
     """Registry with new (name, category) rows of ``found`` (name, category, chapter, seq) appended; the first writer wins and ids go on."""
     new = found.groupBy("name", "category").agg(F.min_by("chapter", "seq").alias("chapter"), F.min("seq").alias("seq")).join(existing, ["name", "category"], "left_anti")
     top = existing.agg(F.coalesce(F.max("kp_id"), F.lit(0)).alias("top"))
-    ids = new.withColumn("_n", F.row_number().over(Window.orderBy("seq", "name", "category"))).crossJoin(F.broadcast(top))
+    ids = numbered(new, ["seq", "name", "category"], "_n").crossJoin(F.broadcast(top))
     return existing.select("kp_id", "name", "category", "chapter").unionByName(ids.select((F.col("top") + F.col("_n")).alias("kp_id"), "name", "category", "chapter"))

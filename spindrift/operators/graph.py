@@ -19,20 +19,27 @@ def resolve(topics: DataFrame, nodes: DataFrame, synonyms: DataFrame, least: flo
 
     Tier 0 is the exact name (1.0), tier 1 the name of a synonym (0.9), tier 2
     names that hold the topic (two CJK or three Latin characters and more)
-    with a character Jaccard of ``least``, the five best. ``topics`` (topic)
-    is a stated batch of queries.
+    with a character Jaccard of ``least``, the five best. Topics and names
+    meet at a topic's first two characters.
     """
     exact = topics.join(nodes.select(F.col("name").alias("topic")), "topic", "left_semi").select("topic", F.col("topic").alias("name"), F.lit(0).alias("tier"), F.lit(1.0).alias("score"))
     by_synonym = topics.join(synonyms, "topic").join(nodes.select("name"), F.col("synonym") == F.col("name")).select("topic", "name", F.lit(1).alias("tier"), F.lit(0.9).alias("score"))
     long = (F.regexp_count("topic", F.lit("[\\u4e00-\\u9fff]")) >= 2) | (F.regexp_count("topic", F.lit("[A-Za-z]")) >= 3)
-    batch = topics.filter(long).agg(F.collect_set("topic").alias("t"))
-    held = nodes.crossJoin(F.broadcast(batch)).select("name", F.explode(F.filter("t", lambda x: F.contains(F.col("name"), x))).alias("topic"))
+    held = holding(nodes.select("name").distinct(), "name", topics.filter(long).distinct(), "topic").select("name", "topic")
     partly = held.withColumn("score", char_jaccard(F.col("topic"), F.col("name"))).filter(F.col("score") >= least)
     partly = top_k(partly, ["topic"], [F.desc("score"), F.asc("name")], 5).select("topic", "name", F.lit(2).alias("tier"), "score")
     every = exact.unionByName(by_synonym.distinct()).unionByName(partly)
     return every.withColumn("_t", F.min("tier").over(Window.partitionBy("topic"))).filter("tier = _t").drop("_t")
 
 
+def holding(wholes: DataFrame, whole: str, parts: DataFrame, part: str) -> DataFrame:
+    """Pairs of rows in which the text ``whole`` holds the text ``part``; they meet at the first two characters of the part."""
+    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(whole)), lambda i: F.array(F.substring(F.col(whole), i, F.lit(1)), F.substring(F.col(whole), i, F.lit(2))))))
+    spread = wholes.filter(F.length(whole) > 0).select("*", F.explode(keys).alias("_k"))
+    asked = parts.filter(F.length(part) > 0).withColumn("_k", F.substring(part, 1, 2))
+    return spread.join(asked, "_k").filter(F.contains(F.col(whole), F.col(part))).drop("_k")
+
+
 def neighbours(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """Nodes within ``depth`` steps of each start: start, name, hops (the fewest). Rounds of joins; a node is expanded once."""
     source, target = ("target", "source") if reverse else ("source", "target")

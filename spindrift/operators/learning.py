@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
+from .graph import holding
 from .search import top_k
 
 
@@ -118,8 +119,8 @@ def truncate_context(context: Column, terms: Column, budget: int = 3000) -> Colu
 def focus_node(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """The node that each label means: equal, or one name holds the other, ignoring case and blanks; the shortest difference, then the name."""
     plain = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")
-    batch = labels.agg(F.collect_set("label").alias("l"))
-    near = nodes.crossJoin(F.broadcast(batch)).select("name", F.explode(F.filter("l", lambda x: F.contains(plain(F.col("name")), plain(x)) | F.contains(plain(x), plain(F.col("name"))))).alias("label"))
+    n, l = nodes.select("name", plain(F.col("name")).alias("_n")).distinct(), labels.select("label", plain(F.col("label")).alias("_l")).distinct()
+    near = holding(n, "_n", l, "_l").select("name", "label").union(holding(l, "_l", n, "_n").select("name", "label")).distinct()
     return top_k(near.withColumn("gap", F.abs(F.length("name") - F.length("label"))), ["label"], [F.asc("gap"), F.asc("name")], 1).select("label", "name")
 
 

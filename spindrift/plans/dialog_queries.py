@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dialog, evaluate, govern, questions
+from ..sources.files import numbered
 from .registry import inline, query, table
 
 MESSAGES_SQL = "m AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id AS conversation_id, turn, role, text FROM conversations)"
@@ -13,12 +14,7 @@ MESSAGES_SQL = "m AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, c
 
 def _messages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    # ids in order from counts of earlier conversations: one number for each conversation, not one window over all messages
-    sizes = c.groupBy("conv_id").agg(F.count("*").alias("n"))
-    w = Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).select("conv_id", "base")
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.join(base, "conv_id").select((F.col("base") + place).alias("id"), F.col("conv_id").alias("conversation_id"), "turn", "role", "text")
+    return numbered(c.select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], "id").select("id", F.col("conv_id").alias("conversation_id"), "turn", "role", "text")
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT id, conversation_id, lag(id) OVER (PARTITION BY conversation_id ORDER BY id) AS parent_id FROM m")

@@ -142,9 +142,11 @@ FROM (SELECT DISTINCT user_id FROM es) u CROSS JOIN reg LEFT JOIN es ON es.user_
 def category_detail(spark, sf_dir):
     e = _effective(spark, sf_dir).select("user_id", "kp", "effective_mastery")
     reg = _registry(spark, sf_dir).filter("category = 'computer_organization'")
-    users = e.select("user_id").distinct()
-    rows = users.crossJoin(F.broadcast(reg.select("kp", "chapter"))).join(e, ["user_id", "kp"], "left")
-    return rows.groupBy("user_id", "chapter").agg(F.count("*").alias("points"), F.count("effective_mastery").alias("tracked"), F.round(F.avg(F.coalesce(F.round("effective_mastery", 3), F.lit(0.0))), 3).alias("avg_mastery"))
+    # users meet the category's chapters, which the result lists, not its points
+    chapters = reg.groupBy("chapter").agg(F.count("*").alias("points"))
+    known = e.join(reg.select("kp", "chapter"), "kp").groupBy("user_id", "chapter").agg(F.count("*").alias("tracked"), F.sum(F.round("effective_mastery", 3)).alias("total"))
+    rows = e.select("user_id").distinct().crossJoin(F.broadcast(chapters)).join(known, ["user_id", "chapter"], "left")
+    return rows.select("user_id", "chapter", "points", F.coalesce("tracked", F.lit(0)).alias("tracked"), F.round(F.coalesce("total", F.lit(0.0)) / F.col("points"), 3).alias("avg_mastery"))
 
 
 @query(_expanded(f"""

@@ -7,7 +7,7 @@ import re
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place (from 1) in ``order``: a range shuffle, a count for each range, and a window within each, so no task sees all rows."""
+    spark = rows.sparkSession
+    ranged = settled(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()))
+    before, total = [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # one row for each range
+        before.append((r["_range"], total))
+        total += r["count"]
+    bases = F.broadcast(spark.createDataFrame(before, "_range int, _base long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(bases, "_range").withColumn(name, F.col("_base") + place).drop("_range", "_base")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on all cores where its files give fewer partitions than there are cores; large tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
