@@ -116,6 +116,18 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, scratch
     return ranged.join(F.broadcast(bases), "_range").withColumn(out, (F.col("_base") + inside).cast("long")).drop("_range", "_base")
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and ``n``, the number of rows of ``left`` (``total`` in all) with it.
+
+    Keys of more rows than a partition's share are sent to all tasks (at most
+    as many as there are partitions), so their rows are not gathered.
+    """
+    spark = left.sparkSession
+    hot = right.filter(F.col("n") > max(100, total // partitions(spark))).collect()
+    hot = F.broadcast(spark.createDataFrame(hot, right.schema))
+    return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(right, keys))
+
+
 def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, component).
 
@@ -126,20 +138,14 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
     tasks, so the edges of a hub stay where they are and are never gathered.
     Nodes without an edge to another node don't appear.
     """
-    n_parts = partitions(scratch.spark)
 
     def canonical(df: DataFrame) -> DataFrame:
         return df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     def moved(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         """The edges of ``df`` to a smaller v moved to the smallest neighbour m of u, and u, m of every u; ``n`` edges bound the hubs."""
-        least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        most = max(100, n // n_parts)
-        hubs = least.filter(F.col("n") > most).select("u", F.least("u", "m").alias("m")).collect()  # at most as many as partitions
-        hubs = F.broadcast(scratch.spark.createDataFrame([tuple(r) for r in hubs], "u long, m long"))
-        least = least.select("u", F.least("u", "m").alias("m"))
-        near = df.join(hubs, "u", "left_anti").join(least, "u")
-        return df.join(hubs, "u").unionByName(near), least
+        least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        return join_spread(df, least, ["u"], n).drop("n"), least.drop("n")
 
     def state(df: DataFrame) -> tuple[int, bool]:
         """The number of edges, and whether they are stars around smaller ids."""

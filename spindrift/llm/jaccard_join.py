@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, partitions
+from .common import Scratch, components, forest, join_spread, partitions
 from .shingles import shingle_sets
 
 #: The list of common shingles holds at most so many (8 bytes each).
@@ -257,8 +257,8 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tup
     return np.nonzero(100 * both >= percent * (sizes - both))
 
 
-def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links within each cluster; ``members``: cluster, key, n, text.
+def _compare_blocks(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within each cluster; ``members``: cluster, key, n; ``texts``: cid, text.
 
     Sizes are dealt into levels, so that linked sets are of one level or of
     neighbouring ones. A level of a cluster is dealt into blocks of about
@@ -267,14 +267,15 @@ def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     """
     level = F.floor(F.log("n") / float(np.log(100 / percent))).cast("long")
     members = members.withColumn("level", level)
-    sizes = members.groupBy("cluster", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = members.groupBy("cluster", "level").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     near = lambda step, name: sizes.select("cluster", (F.col("level") + step).alias("level"), F.col("blocks").alias(name))
     around = sizes.join(near(1, "below"), ["cluster", "level"], "left").join(near(-1, "above"), ["cluster", "level"], "left")
     number = lambda step, n: F.expr(f"if({n} is null, array(), transform(sequence(0L, {n} - 1), x -> struct(level + {step} as level, x as block)))")
-    dealt = members.join(around, ["cluster", "level"]).withColumn("own", F.struct("level", F.expr("pmod(xxhash64(key), blocks)").alias("block")))
+    dealt = join_spread(members.drop("n"), around, ["cluster", "level"], members.count()).withColumn("own", F.struct("level", F.expr("pmod(xxhash64(key), blocks)").alias("block")))
     dealt = dealt.withColumn("o", F.explode(F.concat(number(-1, "below"), number(0, "blocks"), number(1, "above"))))
     place = lambda c: F.col(c)["level"] * (1 << 40) + F.col(c)["block"]
-    dealt = dealt.select("cluster", F.least(place("own"), place("o")).alias("bi"), F.greatest(place("own"), place("o")).alias("bj"), place("own").alias("block"), "key", "text")
+    dealt = dealt.select("cluster", F.least(place("own"), place("o")).alias("bi"), F.greatest(place("own"), place("o")).alias("bj"), place("own").alias("block"), "key")
+    dealt = dealt.join(texts.withColumnRenamed("cid", "key"), "key")
     names = ["cluster", "bi", "bj"]
 
     def group(table):
@@ -384,32 +385,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80) -> Dat
     common = spark.sparkContext.broadcast(_common(docs, percent, scratch))  # at most COMMON_MOST hashes
     every = scratch.table(sets(docs, percent, common), "sets")
     known = every.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("prefix_key").alias("prefix_key"), F.any_value("prefix").alias("prefix"))
+    # g is short for a group's prefix key: two groups of one g are both joined, which only adds pairs to verify
+    g = F.xxhash64("prefix_key").alias("g")
+    classes = known.select("doc_id", "key", "n", g).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("g").alias("g"))
     # written before it is used, so that a class keeps its number
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    groups = classes.groupBy("prefix_key").agg(F.min("cid").alias("g"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    groups = known.groupBy("prefix_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select(g, "n", "prefix")
     found = scratch.table(_candidates(_tokens(groups), percent), "candidates")
-    of_prefix = classes.groupBy("prefix_key").agg(F.min("cid").alias("g"))
-    members = scratch.table(classes.select("prefix_key", "cid", "n").join(of_prefix, "prefix_key").select("g", "cid", "n"), "members")
 
-    # Clusters: classes of one group, and of groups that share a shingle with many others; g is a group's first class.
-    chains = found.filter("c = 0").select("a", "b").unionByName(members.filter("cid <> g").select(F.col("g").alias("a"), F.col("cid").alias("b")))
-    clusters = components(chains, scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    # Clusters: classes of one group, and of groups that share a shingle with many others.
+    members = classes.select("g", "cid", "n")
+    first = members.groupBy("g").agg(F.min("cid").alias("first"), F.count("*").alias("size"))
+    of = lambda g, k: first.select(F.col("g").alias(g), F.col("first").alias(k))
+    chains = found.filter("c = 0").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
+    chains = chains.join(of("ga", "a"), "ga").join(of("gb", "b"), "gb").select("a", "b")
+    within = members.join(first.filter("size > 1"), "g").filter("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"))
+    clusters = components(chains.unionByName(within), scratch).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
     clusters = scratch.table(clusters, "clusters")
 
     # Other pairs: groups outside a common cluster share no shingle but the counted ones.
     pairs = found.filter("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     rest = f"floor(({percent} * greatest(na, nb) + 99) / 100) - 1"
     need = f"floor(({percent} * (na + nb) + {99 + percent}) / {100 + percent})"
-    pairs = pairs.filter(f"c + {rest} >= {need}").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    pairs = pairs.filter(f"c + {rest} >= {need}").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct()
     side = lambda g, k, c: members.join(clusters, "cid", "left").select(F.col("g").alias(g), F.col("cid").alias(k), F.col("cluster").alias(c))
     pairs = pairs.join(side("ga", "a", "ca"), "ga").join(side("gb", "b", "cb"), "gb")
     pairs = scratch.table(pairs.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "pairs")
 
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(clusters.select("cid")).distinct()
     texts = _texts(docs, classes.select("cid", "key", "rep").join(wanted, "cid"), scratch)
-    within = clusters.join(members.select("cid", "n"), "cid").join(texts, "cid").withColumnRenamed("cid", "key")
-    links = _verify(pairs, texts, percent).unionByName(_compare_blocks(within, percent))
+    placed = scratch.table(clusters.join(members.select("cid", "n"), "cid").withColumnRenamed("cid", "key"), "placed")
+    links = _verify(pairs, texts, percent).unionByName(_compare_blocks(placed, texts, percent))
     parts = components(scratch.table(links, "links"), scratch)
 
     classes = classes.select("key", "cid", "rep").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid"))
