@@ -39,6 +39,8 @@ from .tokens import encoder
 NODES = 50_000
 #: So many open branches keep their enumeration; earlier ones start it again when the search comes back to them.
 OPEN = 64
+#: Words that a worker keeps the ids of; other stages share its memory.
+CACHE_WORDS = 250_000
 PIECE = "doc_id long, name binary, piece int, start long, length int, ids_crc32 long"
 
 #: A pattern: how often it is used, and its (size, copies), largest first.
@@ -228,7 +230,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: b
     def run(batches):
         from pyspark import TaskContext
 
-        enc, task, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, task, at = encoder(tokenizer, CACHE_WORDS), TaskContext.get().partitionId(), 0
         width = f"<u{enc.width}"
         tail = np.array([end_id], width).tobytes()
         for batch in batches:

@@ -158,9 +158,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """The encoder of this Python worker for a file; its cache outlives the task."""
-    return Encoder(path)
+    return Encoder(path, cache_words)
 
 
 def default_path(name: str) -> str:
