@@ -108,6 +108,52 @@ def test_quality_is_calibrated():
     assert abs(scores.mean() - 0.75) < 0.1 and ((scores >= 0.3) == (np.arange(400) % 4 != 0)).mean() > 0.97
 
 
+def test_random_indexing_against_brute_force():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("red green blue one two three RED ,".split()) for _ in range(30)) + "\n" + words(rng, 3) for _ in range(6)]
+    vocabulary, vectors = quality._vectors(texts)
+    ids = quality.Ids(vocabulary)
+    names = [f"\0{i}" for i in range(quality.MARKS)] + sorted(vocabulary, key=vocabulary.get)
+    index = np.zeros((len(names), quality.DIM))
+    for i, name in enumerate(names):
+        at, sign = quality.index_vector(name)
+        index[i, at] = sign
+    expected = np.zeros_like(index)
+    for text in texts:
+        found = quality._tokens(text, ids).tolist()
+        for i, one in enumerate(found):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(found):
+                    expected[one] += index[found[j]]
+    expected /= np.maximum(np.linalg.norm(expected, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors, expected + index / quality.NONZERO**0.5)
+    model = quality.Model(vocabulary, vectors, np.zeros(quality.DIM), np.ones(quality.DIM), [], 1.0, 0.0)
+    for text, row in zip(texts, model.features(texts)):
+        assert np.allclose(row, np.mean([vectors[i] for i in quality._tokens(text, ids)], axis=0))
+
+
+def test_network_and_calibration_against_brute_force():
+    rng = np.random.default_rng(5)
+    x, weight = rng.standard_normal((200, 6)), np.full(200, 1 / 200)
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.8).astype(float)
+    layers = quality._train(x, y, weight)
+    model = quality.Model({}, np.zeros((1, 6)), np.zeros(6), np.ones(6), layers, 1.0, 0.0)
+    w1, b1, w2, b2 = layers
+    z = model.logits(x)
+    for row, logit in zip(x[:20], z):
+        hidden = [np.tanh(sum(row[i] * w1[i, h] for i in range(6)) + b1[h]) for h in range(quality.HIDDEN)]
+        assert abs(sum(v * w2[h, 0] for h, v in enumerate(hidden)) + b2[0] - logit) < 1e-9
+    assert ((z > 0) == y).mean() > 0.95
+
+    def loss(t, shift):
+        q = 1 / (1 + np.exp(-(z + shift) / t))
+        return -np.mean(y * np.log(q + 1e-300) + (1 - y) * np.log(1 - q + 1e-300))
+
+    t, shift = quality._calibrate(z, y, weight)
+    best = min(loss(a, b) for a in np.geomspace(0.3, 8, 40) for b in np.linspace(-2, 2, 21))
+    assert abs(loss(t, shift) - best) < 1e-9
+
+
 def test_quality_of_odd_texts(spark):
     rng = random.Random(2)
     model = quality.fit([words(rng, 30) for _ in range(40)] + ["$$$ " * 30] * 40, [1] * 40 + [0] * 40, {0: 0.5, 1: 0.5})
