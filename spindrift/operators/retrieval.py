@@ -101,6 +101,61 @@ def retrieve(queries: DataFrame, chunks: DataFrame, options: Options = Options()
     return search.top_k(kept, ["query_id"], order, options.k).withColumnRenamed("key", "chunk_id")
 
 
+def composed_routes(questions: DataFrame) -> DataFrame:
+    """The routes of each question: query_id, label, route, text, only, depth, skip_hyde, k, and its flags as columns f_*.
+
+    ``questions`` (query_id, text). A comparison is decomposed; its parts are
+    labels of their own and take the keyword route. The original takes
+    keywords, focus and as many metadata routes as its depth allows.
+    """
+    terms = search.query_terms(F.col("text"))
+    flags = routing.query_flags(F.col("text"), F.col("terms"))
+    rows = questions.select("query_id", "text", terms.alias("terms")).withColumns({f"f_{n}": F.coalesce(c, F.lit(False)) for n, c in flags.items()})
+    f = {n: F.col(f"f_{n}") for n in flags}
+    rows = rows.withColumn("depth", routing.depth(f)).withColumn("_s", routing.strategy(F.col("depth")))
+    route = lambda name, value, only: F.struct(F.lit("original").alias("label"), F.lit(name).alias("route"), value.alias("text"), only.alias("only"))
+    none, words = F.lit(None).cast("string"), F.array_join("terms", " ")
+    focus = F.array_join(F.slice("terms", 1, 2), " ")
+    meta = F.slice(F.filter(metadata_routes(f, words, focus), lambda r: r["column"] == "content_type"), F.lit(1), F.col("_s.max_metadata_routes"))
+    meta = F.transform(meta, lambda r: F.struct(F.lit("original").alias("label"), r["route"].alias("route"), r["text"].alias("text"), r["value"].alias("only")))
+    parts = F.slice(routing.decompose(F.col("text"), f["comparison"]), 2, 3)
+    parts = F.transform(parts, lambda x, i: F.struct(F.concat(F.lit("part"), i + 1).alias("label"), F.lit("keyword_bm25").alias("route"), x.alias("text"), none.alias("only")))
+    every = F.concat(F.array(route("keyword_bm25", words, none)), F.when(F.size("terms") >= 2, F.array(route("focus", focus, none))).otherwise(F.array().cast("array<struct<label:string,route:string,text:string,only:string>>")), meta, parts)
+    kept = ["query_id", "depth", F.col("_s.k").alias("k"), F.col("_s.skip_hyde").alias("skip_hyde"), *(f"f_{n}" for n in flags)]
+    return rows.select(*kept, F.explode(every).alias("r")).select("*", "r.*").drop("r").filter("text <> ''")
+
+
+def retrieve_composed(questions: DataFrame, chunks: DataFrame, options: Options = Options()) -> DataFrame:
+    """Retrieval by the kind of each question: query_id, chunk_id, score, rank, depth, needs_hyde.
+
+    ``questions`` (query_id, text, embedding or null), ``chunks`` as in
+    ``route_hits``. All lexical routes of all questions and parts are one
+    search; they are fused with the weights of the question's flags, and the
+    depth decides how many documents stay. ``needs_hyde`` marks questions that
+    found fewer than two and may ask for a made-up answer to search with.
+    """
+    routes = settled(composed_routes(questions))
+    place = F.concat_ws("|", F.col("query_id").cast("string"), "label", "route")
+    asked = routes.select(place.alias("query_id"), search.query_terms(F.col("text")).alias("terms"), "only")
+    docs = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
+    hits = search.bm25(docs, asked, options.coarse_k, kinds=chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content_type").alias("kind")))
+    hits = routes.withColumn("_place", place).join(hits.withColumnRenamed("query_id", "_place"), "_place").select(*routes.columns, F.col("doc_id").alias("key"), "rank")
+    flags = {c[2:]: F.col(c) for c in routes.columns if c.startswith("f_")}
+    near = search.vector_top_k(chunks.filter("embedding is not null").select(F.col("chunk_id").alias("vec_id"), "embedding"), questions.select("query_id", "embedding"), options.coarse_k)
+    own = routes.drop("label", "route", "text", "only").distinct()
+    near = own.join(near.select("query_id", F.col("vec_id").alias("key"), "rank"), "query_id").withColumns({"label": F.lit("original"), "route": F.lit("semantic")})
+    columns = ["query_id", "label", "route", "key", "rank", *(f"f_{n}" for n in flags)]
+    weighted = hits.select(*columns).unionByName(near.select(*columns)).withColumn("route_weight", fusion.route_weight(F.col("route"), flags))
+    fused = fusion.weighted_rrf(weighted)
+    placed = fused.join(chunks.select(F.col("chunk_id").alias("key"), "section"), "key")
+    kept = fusion.section_top_n(placed, options.per_section).filter(F.col("score") >= options.threshold)
+    depths = own.select("query_id", "depth", "k", "skip_hyde")
+    ranked = search.top_k(kept, ["query_id"], [F.desc("score"), F.asc("key")], max(v[0] for v in routing.DEPTHS.values())).join(depths, "query_id").filter("rank <= k")
+    n = ranked.groupBy("query_id").agg(F.count("*").alias("_n"))
+    out = ranked.join(n, "query_id").withColumn("needs_hyde", routing.needs_hyde(F.col("_n"), F.col("skip_hyde")))
+    return out.select("query_id", F.col("key").alias("chunk_id"), "score", "rank", "depth", "needs_hyde")
+
+
 def expand(found: DataFrame, chunks: DataFrame, options: Options = Options()) -> DataFrame:
     """The documents found and their neighbours in the section: query_id, chunk_id, section, expanded."""
     places = chunks.select("chunk_id", "section", "chunk_index", "tokens")

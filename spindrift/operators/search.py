@@ -43,7 +43,7 @@ def query_terms(text: Column, most: int = 6) -> Column:
     return F.slice(first, 1, most)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None, kinds: DataFrame | None = None) -> DataFrame:
     """Top ``k`` of ``docs`` (doc_id, text) for each of ``queries`` (query_id, terms): query_id, doc_id, score, rank.
 
     Documents match a term as a substring, lengths are in characters, and the
@@ -51,7 +51,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None)
     Each document is scanned once for all terms of all queries and emits only
     those that it holds, and the same pass counts the corpus; there is no join
     of documents with terms. ``df_cap`` bounds a term's document frequency, as
-    a store does that returns at most so many matches.
+    a store does that returns at most so many matches. With ``kinds`` (doc_id,
+    kind) a query that names a kind in ``only`` gets documents of that kind;
+    the statistics stay those of all documents.
     """
     used = queries.select("query_id", F.explode("terms").alias("term")).filter("term <> ''").distinct()
     counted = settled(_term_pass(docs, used))
@@ -64,6 +66,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, df_cap: int | None = None)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(weighted, "term").select("term", "doc_id", part.alias("part"))
     total = used.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("raw"))
+    if kinds is not None:
+        total = total.join(queries.select("query_id", "only"), "query_id").join(kinds, "doc_id").filter("only is null or only = kind").drop("only", "kind")
     ranked = top_k(total, ["query_id"], [F.desc("raw"), F.asc("doc_id")], k)
     best = F.max("raw").over(Window.partitionBy("query_id"))
     return ranked.select("query_id", "doc_id", F.round(F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw")), 6).alias("score"), "rank")

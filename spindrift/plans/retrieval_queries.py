@@ -28,6 +28,14 @@ def retrieve_documents(spark, sf_dir):
     return retrieval.retrieve(_batch(spark, sf_dir), _corpus(spark, sf_dir), retrieval.Options(threshold=0.03))
 
 
+@query()
+def retrieve_composed(spark, sf_dir):
+    """Routes, weights and depth by the kind of each benchmark question."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    questions = b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    return retrieval.retrieve_composed(questions, _corpus(spark, sf_dir), retrieval.Options(threshold=0.03))
+
+
 @query()
 def retrieve_expanded(spark, sf_dir):
     chunks = _corpus(spark, sf_dir)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.operators import chunking, corpus, drivers, graph, lookups
+from spindrift.operators import chunking, corpus, drivers, graph, lookups, retrieval
 from spindrift.plans import catalogue
 from spindrift.streaming import tracking
 
@@ -117,3 +117,18 @@ def test_keywords_count_in_the_row(spark):
     docs = spark.createDataFrame([(1, "the cat The 数据结构与算法 ab"), (2, None), (3, "")], "doc_id long, text string")
     got = [(r["doc_id"], r["word"], r["n"], r["rank"]) for r in corpus.keywords(docs, 3).collect()]
     assert got == [(1, "the", 2, 1), (1, "cat", 1, 2), (1, "与算法", 1, 3)]
+
+
+def test_composed_retrieval_follows_the_question(spark):
+    texts = [("进程调度决定哪个进程先运行", "text"), ("线程调度决定哪个线程先运行", "text"), ("进程调度和线程调度的区别", "table"), ("进程是资源分配的单位", "text"), ("习题：栈的应用", "exercise"), ("stack overflow in recursion", "code_mixed")]
+    chunks = spark.createDataFrame([(i, t, [1.0, float(i)], f"s{i}", k) for i, (t, k) in enumerate(texts)], "chunk_id long, text string, embedding array<double>, section string, content_type string")
+    questions = spark.createDataFrame([(1, "请比较进程调度和线程调度的区别", None), (2, "进程是什么", [1.0, 3.0]), (3, "stack_overflow recursion 代码示例", None), (4, "", None), (5, None, None)], "query_id long, text string, embedding array<double>")
+    routes = {(r["query_id"], r["label"], r["route"], r["only"]) for r in retrieval.composed_routes(questions).collect()}
+    assert {(1, "part1", "keyword_bm25", None), (1, "part2", "keyword_bm25", None), (1, "original", "comparison_meta", "table")} <= routes
+    assert any(q == 3 and r == "code_meta" and only == "code_mixed" for q, _, r, only in routes) and not any(q in (4, 5) for q, *_ in routes)
+    rows = retrieval.retrieve_composed(questions, chunks, retrieval.Options(threshold=0.0)).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got[1][0] == 2 and set(got[1]) >= {0, 1} and got[2][0] == 3 and got[3][0] == 5 and set(got) == {1, 2, 3}
+    assert {r["query_id"]: r["depth"] for r in rows}[1] in ("standard", "shallow") and all(len(v) <= 8 for v in got.values())
