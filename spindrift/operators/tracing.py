@@ -122,18 +122,20 @@ def profile(rows: DataFrame, registry: DataFrame, core: dict[str, int] | None =
 
     ``rows`` are effective states with a category, ``registry`` (kp, category).
     """
-    spark = rows.sparkSession
     totals = registry.filter("category <> ''").groupBy("category").agg(F.count("*").alias("registered"))
     stats = rows.groupBy("user_id", "category").agg(
         F.count("*").alias("tracked"), F.count_if(F.col("effective_score") >= 0.6).alias("mastered"), F.count_if(F.col("effective_score") < 0.3).alias("weak"),
         F.round(F.avg("effective_mastery"), 3).alias("avg_mastery"), F.round(F.avg("effective_score"), 3).alias("avg_score"),
     )
-    if core:
-        names = spark.createDataFrame(list(core.items()), "category string, fallback long")
-        always = rows.select("user_id").distinct().crossJoin(F.broadcast(names))
-        stats = always.join(stats, ["user_id", "category"], "full_outer")
-    else:
-        stats = stats.withColumn("fallback", F.lit(None).cast("long"))
+    fallback = F.lit(None).cast("long")
+    if core:  # a user's categories are few, so the missing ones are added to their list and the states are read once
+        fallback = F.try_element_at(F.create_map(*(F.lit(x) for pair in core.items() for x in pair)), F.col("category")).cast("long")
+        fields = ("tracked", "mastered", "weak", "avg_mastery", "avg_score")
+        lists = stats.groupBy("user_id").agg(F.collect_list(F.struct("category", *fields)).alias("c"))
+        empty = lambda x: F.struct(x.alias("category"), *(F.lit(None).cast(stats.schema[f].dataType).alias(f) for f in fields))
+        missing = F.transform(F.filter(F.array(*map(F.lit, core)), lambda x: ~F.exists("c", lambda y: y["category"] == x)), empty)
+        stats = lists.select("user_id", F.explode(F.concat("c", missing)).alias("r")).select("user_id", "r.*")
+    stats = stats.withColumn("fallback", fallback)
     out = stats.join(totals, "category", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("tracked", "mastered", "weak")} | {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("avg_mastery", "avg_score")}
     out = out.withColumns(zero).withColumn("total", F.coalesce("registered", "fallback", "tracked"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus
+from ..sources.files import spread
 from .registry import inline, query, table
 
 
@@ -21,7 +22,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '')) AS
 """)
 def clean_basic(spark, sf_dir):
     cleaned = corpus.clean_text(F.col("text"), unicode_form=False)
-    return _docs(spark, sf_dir).select("doc_id", cleaned.alias("t")).select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", cleaned.alias("t")).select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 
 @query()
