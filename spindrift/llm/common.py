@@ -116,6 +116,22 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, scratch
     return ranged.join(F.broadcast(bases), "_range").withColumn(out, (F.col("_base") + inside).cast("long")).drop("_range", "_base")
 
 
+def marked(rows: DataFrame, values: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """``rows`` with ``_maybe``: whether a bit says that ``column`` may be among those of ``values``; all that are pass, a few others too.
+
+    There is a bit for the hash of each value: 2 MB with 24 bits, however many
+    there are. They go to the tasks as one row with an array of words.
+    """
+    h = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    words = values.select(h.alias("h")).withColumn("w", F.expr("cast(h div 64 as int)")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("v"))
+    table = np.zeros(1 << max(0, bits - 6), np.int64)
+    for part in words.toArrow().to_batches():  # at most 2**(bits - 6) rows
+        table[np.asarray(part.column("w"))] = np.asarray(part.column("v"))
+    one = rows.sparkSession.createDataFrame(pa.table({"_bits": pa.array([table], pa.list_(pa.int64()))}))
+    bit = F.getbit(F.get("_bits", F.floor(h / 64).cast("int")), (h % 64).cast("int")) == 1
+    return rows.crossJoin(F.broadcast(one)).withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_bits")
+
+
 def join_spread(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key and ``n``, the number of rows of ``left`` (``total`` in all) with it.
 

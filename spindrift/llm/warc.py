@@ -25,12 +25,11 @@ import os
 import uuid
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, marked, partitions
 from .files import MANIFEST, new_file, open_fs, publish, published
 
 LEAST = 100
@@ -80,16 +79,6 @@ def transaction(row: int, page_id: int | None, url: str | None, payload: bytes,
     ]
 
 
-def _bits(hashes: DataFrame) -> bytes:
-    """A bit for each value modulo 2**BITS of ``hashes`` (h long): 2 MB, however many there are."""
-    words = hashes.select(F.pmod("h", F.lit(1 << BITS)).alias("h")).withColumn("w", F.expr("cast(h div 8 as int)")).groupBy("w")
-    words = words.agg(F.expr("bit_or(shiftleft(1, cast(h % 8 as int)))").alias("v"))
-    table = np.zeros(1 << BITS - 3, np.uint8)
-    for part in words.toArrow().to_batches():  # at most 2**(BITS - 3) rows
-        table[np.asarray(part.column("w"))] = np.asarray(part.column("v"))
-    return table.tobytes()
-
-
 def decide(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``rows`` (row, page_id, url, payload, digest, large) and ``first``, the row that a revisit refers to.
 
@@ -105,15 +94,11 @@ def decide(rows: DataFrame, scratch: Scratch) -> DataFrame:
     total = groups.agg(F.sum("n")).first()[0] or 0
     hot = groups.filter(F.col("n") > max(100, total // partitions(spark))).select("digest", F.col("first").alias("hot")).collect()  # at most as many as partitions
     hot = spark.createDataFrame([(r["digest"], r["hot"]) for r in hot], "digest string, hot long")
-    bits = F.lit(_bits(groups.select(F.xxhash64("digest").alias("h"))))
-    h = F.pmod(F.xxhash64("digest"), F.lit(1 << BITS))
-    byte = F.conv(F.hex(F.substring(bits, F.floor(h / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    maybe = F.col("large") & (F.getbit(byte, (h % 8).cast("int")) == 1)
-    marked = rows.join(F.broadcast(hot), "digest", "left").withColumn("maybe", maybe & F.col("hot").isNull())
+    seen = marked(rows, groups, "digest", BITS).join(F.broadcast(hot), "digest", "left").withColumn("maybe", F.col("large") & F.col("_maybe") & F.col("hot").isNull())
     columns = ["row", "page_id", "url", "payload", "digest"]
     # a small payload is a response even if a large one, or a hot one, has its digest
-    known = marked.filter("not maybe").select(*columns, F.when(F.col("large"), F.expr("nullif(hot, row)")).alias("first"))
-    met = marked.filter("maybe").select(*columns).join(groups.select("digest", "first"), "digest", "left")
+    known = seen.filter("not maybe").select(*columns, F.when(F.col("large"), F.expr("nullif(hot, row)")).alias("first"))
+    met = seen.filter("maybe").select(*columns).join(groups.select("digest", "first"), "digest", "left")
     return known.unionByName(met.select(*columns, F.expr("nullif(first, row)").alias("first")))
 
 
