@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import jaccard_join, language_id, packing, quality
-from spindrift.llm.common import Scratch, small_batches
+from spindrift.llm.common import Scratch, marked, small_batches
 from spindrift.llm.tokens import default_path
 
 #: A language is rejected below this share of the scores of all; four equal ones have 0.25.
@@ -47,16 +47,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id.
 
-    Only rows of repeated ids are shuffled with their texts, to find the
-    smallest; documents without an id stay.
+    Most documents stay and are passed on as they are. A bit for each id that
+    goes, or that several rows share, leads to the scan, so only such rows are
+    shuffled with their texts; documents without an id stay.
     """
-    groups = jaccard_join.near_duplicates(docs, Scratch(spark, "groups"))
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").count()
-    once = docs.join(kept.filter("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    several = docs.join(kept.filter("count > 1").select("doc_id"), "doc_id", "left_semi")
+    scratch = Scratch(spark, "groups")
+    groups = jaccard_join.near_duplicates(docs, scratch).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    groups = groups.agg(F.count("*").alias("_n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_kept"))
+    look = scratch.table(groups.filter("_n > 1 or not _kept"), "look")
+    rows = marked(docs.withColumn("_id", F.col("doc_id").cast("long")), look, "_id").withColumn("_maybe", F.col("_maybe") & F.col("_id").isNotNull())
+    met = rows.filter("_maybe").join(look, "_id", "left")
     order = F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    several = several.groupBy("doc_id").agg(F.min(order).alias("row")).select("doc_id", "row.*").select(docs.columns)
-    return once.unionByName(several).unionByName(docs.filter("doc_id is null"))
+    several = met.filter("_n > 1 and _kept").groupBy("doc_id").agg(F.min(order).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return rows.filter("not _maybe").select(docs.columns).unionByName(met.filter("_n is null").select(docs.columns)).unionByName(several)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
