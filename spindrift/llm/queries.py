@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import cap_filters, jaccard_join, warc
+from . import cap_filters, fill_middle, jaccard_join, warc
 from .cap_filters import op7_cap_filters
+from .fill_middle import op13_fill_middle
 from .jaccard_join import op9_jaccard_groups
 from .language_id import op2_string_kernel
 from .media import op3_media_columns
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_random_indexing": op8_random_indexing,
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_warc_transactions": op10_warc_transactions,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op7_cap_filters": cap_filters.ORACLE,
     "op9_jaccard_groups": jaccard_join.ORACLE,
     "op10_warc_transactions": warc.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
 }
