@@ -15,6 +15,7 @@ from .quality import op8_random_indexing
 from .token_store import op1_token_store
 from .url_rules import op6_association_rules
 from .warc import op10_warc_transactions
+from .whitening import op12_exact_whitening
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_warc_transactions": op10_warc_transactions,
     "op11_positional_index": op11_positional_index,
+    "op12_exact_whitening": op12_exact_whitening,
     "op13_fill_middle": op13_fill_middle,
 }
 
