@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fusion, search
+from ..operators import fusion, lexical, search, vector_index
+from ..sources.files import scratch
 from .registry import inline, query, table
 
 TERMS_SQL = """
@@ -51,6 +52,13 @@ def bm25_topk_capped(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), 10, df_cap=30)
 
 
+@query(_bm25_sql("count(*)"))
+def bm25_index_topk(spark, sf_dir):
+    """The same search in a stored index of all documents, which is built first."""
+    index = lexical.build(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "lexical"))
+    return lexical.bm25(index, _queries(spark, sf_dir), 10)
+
+
 @query(f"WITH {TERMS_SQL} SELECT query_id, array_to_string(terms, ' ') AS terms FROM terms")
 def query_terms(spark, sf_dir):
     return _queries(spark, sf_dir).select("query_id", F.array_join("terms", " ").alias("terms"))
@@ -82,6 +90,17 @@ def vector_topk(spark, sf_dir):
     return search.vector_top_k(v.select("vec_id", "embedding"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).select("query_id", "vec_id", "similarity", "rank")
 
 
+@query()
+def vector_index_topk(spark, sf_dir):
+    """The queries of ``vector_topk`` in a stored index of all vectors; its recall is measured in the tests."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = vector_index.train(v)
+    queries = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    if model is None:
+        return search.vector_top_k(v.filter("false"), queries.filter("false"), 5).select("query_id", "vec_id", "similarity", "rank")
+    return vector_index.search(vector_index.build(v, model, scratch(spark, "vectors")), model, queries, 5)
+
+
 @query("""
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v USING (label) WHERE q.vec_id % 100 = 0

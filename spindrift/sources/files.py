@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 ENCODINGS = ("utf-8-sig", "gb18030", "gbk", "gb2312", "big5")
 READABLE = ("txt", "md")
 
+#: The temporary folder of a local session that names none.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one only if none is set and Spark is local."""
@@ -22,11 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spindrift-")
+        _OWN[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a stored table of one run, in the folder that driver and executors share."""
+    root = shared_folder(spark)
+    return f"{root if '://' in root else 'file://' + root}/spindrift-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` written to a table of its own in the shared folder, and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut off from its lineage, in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
