@@ -290,15 +290,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return counted.unionByName(rest.select("doc_id", F.when(F.col("t").isNull(), -1).otherwise(0).cast("long").alias("n")))
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """The pairs of ``ngram_pairs`` with three-character grams, for whole tables: a < b, similarity (6 digits).
+def gram_signatures(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, digest of its set of three-character grams, and its signatures ``own`` and ``up`` for its size class and the next.
 
-    There are too few different trigrams for a prefix filter on large tables,
-    so sets are dealt into buckets by gram: two sets that reach the threshold
-    differ in at most d grams, and of d + 1 buckets one holds the same grams in
-    both. d follows from the size class; sizes of a pair lie in one class or
-    in neighbouring ones, so each set is signed for its class and the next.
-    No pair is missed. Documents with equal sets are one class until the end.
+    Two sets that reach the threshold have a signature in common that isn't
+    among the ``up`` of both; see ``near_pairs``.
     """
     import numpy as np
     import pyarrow as pa
@@ -325,16 +321,22 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
         return hashlib.blake2b(g.tobytes(), digest_size=16).digest(), signed(g, level), signed(g, level + 1)
 
     longs = pa.list_(pa.int64())
-    rows = settled(_per_text(docs, "digest binary, own array<bigint>, up array<bigint>", [pa.binary(), longs, longs], sign))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("d"), F.min_by(F.struct("own", "up"), "doc_id").alias("s"))
-    own = first.select("d", F.explode("s.own").alias("sig"), F.lit(False).alias("up"))
-    every = own.unionByName(first.select("d", F.explode("s.up").alias("sig"), F.lit(True).alias("up")))
-    met = every.withColumnRenamed("d", "a").join(own.select(F.col("d").alias("b"), "sig"), "sig").filter("up or a < b")
-    pairs = settled(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = docs.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
-    sets = _per_text(wanted, "g binary", [pa.binary()], lambda t: (_gram_codes(t).tobytes(),))
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "g": "ga"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "g": "gb"}), "b")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _per_text(docs, "digest binary, own array<bigint>, up array<bigint>", [pa.binary(), longs, longs], sign)
+
+
+def gram_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, g: the set of three-character grams of each text, as sorted 64-bit codes."""
+    import pyarrow as pa
+
+    return _per_text(docs, "g binary", [pa.binary()], lambda t: (_gram_codes(t).tobytes(),))
+
+
+def set_similarity(pairs: DataFrame) -> DataFrame:
+    """a, b, s: the Jaccard similarity of the sets ``ga`` and ``gb`` of each of ``pairs``."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in "ab")
 
     def verify(batches):
         for batch in batches:
@@ -345,7 +347,29 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
                 similar.append(same / (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "s"])
 
-    near = both.mapInArrow(verify, f"a {kind}, b {kind}, s double").filter(F.col("s") >= threshold)
+    return pairs.select("a", "b", "ga", "gb").mapInArrow(verify, f"{kinds}, s double")
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The pairs of ``ngram_pairs`` with three-character grams, for whole tables: a < b, similarity (6 digits).
+
+    There are too few different trigrams for a prefix filter on large tables,
+    so sets are dealt into buckets by gram: two sets that reach the threshold
+    differ in at most d grams, and of d + 1 buckets one holds the same grams in
+    both. d follows from the size class; sizes of a pair lie in one class or
+    in neighbouring ones, so each set is signed for its class and the next.
+    No pair is missed. Documents with equal sets are one class until the end.
+    """
+    rows = settled(gram_signatures(docs, threshold))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("d"), F.min_by(F.struct("own", "up"), "doc_id").alias("s"))
+    own = first.select("d", F.explode("s.own").alias("sig"), F.lit(False).alias("up"))
+    every = own.unionByName(first.select("d", F.explode("s.up").alias("sig"), F.lit(True).alias("up")))
+    met = every.withColumnRenamed("d", "a").join(own.select(F.col("d").alias("b"), "sig"), "sig").filter("up or a < b")
+    pairs = settled(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = docs.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
+    sets = gram_sets(wanted)
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "g": "ga"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "g": "gb"}), "b")
+    near = set_similarity(both).filter(F.col("s") >= threshold)
     members = rows.select("digest", "doc_id").join(first.select("digest", "d"), "digest").select("d", "doc_id")
     left, right = members.withColumnsRenamed({"d": "a", "doc_id": "x"}), members.withColumnsRenamed({"d": "b", "doc_id": "y"})
     across = near.join(left, "a").join(right, "b").select("x", "y", "s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, dialog, drivers, evaluate, govern, graph, learning, lookups, questions, retrieval, routing
+from ..operators import arrivals, corpus, dialog, drivers, evaluate, govern, graph, learning, lookups, questions, retrieval, routing
 from ..sources import files
 from .graph_queries import EDGES_SQL, _edges
 from .registry import inline, query, table
@@ -71,6 +71,17 @@ def dedup_documents(spark, sf_dir):
     return drivers.dedup(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+@query()
+def arrivals_dedup(spark, sf_dir):
+    """All documents as three arrivals in the order of ids, each checked against a store of those before it; the result is that of ``dedup_documents``."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    store = arrivals.Store(spark, files.scratch(spark, "arrivals"), id_type=docs.schema["doc_id"].dataType.simpleString())
+    low, high = docs.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01) or [0, 0]
+    i = F.col("doc_id")
+    parts = [arrivals.add(store, docs.filter(part)) for part in (i <= low, (i > low) & (i <= high), i > high)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("""
 WITH c AS (SELECT doc_id, count(*) AS chunks FROM labels GROUP BY 1), d AS (SELECT coalesce(lang, 'unknown') AS category, length(text) AS chars, CASE WHEN n_chars < 40 THEN 'short' END AS error, chunks FROM documents LEFT JOIN c USING (doc_id))
 SELECT category, count(*) AS documents, CAST(sum(chars) AS BIGINT) AS chars, count(error) AS errors, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks FROM d GROUP BY ROLLUP (category)
