@@ -244,6 +244,8 @@ class Lists:
             n = int(self.sizes.sum())
             self._known = np.zeros(len(self.last), bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
         known, docs, times = self._known
+        if not len(blocks):
+            return docs[:0], times[:0]
         new = blocks[~known[blocks]]
         if len(new) == len(known):
             docs[:], times[:] = self.unpacked(new)
