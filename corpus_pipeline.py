@@ -27,11 +27,17 @@ from spindrift.llm.tokens import default_path
 LEAST_LANGUAGE = 0.3
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns but doc_id and text under names that no stage uses for its own."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     small_batches(spark)
     model = quality.train(docs, spark.read.parquet(os.path.join(sf_dir, "labels.parquet")), 5, 0)
-    return quality.score(docs, model).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    rows = apart(docs)
+    return quality.score(rows, model).filter(F.col("score") >= quality.THRESHOLD).select(rows.columns).toDF(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +46,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.train(docs, 3, 1)
     if model is None:
         return docs
-    found = language_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
+    rows = apart(docs)
+    found = language_id.predict(rows, model)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(rows.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +59,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     shuffled with their texts; documents without an id stay.
     """
     scratch = Scratch(spark, "groups")
+    names, docs = docs.columns, apart(docs)
     groups = jaccard_join.near_duplicates(docs, scratch).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
     groups = groups.agg(F.count("*").alias("_n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_kept"))
     look = scratch.table(groups.filter("_n > 1 or not _kept"), "look")
@@ -59,7 +67,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     met = rows.filter("_maybe").join(look, "_id", "left")
     order = F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
     several = met.filter("_n > 1 and _kept").groupBy("doc_id").agg(F.min(order).alias("row")).select("doc_id", "row.*").select(docs.columns)
-    return rows.filter("not _maybe").select(docs.columns).unionByName(met.filter("_n is null").select(docs.columns)).unionByName(several)
+    return rows.filter("not _maybe").select(docs.columns).unionByName(met.filter("_n is null").select(docs.columns)).unionByName(several).toDF(*names)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

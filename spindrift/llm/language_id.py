@@ -109,14 +109,20 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Model | None:
-    """A model from labelled texts; the first texts of each label are the landmarks. None without labelled letters."""
+    """A model from labelled texts; the first texts of each label, or of as many labels as there may be landmarks, are the landmarks. None without labelled letters."""
     known = [(t, k) for t, k in zip(texts, labels) if _LETTER.search(t)]
     texts, labels = [t for t, _ in known], [k for _, k in known]
     kinds = sorted(set(labels))
     if not kinds:
         return None
+    number = {k: i for i, k in enumerate(kinds)}
+    of = np.array([number[x] for x in labels])
     each = max(1, landmarks // len(kinds))
-    chosen = [i for k in kinds for i in [j for j, x in enumerate(labels) if x == k][:each]]
+    order = np.argsort(of, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+    chosen = order[place < each].tolist()
+    if len(chosen) > landmarks:  # more languages than landmarks: those of some, evenly
+        chosen = [chosen[i] for i in np.linspace(0, len(chosen) - 1, landmarks).round().astype(int).tolist()]
     sets = [grams(texts[i]) for i in chosen]
     features = np.unique(np.concatenate(sets))
     presence = np.zeros((len(features), len(chosen)), bool)
@@ -128,9 +134,10 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS) -> Mode
     good = values > 1e-6 * values.max()
     nystrom = vectors[:, good] / np.sqrt(values[good])
     mapped = np.concatenate([model.kernel(texts[a : a + 64]) for a in range(0, len(texts), 64)]) @ nystrom
-    targets = np.array([[1.0 if x == k else 0.0 for k in kinds] for x in labels])
+    sums = np.zeros((len(kinds), mapped.shape[1]))
+    np.add.at(sums, of, mapped)
     gram = mapped.T @ mapped + RIDGE * len(texts) / len(kinds) * np.eye(mapped.shape[1]) * 0.1
-    model.weights = nystrom @ np.linalg.solve(gram, mapped.T @ targets)
+    model.weights = nystrom @ np.linalg.solve(gram, sums.T)
     return model
 
 

@@ -73,16 +73,49 @@ class Ids(dict):
 
 def _tokens(text: str, ids: Ids) -> np.ndarray:
     """Ids of a text's words and marks."""
+    found, again = _words(text, ids, [])
+    if not len(found):
+        return found
+    lines = text.split("\n")
+    doubled = sum(len(x) for x in lines) - sum(len(x) for x in dict.fromkeys(lines))
+    return np.concatenate([found, np.repeat([AGAIN, LINE], [again, doubled // 6])])
+
+
+def _words(text: str, ids: Ids, last: list[str]) -> tuple[np.ndarray, int]:
+    """Ids of the words and of the marks for capitals of a part of a text, and how many words repeat the one before; ``last`` is the word before, then the last of the part."""
     words = _WORDS(text)
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), 0
     found = np.array([ids[w] for w in words], np.int64)
     capitals = found < 0
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    lines = text.split("\n")
-    doubled = sum(len(x) for x in lines) - sum(len(x) for x in dict.fromkeys(lines))
-    marks = np.repeat([CAPITALS, AGAIN, LINE], [int(capitals.sum()), again, doubled // 6])
-    return np.concatenate([np.where(capitals, -1 - found, found), marks])
+    again = sum(a == b for a, b in zip(words, words[1:])) + (last == words[:1])
+    last[:] = words[-1:]
+    return np.concatenate([np.where(capitals, -1 - found, found), np.full(int(capitals.sum()), CAPITALS)]), again
+
+
+class _Lines:
+    """The characters in lines that occurred before, over the parts of a text; a line is known by a digest of 128 bits."""
+
+    def __init__(self):
+        self.doubled, self._seen = 0, set()
+        self._begin()
+
+    def _begin(self) -> None:
+        self._hash, self._size = hashlib.blake2b(digest_size=16), 0
+
+    def feed(self, part: str) -> None:
+        for k, piece in enumerate(part.split("\n")):
+            if k:
+                self.end()
+            self._hash.update(piece.encode("utf-8", "surrogatepass"))
+            self._size += len(piece)
+
+    def end(self) -> None:
+        key = self._hash.digest()
+        if key in self._seen:
+            self.doubled += self._size
+        self._seen.add(key)
+        self._begin()
 
 
 @dataclass
@@ -101,8 +134,7 @@ class Model:
         out = np.zeros((len(texts), DIM))
         for row, text in enumerate(texts):
             n, total = 0, np.zeros(DIM)
-            for part in parts(text):
-                found = _tokens(part, ids)
+            for found in _counted(text, ids):
                 n += len(found)
                 total += np.bincount(found, minlength=len(self.vectors)) @ self.vectors if len(found) > 4 * len(self.vectors) else self.vectors[found].sum(axis=0)
             out[row] = total / max(1, n)
@@ -120,14 +152,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def _counted(text: str | None, ids: Ids):
+    """The ids of a whole text: of a long one in parts, with what the marks need carried from part to part."""
+    if not text or len(text) <= PART:
+        yield _tokens(text or "", ids)
+        return
+    lines, last, total, some = _Lines(), [], 0, False
+    for part in parts(text):
+        found, again = _words(part, ids, last)
+        lines.feed(part)
+        total += again
+        some |= len(found) > 0
+        yield found
+    lines.end()
+    if some:
+        for mark, n in ((AGAIN, total), (LINE, lines.doubled // 6)):
+            for a in range(0, n, PART):
+                yield np.full(min(PART, n - a), mark)
+
+
 def parts(text: str | None):
-    """A text in parts that end at white space where there is some."""
+    """A text in parts of PART characters or more, which end at white space, so that no word is cut."""
     at = 0
     while text and at < len(text):
         end = at + PART
         if end < len(text):
             gap = max(text.rfind(c, at, end) for c in " \n\t")
-            end = gap + 1 if gap > at else end
+            if gap < at:
+                gap = min((x for x in (text.find(c, end) for c in " \n\t") if x >= 0), default=len(text) - 1)
+            end = gap + 1
         yield text[at:end]
         at = end
 

@@ -28,11 +28,9 @@ def balanced(rows: DataFrame, label: str, order: str, each: int, most: int, most
     each = min(each, most // len(counts))
     scale = 1 << 30
     h = F.pmod(F.xxhash64(F.col(order), F.lit(17)), F.lit(scale))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = scale if n <= each else int(scale * min(1.0, (each + 4 * each**0.5 + 8) / n))
-        keep = keep | ((F.col(label) == F.lit(value)) & (h < share))
-    drawn = usable.filter(keep).groupBy(h.alias("_h"), F.col(order).alias("id"), F.col(label).alias("label")).agg(F.min(text).alias("text")).collect()
+    shares = [(value, scale if n <= each else int(scale * min(1.0, (each + 4 * each**0.5 + 8) / n))) for value, n in counts.items()]
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, f"`{label}` {rows.schema[label].dataType.simpleString()}, _share long"))  # at most ``most`` labels
+    drawn = usable.select(label, order, text).join(shares, label).filter(h < F.col("_share")).groupBy(h.alias("_h"), F.col(order).alias("id"), F.col(label).alias("label")).agg(F.min(text).alias("text")).collect()
     taken: dict = {}
     for row in sorted(drawn, key=lambda r: (r["_h"], r["id"], r["text"])):
         some = taken.setdefault(row["label"], [])

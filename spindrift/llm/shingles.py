@@ -1,10 +1,10 @@
 """Word shingles of whole texts, as 64-bit hashes, by array arithmetic.
 
 Words are runs of bytes other than blanks and the control characters 9 to 13,
-A to Z lower-cased. A word's hash is a polynomial over random byte values
-modulo 2**64, taken from one running sum over a block of texts; a shingle's
-is a polynomial over word hashes. A text with fewer words than a shingle has
-one for its whole sequence; a text without words has none.
+A to Z lower-cased. A word's hash folds its bytes eight at a time through a
+mix that is not linear; a shingle's is a polynomial over word hashes, mixed
+again. A text with fewer words than a shingle has one for its whole sequence; a
+text without words has none.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .words import byte_set, folded, mix, spans
+
 WORDS = 5
 #: Texts are hashed in blocks of about this many bytes.
 BLOCK = 1 << 20
@@ -20,46 +22,14 @@ BLOCK = 1 << 20
 LONG_WORD = 1 << 16
 
 _U = np.uint64
-_P = 0x5851F42D4C957F2D
-_P_INV = pow(_P, -1, 1 << 64)
 _Q = [pow(0x14057B7EF767814F, k, 1 << 64) for k in range(WORDS)]
-_BYTES = np.random.Generator(np.random.PCG64(20260101)).integers(1, 1 << 64, 256, np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64, at least ``n`` of them."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        out = np.full(max(n, BLOCK + LONG_WORD), base, _U)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(out)
-        if n <= BLOCK + 2 * LONG_WORD:
-            _powers[kind] = have
-    return have
+_WORD = ~byte_set((9, 13), (32, 32))
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of ``data``, which is lower-cased."""
-    arr = np.frombuffer(data, np.uint8)
-    word = ~_SPACE[arr]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(arr) + 1, _U)
-        np.cumsum(_BYTES[arr] * _power("p", _P, len(arr))[: len(arr)], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * _power("inverse", _P_INV, len(arr))[starts]
-    return starts, _mix(raw ^ (ends - starts).astype(_U))
+    starts, ends = spans(data, _WORD)
+    return starts, folded(data, starts, ends)
 
 
 def _blocks(data: bytes) -> Iterator[bytes]:
@@ -90,11 +60,11 @@ def _shingle(words: np.ndarray) -> np.ndarray:
             total = np.zeros(1, _U)
             for k in range(n):
                 total += words[k] * _U(_Q[k])
-            return _mix(total + _U(0x9E3779B97F4A7C15) * _U(n))
+            return mix(total + _U(0x9E3779B97F4A7C15) * _U(n))
         out = np.zeros(n - WORDS + 1, _U)
         for k in range(WORDS):
             out += words[k : n - WORDS + 1 + k] * _U(_Q[k])
-    return _mix(out)
+    return mix(out)
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -172,3 +172,12 @@ def test_every_vector_is_listed():
     for r in range(0, 500, 50):
         mine = filters[rows == r]
         assert scores[r][mine].min() >= np.delete(scores[r], mine).max() - 1e-9
+
+
+@pytest.mark.parametrize("n", [8, 10, 11, 12])
+def test_words_that_a_polynomial_confuses_do_not_link(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    one, other = shingles.shingle_sets([f"{a} one two three four", f"{b} one two three four"])
+    assert len(one) == len(other) == 1 and one[0] != other[0]

@@ -81,3 +81,16 @@ def test_stages_take_empty_and_odd_tables(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path)) if name != "packing" else docs
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark):
+    """Values of columns named as the stages name theirs come through all stages but the last unchanged."""
+    names = ("score", "lang_pred", "_id", "_n", "_maybe", "_kept", "component_id", "n_shingles", "column_0")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumns({c: (docs["doc_id"] * (i + 2)).cast("string") for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+    rows = docs.collect()
+    assert rows and docs.columns[-len(names) :] == list(names)
+    assert all(r[c] == str(r["doc_id"] * (i + 2)) for r in rows for i, c in enumerate(names))
+    assert corpus_pipeline.STAGES[3][1](spark, docs, SF).count() >= len(rows)

@@ -291,3 +291,34 @@ def test_url_edge_tables(spark):
 def test_op6_stays_native(spark):
     plan = url_rules.op6_association_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_quality_does_not_depend_on_the_size_of_parts(monkeypatch):
+    rng = random.Random(9)
+    good = [words(rng, 60) + "\n" + words(rng, 30) for _ in range(60)]
+    bad = ["\n".join([words(rng, 12)] * 6) for _ in range(60)]
+    model = quality.fit(good + bad, [1] * 60 + [0] * 60, {0: 0.5, 1: 0.5})
+    line, other = words(rng, 40), words(rng, 25)
+    found = [
+        "\n".join([line, other] * 30),
+        (words(rng, 500) + "\n") * 2,
+        "same same " * 300,
+        "x" * 900 + " " + line + "\n" + "x" * 900,
+        " ".join([line] * 10),
+        "\n\n".join([line, "", line, other, "LOUD WORDS"] * 9) + "\n",
+    ]
+    whole, counts = model.scores(found), [np.sort(np.concatenate(list(quality._counted(t, quality.Ids(model.words))))) for t in found]
+    for part in (1, 7, 64, 1000):
+        monkeypatch.setattr(quality, "PART", part)
+        assert np.allclose(model.scores(found), whole, atol=1e-9)
+        for t, expected in zip(found, counts):
+            assert (np.sort(np.concatenate(list(quality._counted(t, quality.Ids(model.words))))) == expected).all()
+
+
+def test_thousands_of_languages(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{words(rng, 4)} {chr(0x4E00 + i % 5000)}{chr(0x4E01 + i % 5000)}", f"l{i % 5000}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, 3, 1)
+    assert len(model.labels) > 3000 and len(model.sizes) <= language_id.LANDMARKS
+    assert language_id.predict(docs.limit(20), model).filter("lang_pred <> 'und'").count() == 20
