@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import arrivals, corpus, dialog, drivers, evaluate, govern, graph, learning, lookups, questions, retrieval, routing
 from ..sources import files
+from ..streaming import ingest
 from .graph_queries import EDGES_SQL, _edges
 from .registry import inline, query, table
 from .tracing_queries import EVENTS_SQL, STATES_SQL, _category, _effective, _events, _expanded, _registry
@@ -82,6 +83,24 @@ def arrivals_dedup(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("""
+WITH f AS (SELECT coalesce(lang, 'unknown') AS category, doc_id // 50 AS part, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id, text) AS text FROM documents GROUP BY ALL)
+SELECT category || '/part-' || part || CASE WHEN part % 4 = 3 THEN '.pdf' ELSE '.md' END AS source, category, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
+  CASE WHEN part % 4 = 3 THEN 'unsupported type: pdf' WHEN length(trim(text)) < 10 THEN 'empty' END AS error FROM f
+""")
+def ingested_files(spark, sf_dir):
+    """All documents uploaded as files of up to fifty texts of a language, then read as a stream; files of another type are errors."""
+    part = F.floor(F.col("doc_id") / 50).cast("long")
+    docs = _docs(spark, sf_dir).select(F.coalesce("lang", F.lit("unknown")).alias("category"), part.alias("part"), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")).alias("row"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["text"]), "\n\n")
+    written = docs.groupBy("category", "part").agg(text.cast("binary").alias("content"))
+    ext = F.when(F.col("part") % 4 == 3, ".pdf").otherwise(".md")
+    folder, store, log = (files.scratch(spark, name) for name in ("uploads", "store", "progress"))
+    ingest.upload(written.select(F.concat(F.lit("part-"), "part", ext).alias("filename"), "category", "content"), folder)
+    ingest.ingest_stream(spark, folder, store, log).awaitTermination()
+    return ingest.files(spark, store).select("source", "category", "n_bytes", "error")
+
+
 @query("""
 WITH c AS (SELECT doc_id, count(*) AS chunks FROM labels GROUP BY 1), d AS (SELECT coalesce(lang, 'unknown') AS category, length(text) AS chars, CASE WHEN n_chars < 40 THEN 'short' END AS error, chunks FROM documents LEFT JOIN c USING (doc_id))
 SELECT category, count(*) AS documents, CAST(sum(chars) AS BIGINT) AS chars, count(error) AS errors, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks FROM d GROUP BY ROLLUP (category)
