@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus
 from ..sources.files import spread
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 
 
 def _docs(spark, sf_dir):
@@ -39,18 +39,18 @@ def web_noise_removed(spark, sf_dir):
 DATES = "(1, '2024年1月1日 和 2023年12月'), (2, '2024/1/1 12点5分'), (3, '2024.11.30 8时30分'), (4, 'none')"
 
 
-@query("SELECT * FROM (VALUES (1, '2024-01-01 和 2023-12'), (2, '2024-01-01 12:05'), (3, '2024-11-30 08:30'), (4, 'none')) t(id, text)")
+@example("SELECT * FROM (VALUES (1, '2024-01-01 和 2023-12'), (2, '2024-01-01 12:05'), (3, '2024-11-30 08:30'), (4, 'none')) t(id, text)")
 def date_normalize(spark, sf_dir):
     return inline(spark, DATES, "id, text").select("id", corpus.normalize_times(corpus.normalize_dates(F.col("text"))).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, '[1]first [2]second'), (2, '[3] third'), (3, E'[1] one\\n[12] twelve\\n1.5 stays'), (4, 'abcABC019')) t(id, text)")
+@example("SELECT * FROM (VALUES (1, '[1]first [2]second'), (2, '[3] third'), (3, E'[1] one\\n[12] twelve\\n1.5 stays'), (4, 'abcABC019')) t(id, text)")
 def list_markers(spark, sf_dir):
     rows = inline(spark, "(1, '①first ②second'), (2, '3) third'), (3, '1. one\\n12. twelve\\n1.5 stays'), (4, 'ａｂｃＡＢＣ０１９')", "id, text")
     return rows.select("id", corpus.halfwidth(corpus.list_markers(F.col("text"))).alias("text"))
 
 
-@query("SELECT 1 AS id, E'stem\\n#### 12 \\nnext' AS text")
+@example("SELECT 1 AS id, E'stem\\n#### 12 \\nnext' AS text")
 def exam_headings(spark, sf_dir):
     return inline(spark, "(1, 'stem#### 12 next')", "id, text").select("id", corpus.exam_headings(F.col("text")).alias("text"))
 
@@ -78,7 +78,7 @@ def content_status(spark, sf_dir):
 HEADS = "(1, '# 标题 one\\ntext', '', 'os/a.md'), (2, '第一章 绪论\\n正文', '', 'docs/b.md'), (3, 'no head here', '', 'net/c.txt'), (4, 'x', 'given', ''), (5, 'short line\\nmore', '', '')"
 
 
-@query("SELECT * FROM (VALUES (1, '标题 one', 'markdown', 'os'), (2, '第一章 绪论', 'chapter', NULL), (3, 'c', 'filename', 'net'), (4, 'given', 'existing', NULL), (5, 'short line', 'first_line', NULL)) t(id, heading, method, category)")
+@example("SELECT * FROM (VALUES (1, '标题 one', 'markdown', 'os'), (2, '第一章 绪论', 'chapter', NULL), (3, 'c', 'filename', 'net'), (4, 'given', 'existing', NULL), (5, 'short line', 'first_line', NULL)) t(id, heading, method, category)")
 def heading_impute(spark, sf_dir):
     rows = inline(spark, HEADS, "id, text, given, path")
     heading, method = corpus.impute_heading(F.col("text"), F.col("given"), F.col("path"))
@@ -93,7 +93,7 @@ def garbage_ratio(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(corpus.garbage_ratio(F.col("text")), 6).alias("ratio"), corpus.full_garbage(F.col("text")).alias("garbage"))
 
 
-@query(r"""
+@example(r"""
 WITH t(id, text) AS (VALUES (1, repeat('数据abcd', 12)), (2, repeat('word ', 20)), (3, '短 text')), c AS (SELECT id, text, len(regexp_extract_all(text, '[一-鿿㐀-䶿]')) AS z, len(regexp_extract_all(text, '[a-zA-Z]')) AS l FROM t)
 SELECT id, CASE WHEN length(text) >= 50 AND z + l > 0 THEN round(2.0 * least(z, l) / (z + l)::DOUBLE, 3) ELSE 0 END AS degree FROM c
 """)
@@ -112,18 +112,18 @@ def length_outliers(spark, sf_dir):
     return corpus.length_outliers(_docs(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 'a:5'), (2, '')) t(id, chars)")
+@example("SELECT * FROM (VALUES (1, 'a:5'), (2, '')) t(id, chars)")
 def char_freq_anomaly(spark, sf_dir):
     rows = inline(spark, "(1, 'aaaaa bcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'), (2, 'bcdefghijklmnopqrstuvwxyz')", "id, text")
     return rows.select("id", F.array_join(F.transform(corpus.frequent_chars(F.col("text")), lambda x: F.concat_ws(":", x["char"], x["n"])), ",").alias("chars"))
 
 
-@query("SELECT * FROM (VALUES (1, 'abc done'), (2, '的的好'), (3, 'nothing')) t(id, text)")
+@example("SELECT * FROM (VALUES (1, 'abc done'), (2, '的的好'), (3, 'nothing')) t(id, text)")
 def repeats_collapsed(spark, sf_dir):
     return inline(spark, "(1, 'abcabcabcabc done'), (2, '的的的的的的好'), (3, 'nothing')", "id, text").select("id", corpus.collapse_repeats(F.col("text")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1, E'good text\\n\\n[乱码段落，已隔离，原文6字符]\\n\\nmore', '1'), (2, 'clean', '')) t(id, text, indexes)")
+@example("SELECT * FROM (VALUES (1, E'good text\\n\\n[乱码段落，已隔离，原文6字符]\\n\\nmore', '1'), (2, 'clean', '')) t(id, text, indexes)")
 def garbled_paragraphs(spark, sf_dir):
     rows = inline(spark, "(1, 'good text\\n\\n░▒▓█▄▀\\n\\nmore'), (2, 'clean')", "id, text")
     return rows.select("id", corpus.isolate_garbled(F.col("text")).alias("text"), F.array_join(corpus.garbled_paragraphs(F.col("text")), ",").alias("indexes"))
@@ -153,19 +153,19 @@ g AS (SELECT doc_id, CASE WHEN length(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN len
 WITH {GRAMS_SQL}, e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / CAST(a.n + b.n - count(*) AS DOUBLE) AS s FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n)
 SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.9
-""", also="near_dup_jaccard_documents")
+""")
 def near_dup_jaccard(spark, sf_dir):
     """All near copies among ``documents``, with the reference's threshold of 0.9."""
     return corpus.near_pairs(_docs(spark, sf_dir), 0.9)
 
 
-@query(also="minhash_candidates_documents")
+@query()
 def minhash_candidates(spark, sf_dir):
     """128 permutations as in the reference, in 8 bands for its threshold of 0.9."""
     return corpus.minhash_pairs(_docs(spark, sf_dir), 128, 8)
 
 
-@query(f"WITH {GRAMS_SQL} SELECT doc_id, CAST(coalesce(len(g), -1) AS BIGINT) AS n FROM g", also="shingle_counts_documents")
+@query(f"WITH {GRAMS_SQL} SELECT doc_id, CAST(coalesce(len(g), -1) AS BIGINT) AS n FROM g")
 def shingle_counts(spark, sf_dir):
     return corpus.gram_counts(_docs(spark, sf_dir))
 
@@ -173,7 +173,7 @@ def shingle_counts(spark, sf_dir):
 KINDS = "(1, '```\\ncode\\n```', '', '', ''), (2, '|a|b|\\n|-|-|\\n|1|2|', '', '', ''), (3, '## head\\nx', '', '', ''), (4, '- item', '', '', ''), (5, 'plain', '习题', '', '.md'), (6, 'plain', '答案', '', '.md'), (7, 'import os', '', '', ''), (8, 'plain words', '', '', ''), (9, 'q', '', 'merged_qa', ''), (10, ' ', '', '', ''), (11, '$$x$$', '', '', '')"
 
 
-@query("SELECT * FROM (VALUES (1, 'code_mixed'), (2, 'table'), (3, 'section'), (4, 'list'), (5, 'exercise'), (6, 'answer'), (7, 'code_mixed'), (8, 'text'), (9, 'merged_qa'), (10, 'empty'), (11, 'formula')) t(id, kind)")
+@example("SELECT * FROM (VALUES (1, 'code_mixed'), (2, 'table'), (3, 'section'), (4, 'list'), (5, 'exercise'), (6, 'answer'), (7, 'code_mixed'), (8, 'text'), (9, 'merged_qa'), (10, 'empty'), (11, 'formula')) t(id, kind)")
 def content_type(spark, sf_dir):
     return inline(spark, KINDS, "id, text, heading, role, ext").select("id", corpus.content_type(F.col("text"), F.col("heading"), F.col("role"), F.col("ext")).alias("kind"))
 
@@ -197,7 +197,7 @@ def keywords_freq(spark, sf_dir):
 PATHS = "(1, '[Data Structure > Linear List > Linked List]', 3), (2, '数据结构 > 线性表', 2), (3, '综合应用', 1), (4, '', 1), (5, '[a > b]', 3)"
 
 
-@query("SELECT * FROM (VALUES (1, 'data-structure/linear-list/linked-list', 'Data Structure', 'Linear List', 'Linked List', 1.6::DOUBLE), (2, '数据结构/线性表', '数据结构', '', '线性表', 1.3::DOUBLE), (3, '综合应用', '', '', '综合应用', 1.6::DOUBLE), (4, '', '', '', '', 1.0::DOUBLE), (5, 'a/b', 'a', '', 'b', 1.6::DOUBLE)) t(id, slug, subject, chapter, topic, difficulty)")
+@example("SELECT * FROM (VALUES (1, 'data-structure/linear-list/linked-list', 'Data Structure', 'Linear List', 'Linked List', 1.6::DOUBLE), (2, '数据结构/线性表', '数据结构', '', '线性表', 1.3::DOUBLE), (3, '综合应用', '', '', '综合应用', 1.6::DOUBLE), (4, '', '', '', '', 1.0::DOUBLE), (5, 'a/b', 'a', '', 'b', 1.6::DOUBLE)) t(id, slug, subject, chapter, topic, difficulty)")
 def heading_slug(spark, sf_dir):
     subject, chapter, topic = corpus.heading_fields(F.col("path"))
     rows = inline(spark, PATHS, "id, path, level")
@@ -207,17 +207,17 @@ def heading_slug(spark, sf_dir):
 MARKDOWN = "(1, 'intro\\n# A\\na1\\n### C\\nc1\\n## B\\nb1\\n# D\\nd1'), (2, 'plain')"
 
 
-@query("SELECT 1 AS doc_id, 4::BIGINT AS line, 1::BIGINT AS from_level, 3::BIGINT AS to_level, 'C' AS title")
+@example("SELECT 1 AS doc_id, 4::BIGINT AS line, 1::BIGINT AS from_level, 3::BIGINT AS to_level, 'C' AS title")
 def heading_jumps(spark, sf_dir):
     return corpus.heading_jumps(inline(spark, MARKDOWN, "doc_id, text"))
 
 
-@query("SELECT * FROM (VALUES (1, 0::BIGINT, 0::BIGINT, '', '', 1::BIGINT), (1, 1, 1, 'A', '[A]', 2), (1, 2, 3, 'C', '[A > C]', 2), (1, 3, 2, 'B', '[A > B]', 2), (1, 4, 1, 'D', '[D]', 2), (2, 0, 0, '', '', 1)) t(doc_id, section, level, title, path, n_lines)")
+@example("SELECT * FROM (VALUES (1, 0::BIGINT, 0::BIGINT, '', '', 1::BIGINT), (1, 1, 1, 'A', '[A]', 2), (1, 2, 3, 'C', '[A > C]', 2), (1, 3, 2, 'B', '[A > B]', 2), (1, 4, 1, 'D', '[D]', 2), (2, 0, 0, '', '', 1)) t(doc_id, section, level, title, path, n_lines)")
 def section_tree(spark, sf_dir):
     return corpus.section_tree(inline(spark, MARKDOWN, "doc_id, text"))
 
 
-@query("SELECT * FROM (VALUES (1, '1,2', 1.6::DOUBLE), (2, '3', 1.0::DOUBLE)) t(chunk_id, kp_ids, difficulty)")
+@example("SELECT * FROM (VALUES (1, '1,2', 1.6::DOUBLE), (2, '3', 1.0::DOUBLE)) t(chunk_id, kp_ids, difficulty)")
 def chunk_tags(spark, sf_dir):
     chunks = inline(spark, "(1, '[链表 > 栈]', 'ds'), (2, '[进程]', 'os'), (3, '[链表]', 'os')", "chunk_id, heading_path, category")
     registry = inline(spark, "(1, '链表', 'ds', 1.3D), (2, '栈', 'ds', 1.6D), (3, '进程', 'os', 1.0D)", "kp_id, name, category, difficulty")
@@ -225,7 +225,7 @@ def chunk_tags(spark, sf_dir):
     return tagged.select("chunk_id", F.array_join("kp_ids", ",").alias("kp_ids"), "difficulty")
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 'x', 'one'), (2, 'b', 'x', 'two'), (3, 'a', 'y', 'three')) t(kp_id, name, category, chapter)")
+@example("SELECT * FROM (VALUES (1, 'a', 'x', 'one'), (2, 'b', 'x', 'two'), (3, 'a', 'y', 'three')) t(kp_id, name, category, chapter)")
 def registry_upsert(spark, sf_dir):
     existing = inline(spark, "(1, 'a', 'x', 'one')", "kp_id, name, category, chapter")
     found = inline(spark, "('a', 'x', 'late', 1), ('b', 'x', 'two', 2), ('b', 'x', 'again', 3), ('a', 'y', 'three', 4)", "name, category, chapter, seq")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dialog, evaluate, govern, questions
 from ..sources.files import numbered
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 
 MESSAGES_SQL = "m AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id AS conversation_id, turn, role, text FROM conversations)"
 
@@ -37,13 +37,13 @@ def turn_pairs(spark, sf_dir):
     return dialog.turn_pairs(_messages(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 0::BIGINT, 2::BIGINT), (2, 0, 1), (3, 1, 0), (4, 0, 0)) t(id, siblings_order, children)")
+@example("SELECT * FROM (VALUES (1, 0::BIGINT, 2::BIGINT), (2, 0, 1), (3, 1, 0), (4, 0, 0)) t(id, siblings_order, children)")
 def sibling_order(spark, sf_dir):
     m = inline(spark, "(1, 1, null), (2, 1, 1), (3, 1, 1), (4, 1, 2)", "id, conversation_id, parent_id")
     return dialog.child_counts(dialog.sibling_order(m)).select("id", "siblings_order", "children")
 
 
-@query("SELECT * FROM (VALUES (1, 3), (2, 4)) t(parent_id, leaf)")
+@example("SELECT * FROM (VALUES (1, 3), (2, 4)) t(parent_id, leaf)")
 def branch_leaf(spark, sf_dir):
     m = dialog.sibling_order(inline(spark, "(1, 1, null), (2, 1, 1), (3, 1, 1), (4, 1, 2)", "id, conversation_id, parent_id"))
     return dialog.branch_leaf(m)
@@ -62,7 +62,7 @@ def history_window(spark, sf_dir):
     return dialog.history_window(_messages(spark, sf_dir))
 
 
-@query("SELECT n, n >= 16 AND n % 16 = 0 AS due FROM (SELECT unnest([0, 15, 16, 17, 32, 40]) AS n)")
+@example("SELECT n, n >= 16 AND n % 16 = 0 AS due FROM (SELECT unnest([0, 15, 16, 17, 32, 40]) AS n)")
 def summary_trigger(spark, sf_dir):
     return inline(spark, "(0), (15), (16), (17), (32), (40)", "n").select("n", dialog.summary_due(F.col("n")).alias("due"))
 
@@ -70,34 +70,34 @@ def summary_trigger(spark, sf_dir):
 RAW = "(1, '题目1：\\n类型：选择\\n难度：中等\\n题干：什么是栈\\n答案：A\\n解析：后进先出\\n题目2：\\n题干：队列\\n答案：B')"
 
 
-@query("SELECT * FROM (VALUES (1, 1, '选择', 1.3::DOUBLE, '什么是栈', 'A', '后进先出'), (1, 2, '简答', 1.0::DOUBLE, '队列', 'B', '')) t(id, number, question_type, difficulty, stem, answer, explanation)")
+@example("SELECT * FROM (VALUES (1, 1, '选择', 1.3::DOUBLE, '什么是栈', 'A', '后进先出'), (1, 2, '简答', 1.0::DOUBLE, '队列', 'B', '')) t(id, number, question_type, difficulty, stem, answer, explanation)")
 def question_parse(spark, sf_dir):
     return questions.parse(inline(spark, RAW, "id, raw"))
 
 
-@query("SELECT 1 AS id, E'题目1：\\n类型：选择\\n题干：什么是栈\\n答案：A\\n\\n题目2：\\n类型：简答\\n题干：队列\\n答案：B' AS text")
+@example("SELECT 1 AS id, E'题目1：\\n类型：选择\\n题干：什么是栈\\n答案：A\\n\\n题目2：\\n类型：简答\\n题干：队列\\n答案：B' AS text")
 def question_render(spark, sf_dir):
     return questions.render(questions.parse(inline(spark, RAW, "id, raw")))
 
 
-@query("SELECT * FROM (VALUES (1, 0.5::DOUBLE), (2, 0.5::DOUBLE), (3, 0.5::DOUBLE), (4, 0.5::DOUBLE), (5, 0.5::DOUBLE), (6, 0.7::DOUBLE), (7, 0.7::DOUBLE)) t(id, quality_score)")
+@example("SELECT * FROM (VALUES (1, 0.5::DOUBLE), (2, 0.5::DOUBLE), (3, 0.5::DOUBLE), (4, 0.5::DOUBLE), (5, 0.5::DOUBLE), (6, 0.7::DOUBLE), (7, 0.7::DOUBLE)) t(id, quality_score)")
 def question_quality(spark, sf_dir):
     rows = inline(spark, "(1, 'b', 'x', 's1', ''), (2, 'b', 'x', 's2', ''), (3, 'b', 'x', 's3', ''), (4, 'b', 'x', 's4', ''), (5, 'b', 'x', 's5', ''), (6, 'b', 'y', 's6', 'short'), (7, 'b', 'z', 'what is a stack?', 'an explanation of over twenty characters')", "id, batch_id, question_type, stem, explanation")
     return questions.quality(rows, ["what is a stack"]).select("id", "quality_score")
 
 
-@query("SELECT * FROM (VALUES (1, 4), (1, 2)) t(user_id, id)")
+@example("SELECT * FROM (VALUES (1, 4), (1, 2)) t(user_id, id)")
 def wrong_questions(spark, sf_dir):
     rows = inline(spark, "(1, 1, 1, true, null), (2, 1, 2, true, 0.9D), (3, 1, 3, true, 0.2D), (4, 1, 4, true, null), (5, 1, 5, false, null)", "id, user_id, created_at, is_wrong, quality_score")
     return questions.wrong_questions(rows, 3).select("user_id", "id")
 
 
-@query("SELECT * FROM (VALUES (1, 2::BIGINT, false), (2, 0::BIGINT, true)) t(question_id, redo_count, is_wrong)")
+@example("SELECT * FROM (VALUES (1, 2::BIGINT, false), (2, 0::BIGINT, true)) t(question_id, redo_count, is_wrong)")
 def redo_count(spark, sf_dir):
     return questions.redo_counts(inline(spark, "(1, 1, true), (1, 2, false), (1, 3, true), (1, 4, false), (2, 1, false), (2, 2, true)", "question_id, at, is_wrong"))
 
 
-@query("SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '[1, 2]'), (3, NULL)) t(id, json)")
+@example("SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '[1, 2]'), (3, NULL)) t(id, json)")
 def loose_json(spark, sf_dir):
     rows = spark.createDataFrame([(1, 'text ```json\n{"a": 1}\n``` end'), (2, "answer: [1, 2] done"), (3, "nothing")], "id int, text string")
     return rows.select("id", questions.loose_json(F.col("text")).alias("json"))
@@ -126,7 +126,7 @@ def stage_timing(spark, sf_dir):
 WITH p AS (SELECT source AS query_id, 'r' || (doc_id % 5) AS route, sum(1.0::DOUBLE / (20 + n_chars % 30)) AS own FROM documents GROUP BY ALL), q AS (SELECT DISTINCT query_id FROM p), r AS (SELECT DISTINCT route FROM p),
 d AS (SELECT route, round(-coalesce(own, 0), 6) AS delta FROM q CROSS JOIN r LEFT JOIN p USING (query_id, route))
 SELECT route, round(avg(delta), 6) AS mean_delta, count(*) AS queries, count(DISTINCT delta) AS n_distinct FROM d GROUP BY route
-""", also="route_ablation_all")
+""")
 def route_ablation(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return evaluate.route_ablation(d.select(F.col("source").alias("query_id"), F.concat(F.lit("r"), F.col("doc_id") % 5).alias("route"), F.col("doc_id").alias("key"), (1.0 / (20 + F.col("n_chars") % 30)).alias("part")))
@@ -189,20 +189,20 @@ def eval_contexts(spark, sf_dir):
 ANSWERS = """(1, 'knowledge_agent', '核心要点：栈是后进先出的结构，来源：教材一', '栈是后进先出的结构'), (2, 'knowledge_agent', '好的，定义如下，栈是一种线性表，参考教材内容', '栈'), (3, 'grading_agent', '批改完成，请查看下面的结果与说明文字，谢谢大家', ''), (4, 'knowledge_agent', '根据教材第 9 章，核心是递归调用的原理和应用说明', 'none'), (5, 'path_agent', '短', '')"""
 
 
-@query("SELECT * FROM (VALUES (1, true, 0, false, 0, 'high'), (2, true, 0, true, 0, 'medium'), (3, false, 0, false, 2, 'medium'), (4, true, 1, false, 0, 'low'), (5, false, 0, false, 1, 'low')) t(id, has_source, forged, filler, format_warnings, confidence)")
+@example("SELECT * FROM (VALUES (1, true, 0, false, 0, 'high'), (2, true, 0, true, 0, 'medium'), (3, false, 0, false, 2, 'medium'), (4, true, 1, false, 0, 'low'), (5, false, 0, false, 1, 'low')) t(id, has_source, forged, filler, format_warnings, confidence)")
 def governed_answers(spark, sf_dir):
     rows = inline(spark, ANSWERS, "id, agent, answer, evidence").withColumn("outputs", F.array("evidence"))
     a, g, o = F.col("answer"), F.col("agent"), F.col("outputs")
     return rows.select("id", govern.has_source(a, g).alias("has_source"), F.size(govern.forged(a, o)).alias("forged"), govern.filler(a).alias("filler"), govern.format_warnings(a, g).alias("format_warnings"), govern.confidence(a, g, o).alias("confidence"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'high'), (2, 0, 'high'), (3, 0, 'high'), (4, 0, 'high'), (5, 1, 'medium')) t(id, issues, confidence)")
+@example("SELECT * FROM (VALUES (1, 0, 'high'), (2, 0, 'high'), (3, 0, 'high'), (4, 0, 'high'), (5, 1, 'medium')) t(id, issues, confidence)")
 def rule_reflection(spark, sf_dir):
     issues, level = govern.reflection(F.col("answer"), F.col("evidence"))
     return inline(spark, ANSWERS, "id, agent, answer, evidence").select("id", issues.alias("issues"), level.alias("confidence"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ab,cd,ef'), (2, ''), (3, 'abc')) t(id, parts)")
+@example("SELECT * FROM (VALUES (1, 'ab,cd,ef'), (2, ''), (3, 'abc')) t(id, parts)")
 def fixed_chunks(spark, sf_dir):
     rows = inline(spark, "(1, 'abcdef', 2), (2, '', 2), (3, 'abc', 20)", "id, text, n")
     return rows.select("id", F.array_join(F.when(F.col("n") == 2, govern.fixed_chunks(F.col("text"), 2)).otherwise(govern.fixed_chunks(F.col("text"))), ",").alias("parts"))

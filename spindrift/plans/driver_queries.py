@@ -9,7 +9,7 @@ from ..operators import arrivals, corpus, dialog, drivers, evaluate, govern, gra
 from ..sources import files
 from ..streaming import ingest
 from .graph_queries import EDGES_SQL, _edges
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 from .tracing_queries import EVENTS_SQL, STATES_SQL, _category, _effective, _events, _expanded, _registry
 
 
@@ -36,7 +36,7 @@ def exam_sources(spark, sf_dir):
 NOTES = "(1, '２０２４年１月２日 ①first'), (2, '綫性表 12点30分'), (3, 'plain'), (4, ' '), (5, NULL), (6, '1) one\\n2) two')"
 
 
-@query("SELECT * FROM (VALUES (1, '2024-01-02 [1]first', 'fullwidth,date,list_markers', -3), (2, '线性表 12:30', 'time,simplified', 1), (3, 'plain', '', 0), (4, ' ', '', 0), (5, NULL, '', 0), (6, E'[1] one\\n[2] two', 'list_markers', -2)) t(doc_id, text, changes, char_delta)")
+@example("SELECT * FROM (VALUES (1, '2024-01-02 [1]first', 'fullwidth,date,list_markers', -3), (2, '线性表 12:30', 'time,simplified', 1), (3, 'plain', '', 0), (4, ' ', '', 0), (5, NULL, '', 0), (6, E'[1] one\\n[2] two', 'list_markers', -2)) t(doc_id, text, changes, char_delta)")
 def normalize_log(spark, sf_dir):
     return drivers.normalize(inline(spark, NOTES, "doc_id, text")).select("doc_id", "text", F.array_join("changes", ",").alias("changes"), "char_delta")
 
@@ -44,7 +44,7 @@ def normalize_log(spark, sf_dir):
 ODD = "(1, '正常的一段文字，没有什么特别之处，只是说明而已。'), (2, '░▒▓█▄▀░▒▓█▄▀░▒▓█'), (3, 'good text\\n\\n░▒▓█▄▀\\n\\nabcabcabcabcabc and so on'), (4, NULL)"
 
 
-@query("SELECT * FROM (VALUES (1, '正常的一段文字，没有什么特别之处，只是说明而已。', ''), (2, '░▒▓█▄▀░▒▓█▄▀░▒▓█', 'full_garbage'), (3, E'good text\\n\\n[乱码段落，已隔离，原文6字符]\\n\\nabc and so on', 'isolated:1,collapsed:12'), (4, '', '')) t(doc_id, text, actions)")
+@example("SELECT * FROM (VALUES (1, '正常的一段文字，没有什么特别之处，只是说明而已。', ''), (2, '░▒▓█▄▀░▒▓█▄▀░▒▓█', 'full_garbage'), (3, E'good text\\n\\n[乱码段落，已隔离，原文6字符]\\n\\nabc and so on', 'isolated:1,collapsed:12'), (4, '', '')) t(doc_id, text, actions)")
 def content_anomalies(spark, sf_dir):
     return drivers.content_anomalies(inline(spark, ODD, "doc_id, text")).select("doc_id", "text", F.array_join("actions", ",").alias("actions"))
 
@@ -113,7 +113,7 @@ def ingest_totals(spark, sf_dir):
 QA = "(1, 1, 'merged_qa', 'whole one', 'stem one', 'B because', 'B', 'a.md', '[x > y]'), (1, 2, 'merged_qa', 'whole two', '', 'since', 'C', 'b.md', ''), (1, 3, 'prose', 'only text', 'q', 'a', 'A', NULL, NULL), (2, 1, 'merged_qa', 'w', 'stem', '', '', 'c.md', NULL)"
 
 
-@query(f"""
+@example(f"""
 WITH q(query_id, rank, role, text, question, answer, key, source, heading) AS (VALUES {QA}),
 t AS (SELECT query_id, rank, '[来源' || rank || ': ' || coalesce(source, 'unknown') || CASE WHEN coalesce(heading, '') <> '' THEN ' | ' || heading ELSE '' END || ']' || chr(10) AS head,
   CASE WHEN role = 'merged_qa' AND question <> '' THEN question || CASE WHEN key <> '' THEN chr(10) || '正确答案：' || key ELSE '' END ELSE text END AS asked,
@@ -178,7 +178,7 @@ def agent_events(spark, sf_dir):
 ASKED = "(1, '数据结构的栈'), (2, '计算机组成与网络'), (3, '操作系统'), (4, '网络协议'), (5, 'none'), (6, NULL)"
 
 
-@query(f"SELECT id, CASE WHEN text LIKE '%数据结构%' THEN 'data_structure' WHEN text LIKE '%组成原理%' OR text LIKE '%计算机组成%' THEN 'computer_organization' WHEN text LIKE '%操作系统%' THEN 'operating_system' WHEN text LIKE '%网络%' THEN 'computer_network' ELSE '' END AS subject FROM (VALUES {ASKED}) t(id, text)")
+@example(f"SELECT id, CASE WHEN text LIKE '%数据结构%' THEN 'data_structure' WHEN text LIKE '%组成原理%' OR text LIKE '%计算机组成%' THEN 'computer_organization' WHEN text LIKE '%操作系统%' THEN 'operating_system' WHEN text LIKE '%网络%' THEN 'computer_network' ELSE '' END AS subject FROM (VALUES {ASKED}) t(id, text)")
 def subject_names(spark, sf_dir):
     return inline(spark, ASKED, "id, text").select("id", lookups.subject(F.col("text")).alias("subject"))
 
@@ -204,7 +204,7 @@ def trace_items(spark, sf_dir):
 LEVELS = "(1, 1, '栈', 1.0D, 'auto', false), (1, 2, '栈', 2.0D, 'manual', true), (1, 3, '队列', 1.6D, 'auto', true), (1, 4, '树', CAST(NULL AS DOUBLE), 'auto', false), (1, 5, '图', CAST(NULL AS DOUBLE), NULL, NULL), (1, 6, '', 1.0D, 'auto', true), (2, 1, '栈', 1.0D, 'auto', true)"
 
 
-@query("SELECT * FROM (VALUES (1, '栈', '未知'), (1, '队列', '综合(1.6)'), (1, '树', '理解(1.3)'), (1, '图', '未知'), (2, '栈', '基础(1.0)')) t(query_id, point, note)")
+@example("SELECT * FROM (VALUES (1, '栈', '未知'), (1, '队列', '综合(1.6)'), (1, '树', '理解(1.3)'), (1, '图', '未知'), (2, '栈', '基础(1.0)')) t(query_id, point, note)")
 def difficulty_notes(spark, sf_dir):
     evidence = inline(spark, LEVELS, "query_id, rank, point, difficulty, difficulty_source, named_level")
     return lookups.difficulty_notes(evidence, inline(spark, "('树', 1.3D)", "name, difficulty"), questions.difficulty_label)
@@ -400,7 +400,7 @@ def cache_keys(spark, sf_dir):
 ANSWERS = "(1, '根据教材第3章，栈是后进先出。来源：ds.md', 'knowledge_agent', 'low', array('栈 是 后进先出')), (2, '结论如下。', 'knowledge_agent', 'medium', array('结论')), (3, '答案 Source 2: os.md。来源文件：os.md', 'path_agent', 'high', cast(array() as array<string>))"
 
 
-@query("""
+@example("""
 SELECT * FROM (VALUES (1, '教材第3章', 'ds.md', E'根据教材第3章，栈是后进先出。来源：ds.md\\n⚠️ 此回答可能包含未经验证的内容，请谨慎参考。', '根据教材第3章，栈是后进先出。来源：ds.md', true),
  (2, '', '', E'结论如下。\\n📌 以上回答未检索到充分依据，部分内容为模型推断，仅供参考。', E'结论如下。\\n\\n来源：a.md、b.md', false), (3, '', 'os.md', '答案 Source 2: os.md。来源文件：os.md', '答案 Source 2: os.md。来源文件：os.md', false)) t(id, doubtful, sources, noted, with_sources, fast)
 """)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..operators import graph
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 
 EDGES_SQL = "edges AS (SELECT DISTINCT 'p' || a AS source, 'p' || b AS target FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE a IS NOT NULL AND b IS NOT NULL)"
 
@@ -27,12 +27,12 @@ def _reach_sql(depth: int, source: str, target: str) -> str:
   UNION SELECT r.start, e.{target}, r.hops + 1 FROM r JOIN edges e ON e.{source} = r.name WHERE r.hops < {depth})"""
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {_reach_sql(2, 'source', 'target')} SELECT start, name, min(hops) AS hops FROM r GROUP BY ALL", also="kg_successors_all")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {_reach_sql(2, 'source', 'target')} SELECT start, name, min(hops) AS hops FROM r GROUP BY ALL")
 def kg_successors(spark, sf_dir):
     return graph.neighbours(_edges(spark, sf_dir), _starts(spark), 2)
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {_reach_sql(3, 'target', 'source')} SELECT start, name, min(hops) AS hops FROM r GROUP BY ALL", also="kg_prerequisites_all")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {_reach_sql(3, 'target', 'source')} SELECT start, name, min(hops) AS hops FROM r GROUP BY ALL")
 def kg_prerequisites(spark, sf_dir):
     return graph.neighbours(_edges(spark, sf_dir), _starts(spark), 3, reverse=True)
 
@@ -43,7 +43,7 @@ WITH RECURSIVE {EDGES_SQL}, p AS (
   UNION ALL SELECT p.target, e.source, [e.source] || p.path, p.used || [e.source || '>' || e.target], p.length + 1 FROM p JOIN edges e ON e.target = p.head WHERE p.length < 3 AND NOT list_contains(p.used, e.source || '>' || e.target)
 ), k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY length, array_to_string(path, chr(1))) AS rank FROM p)
 SELECT target, array_to_string(path, ' ') AS path, length, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3
-""", also="kg_paths_all")
+""")
 def kg_paths(spark, sf_dir):
     found = graph.paths(_edges(spark, sf_dir), _starts(spark).withColumnRenamed("start", "target"), 3)
     return found.select("target", F.array_join("path", " ").alias("path"), "length", "rank")
@@ -54,7 +54,7 @@ WITH RECURSIVE {EDGES_SQL}, down AS (SELECT s AS start, e.target AS name, 1 AS h
 up AS (SELECT s AS start, e.source AS name, 1 AS hops FROM (SELECT unnest(['p1', 'p7', 'p30']) AS s) JOIN edges e ON e.target = s UNION SELECT d.start, e.source, d.hops + 1 FROM up d JOIN edges e ON e.target = d.name WHERE d.hops < 2),
 n AS (SELECT start, name FROM down UNION SELECT start, name FROM up), k AS (SELECT start, name, row_number() OVER (PARTITION BY start ORDER BY name) AS rank FROM n WHERE start <> name)
 SELECT start, name, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 30
-""", also="kg_subgraph_nodes_all")
+""")
 def kg_subgraph_nodes(spark, sf_dir):
     return graph.subgraph(_edges(spark, sf_dir), _starts(spark))[0]
 
@@ -64,12 +64,12 @@ WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT source, target FROM edges UNION
 r AS (SELECT s AS start, s AS name, 0 AS hops FROM (SELECT unnest(['p1', 'p7', 'p30']) AS s) UNION SELECT r.start, e.target, r.hops + 1 FROM r JOIN both_ways e ON e.source = r.name WHERE r.hops < 1),
 n AS (SELECT DISTINCT start, name FROM r), k AS (SELECT a.start, e.source, e.target, row_number() OVER (PARTITION BY a.start ORDER BY e.source, e.target) AS rank FROM edges e JOIN n a ON a.name = e.source JOIN n b ON b.name = e.target AND a.start = b.start)
 SELECT start, source, target, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 40
-""", also="kg_subgraph_edges_all")
+""")
 def kg_subgraph_edges(spark, sf_dir):
     return graph.subgraph(_edges(spark, sf_dir), _starts(spark), depth=1)[1]
 
 
-@query("SELECT * FROM (VALUES ('死锁', '死锁', 0, 1.0::DOUBLE), ('BST', '二叉搜索树', 1, 0.9::DOUBLE), ('链表', '双链表', 2, 0.666667::DOUBLE), ('链表', '循环链表', 2, 0.5::DOUBLE)) t(topic, name, tier, score)")
+@example("SELECT * FROM (VALUES ('死锁', '死锁', 0, 1.0::DOUBLE), ('BST', '二叉搜索树', 1, 0.9::DOUBLE), ('链表', '双链表', 2, 0.666667::DOUBLE), ('链表', '循环链表', 2, 0.5::DOUBLE)) t(topic, name, tier, score)")
 def kg_resolve(spark, sf_dir):
     nodes = inline(spark, "('死锁'), ('死锁预防'), ('二叉搜索树'), ('双链表'), ('循环链表'), ('一种特别长的链表结构名称')", "name")
     topics = inline(spark, "('死锁'), ('BST'), ('链表'), ('无')", "topic")
@@ -111,30 +111,30 @@ def _nodes(spark):
     return inline(spark, "('a', 'x', 'f1', 1), ('b', 'x', 'f2', 2), ('c', 'y', 'gone', 3), ('a', 'y', 'f2', 4)", "name, category, source_file, seq")
 
 
-@query("SELECT * FROM (VALUES ('a', 'y', 'f2', 4), ('b', 'x', 'f2', 2), ('c', 'y', 'gone', 3)) t(name, category, source_file, seq)")
+@example("SELECT * FROM (VALUES ('a', 'y', 'f2', 4), ('b', 'x', 'f2', 2), ('c', 'y', 'gone', 3)) t(name, category, source_file, seq)")
 def kg_upsert(spark, sf_dir):
     rows = _nodes(spark)
     return graph.upsert_nodes(rows.filter("seq < 3"), rows.filter("seq >= 3"))
 
 
-@query("SELECT 3::BIGINT AS nodes, 2::BIGINT AS edges, 1::BIGINT AS orphans, 0.3333::DOUBLE AS orphan_ratio")
+@example("SELECT 3::BIGINT AS nodes, 2::BIGINT AS edges, 1::BIGINT AS orphans, 0.3333::DOUBLE AS orphan_ratio")
 def kg_orphans(spark, sf_dir):
     nodes = graph.upsert_nodes(_nodes(spark).limit(0), _nodes(spark))
     return graph.health(nodes, inline(spark, "('a', 'b'), ('b', 'c')", "source, target"), inline(spark, "('f1'), ('f2')", "source_file"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'b'), ('c', 'd')) t(source, target) WHERE source <> 'a'")
+@example("SELECT * FROM (VALUES ('a', 'b'), ('c', 'd')) t(source, target) WHERE source <> 'a'")
 def kg_delete(spark, sf_dir):
     nodes, edges = graph.delete(inline(spark, "('a', 'f1'), ('b', 'f2'), ('c', 'f2'), ('d', 'f2')", "name, source_file"), inline(spark, "('a', 'b'), ('c', 'd')", "source, target"), F.col("source_file") == "f1")
     return edges.select("source", "target")
 
 
-@query("SELECT * FROM (VALUES ('a', 'b')) t(source, target)")
+@example("SELECT * FROM (VALUES ('a', 'b')) t(source, target)")
 def kg_import(spark, sf_dir):
     return graph.import_source(inline(spark, "('a'), ('b')", "name"), inline(spark, "('a', 'b'), ('a', 'z')", "source, target")).select("source", "target")
 
 
-@query("SELECT * FROM (VALUES (1, 'a,b', 'a>b:RELATED_TO,b>a:PREREQUISITE_OF')) t(id, nodes, edges)")
+@example("SELECT * FROM (VALUES (1, 'a,b', 'a>b:RELATED_TO,b>a:PREREQUISITE_OF')) t(id, nodes, edges)")
 def kg_payload(spark, sf_dir):
     rows = spark.createDataFrame([(1, '{"nodes": [{"name": "a"}, {"title": "b"}, {"x": 1}], "edges": [{"from": "a", "to": "b", "type": "other"}, {"source": "b", "target": "a", "relation": "prerequisite_of"}]}')], "id int, payload string")
     nodes, edges = graph.coerce_payload(F.col("payload"))

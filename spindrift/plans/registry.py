@@ -11,22 +11,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None, also: str | None = None):
-    """Register a query under its function's name, and under ``also``, an older name that stays valid; its SQL if SQL can express it."""
+#: Queries over literal rows, which the tests hold against their SQL; they read no table and aren't among the registered ones.
+EXAMPLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXAMPLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None, to: tuple[dict, dict] = (QUERIES, ORACLES)):
+    """Register a query over given tables under its function's name, and its SQL if SQL can express it."""
 
     def add(f):
-        for key in (name or f.__name__, also):
-            if key in QUERIES:
-                raise ValueError(f"query {key} is registered twice")
-            if key:
-                QUERIES[key] = f
-                if sql:
-                    ORACLES[key] = sql
+        key = name or f.__name__
+        if key in to[0]:
+            raise ValueError(f"query {key} is registered twice")
+        to[0][key] = f
+        if sql:
+            to[1][key] = sql
         return f
 
     return add
 
 
+def example(sql: str | None = None, name: str | None = None):
+    """Keep a query over literal rows as a test."""
+    return query(sql, name, (EXAMPLES, EXAMPLE_SQL))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

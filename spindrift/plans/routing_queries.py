@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, routing, verify
 from . import registry
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 
 QUESTIONS = "(1, '栈和队列的区别', 'a'), (2, '什么是死锁', ''), (3, '用代码实现快速排序 quicksort 的步骤和流程总结以及注意事项清单要点', 'quicksort'), (4, '怎么学操作系统', ''), (5, '给我出几道选择题', ''), (6, '批改我的答案', ''), (7, 'TCP', 'TCP'), (8, '进程与线程、协程的关系', '')"
 
@@ -25,13 +25,13 @@ q(id, text, term) AS (VALUES {QUESTIONS}), f AS (
 )"""
 
 
-@query(f"WITH {FLAGS_SQL} SELECT id, code, exercise, answer, structured, concept, comparison, learning_path, long FROM f")
+@example(f"WITH {FLAGS_SQL} SELECT id, code, exercise, answer, structured, concept, comparison, learning_path, long FROM f")
 def query_flags(spark, sf_dir):
     rows, f = _questions(spark)
     return rows.select("id", *(f[k].alias(k) for k in ("code", "exercise", "answer", "structured", "concept", "comparison", "learning_path", "long")))
 
 
-@query(f"""
+@example(f"""
 WITH {FLAGS_SQL}, d AS (SELECT id, CASE WHEN learning_path THEN CASE WHEN long THEN 'deep' ELSE 'standard' END WHEN comparison THEN 'standard' WHEN code THEN 'code' WHEN exercise OR answer THEN 'standard' WHEN long AND structured THEN 'deep' ELSE 'standard' END AS depth FROM f)
 SELECT id, depth, CASE depth WHEN 'deep' THEN 8 WHEN 'code' THEN 6 ELSE 5 END AS k, CASE depth WHEN 'standard' THEN 'L2' ELSE 'L3' END AS layer, CASE depth WHEN 'deep' THEN 'l3_deep' WHEN 'code' THEN 'l3_code' ELSE 'l2_standard' END AS route_type FROM d
 """)
@@ -41,7 +41,7 @@ def depth_strategy(spark, sf_dir):
     return rows.select("id", "depth", "s.k", "s.layer", "s.route_type")
 
 
-@query(f"""
+@example(f"""
 WITH q(id, text, term) AS (VALUES {QUESTIONS})
 SELECT id, CASE WHEN regexp_matches(lower(text), '批改|评分|对吗|判断对错|判对错|打分|检查答案|我的回答|我答的|帮我看|批作业|纠错|学生答案|我的答案|题目：') THEN 'grading_agent' WHEN regexp_matches(text, '出题|练习|测试|考考我|刷题|给我出|出几道|来几道|测验|模拟题|真题|选择题|填空题|简答题') THEN 'question_agent'
   WHEN regexp_matches(text, '怎么学|学习路线|推荐路线|学习路径|怎么复习|从哪开始|学习建议|学习规划|备考建议|复习计划|接下来学') THEN 'path_agent' WHEN regexp_matches(text, '什么是|解释|原理|区别|对比|定义|是什么|为什么|如何理解|介绍一下|讲一下|说明|概念|过程|方法|算法|机制|条件|特点') THEN 'knowledge_agent' END AS agent FROM q
@@ -50,14 +50,14 @@ def agent_route(spark, sf_dir):
     return _questions(spark)[0].select("id", routing.agent(F.col("text")).alias("agent"))
 
 
-@query("SELECT * FROM (VALUES (8, '进程与线程、协程的关系|进程的核心概念|线程的核心概念')) t(id, parts)")
+@example("SELECT * FROM (VALUES (8, '进程与线程、协程的关系|进程的核心概念|线程的核心概念')) t(id, parts)")
 def rule_decompose(spark, sf_dir):
     rows, f = _questions(spark)
     rows = rows.select("id", routing.decompose(F.col("text"), f["comparison"]).alias("p")).filter("size(p) > 0")
     return rows.select("id", F.array_join("p", "|").alias("parts"))
 
 
-@query("""
+@example("""
 WITH w(route, flag, weight) AS (VALUES ('semantic', 'concept', 2.0), ('semantic', 'comparison', 2.0), ('semantic', 'default', 1.5), ('keyword_bm25', 'code', 2.0), ('keyword_bm25', 'exercise', 1.5), ('keyword_bm25', 'answer', 1.5), ('keyword_bm25', 'default', 1.0), ('focus', 'default', 1.5),
   ('expanded', 'concept', 0.8), ('expanded', 'default', 0.6), ('code_meta', 'code', 2.5), ('exercise_meta', 'exercise', 2.5), ('answer_meta', 'answer', 2.5), ('concept_meta', 'concept', 1.5), ('concept_meta', 'comparison', 1.5), ('comparison_meta', 'comparison', 2.0), ('structured_meta', 'structured', 2.0),
   ('section_meta', 'default', 1.2), ('formula_meta', 'concept', 1.8), ('formula_meta', 'structured', 1.8), ('table_meta', 'concept', 1.5), ('table_meta', 'structured', 1.5), ('merged_qa_meta', 'exercise', 2.0), ('merged_qa_meta', 'answer', 2.0), ('merged_qa_meta', 'comparison', 1.5)),
@@ -70,7 +70,7 @@ def route_weights(spark, sf_dir):
     return rows.select("route", "flag", fusion.route_weight(F.concat(F.lit("os:"), F.col("route")), flags).alias("weight"))
 
 
-@query("""
+@example("""
 WITH p(kind, use_rerank, k) AS (VALUES ('exercise', true, 5), ('short', false, 5), ('long', true, 8), ('code', false, 12), ('none', true, 20), ('none', false, 5))
 SELECT kind, use_rerank, k, round(0.05::DOUBLE * CASE kind WHEN 'exercise' THEN 2.5 WHEN 'code' THEN 2.5 ELSE 1.5 END / 1.5 * CASE kind WHEN 'exercise' THEN 1.2 WHEN 'short' THEN 0.75 WHEN 'long' THEN 1.1 ELSE 1.0 END, 6) AS threshold,
   CASE WHEN use_rerank THEN greatest(k, least(k * CASE WHEN kind IN ('short', 'code', 'long') THEN 6 ELSE 5 END, 50)) ELSE least(CASE kind WHEN 'short' THEN greatest(k + 4, k * 2) WHEN 'code' THEN greatest(k + 3, k * 2) ELSE k END, 20) END AS coarse_k,
@@ -84,14 +84,14 @@ def retrieval_policy(spark, sf_dir):
     return rows.select("kind", "use_rerank", "k", F.round(threshold, 6).alias("threshold"), coarse.alias("coarse_k"), *(v.alias(n) for n, v in ks.items()))
 
 
-@query("SELECT * FROM (VALUES (1, 'ds'), (2, 'net,os'), (3, 'ds,net,os'), (4, 'ds,net,os')) t(query_id, collections)")
+@example("SELECT * FROM (VALUES (1, 'ds'), (2, 'net,os'), (3, 'ds,net,os'), (4, 'ds,net,os')) t(query_id, collections)")
 def collection_routes(spark, sf_dir):
     words = inline(spark, "('ds', '栈'), ('ds', 'avl'), ('os', '死锁'), ('os', 'rr'), ('net', 'tcp'), ('net', 'tcp/ip')", "collection, word")
     queries = inline(spark, "(1, '栈的定义'), (2, '死锁 与 TCP/IP'), (3, 'arrow xtcp'), (4, 'none')", "query_id, text")
     return routing.collections(queries, words).select("query_id", F.array_join("collections", ",").alias("collections"))
 
 
-@query("SELECT * FROM (VALUES (1, 'semantic=栈 队列|keyword_bm25=栈 队列|focus=栈 队列|expanded=栈 队列 stack'), (2, 'semantic=x')) t(id, routes)")
+@example("SELECT * FROM (VALUES (1, 'semantic=栈 队列|keyword_bm25=栈 队列|focus=栈 队列|expanded=栈 队列 stack'), (2, 'semantic=x')) t(id, routes)")
 def recall_routes(spark, sf_dir):
     rows = spark.sql("SELECT * FROM VALUES (1, '栈 队列', array('栈', '队列'), '栈 队列 stack'), (2, 'x', cast(array() as array<string>), 'x') AS t(id, text, terms, expanded)")
     routes = routing.recall_routes(F.col("text"), F.col("terms"), F.col("expanded"))
@@ -116,7 +116,7 @@ def _summary(spark, sf_dir):
     return verify.summarize(e).withColumns({"n_kg": F.lit(0), "kg_confidence": F.lit(0.0), "context_length": F.col("total_length")})
 
 
-@query(f"WITH {SUMMARY_SQL} SELECT query_id, round(overall, 6) AS overall, verdict FROM v", also="evidence_verdict_all")
+@query(f"WITH {SUMMARY_SQL} SELECT query_id, round(overall, 6) AS overall, verdict FROM v")
 def evidence_verdict(spark, sf_dir):
     return verify.verify(_summary(spark, sf_dir)).select("query_id", "overall", "verdict")
 
@@ -125,7 +125,7 @@ def evidence_verdict(spark, sf_dir):
 WITH {SUMMARY_SQL} SELECT query_id, concat_ws(',', CASE WHEN NOT ok2 THEN 'score_quality' END, CASE WHEN NOT ok3 THEN 'source_diversity' END, CASE WHEN NOT ok4 THEN 'content_sufficiency' END, CASE WHEN NOT ok5 THEN 'duplication' END, CASE WHEN NOT ok7 THEN 'final_context' END) AS failed,
   CASE WHEN verdict <> 'pass' AND NOT ok7 THEN 8 WHEN verdict <> 'pass' AND NOT ok3 THEN 7 WHEN verdict <> 'pass' AND NOT ok5 THEN 4 END AS hint_k, CASE WHEN verdict <> 'pass' AND NOT ok2 THEN 0.03::DOUBLE END AS hint_threshold, CASE WHEN verdict <> 'pass' AND NOT ok2 THEN true END AS hint_rerank,
   CASE WHEN verdict <> 'pass' AND (NOT ok4 OR NOT ok7) THEN 6000 END AS hint_tokens FROM v
-""", also="retry_hints_all")
+""")
 def retry_hints(spark, sf_dir):
     return verify.verify(_summary(spark, sf_dir)).drop("overall", "verdict")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, lexical, search, vector_index
 from ..sources.files import scratch
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 
 TERMS_SQL = """
 terms AS (
@@ -67,7 +67,7 @@ def query_terms(spark, sf_dir):
 QUESTIONS = "(1, '请问什么是进程的死锁？'), (2, '二叉搜索树的插入操作与 AVL 旋转'), (3, 'TCP 三次握手 tcp 如何建立连接'), (4, '栈'), (5, '介绍一下操作系统内存管理方法'), (6, NULL), (7, '')"
 
 
-@query(f"""
+@example(f"""
 WITH q(query_id, text) AS (VALUES {QUESTIONS}),
 c AS (SELECT query_id, regexp_replace(regexp_replace(trim(text), '\\s+', ' ', 'g'), '{"|".join(sorted((w for w in search.STOP_WORDS if len(w) > 1 or w in search.SEPARATORS), key=lambda w: (-len(w), w)))}', ' ', 'g') AS text FROM q),
 p AS (SELECT query_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]+|[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS parts FROM c),
@@ -83,7 +83,7 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s A
   SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q, v WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
-""", also="vector_topk_all")
+""")
 def vector_topk(spark, sf_dir):
     """Every hundredth vector as a query, so the batch grows with the table."""
     v = table(spark, sf_dir, "embeddings")
@@ -106,7 +106,7 @@ WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embedding
   SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS similarity FROM v q JOIN v USING (label) WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
-""", also="vector_topk_filtered_all")
+""")
 def vector_topk_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return search.vector_top_k(v.select("vec_id", "label", "embedding"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding"), 3, same="label").select("query_id", "vec_id", "similarity", "rank")
@@ -118,7 +118,7 @@ WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, vec_id * 7 %
   FROM v p JOIN v ON p.label = v.label AND v.stored_at <= p.asked_at AND p.asked_at - v.stored_at <= 1800 WHERE p.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, similarity, similarity >= 0.88 AS hit FROM r WHERE rank = 1
-""", also="semantic_cache_lookup_all")
+""")
 def semantic_cache_lookup(spark, sf_dir):
     """All vectors as entries; times repeat over the ids, so live entries come from the whole table."""
     v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "collection")
@@ -241,7 +241,7 @@ f AS (SELECT query_id, parent_id, rank, n_chars, row_number() OVER (PARTITION BY
 l AS (SELECT query_id, f.parent_id, rank, CAST(floor(length(p.text) * 0.25) AS BIGINT) AS tokens FROM f JOIN p USING (parent_id) WHERE n = 1 AND length(p.text) > n_chars + 40),
 u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM l)
 SELECT query_id, parent_id, CAST(rank AS INTEGER) AS rank, tokens, used FROM u WHERE used <= 12000
-""", also="parent_window_all")
+""")
 def parent_window(spark, sf_dir):
     """Every source is cut into consecutive parents, and a hit takes the one that holds it."""
     chunks = _chunks(spark, sf_dir).withColumn("parent_id", F.concat_ws(":", "section", F.expr(f"chunk_index div {PARENT_CHUNKS}")))
@@ -303,7 +303,7 @@ def source_cap(spark, sf_dir):
     return fusion.token_budget(ranked, 4000).select("query_id", "evidence_id", "rank", "tokens", "truncated", "used")
 
 
-@query("SELECT n, CAST(rank AS BIGINT) AS rank, CAST(CASE WHEN n < 4 THEN rank WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE (n + 1) // 2 + (n // 2 - rank // 2) + 1 END AS BIGINT) AS place FROM (SELECT unnest([1, 3, 4, 5, 8]) AS n) a, (SELECT unnest(range(1, 9)) AS rank) b WHERE rank <= n")
+@example("SELECT n, CAST(rank AS BIGINT) AS rank, CAST(CASE WHEN n < 4 THEN rank WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE (n + 1) // 2 + (n // 2 - rank // 2) + 1 END AS BIGINT) AS place FROM (SELECT unnest([1, 3, 4, 5, 8]) AS n) a, (SELECT unnest(range(1, 9)) AS rank) b WHERE rank <= n")
 def evidence_interleave(spark, sf_dir):
     rows = inline(spark, "(1), (3), (4), (5), (8)", "n").select("n", F.explode(F.expr("sequence(1L, cast(n as long))")).alias("rank"))
     return rows.select("n", "rank", fusion.interleave(F.col("rank"), F.col("n")).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tracing
-from .registry import inline, query, table
+from .registry import example, inline, query, table
 
 AS_OF = "2030-01-01 00:00:00"
 
@@ -138,7 +138,7 @@ def weak_points(spark, sf_dir):
 WITH RECURSIVE {STATES_SQL}, reg AS (SELECT DISTINCT kp, category, kp // 10 AS chapter FROM es WHERE kp % 4 = 1)
 SELECT u.user_id, reg.chapter, count(*) AS points, count(es.kp) AS tracked, round(avg(coalesce(round(em, 3), 0)), 3) AS avg_mastery
 FROM (SELECT DISTINCT user_id FROM es) u CROSS JOIN reg LEFT JOIN es ON es.user_id = u.user_id AND es.kp = reg.kp GROUP BY ALL
-"""), also="category_detail_all")
+"""))
 def category_detail(spark, sf_dir):
     e = _effective(spark, sf_dir).select("user_id", "kp", "effective_mastery")
     reg = _registry(spark, sf_dir).filter("category = 'computer_organization'")
@@ -178,7 +178,7 @@ def mastery_trend_single(spark, sf_dir):
 GRADES = "(1, '评分：45/100 难度：综合'), (2, '评分: 92 / 100'), (3, '没有分数'), (4, '评分：80/100 难度：创新')"
 
 
-@query("""
+@example("""
 SELECT * FROM (VALUES (1, 'grading_fail', 0.45::DOUBLE, 1.6::DOUBLE), (2, 'grading_excellent', 0.92::DOUBLE, 1.3::DOUBLE), (3, 'grading_pass', 0.5::DOUBLE, 1.3::DOUBLE), (4, 'grading_excellent', 0.8::DOUBLE, 2.0::DOUBLE)) t(id, event_type, outcome, difficulty)
 """)
 def grading_events(spark, sf_dir):
@@ -186,7 +186,7 @@ def grading_events(spark, sf_dir):
     return inline(spark, GRADES, "id, answer").select("id", kind.alias("event_type"), outcome.alias("outcome"), difficulty.alias("difficulty"))
 
 
-@query("""
+@example("""
 WITH t(p, n) AS (VALUES (0, 0), (1, 0), (0, 1), (5, 5), (50, 3), (1000, 10))
 SELECT p, n, round(CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, (p / (p + n)::DOUBLE + 3.8416 / (2.0 * (p + n)) - 1.96 * sqrt((p / (p + n)::DOUBLE * (1 - p / (p + n)::DOUBLE) + 3.8416 / (4.0 * (p + n))) / (p + n))) / (1 + 3.8416 / (p + n)::DOUBLE))) END, 6) AS bound FROM t
 """)

@@ -8,6 +8,7 @@ from .oracle import by_spark, by_sql
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
+EXAMPLES, EXAMPLE_SQL = catalogue.examples()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -19,6 +20,15 @@ def test_query(spark, name):
         assert got[0]
 
 
+@pytest.mark.parametrize("name", sorted(EXAMPLES))
+def test_example(spark, name):
+    got = by_spark(EXAMPLES[name](spark, SF))
+    if name in EXAMPLE_SQL:
+        assert got == by_sql(EXAMPLE_SQL[name], SF)
+    else:
+        assert got[0]
+
+
 def test_oracles_have_queries():
     assert set(ORACLES) <= set(QUERIES)
 

@@ -41,11 +41,11 @@ def test_near_pairs_match_brute_force(spark, threshold):
 def test_near_copies_of_documents_are_found(spark):
     docs = [(r["doc_id"], r["text"]) for r in rows_of("documents")]
     expected = jaccard_pairs(docs, 0.9)
-    got = {(r["a"], r["b"]): r["similarity"] for r in catalogue.queries()["near_dup_jaccard_documents"](spark, SF).collect()}
+    got = {(r["a"], r["b"]): r["similarity"] for r in catalogue.queries()["near_dup_jaccard"](spark, SF).collect()}
     assert expected and got == expected
-    found = [(r["a"], r["b"]) for r in catalogue.queries()["minhash_candidates_documents"](spark, SF).collect()]
+    found = [(r["a"], r["b"]) for r in catalogue.queries()["minhash_candidates"](spark, SF).collect()]
     assert len(found) == len(set(found)) and {p for p, s in expected.items() if s == 1} <= set(found)
-    counts = {r["doc_id"]: r["n"] for r in catalogue.queries()["shingle_counts_documents"](spark, SF).collect()}
+    counts = {r["doc_id"]: r["n"] for r in catalogue.queries()["shingle_counts"](spark, SF).collect()}
     assert counts == {i: len(grams(t)) for i, t in docs}
 
 
@@ -178,5 +178,5 @@ def test_parents_hold_their_hits(spark):
                 if used <= 12000:
                     expected.add((query, parent, rank, len(text) // 4, used))
             seen.add(parent)
-    got = {(r["query_id"], r["parent_id"], r["rank"], r["tokens"], r["used"]) for r in catalogue.queries()["parent_window_all"](spark, SF).collect()}
+    got = {(r["query_id"], r["parent_id"], r["rank"], r["tokens"], r["used"]) for r in catalogue.queries()["parent_window"](spark, SF).collect()}
     assert expected and got == expected
