@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import chunking, enhance
 from ..streaming import tracking
 from ..sources.files import shared_folder
 from .registry import query, table
@@ -24,6 +24,33 @@ def chunk_adaptive(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents"))
 
 
+@query()
+def textrank_keywords(spark, sf_dir):
+    """The eight best words of every document by TextRank."""
+    found = enhance.text_rank(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.posexplode("words").alias("place", "w")).select("doc_id", (F.col("place") + 1).alias("rank"), "w.word", "w.weight")
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t, CASE WHEN doc_id % 3 > 0 THEN '[' || coalesce(lang, 'xx') || ' > 第 题]' END AS heading FROM documents),
+k AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN doc_id % 11 = 0 THEN 'merged_qa' WHEN contains(t, '```') OR contains(t, '~~~') OR regexp_matches(text, '(^|\n)\s{4,}\S') THEN 'code_mixed'
+    WHEN regexp_matches(t, '(^|\n)\|.+\|(\n|$)') AND regexp_matches(t, '(^|\n)\|[-:| ]+\|(\n|$)') THEN 'table' WHEN regexp_matches(t, '(?s)\$\$.+?\$\$') THEN 'formula' WHEN regexp_matches(text, '(^|\n)#{1,4}\s+') THEN 'section'
+    WHEN regexp_matches(text, '(^|\n)\s*[-*+]\s+') OR regexp_matches(text, '(^|\n)\s*\d+[.)、]\s+') THEN 'list' WHEN heading IS NOT NULL THEN 'exercise'
+    WHEN regexp_matches(text, 'def |class |import |from .* import ') THEN 'code_mixed' ELSE 'text' END AS content_type FROM c)
+SELECT doc_id, CASE WHEN heading IS NULL THEN '' ELSE replace(heading[2:-2], ' > ', ', ') END AS heading_keywords, CASE WHEN heading IS NULL THEN '' ELSE replace(replace(lower(heading[2:-2]), ' > ', '/'), ' ', '-') END AS heading_slug, heading IS NOT NULL AS has_heading, content_type,
+  content_type IN ('section', 'list', 'exercise', 'answer', 'code_mixed', 'merged_qa') AS is_structured, contains(text, '```') OR contains(text, '~~~') OR regexp_matches(text, '(^|\n)\s{4,}\S') AS has_code_block,
+  CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\n$', ''), chr(10))) END AS line_count, greatest(1, len(regexp_extract_all(text, '[\x00-\x7f]')) // 4 + length(text) - len(regexp_extract_all(text, '[\x00-\x7f]'))) AS estimated_tokens,
+  'Note.' || doc_id AS source_name, '.md' AS source_ext FROM k
+""")
+def enhanced_documents(spark, sf_dir):
+    """The fields of the enhancer for every document as one chunk, but for its words, which ``textrank_keywords`` gives."""
+    i = F.col("doc_id")
+    heading = F.when(i % 3 > 0, F.concat(F.lit("["), F.coalesce("lang", F.lit("xx")), F.lit(" > 第 题]")))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.concat(F.lit("a.b/"), F.lit("Note."), i, F.lit(".MD")).alias("source"), F.when(i % 11 == 0, "merged_qa").alias("role"), heading.alias("heading_path"), "text")
+    return enhance.enhance(rows).drop("source", "role", "heading_path", "text", "keywords")
+
+
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([。！？；.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents")
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(chunking.split_sentences(F.col("text"))).cast("long").alias("n"))
