@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, dialog, govern, graph, questions, retrieval, routing, tracing
+from ..operators import corpus, dialog, govern, graph, questions, retrieval, routing, salvage, tracing
 from .graph_queries import EDGES_SQL, _edges
 from .registry import query, table
 
@@ -149,3 +149,40 @@ def repeats_collapsed(spark, sf_dir):
     """A word for each document, from four to seven times in a row."""
     text = F.concat(F.expr("repeat(concat('q', coalesce(lang, 'xx')), cast(doc_id % 4 + 4 as int))"), F.lit(" done"))
     return table(spark, sf_dir, "documents").select("doc_id", corpus.collapse_repeats(text).alias("text"))
+
+
+PAYLOAD_SQL = """e AS (SELECT event_id, event_id // 20 AS part, '{"name":"e' || event_id || '","description":"' || event_type || ' \\"q\\" ]}"}' AS item FROM events),
+c AS (SELECT part, event_id, item, sum(length(item) + 1) OVER (PARTITION BY part ORDER BY event_id) + 9 AS ends, sum(length(item) + 1) OVER (PARTITION BY part) + 9 AS whole FROM e)"""
+
+
+@query(f"""
+WITH {PAYLOAD_SQL}, k AS (SELECT part, event_id, ends, whole, CASE WHEN part % 12 = 11 THEN whole + 2 ELSE (whole + 2) * (part % 12) // 12 END AS cut FROM c)
+SELECT part, count(*) FILTER (WHERE ends <= cut) AS n, md5(coalesce(string_agg(CASE WHEN ends <= cut THEN 'e' || event_id END, ',' ORDER BY event_id), '')) AS names FROM k GROUP BY part
+""")
+def salvaged_payloads(spark, sf_dir):
+    """All events as nodes of payloads of twenty, each cut off somewhere; the nodes that are whole come back."""
+    e = table(spark, sf_dir, "events")
+    item = F.concat(F.lit('{"name":"e'), "event_id", F.lit('","description":"'), "event_type", F.lit(' \\"q\\" ]}"}'))
+    rows = e.groupBy(F.expr("event_id div 20").alias("part")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("l"))
+    text = F.concat(F.lit('{"nodes":['), F.array_join(F.transform("l", lambda x: x["item"]), ","), F.lit("]}"))
+    rows = rows.select("part", text.alias("t")).withColumn("cut", F.when(F.col("part") % 12 == 11, F.length("t")).otherwise(F.floor(F.length("t") * (F.col("part") % 12) / 12)).cast("int"))
+    found = graph.coerce_payload(salvage.complete(F.expr("substring(t, 1, cut)")))[0]
+    names = F.transform(F.coalesce(found, F.expr("array()")), lambda x: x["name"])
+    return rows.select("part", F.size(names).cast("long").alias("n"), F.md5(F.array_join(names, ",")).alias("names"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 0 THEN 'given ' || doc_id ELSE NULL END AS given,
+  CASE doc_id % 4 WHEN 0 THEN coalesce(lang, 'xx') || ' zqxj' WHEN 1 THEN 'zqxj qjxz' WHEN 2 THEN '12.3' ELSE coalesce(regexp_extract(text, '[a-z]{4,}'), '') || ' zqxj' END AS candidate FROM documents),
+r AS (SELECT *, given IS NULL AND row_number() OVER (PARTITION BY given IS NULL ORDER BY doc_id) <= 50 AS allowed FROM d),
+g AS (SELECT *, list_filter(regexp_extract_all(lower(candidate), '[a-z0-9_]+'), lambda w: w <> '') AS words, substring(trim(regexp_extract(text, '(?m)^\\s*(\\S.*)$', 1)), 1, 40) AS line FROM r),
+m AS (SELECT *, CASE WHEN given IS NOT NULL THEN 'given' WHEN NOT allowed THEN 'degraded' WHEN candidate <> '12.3' AND 2 * len(list_filter(words, lambda w: contains(lower(text), w))) >= len(words) THEN 'checked' ELSE 'rejected' END AS method FROM g)
+SELECT doc_id, method, CASE method WHEN 'given' THEN given WHEN 'checked' THEN trim(candidate) WHEN 'degraded' THEN '[推测]' || trim(candidate) ELSE CASE WHEN line = '' THEN '[未命名文档]' ELSE '[推测]' || line END END AS heading FROM m
+""")
+def grounded_headings(spark, sf_dir):
+    """Candidates for the headings of all documents, checked for the first fifty that need it."""
+    i = F.col("doc_id")
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "[a-z]{4,}", 0)
+    candidate = F.when(i % 4 == 0, F.concat(F.coalesce("lang", F.lit("xx")), F.lit(" zqxj"))).when(i % 4 == 1, "zqxj qjxz").when(i % 4 == 2, "12.3").otherwise(F.concat(word, F.lit(" zqxj")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(i % 3 == 0, F.concat(F.lit("given "), i)).alias("given"), candidate.alias("candidate"))
+    return salvage.headings(docs, 50)
