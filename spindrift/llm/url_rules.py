@@ -5,9 +5,14 @@ query keys. Tokens below the support are left out, and tokens that stand in
 exactly the same labelled URLs count as one, so a long URL that many pages
 share adds one item, not all combinations of its tokens. FP-growth mines
 combinations of these together with the label; combinations that imply
-``block`` with enough confidence and support, and more surely than any part of
-them, are the rules; a rule holds all tokens of its items. To match, each rule is filed under its rarest token (an inverted index): a URL meets only
-rules filed under one of its tokens, and holds a rule if it has all the rest.
+``block`` with enough confidence and support, too often for chance, and more
+surely than any part of them, are the rules; a rule holds all tokens of its
+items. Chance is bounded over all combinations that were tried: if labels fell
+on URLs at random (and CONFIDENCE of them were bad at most), one rule or more
+would pass in ALPHA of all cases at most.
+To match, each rule is filed under its rarest token (an inverted index): a URL
+meets only rules filed under one of its tokens, and holds a rule if it has all
+the rest.
 
 Everything runs on DataFrames. Tokens are matched for distinct URLs, so a URL
 that a third of the rows share costs one match.
@@ -25,6 +30,7 @@ rows.
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.ml.fpm import FPGrowth
@@ -36,6 +42,7 @@ from .common import Scratch, partitions
 BLOCK = "=block"
 SUPPORT = 0.003
 CONFIDENCE = 0.75
+ALPHA = 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,15 +82,32 @@ def transactions(urls: DataFrame, support: float) -> tuple[DataFrame, DataFrame]
 
 
 def mine(urls: DataFrame, scratch: Scratch, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules from ``urls`` (u, bad boolean): tokens, n, anchor, confidence, support, lift."""
+    """Rules from ``urls`` (u, bad boolean): tokens, n, anchor, confidence, support, lift, chance.
+
+    ``chance`` bounds the logarithm of the odds that any combination tried gets
+    so many bad URLs of its own by chance: Chernoff's bound of the
+    hypergeometric tail, times the number of combinations.
+    """
     items, classes = transactions(urls, support)
     items, classes = scratch.table(items, "items"), scratch.table(classes, "classes")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions(urls.sparkSession)).fit(items)
     rules = model.associationRules.filter(F.col("consequent")[0] == BLOCK).filter("size(consequent) = 1 and lift > 1")
-    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support", "lift")
+    total = items.agg(F.count("*").alias("rows"), F.avg(F.array_contains("items", BLOCK).cast("int")).alias("share"))
+    tried = model.freqItemsets.filter(~F.array_contains("items", BLOCK)).agg(F.count("*").alias("tried"))
+    # where nearly all rows are bad, a combination has to be surer than the threshold, not than all rows
+    q, p = F.col("confidence"), F.least(F.col("share"), F.lit(confidence))
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    chance = F.log("tried") - F.round(F.col("support") * F.col("rows") / q) * (q * F.log(q / p) + rest)
+    rules = rules.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(tried))  # one row each
+    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support", "lift", chance.alias("chance"))
     whole = rules.select("items", F.explode("items").alias("item")).join(classes, "item").groupBy("items")
     whole = whole.agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return rules.join(whole, "items").select("tokens", F.size("tokens").alias("n"), "anchor", "confidence", "support", "lift")
+    return rules.join(whole, "items").select("tokens", F.size("tokens").alias("n"), "anchor", "confidence", "support", "lift", "chance")
+
+
+def significant(rules: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The mined rules of a kind that chance gives in ``alpha`` of all cases at most."""
+    return rules.filter(F.col("chance") <= math.log(alpha))
 
 
 def prune(rules: DataFrame) -> DataFrame:
@@ -118,7 +142,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], scr
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("u"))
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    mined = scratch.table(prune(scratch.table(mine(rows.join(bad, "page_id"), scratch), "mined")), "rules")
+    mined = scratch.table(prune(scratch.table(significant(mine(rows.join(bad, "page_id"), scratch)), "mined")), "rules")
     held = match(rows.filter("u is not null").select("u").distinct(), mined)
     host, path = host_and_path(F.col("u"))
     parts = rows.join(held, "u", "left").select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "confidence")

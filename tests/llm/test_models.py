@@ -322,3 +322,17 @@ def test_thousands_of_languages(spark):
     model = language_id.train(docs, 3, 1)
     assert len(model.labels) > 3000 and len(model.sizes) <= language_id.LANDMARKS
     assert language_id.predict(docs.limit(20), model).filter("lang_pred <> 'und'").count() == 20
+
+
+def test_labels_at_random_give_no_rule(spark):
+    rng = random.Random(6)
+    urls = [f"http://{rng.choice('abcd')}.{rng.choice(['net', 'org'])}/{rng.choice('pqrstu')}/{rng.choice('vwxyz')}/{i}" for i in range(300)]
+    planted = [(u, "/p/" in u and "a." in u or rng.random() < 0.1) for u in urls]
+    scratch = Scratch(spark, "t")
+    mined = url_rules.mine(spark.createDataFrame(planted, "u string, bad boolean"), scratch, 0.01, 0.75)
+    assert [set(r["tokens"]) for r in url_rules.prune(scratch.table(url_rules.significant(mined), "m")).collect()] == [{"h:a", "p:p"}]
+    labels = [b for _, b in planted]
+    for _ in range(6):
+        rng.shuffle(labels)
+        mined = scratch.table(url_rules.mine(spark.createDataFrame(list(zip(urls, labels)), "u string, bad boolean"), scratch, 0.01, 0.75), "m")
+        assert url_rules.significant(mined).isEmpty()
