@@ -417,7 +417,7 @@ def greedy_keep(pairs: DataFrame) -> DataFrame:
     rounds of several hops decide the rest, so chains are followed without
     gathering a group; the number of rounds grows with the longest chain.
     """
-    edges = pairs.select("a", "b").distinct()
+    edges = settled(pairs.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("d")).union(edges.select("b")).distinct()
     state = nodes.withColumn("keep", F.lit(None).cast("boolean"))
     while True:

@@ -6,12 +6,13 @@ rerank score for (query, chunk) pairs. Without one, the fused score decides.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import settled
+from ..sources.files import settled, stored
 from . import fusion, routing, search, verify
 
 
@@ -87,10 +88,16 @@ def route_hits(queries: DataFrame, chunks: DataFrame, options: Options) -> DataF
 
 def retrieve(queries: DataFrame, chunks: DataFrame, options: Options = Options(), rerank: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, section, score, rank of the documents found: fused, few of a section, over the threshold, reranked."""
-    hits = route_hits(queries, chunks, options)
-    fused = fusion.rrf(hits.withColumn("weight", fusion.route_weight(F.col("route")))).select("query_id", "key", "score")
+    return _found(route_hits(queries, chunks, options), chunks, options, rerank)
+
+
+def _found(hits: DataFrame, chunks: DataFrame, options: Options, rerank: DataFrame | None = None, watch=lambda stage, rows: rows) -> DataFrame:
+    """The documents of ``hits``; ``watch`` sees the rows of each stage, with their scores."""
+    hits = watch("1-routes", hits)
+    fused = watch("2-fused", fusion.rrf(hits.withColumn("weight", fusion.route_weight(F.col("route")))).select("query_id", "key", "score"))
     placed = fused.join(chunks.select(F.col("chunk_id").alias("key"), "section"), "key")
-    kept = fusion.section_top_n(placed, options.per_section).filter(F.col("score") >= options.threshold / 10 if len(options.routes) == 1 else F.col("score") >= options.threshold)
+    few = watch("3-sections", fusion.section_top_n(placed, options.per_section))
+    kept = watch("4-threshold", few.filter(F.col("score") >= options.threshold / 10 if len(options.routes) == 1 else F.col("score") >= options.threshold))
     if rerank is not None and options.use_rerank:
         scored = kept.join(rerank.select("query_id", F.col("chunk_id").alias("key"), "rerank_score"), ["query_id", "key"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
         ranked = search.top_k(scored, ["query_id"], [F.desc("rerank_score"), F.desc("score"), F.asc("key")], options.k)
@@ -98,7 +105,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, options: Options = Options()
         order = [F.desc("rerank_score"), F.desc("score"), F.asc("key")]
     else:
         order = [F.desc("score"), F.asc("key")]
-    return search.top_k(kept, ["query_id"], order, options.k).withColumnRenamed("key", "chunk_id")
+    return watch("5-found", search.top_k(kept, ["query_id"], order, options.k).withColumnRenamed("key", "chunk_id"))
 
 
 def composed_routes(questions: DataFrame) -> DataFrame:
@@ -208,13 +215,45 @@ def trace(queries: DataFrame, chunks: DataFrame, options: Options = Options()) -
     """Number and scores of rows after each stage: query_id, stage, n, max, avg, min."""
     from .evaluate import score_stats
 
-    hits = route_hits(queries, chunks, options)
+    hits = settled(route_hits(queries, chunks, options))
     fused = fusion.rrf(hits.withColumn("weight", fusion.route_weight(F.col("route"))))
-    found = retrieve(queries, chunks, options)
+    found = _found(hits, chunks, options)
     stages = hits.select("query_id", F.lit("1-routes").alias("stage"), "score").unionByName(fused.select("query_id", F.lit("2-fused").alias("stage"), "score")).unionByName(found.select("query_id", F.lit("3-found").alias("stage"), "score"))
     return score_stats(stages)
 
 
+METRICS = "stage string, route string, n long, top double, avg double, low double"
+
+
+def traced(queries: DataFrame, chunks: DataFrame, options: Options = Options(), rerank: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the documents found, what each stage let through) of one run: stage, route, n, top, avg, low.
+
+    Every stage of the one plan is observed while it runs, so nothing is
+    computed a second time: rows and scores (six digits) of each stage, and of
+    each route in the first. A stage without rows has n 0 and no scores.
+    """
+    from pyspark.sql import Observation
+
+    seen: dict[str, Observation] = {}
+
+    def watch(stage: str, rows: DataFrame) -> DataFrame:
+        seen[stage] = Observation(f"{stage}-{uuid.uuid4().hex[:8]}")
+        metrics = [F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.avg("score").alias("avg"), F.min("score").alias("low")]
+        for i, route in enumerate(options.routes if stage == "1-routes" else ()):
+            own = F.when(F.col("route") == route, F.col("score"))
+            metrics += [F.count(own).alias(f"n{i}"), F.max(own).alias(f"top{i}"), F.avg(own).alias(f"avg{i}"), F.min(own).alias(f"low{i}")]
+        return rows.observe(seen[stage], *metrics)
+
+    found = stored(_found(route_hits(queries, chunks, options), chunks, options, rerank, watch), "found")
+    digits = lambda x: None if x is None else round(x, 6)
+    rows = []
+    for stage, observation in seen.items():
+        got = observation.get
+        for i, route in [("", None), *enumerate(options.routes if stage == "1-routes" else ())]:
+            rows.append((stage, route, got[f"n{i}"], *(digits(got[f"{m}{i}"]) for m in ("top", "avg", "low"))))
+    return found, queries.sparkSession.createDataFrame(rows, METRICS)  # a row for each stage and route
+
+
 def cache_store(entries: DataFrame, new: DataFrame, capacity: int = 500) -> DataFrame:
     """Cache entries (key, stored_at, ...) with ``new`` ones: the latest of a key, and the latest ``capacity`` of all."""
     cols = [c for c in entries.columns if c != "key"]

@@ -48,6 +48,12 @@ def retrieve_with_retry(spark, sf_dir):
     return retrieval.retrieve_with_retry(_batch(spark, sf_dir), _corpus(spark, sf_dir), retrieval.Options(threshold=0.06))
 
 
+@query()
+def retrieval_metrics(spark, sf_dir):
+    """What each stage and route of a retrieval lets through, observed in the one run."""
+    return retrieval.traced(_batch(spark, sf_dir), _corpus(spark, sf_dir))[1]
+
+
 @query()
 def retrieval_trace(spark, sf_dir):
     return retrieval.trace(_batch(spark, sf_dir), _corpus(spark, sf_dir))
