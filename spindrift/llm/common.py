@@ -23,6 +23,8 @@ if TaskContext.get() is not None:  # in a Python worker: freed batches go back t
     pa.set_memory_pool(pa.system_memory_pool())
 
 _ROOTS: dict[str, list[str]] = {}
+#: The temporary folder of a local session that names none.
+_OWN: dict[str, str] = {}
 #: Rows of an Arrow batch while whole texts pass through Python.
 BATCH_ROWS = "1000"
 #: Once a scratch table is whole, the shuffle files behind it are of no use; small batches keep long texts in bounds.
@@ -56,8 +58,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spindrift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting can't be changed while a session runs: the folder is kept here
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spindrift-")
+        _OWN[spark.sparkContext.applicationId] = root
     return root.rstrip("/") if "://" in root else "file://" + root.rstrip("/")
 
 

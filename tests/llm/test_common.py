@@ -49,3 +49,18 @@ def test_clean_removes_scratch(spark):
     common.clean(spark)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(scratch.path)
     assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_a_local_session_without_the_setting_keeps_one_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    def session(master):
+        context = SimpleNamespace(applicationId=f"none-{master}", master=master, getConf=lambda: {})
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    root = common.shared_root(session("local[2]"))
+    assert root == common.shared_root(session("local[2]")) and root.startswith("file:///")
+    with pytest.raises(ValueError):
+        common.shared_root(session("local-cluster[2,1,1024]"))
