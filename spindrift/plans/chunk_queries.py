@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, enhance
+from ..operators import chunking, enhance, layout
 from ..streaming import tracking
 from ..sources.files import shared_folder
 from .registry import query, table
@@ -24,6 +25,21 @@ def chunk_adaptive(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents"))
 
 
+@query()
+def layout_sections(spark, sf_dir):
+    """The sections of every document by its titles, or by its subjects where it has none."""
+    return layout.layout_sections(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, length(text) > 2000 AS long FROM documents WHERE text <> ''")
+def layout_cover(spark, sf_dir):
+    """What the sections of every document cover together, if none leaves a gap or overlaps the next; null otherwise."""
+    w = Window.partitionBy("doc_id").orderBy("section")
+    rows = layout_sections(spark, sf_dir).withColumn("gap", F.col("start") != F.coalesce(F.lag("end").over(w), F.lit(0)))
+    whole = rows.groupBy("doc_id").agg(F.bool_or("gap").alias("gap"), F.sum(F.col("end") - F.col("start")).alias("n"), F.bool_or(F.col("method") != "whole").alias("long"))
+    return whole.select("doc_id", F.when(~F.col("gap"), F.col("n")).alias("covered"), "long")
+
+
 @query()
 def textrank_keywords(spark, sf_dir):
     """The eight best words of every document by TextRank."""
