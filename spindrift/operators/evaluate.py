@@ -34,6 +34,19 @@ def nearest_percentile(values: Column, ratio: float) -> Column:
     return F.get(F.array_sort(values), F.bround((F.size(values) - 1) * ratio).cast("int"))
 
 
+def nearest_percentiles(rows: DataFrame, group: str, value: str, ratios: dict[str, float]) -> DataFrame:
+    """``nearest_percentile`` of each group for whole tables: ``group`` and a column for each of ``ratios``.
+
+    Equal values are counted before the shuffle, so a window holds the
+    different values of a group, not its rows. Nulls are left out.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    placed = counted.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda r: F.bround((F.col("_n") - 1) * r).cast("long")
+    return placed.groupBy(group).agg(*(F.min(F.when(F.col("_to") > at(r), F.col(value))).alias(name) for name, r in ratios.items()))
+
+
 def route_ablation(parts: DataFrame) -> DataFrame:
     """What each query loses without a route: route, mean_delta (6 digits), queries, n_distinct.
 

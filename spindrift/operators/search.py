@@ -135,28 +135,30 @@ def dot(a: Column, b: Column) -> Column:
 QUERY_BLOCK = 16_384
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, live: tuple[str, str, int] | None = None) -> DataFrame:
     """Nearest ``vectors`` (vec_id, embedding) of ``queries`` (query_id, embedding) by cosine: query_id, vec_id, similarity, rank.
 
     Null and zero vectors have no similarity and never match. ``same`` names a
-    column on both sides that must be equal. The queries are a stated batch
+    column on both sides that must be equal; ``live`` a time of vectors, one of
+    queries, and how long after the first the second may be. The queries are a stated batch
     that meets all vectors, in blocks of at most QUERY_BLOCK; a task scores its
     vectors by matrix products and returns the ``k`` best of each query.
     """
-    fields = ["query_id", *([same] if same else []), "embedding"]
+    stored, asked, ttl = live or (None, None, 0)
+    fields = ["query_id", *([same] if same else []), *([asked] if live else []), "embedding"]
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    wanted = vectors.select("vec_id", *([same] if same else []), F.col("embedding").cast("array<double>").alias("embedding"))
+    wanted = vectors.select("vec_id", *([same] if same else []), *([stored] if live else []), F.col("embedding").cast("array<double>").alias("embedding"))
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
     parts = None
     for block in range(blocks):
         some = queries.select(*fields).filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK rows
-        part = wanted.mapInArrow(_nearest(some, k, same), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+        part = wanted.mapInArrow(_nearest(some, k, same, live), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
         parts = part if parts is None else parts.unionByName(part)
     return top_k(parts, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
 
 
-def _nearest(queries: list, k: int, same: str | None):
+def _nearest(queries: list, k: int, same: str | None, live: tuple[str, str, int] | None = None):
     """The ``k`` best vectors of a task for each query."""
     import numpy as np
 
@@ -172,12 +174,14 @@ def _nearest(queries: list, k: int, same: str | None):
             norm = np.sqrt((v * v).sum(axis=1))
             yield size, at[norm > 0], v[norm > 0] / norm[norm > 0, None]
 
+    times = np.array([queries[i][live[1]] for i in range(len(queries))], float) if live else None  # a null time is never live
     asked = [(size, at, v, np.array([queries[i][same] for i in at]) if same else None) for size, at, v in unit(pa.array([q["embedding"] for q in queries], pa.list_(pa.float64())))]
 
     def run(batches):
         best: dict[int, list] = {}
         for batch in batches:
             ids, group = batch.column("vec_id").to_pylist(), np.array(batch.column(same).to_pylist()) if same else None
+            since = np.array(batch.column(live[0]).to_pylist(), float) if live else None
             for size, rows, v in unit(batch.column("embedding")):
                 for other, at, q, own in asked:
                     if other != size or not len(rows):
@@ -186,6 +190,9 @@ def _nearest(queries: list, k: int, same: str | None):
                         score = np.round(q[a : a + 512] @ v.T, 6)
                         if same:
                             score[own[a : a + 512, None] != group[None, rows]] = -np.inf
+                        if live:
+                            age = times[at[a : a + 512], None] - since[None, rows]
+                            score[~((age >= 0) & (age <= live[2]))] = -np.inf
                         least = np.partition(score, max(0, len(rows) - k), axis=1)[:, max(0, len(rows) - k)]
                         for i, j in zip(*np.nonzero((score >= least[:, None]) & (score > -np.inf))):
                             best.setdefault(int(at[a + i]), []).append((-score[i, j], ids[rows[j]]))
@@ -206,15 +213,10 @@ def semantic_cache_lookup(entries: DataFrame, probes: DataFrame, threshold: floa
 
     ``entries`` (vec_id, embedding, collection, stored_at) and ``probes``
     (query_id, embedding, collection, asked_at) must agree in collection; an
-    entry is live for ``ttl_seconds``.
+    entry is live for ``ttl_seconds``. Probes meet all entries by matrix products,
+    wherever these lie, so a frequent collection isn't gathered.
     """
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    e = entries.withColumn("v", as_double(F.col("embedding"))).drop("embedding")
-    p = probes.withColumn("q", as_double(F.col("embedding"))).drop("embedding")
-    live = e.join(p, "collection").filter((F.col("stored_at") <= F.col("asked_at")) & (F.col("asked_at") - F.col("stored_at") <= ttl_seconds))
-    size = F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("v"), F.col("v")))
-    scored = live.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")) / F.when(size > 0, size), 6).alias("similarity")).filter("similarity is not null")
-    best = top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], 1)
+    best = vector_top_k(entries, probes, 1, "collection", ("stored_at", "asked_at", ttl_seconds))
     return best.select("query_id", "vec_id", "similarity", (F.col("similarity") >= threshold).alias("hit"))
 
 

@@ -346,8 +346,7 @@ WITH v AS (SELECT source, list_sort(list(n_chars)) AS v, count(*) AS n FROM docu
 SELECT source, v[CAST(round_even((n - 1) * 0.5, 0) AS BIGINT) + 1] AS p50, v[CAST(round_even((n - 1) * 0.95, 0) AS BIGINT) + 1] AS p95 FROM v
 """)
 def length_percentiles(spark, sf_dir):
-    lists = _docs(spark, sf_dir).groupBy("source").agg(F.collect_list("n_chars").alias("v"))  # one list a source: the operator takes the values of an evaluation run
-    return lists.select("source", evaluate.nearest_percentile(F.col("v"), 0.5).alias("p50"), evaluate.nearest_percentile(F.col("v"), 0.95).alias("p95"))
+    return evaluate.nearest_percentiles(_docs(spark, sf_dir), "source", "n_chars", {"p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT doc_id, rating, substring(text, 1, 500) AS query, substring(text, 1, 2000) AS answer_preview FROM (SELECT *, doc_id % 3 - 1 AS rating FROM documents) WHERE rating <> 0")

@@ -54,17 +54,17 @@ def test_searches_grow_with_the_table(spark, tmp_path):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     ids = [r[0] for r in v.filter("vec_id % 100 = 0").select("vec_id").collect()]
     assert len(ids) == 5
-    for name in ("vector_topk_all", "vector_topk_filtered_all", "semantic_cache_lookup_all"):
+    for name in ("vector_topk", "vector_topk_filtered", "semantic_cache_lookup"):
         assert {r["query_id"] for r in found[name](spark, SF).collect()} == set(ids)
     # a late copy of query 0 is found by all three; the cache needs a time at which it is live
     late = 360_007
     v.unionByName(v.filter("vec_id = 0").withColumn("vec_id", F.lit(late).cast("long"))).filter(f"vec_id in (0, 1, 2, {late})").write.parquet(str(tmp_path / "embeddings.parquet"))
-    for name in ("vector_topk_all", "vector_topk_filtered_all"):
+    for name in ("vector_topk", "vector_topk_filtered"):
         assert (late, 1.0) in {(r["vec_id"], r["similarity"]) for r in found[name](spark, str(tmp_path)).collect()}
     entries = spark.read.parquet(str(tmp_path / "embeddings.parquet")).filter("vec_id > 0").unionByName(v.filter("vec_id = 0").withColumn("label", F.lit(-1)))
     entries = entries.unionByName(v.filter("vec_id = 0").withColumn("vec_id", F.lit(100).cast("long")))
     entries.write.parquet(str(tmp_path / "cache" / "embeddings.parquet"))
-    hits = {r["query_id"]: (r["vec_id"], r["hit"]) for r in found["semantic_cache_lookup_all"](spark, str(tmp_path / "cache")).collect()}
+    hits = {r["query_id"]: (r["vec_id"], r["hit"]) for r in found["semantic_cache_lookup"](spark, str(tmp_path / "cache")).collect()}
     assert hits[100] in {(100, True), (late, True)}
 
 
@@ -91,8 +91,8 @@ def test_graph_holds_every_order(spark):
     starts, found = ["p1", "p7", "p30"], catalogue.queries()
     collect = lambda name, *c: sorted(tuple(r[x] for x in c) for r in found[name](spark, SF).collect())
     both = {x: down.get(x, set()) | up.get(x, set()) for x in {*down, *up}}
-    assert collect("kg_successors_all", "start", "name", "hops") == sorted((s, t, n) for s in starts for t, n in reach(s, down, 2).items())
-    assert collect("kg_prerequisites_all", "start", "name", "hops") == sorted((s, t, n) for s in starts for t, n in reach(s, up, 3).items())
+    assert collect("kg_successors", "start", "name", "hops") == sorted((s, t, n) for s in starts for t, n in reach(s, down, 2).items())
+    assert collect("kg_prerequisites", "start", "name", "hops") == sorted((s, t, n) for s in starts for t, n in reach(s, up, 3).items())
     nodes, inner, paths = [], [], []
     for s in starts:
         near = sorted(({*reach(s, down, 2), *reach(s, up, 2)}) - {s})[:30]
@@ -104,9 +104,9 @@ def test_graph_holds_every_order(spark):
             front = [((x, *p), u | {(x, p[0])}) for p, u in front for x in up.get(p[0], ()) if (x, p[0]) not in u]
             every += [(n, "\u0001".join(p)) for p, _ in front]
         paths += [(s, p.replace("\u0001", " "), n, i) for i, (n, p) in enumerate(sorted(every)[:3], 1)]
-    assert collect("kg_subgraph_nodes_all", "start", "name", "rank") == sorted(nodes)
-    assert collect("kg_subgraph_edges_all", "start", "source", "target", "rank") == sorted(inner)
-    assert collect("kg_paths_all", "target", "path", "length", "rank") == sorted(paths)
+    assert collect("kg_subgraph_nodes", "start", "name", "rank") == sorted(nodes)
+    assert collect("kg_subgraph_edges", "start", "source", "target", "rank") == sorted(inner)
+    assert collect("kg_paths", "target", "path", "length", "rank") == sorted(paths)
 
 
 def test_documents_without_vector_are_retrieved(spark, tmp_path):
@@ -140,17 +140,17 @@ def test_documents_without_vector_are_retrieved(spark, tmp_path):
 def test_no_row_subset_is_left(spark):
     found = catalogue.queries()
     sources = {r["source"] for r in rows_of("documents")}
-    assert {r["query_id"] for r in found["evidence_verdict_all"](spark, SF).collect()} == sources
+    assert {r["query_id"] for r in found["evidence_verdict"](spark, SF).collect()} == sources
     from spindrift.plans import routing_queries, tracing_queries
 
     assert routing_queries._summary(spark, SF).agg(F.sum("n")).first()[0] == len(rows_of("documents"))
     users = {r["user_id"] for r in tracing_queries._effective(spark, SF).select("user_id").distinct().collect()}
-    assert {r["user_id"] for r in found["category_detail_all"](spark, SF).collect()} == users
+    assert {r["user_id"] for r in found["category_detail"](spark, SF).collect()} == users
     own = {}
     for r in rows_of("documents"):
         key = f"r{r['doc_id'] % 5}", r["source"]
         own[key] = own.get(key, 0) + 1 / (20 + r["n_chars"] % 30)
-    got = {r["route"]: r["mean_delta"] for r in found["route_ablation_all"](spark, SF).collect()}
+    got = {r["route"]: r["mean_delta"] for r in found["route_ablation"](spark, SF).collect()}
     assert got == {f"r{k}": pytest.approx(-sum(own.get((f"r{k}", s), 0) for s in sources) / len(sources), abs=2e-6) for k in range(5)}
 
 
