@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, enhance, layout
-from ..streaming import tracking
-from ..sources.files import shared_folder
+from ..streaming import cache, tracking
+from ..sources.files import scratch, shared_folder
 from .registry import query, table
 from .tracing_queries import EVENTS_SQL, HISTORY_SQL, _events, _expanded
 
@@ -40,6 +40,15 @@ def layout_cover(spark, sf_dir):
     return whole.select("doc_id", F.when(~F.col("gap"), F.col("n")).alias("covered"), "long")
 
 
+@query()
+def semantic_cache_stream(spark, sf_dir):
+    """All vectors as probes of a cache for each label, within an hour of event time."""
+    v = table(spark, sf_dir, "embeddings").filter("label is not null and vec_id is not null")
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("vec_id"), F.lit(3600)))
+    probes = v.select(F.col("label").alias("collection"), F.col("vec_id").alias("probe_id"), ts.alias("ts"), "embedding")
+    return cache.answered(spark, scratch(spark, "cache"), probes).select("collection", "probe_id", "entry_id", "similarity", "hit")
+
+
 @query()
 def textrank_keywords(spark, sf_dir):
     """The eight best words of every document by TextRank."""
