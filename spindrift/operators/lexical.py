@@ -125,6 +125,49 @@ def gram_lists(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.
     return terms, np.concatenate(sizes), np.concatenate(docs), np.concatenate(times)
 
 
+def bordered(term: str) -> bool:
+    """Whether occurrences of a term can overlap."""
+    return any(term[k:] == term[: len(term) - k] for k in range(1, len(term)))
+
+
+def countable(term: str) -> bool:
+    """Whether ``count_grams`` can count a term: a gram of one kind of characters that can't overlap itself."""
+    return len(term) in GRAMS and _TERM.fullmatch(term) is not None and not bordered(term)
+
+
+def count_grams(texts: list[str], terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of a text, number of a term, occurrences) for each of ``terms``, which are countable, and each text that holds it."""
+    chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    out = [np.zeros((3, 0), np.int64)]
+    for latin in (True, False):
+        bits = 7 if latin else 15
+        code = (lambda c: _LATIN.index(c) + 1) if latin else (lambda c: ord(c) - _FIRST + 1)
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for i, t in enumerate(terms):
+            if t[0].isascii() == latin:
+                by_size.setdefault(len(t), []).append((sum(code(c) << bits * (len(t) - 1 - k) for k, c in enumerate(t)), i))
+        if not by_size:
+            continue
+        codes = np.where(chars < 128, _CODES[np.minimum(chars, 127)], 0) if latin else np.where((chars >= _FIRST) & (chars <= _LAST), chars - _FIRST + 1, 0)
+        for n, some in by_size.items():
+            m = len(codes) - n + 1
+            if m <= 0:
+                continue
+            keys, which = np.array(sorted(some)).T
+            key = codes[:m].copy()
+            for k in range(1, n):
+                key <<= bits
+                key |= codes[k : k + m]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            place = np.flatnonzero(keys[at] == key)
+            doc = np.searchsorted(bounds, place, "right") - 1
+            times = np.bincount(at[place] * len(texts) + doc, minlength=len(keys) * len(texts))
+            held = np.flatnonzero(times)
+            out.append(np.stack([held % len(texts), which[held // len(texts)], times[held]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
 def run_lists(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The same for runs of word characters that are longer than a gram."""
     number: dict[str, int] = {}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..sources.files import settled, spread
 
 K1, B = 1.5, 0.75
+#: Characters of texts that are counted at a time.
+CHARACTERS = 1 << 20
 
 
 # Words that carry no content in a question.
@@ -81,41 +83,55 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def _term_pass(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The rows of ``term_counts``, and for each batch a row without a term: its rows, texts and characters.
 
-    One automaton finds all terms in one pass over a text, so the cost doesn't
-    grow with the number of queries, whose terms are sent to the tasks.
+    Short terms are counted by array arithmetic over the characters of many
+    texts, the others by one automaton, so the cost hardly grows with the
+    number of queries, whose terms are sent to the tasks.
     """
     words = sorted(r[0] for r in terms.select("term").distinct().collect())  # bounded by the batch of queries
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import ahocorasick
+        import numpy as np
 
+        from .lexical import countable, count_grams
+
+        short = [i for i, w in enumerate(words) if countable(w)]
+        grams, number = [words[i] for i in short], np.array(short, np.int64)
         machine = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            machine.add_word(w, (i, len(w)))
+        for i in sorted(set(range(len(words))) - set(short)):
+            machine.add_word(words[i], (i, len(words[i])))
         machine.make_automaton()
-        for batch in batches:
-            at, found, length, times = [], [], [], []
-            texts = chars = 0
-            for row, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                texts += text is not None
-                chars += len(text or "")
-                if not text or not words:
-                    continue
+
+        def counted(texts: list[str]) -> list[np.ndarray]:
+            row, which, times = count_grams(texts, grams)
+            found = [np.stack([row, number[which], times])] if len(row) else []
+            rest: list[tuple[int, int, int]] = []
+            for r, text in enumerate(texts if len(machine) else ()):
                 counts: dict[int, int] = {}
                 after: dict[int, int] = {}
                 for end, (i, size) in machine.iter(text):
                     if end - size + 1 >= after.get(i, 0):
                         counts[i] = counts.get(i, 0) + 1
                         after[i] = end + 1
-                at += [row] * len(counts)
-                length += [len(text)] * len(counts)
-                found += [words[i] for i in counts]
-                times += counts.values()
-            none = [None] * len(at)
-            columns = [batch.column(0).take(pa.array([*at, None], pa.int64())), pa.array([*found, None], pa.string()), pa.array([*length, None], pa.int32()), pa.array([*times, None], pa.int32())]
-            columns += [pa.array([*none, n], pa.int64()) for n in (batch.num_rows, texts, chars)]
+                rest += [(r, i, n) for i, n in counts.items()]
+            return found + ([np.array(rest).T] if rest else [])
+
+        names = pa.array(words, pa.string())
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            lengths = np.array([len(t or "") for t in texts], np.int64)
+            found = [np.zeros((3, 0), np.int64)]
+            if words:
+                cuts = np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum() + CHARACTERS, CHARACTERS)).tolist()
+                edges = sorted({0, *cuts, len(texts)})
+                for a, b in zip(edges, edges[1:]):
+                    found += [part + np.array([[a], [0], [0]]) for part in counted([t or "" for t in texts[a:b]])]
+            row, which, times = np.concatenate(found, axis=1)
+            none = [None] * len(row)
+            columns = [batch.column(0).take(pa.array([*row.tolist(), None], pa.int64())), pa.concat_arrays([names.take(pa.array(which)), pa.nulls(1, pa.string())])]
+            columns += [pa.array([*v.tolist(), None], pa.int32()) for v in (lengths[row], times)]
+            columns += [pa.array([*none, n], pa.int64()) for n in (batch.num_rows, sum(t is not None for t in texts), int(lengths.sum()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "dl", "tf", "rows", "texts", "chars"])
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, term string, dl int, tf int, rows long, texts long, chars long")

@@ -71,3 +71,12 @@ def test_odd_input(spark, tmp_path):
     empty = lexical.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"))
     assert lexical.bm25(empty, asked(spark), 3).collect() == []
     assert lexical.bm25(lexical.build(corpus(spark, n=6), str(tmp_path / "f")), asked(spark, []), 3).collect() == []
+
+
+def test_counts_of_terms_are_those_of_a_search_in_each_text(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHARACTERS", 500)
+    docs = corpus(spark, 3, 60)
+    terms = ["aa", "aaa", "abab", "ab", "ba", "the", "he", "oper", "opera", "进程", "死锁", "哈哈", "进程死锁", "1", "x_1", "node.js", "é", "k。", "-", "q", "程死", "none"]
+    got = {(r["doc_id"], r["term"]): (r["dl"], r["tf"]) for r in search.term_counts(docs, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    expected = {(r["doc_id"], t): (len(r["text"]), r["text"].count(t)) for r in docs.collect() for t in terms if r["text"] and t in r["text"]}
+    assert got == expected
