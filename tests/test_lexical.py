@@ -47,7 +47,7 @@ def test_blocks_and_segments_are_skipped(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     index = lexical.build(docs, str(tmp_path / "i"), 100_000)
     queries = asked(spark, [(1, ["rareword", "alpha"])])
-    found, named = lexical.scores(index, queries, 2)
+    found, named = lexical.scores(index, queries, 1)
     read = found.filter("raw is null").agg({"blocks": "sum", "unpacked": "sum"}).first()
     segments = index.filter("kind = 'lengths'").count()
     scored = found.filter("raw is null").count()
@@ -55,7 +55,7 @@ def test_blocks_and_segments_are_skipped(spark, tmp_path):
     blocks = sum(len(lexical.Lists(r.asDict() | {"terms": "t"}).last) for r in every.collect())
     assert segments >= 4 and scored == 1
     assert read["sum(unpacked)"] <= 6 < read["sum(blocks)"] < blocks
-    assert by_spark(lexical.ranked(found, named, 2)) == by_spark(search.bm25(docs, queries, 2))
+    assert by_spark(lexical.ranked(found, named, 1)) == by_spark(search.bm25(docs, queries, 1))
 
 
 def test_a_search_does_not_read_texts_or_other_buckets(spark, tmp_path):
