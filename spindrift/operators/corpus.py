@@ -223,23 +223,6 @@ def ngram_pairs(docs: DataFrame, threshold: float, n: int = 3, near: list[str] |
     return both.select("a", "b", F.round(similar, 6).alias("similarity")).filter(similar >= threshold)
 
 
-def minhash(text: Column, perms: int = 128, n: int = 3) -> Column:
-    """MinHash signature of a text's character n-grams, the same in every run."""
-    grams = char_ngrams(text, n)
-    return F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda s: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, s))))
-
-
-def minhash_candidates(docs: DataFrame, perms: int = 128, bands: int = 16) -> DataFrame:
-    """Pairs of documents that agree in a band of their signatures: a < b, estimate."""
-    rows = perms // bands
-    signed = docs.select("doc_id", minhash(F.col("text"), perms).alias("s"))
-    banded = signed.select("doc_id", "s", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.hash(F.slice("s", b * rows + 1, F.lit(rows))))).alias("band", "h"))
-    a, b = (banded.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"), "band", "h") for x in "ab")
-    pairs = a.join(b, ["band", "h"]).filter("a < b").dropDuplicates(["a", "b"])
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return pairs.select("a", "b", F.round(same / perms, 6).alias("estimate"))
-
-
 def _gram_codes(text: str):
     """The distinct three-character grams of a squeezed text as sorted 64-bit codes; no two grams share a code."""
     import numpy as np
@@ -378,7 +361,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def minhash_pairs(docs: DataFrame, perms: int = 128, bands: int = 8) -> DataFrame:
-    """``minhash_candidates`` for whole tables: a < b, estimate. A pair is made only in the first band in which it agrees."""
+    """Pairs of documents whose MinHash signatures agree in a band: a < b, estimate (share of equal places). A pair is made only in the first band in which it agrees."""
     import numpy as np
     import pyarrow as pa
 

@@ -155,13 +155,13 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / CAST(a.n + b.n - count(*)
 SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.9
 """)
 def near_dup_jaccard(spark, sf_dir):
-    """All near copies among ``documents``, with the reference's threshold of 0.9."""
+    """All near copies among ``documents``, from a similarity of 0.9."""
     return corpus.near_pairs(_docs(spark, sf_dir), 0.9)
 
 
 @query()
 def minhash_candidates(spark, sf_dir):
-    """128 permutations as in the reference, in 8 bands for its threshold of 0.9."""
+    """128 permutations in 8 bands, for a similarity of 0.9."""
     return corpus.minhash_pairs(_docs(spark, sf_dir), 128, 8)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, dialog, govern, graph, questions, retrieval, routing, salvage, tracing
+from ..operators import corpus, dialog, evaluate, govern, graph, learning, questions, retrieval, routing, salvage, tracing
 from .graph_queries import EDGES_SQL, _edges
 from .registry import query, table
 
@@ -186,3 +186,23 @@ def grounded_headings(spark, sf_dir):
     candidate = F.when(i % 4 == 0, F.concat(F.coalesce("lang", F.lit("xx")), F.lit(" zqxj"))).when(i % 4 == 1, "zqxj qjxz").when(i % 4 == 2, "12.3").otherwise(F.concat(word, F.lit(" zqxj")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(i % 3 == 0, F.concat(F.lit("given "), i)).alias("given"), candidate.alias("candidate"))
     return salvage.headings(docs, 50)
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (WHERE turn % 3 = 0) AS triggered, round(avg(CASE WHEN turn % 3 = 0 THEN 1.0 ELSE 0.0 END), 4) AS rate, round(coalesce(avg(CASE WHEN turn % 3 = 0 THEN conv_id % 4 END), 0.0), 4) AS avg_parts FROM conversations
+""")
+def decompose_rates(spark, sf_dir):
+    """Every third turn of all conversations as a question that was taken apart."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("turn") % 3 == 0).alias("triggered"), (F.col("conv_id") % 4).alias("parts"))
+    return evaluate.decompose_stats(rows)
+
+
+@query("""
+SELECT user_id, event_id % 9 AS kp, event_id AS seq, round(value / 707.0, 3) AS mastery, round(value / 911.0, 3) AS confidence, round(value / 1013.0, 3) AS effective_score, round(-value / 1103.0, 3) AS delta, event_type,
+  CASE event_type WHEN 'click' THEN 'Clicked' WHEN 'purchase' THEN 'Bought' ELSE event_type END AS event_label FROM events
+""")
+def history_rows(spark, sf_dir):
+    """All events as rows of a history for display."""
+    v = F.col("value")
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 9).alias("kp"), F.col("event_id").alias("seq"), (v / 707.0).alias("mastery"), (v / 911.0).alias("confidence"), (v / 1013.0).alias("effective_score"), (-v / 1103.0).alias("delta"), "event_type")
+    return learning.history_points(rows, {"click": "Clicked", "purchase": "Bought"})
