@@ -40,12 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, join_spread, partitions
-from .shingles import shingle_sets
+from .shingles import shingle_sets, strings
 
 #: The list of common shingles holds at most so many (8 bytes each).
 COMMON_MOST = 1 << 21
 #: Up to so many groups at a shingle are paired with each other at once.
 SMALL = 48
+#: Hashes or pairs that a task holds before it counts them and passes them on.
 FLUSH = 1 << 18
 #: Members of a cluster that a task compares with each other at once.
 BLOCK = 256
@@ -55,33 +56,34 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _fronts(batches, percent: int):
+    """Batches (h, n): how many texts of a block have the shingle h near the front of the hash order; ``batches`` have the texts first."""
+    held, size = [], 0
+
+    def counted():
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([_signed(values), pa.array(counts.astype(np.int64))], names=["h", "n"])
+
+    for batch in batches:
+        for one in shingle_sets(strings(batch.column(0))):
+            n = len(one)
+            front = one[: n - _least_overlap(n, percent) + n // 10 + 4].copy()  # a view would keep the whole set
+            held.append(front)
+            size += len(front)
+            if size > FLUSH:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
+
+
 def _common(docs: DataFrame, percent: int, scratch: Scratch) -> np.ndarray:
     """Shingles that many documents have near the front of the hash order, sorted; counts cover all documents.
 
     Only that front can reach a prefix, so only it is counted: within blocks
     of texts first, then over all.
     """
-
-    def run(batches):
-        held, size = [], 0
-
-        def counted():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(values), pa.array(counts.astype(np.int64))], names=["h", "n"])
-
-        for batch in batches:
-            for one in shingle_sets(batch.column(0).to_pylist()):
-                n = len(one)
-                front = one[: n - _least_overlap(n, percent) + n // 10 + 4]
-                held.append(front)
-                size += len(front)
-                if size > 1 << 21:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, n long")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(lambda batches: _fronts(batches, percent), "h long, n long")
     sums = rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > SMALL)
     sums = scratch.table(sums, "common")
     total = sums.agg(F.sum("n")).first()[0] or 0
@@ -116,7 +118,7 @@ def sets(docs: DataFrame, percent: int, common) -> DataFrame:
         order = common.value
         for batch in batches:
             keys, sizes, prefixes, names = [], [], [], []
-            for values in shingle_sets(batch.column(1).to_pylist()):
+            for values in shingle_sets(strings(batch.column(1))):
                 n = len(values)
                 prefix = _ordered(values, order)[: n - _least_overlap(n, percent) + 1 if n else 0]
                 keys.append(_key(values) if n else None)
@@ -280,7 +282,7 @@ def _compare_blocks(members: DataFrame, texts: DataFrame, percent: int) -> DataF
 
     def group(table):
         keys, block = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "block"))
-        sets = list(shingle_sets(table.column("text").to_pylist()))
+        sets = list(shingle_sets(strings(table.column("text"))))
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         i, j = _links([sets[x] for x in left], [sets[x] for x in right], percent)
@@ -369,7 +371,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
 
     def keyed(batches):
         for batch in batches:
-            keys = [_key(v) if len(v) else None for v in shingle_sets(batch.column("text").to_pylist())]
+            keys = [_key(v) if len(v) else None for v in shingle_sets(strings(batch.column("text")))]
             same = pa.array([k == w for k, w in zip(keys, batch.column("key").to_pylist())], pa.bool_())
             yield batch.select(["cid", "text"]).filter(same)
 

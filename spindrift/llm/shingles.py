@@ -9,7 +9,7 @@ text without words has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -67,7 +67,12 @@ def _shingle(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def strings(column) -> Iterator[str | None]:
+    """The texts of an Arrow column one by one, so that a batch isn't held twice."""
+    return (x.as_py() for x in column)
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order."""
     held: list[bytes] = []
     size = 0

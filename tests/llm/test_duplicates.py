@@ -1,7 +1,10 @@
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from spindrift.llm import cap_filters, jaccard_join, shingles
@@ -55,6 +58,27 @@ def test_blocks_give_the_same_hashes(monkeypatch):
     assert (next(shingles.shingle_sets([text])) == whole).all()
 
 
+def test_counting_holds_neither_whole_sets_nor_all_texts():
+    """A task counts the fronts of 4 million shingles within 32 MB; it held some 90 MB when it kept views of whole sets."""
+    batch = pa.record_batch([[" ".join(f"{i // 2}.{j}" for j in range(2000)) for i in range(2000)]], ["text"])
+    tracemalloc.start()
+    rows = sum(found.num_rows for found in jaccard_join._fronts([batch], 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 500_000 and peak < 32 << 20
+
+
+def test_counts_of_blocks_add_up(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FLUSH", 300)
+    found = texts()
+    expected = Counter(h for one in shingles.shingle_sets(found) for h in one[: len(one) - -(-80 * len(one) // 100) + len(one) // 10 + 4].tolist())
+    blocks = list(jaccard_join._fronts([pa.record_batch([found], ["text"])], 80))
+    got = Counter()
+    for block in blocks:
+        got.update(dict(zip(np.asarray(block.column("h")).view(np.uint64).tolist(), block.column("n").to_pylist())))
+    assert len(blocks) > 1 and got == expected
+
+
 def test_groups_against_brute_force(spark):
     docs = documents(spark)
     rows = docs.collect()
