@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import corpus
+from spindrift.operators import corpus, drivers
 from spindrift.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +67,20 @@ def test_near_pairs_meet_across_blocks_and_few_others_are_verified(spark, monkey
     assert seen[0] <= 1.5 * len(expected)
 
 
+def test_dedup_verifies_few_pairs(spark, monkeypatch):
+    docs = list(enumerate(prose(200, 9)))
+    pairs, seen = sorted(jaccard_pairs(docs, 0.9)), []
+    verified = corpus.pair_similarity
+    monkeypatch.setattr(corpus, "pair_similarity", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    gone = set()
+    for a, b in pairs:
+        if a not in gone:
+            gone.add(b)
+    got = drivers.dedup(spark.createDataFrame(docs, "doc_id long, text string")).filter("not kept").collect()
+    assert gone and {r["doc_id"] for r in got} == gone
+    assert seen[0] <= 1.5 * len(pairs)
+
+
 def test_rows_without_an_id_have_no_near_pairs(spark):
     text = "one text that a row without an id repeats, more or less"
     docs = spark.createDataFrame([(1, text), (None, text), (None, text + "!"), (2, text + "?")], "doc_id long, text string")
