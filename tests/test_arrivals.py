@@ -40,6 +40,19 @@ def test_parts_give_what_one_run_gives_and_repeats_add_nothing(spark, tmp_path):
     assert sizes["grams"] == sum(r[1] for r in first + second)
 
 
+def test_few_documents_of_the_store_are_candidates(spark, tmp_path, monkeypatch):
+    from .test_whole_tables import jaccard_pairs, prose
+
+    monkeypatch.setattr(arrivals, "BLOCK", 16)
+    docs = list(enumerate(prose(200, 7)))
+    rows_of = spark.createDataFrame(docs, "doc_id long, text string")
+    store = arrivals.Store(spark, f"file://{tmp_path}/s", buckets=4)
+    standing = {r["doc_id"] for r in arrivals.add(store, rows_of.filter("doc_id < 100")).collect() if r["kept"]}
+    near = {(a, b) for a, b in jaccard_pairs(docs, 0.9) if a in standing and b >= 100}
+    got = {(r["a"], r["b"]) for r in arrivals.candidates(store, corpus.gram_signatures(rows_of.filter("doc_id >= 100"), 0.9)).collect()}
+    assert near and near <= got and len(got) <= 1.5 * len(near) + 5
+
+
 def test_a_failure_between_tables_is_mended_by_the_next_run(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts(3, 30))), "doc_id long, text string")
     expected = rows(drivers.dedup(docs))
