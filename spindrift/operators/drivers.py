@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread, stored
 from . import corpus
 
 # Variants of characters and their simplified forms.
@@ -84,8 +85,8 @@ def statistical_anomalies(docs: DataFrame) -> DataFrame:
 
 
 def anomalies(docs: DataFrame) -> DataFrame:
-    """Both phases; documents that are garbage as a whole leave in between."""
-    return statistical_anomalies(content_anomalies(docs).filter(~F.col("full_garbage")))
+    """Both phases; documents that are garbage as a whole leave in between, and the rest is stored, as the second phase reads it several times."""
+    return statistical_anomalies(stored(content_anomalies(spread(docs)).filter(~F.col("full_garbage")), "content"))
 
 
 def anomaly_totals(found: DataFrame) -> DataFrame:

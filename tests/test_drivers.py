@@ -73,6 +73,30 @@ def test_anomalies_of_both_phases(spark):
     assert drivers.anomalies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_characters_are_counted_in_time_linear_in_a_text(spark):
+    import time
+    from collections import Counter
+
+    texts = ["aa b，b. c\t", "😀😀é 😀 x", "", " ., ", None, "мир é 中文 word " * 3, "".join(chr(0x4E00 + i % 3000) for i in range(40_000)) + "中" * 3000, "Ab9" * 100_000]
+    left_out = set("，。！？：；、“”‘’（）【】《》…—·.,;:!?()[]{}/'\" \t\n\x0b\f\r")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows.select(corpus.frequent_chars(F.col("text"))).limit(1).collect()
+    began = time.time()
+    got = {r["id"]: r for r in rows.select("id", corpus.frequent_chars(F.col("text")).alias("chars"), corpus.language_mix(F.col("text")).alias("mix"), corpus.garbage_ratio(F.col("text")).alias("garbage")).collect()}
+    assert time.time() - began < 30
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i]["chars"] is None and got[i]["garbage"] is None
+            continue
+        counts = Counter(c for c in t if c not in left_out)
+        top = sorted((-n, c) for c, n in counts.items())[:5]
+        assert [(r["char"], r["n"]) for r in got[i]["chars"]] == [(c, -n) for n, c in top if -n * 100 > sum(counts.values()) * 5]
+        normal = sum(bool(re.match(r"[\u4e00-\u9fff\u3400-\u4dbf\u3000-\u303f\uff00-\uffef \t\n\x0b\f\r\x20-\x7e]", c)) for c in t)
+        assert got[i]["garbage"] == (len(t) - normal) / max(len(t.strip(" ")), 1)
+        z, a = len(re.findall("[\u4e00-\u9fff\u3400-\u4dbf]", t)), len(re.findall("[a-zA-Z]", t))
+        assert got[i]["mix"] == (round(2 * min(z, a) / (z + a), 3) if len(t) >= 50 and z + a else 0)
+
+
 def test_graph_evidence_and_terms(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "c"), ("a", "b")], "source string, target string")
     topics = spark.createDataFrame([(1, 1, "c"), (1, 2, "b"), (2, 1, "none")], "query_id long, pos int, name string")
@@ -113,6 +137,25 @@ def test_streams_close(spark):
     assert tracking.closing_row(rows.limit(0)).collect() == []
 
 
+def test_a_user_has_one_state_with_all_points(spark, tmp_path):
+    from spindrift.operators.tracing import step
+
+    schema = "user_id long, kp long, ts timestamp, event_id long, delta double"
+    rows = spark.sql("SELECT id % 3 AS user_id, if(id % 7 = 6, null, id % 7) AS kp, timestamp_micros(1700000000000000 + (id * 37 % 200) * 1000000) AS ts, id AS event_id, (id % 5 - 2) / 10D AS delta FROM range(200)")
+    rows.unionByName(tracking.closing_row(rows)).write.parquet(f"{tmp_path}/in")
+    out = tracking.mastery_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "1 minute")
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) == 4
+    expected, last = {}, {}
+    for i in sorted(range(200), key=lambda i: (i * 37 % 200, i)):
+        key = i % 3, None if i % 7 == 6 else i % 7
+        last[key], change = step(last.get(key), 1700000000000000 + (i * 37 % 200) * 1000000, (i % 5 - 2) / 10)
+        expected[i] = (*key, last[key][1], last[key][2], change, False)
+    got = {r["event_id"]: (r["user_id"], r["kp"], r["mastery"], r["confidence"], r["delta"], r["late"]) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").filter("user_id >= 0").collect()}
+    assert got == expected
+
+
 def test_keywords_count_in_the_row(spark):
     docs = spark.createDataFrame([(1, "the cat The 数据结构与算法 ab"), (2, None), (3, "")], "doc_id long, text string")
     got = [(r["doc_id"], r["word"], r["n"], r["rank"]) for r in corpus.keywords(docs, 3).collect()]
